@@ -140,7 +140,6 @@ def read_pieces(chunks: DataFrame) -> DataFrame:
     return chunks.mapInPandas(decode, "shard int, doc_id long, at long, n_tokens long, piece long, n long, crc long")
 
 
-@F.pandas_udf("long")
 def _joined(pieces: pd.Series) -> pd.Series:
     def one(parts) -> int:
         parts = sorted(parts, key=lambda p: p["piece"])
@@ -166,6 +165,6 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
         "doc_id",
         (F.col("offset") + F.col("at")).alias("start"),
         "n_tokens",
-        _joined("pieces").alias("ids_crc32"),
+        F.pandas_udf(_joined, "long")("pieces").alias("ids_crc32"),
         "shard",
     )
