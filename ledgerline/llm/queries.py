@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import token_planes
-from ledgerline.llm.common import new_path, read
+from ledgerline.llm import chat_format, token_planes, url_rules
+from ledgerline.llm.common import new_path, read, write_table
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +16,83 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_file(spark, path)
 
 
-QUERIES = {"op1_token_planes": op1_token_planes}
-ORACLE_SQL: dict[str, str] = {}
+#: The stated rules, and words whose hosts the filter itself blocks.
+URL_RULES = [url_rules.host_rule(r, v) for r, v in (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))]
+URL_WORDS = ["casino", "pills", "porn", "spam"]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = URL_RULES + [url_rules.word_rule(w, "block") for w in URL_WORDS]
+    judged = url_rules.judge_urls(read(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", F.when(F.col("rank") == 1, F.col("fitted")).alias("rule"), "verdict")
+
+
+OP2_SQL = rf"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), ruled AS (
+    SELECT page_id, host, path, CASE
+        WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, '(^|[^a-z0-9])({"|".join(URL_WORDS)})([^a-z0-9]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict FROM ruled
+"""
+
+#: A conversation that holds the template's own marks and escape character.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    stored = write_table(chat_format.format_conversations(turns), "chats")
+    back = stored.select("*", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss_text(F.col("segments")).alias("loss_text"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "complete",
+    )
+
+
+OP8_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+    SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>'), ':', '\c') || ': '
+        || replace(replace(replace(text, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>') || '</turn>' || chr(10) AS formatted,
+        coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') || '>' || role
+            IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS accepted
+    FROM turns
+), chats AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss_text,
+        sum(length(formatted)) AS formatted_chars, bool_and(accepted) AS valid, last(role ORDER BY turn, role, text) = 'assistant' AS ended
+    FROM marked GROUP BY conv_id
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss_text) AS BIGINT) AS loss_chars,
+    sha256(loss_text) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, valid, valid AND ended AS complete FROM chats
+"""
+
+QUERIES = {
+    "op1_token_planes": op1_token_planes,
+    "op2_url_rules": op2_url_rules,
+    "op8_chat_format": op8_chat_format,
+}
+ORACLE_SQL = {"op2_url_rules": OP2_SQL, "op8_chat_format": OP8_SQL}
