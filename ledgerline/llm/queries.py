@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, token_planes, url_rules
+from ledgerline.llm import chat_format, language_id, media_sequences, token_planes, url_rules
 from ledgerline.llm.common import new_path, read, write_table
 
 
@@ -90,9 +90,31 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, s
     sha256(loss_text) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, valid, valid AND ended AS complete FROM chats
 """
 
+
+def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = media_sequences.store_texts(read(spark, sf_dir, "documents"))
+    caption = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    pages = store.select("doc_id", F.concat(F.lit("<p>Stored as media.</p>"), figure).alias("html"))
+    sequences = media_sequences.interleave(media_sequences.parse_pages(pages, "doc_id"), media_sequences.media_index(store), "doc_id")
+    media = sequences.select("doc_id", F.explode(F.filter("segments", lambda s: s["kind"] == "media")).alias("s"))
+    sizes = store.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "n_bytes").distinct()
+    found = media.join(sizes, media["doc_id"].eqNullSafe(sizes["id"]) & (F.col("s.media.payload_sha256") == F.col("of")))
+    return found.select("doc_id", "n_bytes", "s.media.payload_bytes", "s.media.payload_sha256", "s.media.tail_crc32", "s.media.media_bytes", "s.media.media_sha256", "s.media.feature", "s.caption")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language_id.learn(docs.filter(~held_out))
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_url_rules": op2_url_rules,
+    "op5_media_sequences": op5_media_sequences,
+    "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
 }
 ORACLE_SQL = {"op2_url_rules": OP2_SQL, "op8_chat_format": OP8_SQL}
