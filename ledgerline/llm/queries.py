@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, language_id, media_sequences, token_planes, url_rules
+from ledgerline.llm import chat_format, language_id, media_sequences, pattern_packing, token_planes, url_rules
 from ledgerline.llm.common import new_path, read, write_table
 
 
@@ -110,11 +110,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).withColumn("held_out", held_out)
 
 
+
+def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_url_rules": op2_url_rules,
     "op5_media_sequences": op5_media_sequences,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
+    "op10_pattern_packing": op10_pattern_packing,
 }
 ORACLE_SQL = {"op2_url_rules": OP2_SQL, "op8_chat_format": OP8_SQL}
