@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, language_id, media_sequences, pattern_packing, token_planes, url_rules
+from ledgerline.llm import chat_format, language_id, media_sequences, pattern_packing, simhash_dedup, token_planes, url_rules
 from ledgerline.llm.common import new_path, read, write_table
 
 
@@ -103,6 +103,10 @@ def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "s.media.payload_bytes", "s.media.payload_sha256", "s.media.tail_crc32", "s.media.media_bytes", "s.media.media_sha256", "s.media.feature", "s.caption")
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -119,6 +123,7 @@ QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_url_rules": op2_url_rules,
     "op5_media_sequences": op5_media_sequences,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
     "op10_pattern_packing": op10_pattern_packing,
