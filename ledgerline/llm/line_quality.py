@@ -148,7 +148,7 @@ def gathered(rows: np.ndarray, errors: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(rows.ravel(), np.repeat(errors[:, y], each), SIZE) for y in (0, 1)], axis=1)
 
 
-def fit(documents: list[tuple[list[str], int]], steps: int = 80, rate: float = 0.15, decay: float = 1e-3) -> LineModel:
+def fit(documents: list[tuple[list[str], int]], steps: int = 150, rate: float = 0.15, decay: float = 3e-4) -> LineModel:
     """Maximum likelihood with a quadratic penalty, by Adam over the whole sample."""
     weights, moves = np.zeros((SIZE, 2)), np.zeros((2, 2))
     if not documents:
