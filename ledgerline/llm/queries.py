@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, language_id, line_quality, media_sequences, pattern_packing, simhash_dedup, token_planes, url_rules
+from ledgerline.llm import chat_format, decontaminate, language_id, line_quality, media_sequences, pattern_packing, simhash_dedup, token_planes, url_rules
 from ledgerline.llm.common import new_path, read, write_table
 
 
@@ -91,6 +91,10 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, s
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -130,6 +134,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_url_rules": op2_url_rules,
+    "op3_decontaminate": op3_decontaminate,
     "op4_line_quality": op4_line_quality,
     "op5_media_sequences": op5_media_sequences,
     "op6_simhash_dedup": op6_simhash_dedup,
