@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, decontaminate, language_id, line_quality, media_sequences, pattern_packing, simhash_dedup, token_planes, url_rules
+from ledgerline.llm import chat_format, decontaminate, language_id, line_quality, media_sequences, pattern_packing, simhash_dedup, suffix_dedup, token_planes, url_rules
 from ledgerline.llm.common import new_path, read, write_table
 
 
@@ -127,6 +127,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = suffix_dedup.remove(docs, suffix_dedup.repeated_spans(docs))
+    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]), F.lit(0).cast("long"))
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
@@ -140,6 +153,7 @@ QUERIES = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pattern_packing": op10_pattern_packing,
 }
 ORACLE_SQL = {"op2_url_rules": OP2_SQL, "op8_chat_format": OP8_SQL}
