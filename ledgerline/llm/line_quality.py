@@ -207,15 +207,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> LineModel:
     return fit([(lines_of(r["text"])[:FIT_LINES], r["quality"]) for r in rows])
 
 
-def score(docs: DataFrame, model: LineModel) -> DataFrame:
-    """doc_id, score for each row."""
+def score(docs: DataFrame, model: LineModel, keep: bool = False) -> DataFrame:
+    """doc_id, score for each row; with keep all columns of docs, of which one named score
+    is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = [c for c in docs.columns if c != "score"] if keep else ["doc_id", "text"]
+    kept = columns if keep else ["doc_id"]
 
     def compute(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part.column("text").to_pylist()
             found = [score_texts(texts[at : at + 200], shared.value) for at in range(0, len(texts), 200)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.concatenate(found) if found else np.zeros(0))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.concatenate(found) if found else np.zeros(0))], [*kept, "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(compute, "doc_id long, score double")
+    rows = docs.select(*columns)
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(compute, fields + ", score double")

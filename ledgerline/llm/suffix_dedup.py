@@ -386,7 +386,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with spans (possibly none) and kept, the remaining bytes, for each row."""
+    """docs with spans (possibly null), kept, the remaining bytes, and kept_text, those of
+    them that are whole characters (a text without spans as it was), for each row."""
     few = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_ROWS
     # names of our own: docs may have columns of any name
     named = spans.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
@@ -394,11 +395,11 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("_doc")) & (F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_th"))
     both = plain.join(F.broadcast(named) if few else named, key, "left").drop("_doc", "_th")
 
-    columns = [c for c in both.columns if c not in ("_spans", "kept", "spans")]
+    columns = [c for c in both.columns if c not in ("_spans", "spans", "kept", "kept_text")]
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            kept = []
+            kept, left = [], []
             for text, own in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 at, out = 0, []
@@ -406,7 +407,8 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     out.append(raw[at : s["a"]])
                     at = s["b"]
                 kept.append(b"".join([*out, raw[at:]]))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), part.column("_spans"), pa.array(kept, pa.binary())], [*columns, "spans", "kept"])
+                left.append(kept[-1].decode(errors="ignore") if own else text)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), part.column("_spans"), pa.array(kept, pa.binary()), pa.array(left, pa.string())], [*columns, "spans", "kept", "kept_text"])
 
     fields = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in columns)
-    return both.select(*columns, "_spans").mapInArrow(take, f"{fields}, spans array<struct<a: long, b: long>>, kept binary")
+    return both.select(*columns, "_spans").mapInArrow(take, f"{fields}, spans array<struct<a: long, b: long>>, kept binary, kept_text string")
