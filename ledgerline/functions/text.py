@@ -139,13 +139,20 @@ def split_dropdown(text: Column) -> Column:
 PAIRS = (("[", "]"), ("(", ")"), ("{", "}"), ('"', '"'), ("'", "'"), ("“", "”"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use mentions it."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def unwrap(text: Column, depth: int = 4) -> Column:
     """Strips enclosing pairs of brackets or quotes, up to depth of them."""
-    for _ in range(depth):
-        ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
-        enclosed = (F.length(text) >= 2) & ends.isin([a + b for a, b in PAIRS])
-        text = F.when(enclosed, F.trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
-    return text
+
+    def strip(acc: Column, _: Column) -> Column:
+        ends = F.concat(F.left(acc, F.lit(1)), F.right(acc, F.lit(1)))
+        enclosed = (F.length(acc) >= 2) & ends.isin([a + b for a, b in PAIRS])
+        return F.when(enclosed, F.trim(F.substring(acc, F.lit(2), F.length(acc) - 2))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), text, strip)
 
 
 def shorten(text: Column, n: int) -> Column:
