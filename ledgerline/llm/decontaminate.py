@@ -81,6 +81,11 @@ def _weight(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, s: a + F.length(s))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use mentions it."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two arrays of shingles."""
     return F.try_divide(_weight(F.array_intersect(a, b)), _weight(F.array_union(a, b)))
@@ -130,8 +135,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     met = left.join(right, ["size", "block", "value"]).filter(apart <= radius).select("uid", "start", "iid", apart.alias("distance")).distinct()
 
     text = lambda *w: F.concat_ws(" ", *w)
-    both = met.join(items, "iid").join(found, "uid").withColumn("window", F.slice("words", F.col("start"), F.col("size")))
-    both = both.withColumns({"a": shingles(F.col("window"), text), "b": shingles(F.col("item_words"), text)})
-    passed = both.withColumn("similarity", similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= threshold)
+    both = met.join(items, "iid").join(found, "uid")
+    window = F.slice("words", F.col("start"), F.col("size"))
+    shared = once(window, lambda w: once(F.struct(shingles(w, text).alias("a"), shingles(F.col("item_words"), text).alias("b")), lambda s: similarity(s["a"], s["b"])))
+    passed = both.withColumn("similarity", shared).filter(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), F.col("size").alias("n_words"), "distance")).alias("b")
     return passed.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.similarity", (-F.col("b.before")).alias("start"), "b.n_words", "b.distance")
