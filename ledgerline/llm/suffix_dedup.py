@@ -38,7 +38,7 @@ SIDE = STRING - GRAM  # bytes of context before an anchor, and after its gram
 #: Contexts of an anchor that are sorted in one block, and contexts sorted at a time.
 GROUP, BATCH = 4_000, 3_000
 #: Bytes of text that a task works on at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Requests or spans up to this number are sent to every executor instead of shuffling texts.
 BROADCAST_ROWS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
