@@ -46,6 +46,13 @@ def remove_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(parts, rows: int = 256):
+    """Slices of Arrow batches: a batch of ten thousand texts is never held as Python objects."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, all other characters as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

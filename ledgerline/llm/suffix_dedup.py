@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import write_table
+from ledgerline.llm.common import small_batches, write_table
 
 STRING, GRAM = 100, 40
 SIDE = STRING - GRAM  # bytes of context before an anchor, and after its gram
 #: Contexts of an anchor that are sorted in one block, and contexts sorted at a time.
-GROUP, BATCH = 4_000, 3_000
+GROUP, BATCH = 4_000, 1_000
 #: Bytes of text that a task works on at a time.
 BLOCK = 1_000_000
 #: Requests or spans up to this number are sent to every executor instead of shuffling texts.
@@ -347,7 +347,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     few = found.filter("kind = 2").count() <= BROADCAST_ROWS
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in small_batches(parts):
             out = []
             for doc, th, text, wanted in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = (text or "").encode()
@@ -398,7 +398,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     columns = [c for c in both.columns if c not in ("_spans", "spans", "kept", "kept_text")]
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in small_batches(parts):
             kept, left = [], []
             for text, own in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
