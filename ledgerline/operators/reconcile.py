@@ -15,19 +15,17 @@ def _assign(page: pd.DataFrame) -> pd.DataFrame:
     with a document; elite ones last. With all used, it repeats one of them."""
     used: set[int] = set()
     first_line: dict[int, int] = {}
-    out = []
-    ranked = page.sort_values(["line_no", "is_elite", "rank"], kind="stable")
-    for line, own in ranked.groupby("line_no", sort=True):
-        free = own[~own["candidate"].isin(used)]
-        pool = free if len(free) else own
-        for wanted in ("uploaded", "has_document"):
-            if pool[wanted].any():
-                pool = pool[pool[wanted]]
-                break
-        choice = int(pool["candidate"].iloc[0])
-        used.add(choice)
-        out.append((int(own["page_id"].iloc[0]), int(line), choice, first_line.get(choice)))
-        first_line.setdefault(choice, int(line))
+    out, lines = [], {}
+    columns = ("line_no", "is_elite", "rank", "candidate", "uploaded", "has_document")
+    for row in sorted(zip(*(page[c].tolist() for c in columns), strict=True)):
+        lines.setdefault(row[0], []).append(row)
+    number = int(page["page_id"].iloc[0])
+    for line, own in lines.items():
+        free = [r for r in own if r[3] not in used] or own
+        choice = next((r for r in free if r[4]), None) or next((r for r in free if r[5]), None) or free[0]
+        used.add(choice[3])
+        out.append((number, line, choice[3], first_line.get(choice[3])))
+        first_line.setdefault(choice[3], line)
     return pd.DataFrame(out, columns=["page_id", "line_no", "candidate", "repeat_of"]).astype({"line_no": "int32", "repeat_of": "Int32"})
 
 
