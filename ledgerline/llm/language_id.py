@@ -1,11 +1,14 @@
 """Language identification, word first with back-off to character n-grams (operator 7).
 
 Learning counts words and the n-grams inside them per language over all given rows, on
-Spark, with partial aggregation before the shuffle. The model keeps, for each language,
-the MAX_WORDS most frequent words and the MAX_GRAMS most frequent n-grams of each length;
-this bounds what is broadcast, and what is not kept is scored by shorter n-grams. A word
-of the model scores its log frequency in each language. Any other word is covered by its
-longest known n-grams, from three letters down to one.
+Spark, with partial aggregation before the shuffle. The model keeps every word, n-gram and
+language, in written tables; log frequencies are over all counts. A word of the model
+scores its log frequency in each language. Any other word is covered by the longest known
+n-gram at each of its letters, from three letters down to one.
+
+Scoring reads texts once, with the most frequent words broadcast (up to HOT counts); each
+document's other words are counted and meet the tables in joins, distinct words first. So
+what is broadcast is bounded and nothing is left out.
 
 Nulls: rows with null text or lang teach nothing; a text that is null or has no letter is
 "und" with score 0, as is any text if nothing was learned. Ties go to the language that
@@ -14,6 +17,7 @@ sorts first. Each row has its own prediction; an empty table gives no rows."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,22 +25,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-MAX_LANGUAGES, MAX_WORDS, MAX_GRAMS, LONGEST = 200, 20_000, 10_000, 3
-#: Pieces of text whose scores a task remembers.
-MEMO = 300_000
+from ledgerline.llm.common import small_batches, write_table
+
+LONGEST = 3
+#: Counts of words (word, language) that are broadcast, and n-grams.
+HOT, BROADCAST_GRAMS = 200_000, 500_000
+#: Scores of pieces of text that a task remembers.
+MEMO = 1_500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class LanguageModel:
-    """rows of scores: one log frequency for each language."""
+    """words and grams: key, size (0 for words), n, langs (places in languages) and gains
+    (what a count adds to the log frequency of a key never seen in the language); base: that
+    log frequency, by size and language."""
 
     languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    scores: np.ndarray
+    words: DataFrame | None
+    grams: DataFrame | None
+    base: np.ndarray
 
 
 def letters_of(text: Column) -> Column:
@@ -52,107 +61,123 @@ def count_words(rows: DataFrame) -> DataFrame:
 def count_grams(words: DataFrame) -> DataFrame:
     """lang, gram, n: letters of a word marked at both ends, in pieces of 1 to LONGEST."""
     marked = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
-    pieces = [F.transform(F.sequence(F.lit(1), F.length(marked) - (k - 1)), lambda i, k=k: F.substring(marked, i, F.lit(k))) for k in range(1, LONGEST + 1)]
+
+    def cut(k: int) -> Column:  # a second argument of transform's lambda would be the index
+        return F.transform(F.sequence(F.lit(1), F.length(marked) - (k - 1)), lambda i: F.substring(marked, i, F.lit(k)))
+
+    pieces = [cut(k) for k in range(1, LONGEST + 1)]
     grams = words.select("lang", "n", F.explode(F.flatten(F.array(*pieces))).alias("gram"))
     return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def keyed(counts: DataFrame, languages: DataFrame) -> DataFrame:
+    """key, size, n, langs, gains from lang, key, size, n."""
+    own = counts.join(F.broadcast(languages), "lang").groupBy("key", "size").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", F.col("n").alias("c")))).alias("e"))
+    return own.select("key", "size", "n", F.col("e.at").alias("langs"), F.transform("e", lambda x: F.log1p(x["c"] * 2)).alias("gains"))
+
+
 def learn(rows: DataFrame) -> LanguageModel:
     """A model from all rows (text, lang)."""
-    words = count_words(rows).persist()
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best = words.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= MAX_WORDS).select("lang", F.lit(0).alias("size"), F.col("word").alias("key"), "n")
-    each = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "key")
-    grams = count_grams(words).select("lang", F.length("gram").alias("size"), F.col("gram").alias("key"), "n")
-    grams = grams.withColumn("r", F.row_number().over(each)).filter(F.col("r") <= MAX_GRAMS).drop("r")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in totals)
-    kept = best.unionByName(grams).filter(F.col("lang").isin(languages)).toPandas() if languages else None
-    words.unpersist()
-    model = LanguageModel(languages, {}, {}, np.zeros((0, len(languages))))
-    if kept is None:
-        return model
-    column = {x: k for k, x in enumerate(languages)}
-    blocks, at = [], 0
-    for size, part in kept.groupby("size"):
-        into = model.grams if size else model.words
-        keys = {k: n for n, k in enumerate(sorted(set(part["key"])))}
-        table = np.zeros((len(keys), len(languages)))
-        table[part["key"].map(keys), part["lang"].map(column)] = part["n"]
-        blocks.append(np.log((table + 0.5) / (table.sum(0) + 0.5 * len(keys))))
-        into.update({k: n + at for k, n in keys.items()})
-        at += len(keys)
-    model.scores = np.concatenate(blocks)
-    return model
+    spark = rows.sparkSession
+    words = write_table(count_words(rows), "language-counts")
+    grams = write_table(count_grams(words).select("lang", F.col("gram").alias("key"), F.length("gram").alias("size"), "n"), "language-gram-counts")
+    words = words.select("lang", F.col("word").alias("key"), F.lit(0).alias("size"), "n")
+    both = words.unionByName(grams).groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()
+    languages = sorted({r["lang"] for r in both})
+    if not languages:
+        return LanguageModel([], None, None, np.zeros((LONGEST + 1, 0)))
+    places = {x: k for k, x in enumerate(languages)}
+    listed = spark.createDataFrame(list(places.items()), "lang string, at int")
+    words, grams = write_table(keyed(words, listed), "language-words"), write_table(keyed(grams, listed), "language-grams")
+    kinds = np.zeros((LONGEST + 1, 1))
+    for r in words.unionByName(grams).groupBy("size").count().collect():
+        kinds[r["size"]] = r["count"]
+    totals = np.zeros((LONGEST + 1, len(languages)))
+    for r in both:
+        totals[r["size"], places[r["lang"]]] = r["n"]
+    # (n + 0.5) / (total + 0.5 kinds) = base x (2 n + 1); a size that no word reaches has no key
+    base = np.log(0.5 / np.maximum(totals + 0.5 * kinds, 0.5))
+    return LanguageModel(languages, words, grams, base)
+
+
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, with up to most counts in all. Cut between eighths of powers
+    of two, so no task ranks words."""
+    level = F.floor(F.log2("n") * 8)
+    sizes = words.groupBy(level.alias("level")).agg(F.sum(F.size("langs")).alias("n")).collect()
+    least, sum_ = None, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        if (sum_ := sum_ + r["n"]) > most:
+            break
+        least = r["level"]
+    return words.filter(level >= least if least is not None else F.lit(False))
+
+
+class Words:
+    """Words with their places and gains, in arrays."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.combine_chunks()
+        self.at = {w: n for n, w in enumerate(table.column("key").to_pylist())}
+        sizes = np.array([len(x) for x in table.column("langs").to_pylist()], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.langs, self.gains = (np.array([x for own in table.column(c).to_pylist() for x in own], t) for c, t in (("langs", np.int64), ("gains", float)))
+
+    def sums(self, found: list[int], rows: list[int], out: np.ndarray) -> None:
+        """Add the gains of each found word to its row of out."""
+        ids = np.asarray(found, np.int64)
+        sizes = self.ends[ids + 1] - self.ends[ids]
+        flat = np.repeat(self.ends[ids] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        np.add.at(out, (np.repeat(np.asarray(rows, np.int64), sizes), self.langs[flat]), self.gains[flat])
 
 
 class Scorer:
-    """Scores of pieces of text between spaces, remembered within a task."""
-
-    def __init__(self, model: LanguageModel) -> None:
-        self.model, self.memo = model, _Memo()
-        self.table = np.zeros((0, len(model.languages) + 1))
-
-    def _cover(self, word: str, out: list[int]) -> None:
-        """Rows that score a word: its own, or those of its longest known n-grams."""
-        if (row := self.model.words.get(word)) is not None:
-            out.append(row)
-            return
-        get, marked = self.model.grams.get, f"_{word}_"
-        at = 0
-        while at < len(marked):
-            for size in range(LONGEST, 0, -1):
-                if at + size <= len(marked) and (row := get(marked[at : at + size])) is not None:
-                    out.append(row)
-                    break
-            at += 1
+    """Sums over the frequent words of pieces of text between spaces, remembered within a
+    task, and each piece's other words."""
+
+    def __init__(self, words: Words, languages: int) -> None:
+        self.words, self.languages, self.memo = words, languages, _Memo()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo.clear()
+        self.table = np.zeros((0, self.languages + 2))  # and words found, words
+        self.others: list[list[str] | None] = []
+        self.has_others = np.zeros(0, bool)
 
     def _resolve(self) -> None:
         fresh = self.memo.fresh
+        table = np.zeros((len(fresh), self.languages + 2))
+        found: list[int] = []
         rows: list[int] = []
-        ends = np.zeros(len(fresh) + 1, np.int64)
-        letters = np.zeros(len(fresh))
+        get = self.words.at.get
         for n, piece in enumerate(fresh):
+            others = []
             for word in _LETTERS.findall(piece):
                 if word[0].isalpha() or any(c.isalpha() for c in word):
-                    before = len(rows)
-                    self._cover(word, rows)
-                    letters[n] += 1
-                    if len(rows) - before > 1:  # n-grams overlap: they count as one word
-                        rows.append(-(len(rows) - before))
-            ends[n + 1] = len(rows)
-        self.table = np.concatenate([self.table, self._sums(rows, ends, letters)])
+                    table[n, -1] += 1
+                    if (k := get(word)) is None:
+                        others.append(word)
+                    else:
+                        found.append(k)
+                        rows.append(n)
+                        table[n, -2] += 1
+            self.others.append(others or None)
+        if found:
+            self.words.sums(found, rows, table)
+        self.table = np.concatenate([self.table, table])
+        self.has_others = np.concatenate([self.has_others, [x is not None for x in self.others[len(self.has_others) :]]]).astype(bool)
         self.memo.fresh = []
 
-    def _sums(self, rows: list[int], ends: np.ndarray, letters: np.ndarray) -> np.ndarray:
-        flat = np.asarray(rows, np.int64)
-        weight = np.ones(len(flat))
-        marks = np.flatnonzero(flat < 0)
-        weight[marks] = 0
-        for m in marks:
-            weight[m + flat[m] : m] = 1 / -flat[m]
-        values = self.model.scores[np.where(flat < 0, 0, flat)] * weight[:, None] if len(flat) else np.zeros((0, len(self.model.languages)))
-        sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
-        return np.concatenate([sums[ends[1:]] - sums[ends[:-1]], letters[:, None]], axis=1)
-
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.table = self.table[:0]
+    def scan(self, texts: list[str | None]) -> tuple[np.ndarray, list[Counter]]:
+        """Sums, words found and words of each text, and its other words."""
+        if len(self.memo) * (self.languages + 2) > MEMO:
+            self._forget()
         pieces = [(t or "").lower().split() for t in texts]
         rows = [np.fromiter(map(self.memo.__getitem__, p), np.int64, len(p)) for p in pieces]
         self._resolve()
-        out = []
-        for r in rows:
-            sums = self.table[r].sum(0)
-            if not sums[-1] or not self.model.languages:
-                out.append(("und", 0.0))
-                continue
-            mean = sums[:-1] / sums[-1] * min(sums[-1], 30.0)  # words are not independent: beyond 30 they add no certainty
-            odds = np.exp(mean - mean.max())
-            best = int(np.argmax(odds))
-            out.append((self.model.languages[best], float(odds[best] / odds.sum())))
-        return out
+        sums = np.array([self.table[r].sum(0) for r in rows]).reshape(len(rows), self.languages + 2)
+        return sums, [Counter(w for k in r[self.has_others[r]] for w in self.others[k]) for r in rows]
 
 
 class _Memo(dict):
@@ -166,18 +191,95 @@ class _Memo(dict):
         return n
 
 
+def lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+
+
+def cover(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """word, shares (of each size of n-gram), langs, gains for each distinct word: the mean over
+    its letters, and the marks at its ends, of the longest known n-gram that starts there."""
+    if grams.count() <= BROADCAST_GRAMS:
+        grams = F.broadcast(grams)
+    marked = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
+    each = F.transform(F.sequence(F.lit(1), F.length(marked)), lambda i: F.transform(F.array(*map(F.lit, range(1, LONGEST + 1))), lambda k: F.struct(i.alias("i"), F.substring(marked, i, k).alias("key"))))
+    # at the end of a word the longer pieces are its last letters again: nothing changes by them
+    pieces = words.repartition("word").select("word", F.inline(F.flatten(each)))
+    longest = pieces.join(grams.select("key", "size"), "key").groupBy("word", "i").agg(F.max(F.struct("size", "key")).alias("p"))
+    found = longest.select("word", F.col("p.key").alias("key")).join(grams, "key").select("word", "size", F.explode(F.arrays_zip("langs", "gains")).alias("e"), F.element_at("langs", 1).alias("first"))
+    once = F.col("e.langs") == F.col("first")  # one row for each piece
+    counts = [F.count(F.when(once & (F.col("size") == k), 1)).alias(f"c{k}") for k in range(1, LONGEST + 1)]
+    sums = found.groupBy("word", F.col("e.langs").alias("lang")).agg(F.sum("e.gains").alias("gain"), *counts)
+    own = sums.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("lang", "gain"))).alias("e"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(1, LONGEST + 1)))
+    n = sum((F.col(f"c{k}") for k in range(2, LONGEST + 1)), F.col("c1")).cast("double")
+    own = own.withColumn("n", n)
+    shares = F.array(F.lit(0.0), *(F.col(f"c{k}") / F.col("n") for k in range(1, LONGEST + 1)))
+    return own.select("word", shares.alias("shares"), F.col("e.lang").alias("langs"), F.transform("e", lambda x: x["gain"] / F.col("n")).alias("gains"))
+
+
+def judged(sums: np.ndarray, words: np.ndarray, languages: list[str]) -> tuple[list[str], list[float]]:
+    """Language and its odds for rows of summed log frequencies over so many words."""
+    names, odds = [], []
+    for own, n in zip(sums, words, strict=True):
+        if not n or not languages:
+            names.append("und")
+            odds.append(0.0)
+            continue
+        mean = own / n * min(n, 30.0)  # words are not independent: beyond 30 they add no certainty
+        each = np.exp(mean - mean.max())
+        best = int(np.argmax(each))
+        names.append(languages[best])
+        odds.append(float(each[best] / each.sum()))
+    return names, odds
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if not model.languages:
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    languages, base, width = model.languages, model.base, len(model.languages)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(Words(frequent(model.words, HOT).select("key", "langs", "gains").toArrow()))
 
-    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            found: list[tuple[str, float]] = []
-            for at in range(0, len(texts), 500):
-                found += scorer.score(texts[at : at + 500])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, width)
+        for part in small_batches(parts, 500):
+            sums, others = scorer.scan(part.column("text").to_pylist())
+            sizes = [len(x) for x in others]
+            arrays = [part.column("rid"), part.column("doc_id"), lists(sums.ravel(), [width + 2] * len(sums), pa.float64())]
+            arrays += [lists([w for x in others for w in x], sizes, pa.string()), lists([n for x in others for n in x.values()], sizes, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "sums", "words", "times"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(score, "doc_id long, lang_pred string, score double")
+    # rid is written with the rows, so it stays the same wherever it is read
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    read = write_table(numbered.mapInArrow(scan, "rid long, doc_id long, sums array<double>, words array<string>, times array<double>"), "language-scan")
+    others = read.select("rid", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
+    known = model.words.select(F.col("key").alias("word"), "langs", "gains")
+    asked = write_table(others.select("word").distinct().join(known, "word", "left"), "language-asked")
+    own = asked.filter(F.col("langs").isNotNull()).select("word", F.array(F.lit(1.0), *[F.lit(0.0)] * LONGEST).alias("shares"), "langs", "gains")
+    scored = own.unionByName(cover(asked.filter(F.col("langs").isNull()).select("word"), model.grams))
+    # in one order, so that sums are the same in every run
+    each = F.struct(F.xxhash64("word").alias("h"), "times", "shares", "langs", "gains")
+    more = others.join(scored, "word").groupBy("rid").agg(F.sort_array(F.collect_list(each)).alias("more"))
+
+    def weighted(c: str) -> Column:
+        return F.flatten(F.transform("more", lambda m: F.transform(m[c], lambda x: x * m["times"]))).alias(c)
+
+    more = more.select("rid", F.flatten("more.langs").alias("langs"), weighted("shares"), weighted("gains"))
+
+    def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_batches(parts, 500):
+            if not part.num_rows:
+                continue
+            sums = part.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 2)
+            total, words = sums[:, :width] + sums[:, width : width + 1] * base[0], sums[:, -1]
+            sizes = np.asarray(part.column("langs").value_lengths().fill_null(0))
+            np.add.at(total, (np.repeat(np.arange(len(sizes)), sizes), np.asarray(part.column("langs").flatten())), np.asarray(part.column("gains").flatten()))
+            sizes = np.asarray(part.column("shares").value_lengths().fill_null(0))
+            shares = np.zeros((len(sizes), LONGEST + 1))
+            np.add.at(shares, (np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) % (LONGEST + 1)), np.asarray(part.column("shares").flatten()))
+            names, odds = judged(total + shares @ base, words, languages)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(odds, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    full = read.select("rid", "doc_id", "sums").join(more, "rid", "left").select("doc_id", "sums", "shares", "langs", "gains")
+    return full.mapInArrow(finish, "doc_id long, lang_pred string, score double")

@@ -270,6 +270,61 @@ def test_languages_held_out(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def languages_by_force(taught, texts):
+    """Log frequencies over all counts; unknown words by the longest known n-gram at each place."""
+    cut = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    names = sorted({lang for _, lang in taught})
+    counts = [defaultdict(lambda: np.zeros(len(names))) for _ in range(4)]
+    for text, lang in taught:
+        for w in cut(text):
+            counts[0][w][names.index(lang)] += 1
+            for k in (1, 2, 3):
+                for i in range(len(w) + 3 - k):
+                    counts[k][f"_{w}_"[i : i + k]][names.index(lang)] += 1
+    totals = [sum(c.values()) + 0.5 * len(c) for c in counts]
+    log = lambda k, key: np.log((counts[k][key] + 0.5) / totals[k])
+    out = []
+    for text in texts:
+        score, words = np.zeros(len(names)), cut(text)
+        for w in words:
+            if w in counts[0]:
+                score += log(0, w)
+                continue
+            m = f"_{w}_"
+            best = [next((k for k in (3, 2, 1) if i + k <= len(m) and m[i : i + k] in counts[k]), 0) for i in range(len(m))]
+            pieces = [log(k, m[i : i + k]) for i, k in enumerate(best) if k]
+            score += sum(pieces) / len(pieces)
+        odds = np.exp((score - score.max()) / len(words) * min(len(words), 30)) if words else None
+        out.append((names[int(np.argmax(odds))], odds.max() / odds.sum()) if words else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize(("hot", "grams"), [(200_000, 500_000), (30, 0), (0, 0)])
+def test_languages_lose_no_word(spark, monkeypatch, hot, grams):
+    monkeypatch.setattr(language_id, "HOT", hot, raising=False)
+    monkeypatch.setattr(language_id, "BROADCAST_GRAMS", grams, raising=False)
+    taught = [(prose(n, 60, 90), lang) for n, lang in enumerate(["xx", "yy", "zz"] * 4)] + [(prose(50, 9), "only")]
+    texts = [prose(n, 3 + n % 30, 300) for n in range(40)] + [None, "", "12", "zzqx", "日本 é", "ba zzqx " * 3000]
+    docs = spark.createDataFrame([(7 if n < 3 else n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    model = language_id.learn(spark.createDataFrame(taught, "text string, lang string"))
+    got = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(docs, model).collect())
+    want = languages_by_force(taught, texts)
+    assert got == sorted((7 if n < 3 else n, p, round(float(s), 9)) for n, (p, s) in enumerate(want))
+
+
+def test_languages_keep_rare_words_and_languages(spark):
+    """30,000 words of one language and 210 languages: all are known afterwards."""
+    name = lambda n: "".join("bdgklmnprs"[int(c)] + "aeiouaeiou"[int(c)] for c in f"{n:05d}")
+    rows = [(" ".join(name(n) for n in range(30_000)), "big"), (" ".join(name(n) for n in range(30_000, 60_000)), "also")]
+    rows += [(f"{name(70_000 + n)} x", f"l{n:03d}") for n in range(210)]
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame([(n, name(n)) for n in (29_999, 59_999, 70_000, 70_209)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert len(model.languages) == 212
+    assert got[70_000] == "l000"
+    assert got[70_209] == "l209"
+
+
 # --- 9 ---
 
 
