@@ -1,19 +1,20 @@
 """Benchmark decontamination by SimHash windows (operator 3), JVM-side only.
 
 Texts are words (runs of letters and digits, in lower case). Windows of exactly an item's
-number of words slide over a document; a window's fingerprint has 64 bits, each the
-majority over its words' hashes. Fingerprints are cut into RADIUS + 1 blocks: two within
-RADIUS bits agree in some block, so an equi-join on (length, block, value) meets every
-such window and item. What meets is verified exactly: the weight of the five-word
-shingles that both have, over that of all they have, each weighing its characters, must
-reach THRESHOLD.
-
-A window that passes shares shingles with its item. So windows are made only around
-positions where a document has a shingle of any item of that length: this drops none that
-could pass, and text is read in one narrow pass. Item shingles are broadcast up to
-BROADCAST_SHINGLES and shuffled beyond, likewise the keys of documents with such
-positions. Positions are made distinct before the shuffle, so a passage that a third of
-all documents share is no hot group.
+number of words slide over a document. What meets is verified exactly: the weight of the
+five-word shingles that both have, over that of all they have, each weighing its
+characters, must reach THRESHOLD. A window's fingerprint has 64 bits, each the majority
+over its words' hashes; its distance from the item's is reported.
+
+A window that passes shares at least THRESHOLD of its item's weight. So it has one of the
+item's lead shingles: those that fewest items have, until what is left weighs too little.
+Windows are made only around a document's lead shingles and meet only the items that these
+lead: this drops none that could pass, and text is read in one narrow pass. Given a radius,
+windows meet items within so many bits instead (fingerprints cut into radius + 1 blocks,
+of which two within the radius share one); that misses pairs near THRESHOLD, most of all
+at the ends of a document. Leads are broadcast up to BROADCAST_SHINGLES and shuffled
+beyond, likewise the keys of documents with such positions. Positions are made distinct
+before the shuffle, so a passage that a third of all documents share is no hot group.
 
 Nulls: a null text has no words; a null item text is no item; ids may be null and are
 reported as they are. An item of fewer than five words has no shingle and never matches.
@@ -27,6 +28,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerline.llm.common import write_table
 
@@ -106,20 +108,33 @@ def windows(hits: DataFrame, found: DataFrame) -> DataFrame:
     return each.select("uid", "size", "start", F.explode(F.slice("hashes", F.col("start"), F.col("size"))).alias("h"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def leads(items: DataFrame, threshold: float) -> DataFrame:
+    """shingle, iid, size: of each item the shingles that fewest items have, until those
+    left weigh less than threshold of it."""
+    text = lambda *w: F.concat_ws(" ", *w)
+    each = items.select("iid", "size", F.explode(F.array_distinct(shingles(F.col("item_words"), text))).alias("s"))
+    each = each.select("iid", "size", F.length("s").alias("weight"), F.xxhash64(*(F.split("s", " ")[k] for k in range(SHINGLE))).alias("shingle"))
+    each = each.join(each.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    own = Window.partitionBy("iid")
+    order = own.orderBy("n", "shingle", "weight").rowsBetween(Window.unboundedPreceding, -1)
+    before, total = F.coalesce(F.sum("weight").over(order), F.lit(0)), F.sum("weight").over(own)
+    # a little below threshold, so that rounding loses nothing
+    return each.withColumn("left", total - before).withColumn("total", total).filter(F.col("left") >= F.col("total") * (threshold - 1e-9)).select("shingle", "iid", "size").distinct()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int | None = None) -> DataFrame:
     """doc_id, item_id, similarity, start (word of the document, from 1), n_words, distance
     for each document that holds an item and each such item."""
     items = benchmark.select("item_id", words_of(F.col("text").cast("string")).alias("item_words")).filter(F.size("item_words") >= SHINGLE)
     items = items.distinct().select(F.xxhash64("item_id", F.array_join("item_words", " ")).alias("iid"), "item_id", "item_words", F.size("item_words").alias("size"))
     items = write_table(items, "items")
-    parts = items.select("size", F.explode(shingles(F.col("item_words"), F.xxhash64)).alias("shingle")).distinct()
-    parts = write_table(parts, "item-shingles")
+    parts = write_table(leads(items, threshold), "item-leads")
     if parts.count() <= BROADCAST_SHINGLES:
         parts = F.broadcast(parts)
 
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     held = rows.select("uid", words_of(F.col("text")).alias("words")).select("uid", F.posexplode(shingles(F.col("words"), F.xxhash64)).alias("at", "shingle"))
-    hits = held.join(parts, "shingle").select("uid", "size", F.floor(F.col("at") / F.col("size")).cast("int").alias("block")).distinct()
+    hits = held.join(parts, "shingle").select("uid", "iid", "size", F.floor(F.col("at") / F.col("size")).cast("int").alias("block")).distinct()
     hits = write_table(hits, "hits")
     keys = hits.select("uid").distinct()
     few = keys.count() <= BROADCAST_DOCUMENTS
@@ -129,10 +144,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     prints = write_table(simhash(windows(hits, found), ["uid", "size", "start"], "h"), "window-prints")
     each = items.select("iid", "size", F.explode(F.transform("item_words", lambda w: F.xxhash64(w))).alias("h"))
     own = write_table(simhash(each, ["iid", "size"], "h"), "item-prints")
-    left = prints.select("*", F.inline(blocks(F.col("fp"), radius)))
-    right = own.select("iid", "size", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius)))
+    if radius is None:
+        # the first words of a window's shingles lie in the block of its start or the next
+        at = F.floor((F.col("start") - 1) / F.col("size")).cast("int")
+        near = prints.select("uid", "size", "start", "fp", F.explode(F.array(at, at + 1)).alias("block"))
+        met = near.join(hits, ["uid", "size", "block"]).join(own.select("iid", F.col("fp").alias("item_fp")), "iid")
+    else:
+        left = prints.select("*", F.inline(blocks(F.col("fp"), radius)))
+        right = own.select("iid", "size", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius)))
+        met = left.join(right, ["size", "block", "value"])
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    met = left.join(right, ["size", "block", "value"]).filter(apart <= radius).select("uid", "start", "iid", apart.alias("distance")).distinct()
+    met = met.filter(apart <= (64 if radius is None else radius)).select("uid", "start", "iid", apart.alias("distance")).distinct()
 
     text = lambda *w: F.concat_ws(" ", *w)
     both = met.join(items, "iid").join(found, "uid")

@@ -70,6 +70,25 @@ def test_leaks(spark):
     assert {(20 + n, n) for n in range(5)} <= got
 
 
+def test_leaks_at_the_threshold(spark):
+    """Items of 15 to 59 words of which the last ones or one in the middle differ, at either end
+    of a document and inside; items that share passages."""
+    items = [(n, prose(600 + n, 15 + 4 * (n % 12), 3000)) for n in range(12)]
+    items += [(100 + n, prose(700, 20, 3000) + " " + prose(701 + n, 12, 3000)) for n in range(3)]
+    docs = []
+    for n, text in items:
+        w = text.split()
+        for cut in range(1 + len(w) // 20, 1 + len(w) // 8):
+            part, last = " ".join(w[:-cut]), prose(9000 + n, cut, 3000)
+            docs += [f"{part} {last}", f"{part} {last} {prose(n, 40, 3000)}", f"{prose(n + 1, 40, 3000)} {part}", f"{prose(n, 33, 3000)} {part} {prose(n + 2, 30, 3000)}"]
+        docs.append(" ".join([*w[:3], "other", *w[4:]]))
+    docs = list(enumerate(docs))
+    found = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    want = leaks_by_force(docs, items)
+    assert len(want) > 60
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 def test_leaks_shuffled_and_empty(spark, monkeypatch):
     item = spark.createDataFrame([(1, prose(3, 30))], "item_id long, text string")
     docs = table(spark, [(1, prose(3, 30)), (2, prose(4, 30))])
