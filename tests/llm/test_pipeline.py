@@ -65,6 +65,15 @@ def test_stages(spark, folder):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
+def test_leaks_without_an_id(spark, folder):
+    at, _, items = folder
+    leak = prose(1, 30) + " " + items[0][1]
+    rows = [(None, leak), (None, leak), (None, prose(2, 60)), (None, None), (1, leak), (1, prose(3, 60)), (2, prose(4, 60))]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.benchmark_decontamination(spark, docs, at).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got) == sorted([("None", prose(2, 60)), ("None", ""), ("2", prose(4, 60))])
+
+
 def test_run_is_the_stages_in_order(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
