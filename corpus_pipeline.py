@@ -35,8 +35,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Cuts byte strings that start earlier elsewhere out of texts. Bytes of a character of
     which only a part remains go too."""
     done = suffix_dedup.remove(docs, suffix_dedup.repeated_spans(docs.select("doc_id", "text")))
-    cut = done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

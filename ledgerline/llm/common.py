@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is taken."""
+    Where the session names none, a temporary folder is taken if the driver runs all tasks
+    itself (tests); on a cluster that is an error, as executors would not see its files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root is None:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-ledgerline-")
+        root = context.getCheckpointDir()
+        if root is None:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="spark-ledgerline-")
         spark.conf.set("spark.checkpoint.dir", root)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
@@ -46,11 +56,30 @@ def remove_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(parts, rows: int = 256):
-    """Slices of Arrow batches: a batch of ten thousand texts is never held as Python objects."""
+def small_batches(parts: Iterator[pa.RecordBatch], rows: int = 256, column: str = "text", size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of at most so many rows, and of about so many bytes of column
+    at most (a longer text is a slice of its own): what a task holds as Python objects is
+    bounded by one text."""
     for part in parts:
-        for at in range(0, part.num_rows, rows):
-            yield part.slice(at, rows)
+        lengths = np.asarray(pc.binary_length(part.column(column)).fill_null(0), np.int64) if column in part.schema.names else np.zeros(part.num_rows, np.int64)
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < part.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            stop = min(stop, at + rows, part.num_rows)
+            yield part.slice(at, stop - at)
+            at = stop
+
+
+def whole_rows(df: DataFrame, **more: Column) -> DataFrame:
+    """df's rows as one struct, row, beside columns of our own: so no name of df can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(k) for k, c in more.items()))
+
+
+def row_schema(rows: DataFrame, more: str) -> StructType:
+    """The schema of row as it is, and more."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
 
 
 def lower_ascii(c: Column) -> Column:

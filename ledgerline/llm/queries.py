@@ -132,8 +132,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove(docs, suffix_dedup.repeated_spans(docs))
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]), F.lit(0).cast("long"))
     return done.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"),
+        "row.doc_id",
+        F.coalesce(F.octet_length("row.text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"),
         removed.alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),

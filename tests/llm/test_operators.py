@@ -367,14 +367,17 @@ def test_repeats(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "BATCH", group)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0 if group == 4 else 10**6)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0 if group == 4 else 10**6)
+    monkeypatch.setattr(suffix_dedup, "HOT", group)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 150 if group == 4 else 16_384)
     shared, edge = prose(1, 60), prose(2, 40)[:100]
     rows = [(n, prose(n, 40) + " " + shared + " " + prose(n + 60, 30)) for n in range(25)]
     rows += [(30 + n, edge[n : n + 99] + "é" + edge) for n in range(4)] + [(40, "ab" * 400), (41, "a" * 350), (42, shared), (43, shared + shared)]
     rows += [*ODD, (42, shared), (42, shared[::-1] + shared), (909, prose(77, 20_000)), (910, edge), (911, edge)]
     docs = table(spark, rows)
     done = suffix_dedup.remove(docs, suffix_dedup.repeated_spans(docs))
-    got = done.select("doc_id", "text", "spans", "kept").collect()
+    assert done.select("row.*").columns == docs.columns
+    got = done.select("row.doc_id", "row.text", "spans", "kept").collect()
     want = removed_by_force(rows)
     assert len(got) == len(rows)
     for r in got:
