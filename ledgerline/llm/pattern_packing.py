@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.llm.common import write_table
-from ledgerline.llm.tokens import TextEncoder, batches
+from ledgerline.llm.tokens import batches, encoder
 
 #: Bins of the coarse grid, and parts of a pattern.
 GRID, PARTS = 128, 4
@@ -40,14 +40,14 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keep_ids:
     """PIECES of each document, with ids (little-endian unsigned 32-bit) if asked for."""
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = TextEncoder(vocabulary), np.array([end_id], np.uint32)
+        words, end = encoder(vocabulary), np.array([end_id], np.uint32)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for part in parts:
             docs_, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
             for a, b in batches(texts):
                 rows = []
-                for doc, ids in zip(docs_[a:b], encoder.encode(texts[a:b]), strict=True):
+                for doc, ids in zip(docs_[a:b], words.encode(texts[a:b]), strict=True):
                     raw = np.concatenate([ids, end]).astype("<u4")
                     cuts = [0, *range(len(raw) % capacity or capacity, len(raw) + 1, capacity)]
                     for n, (at, to) in enumerate(zip(cuts, cuts[1:], strict=False)):

@@ -9,7 +9,9 @@ chunk index lies beside the planes: position of the chunk in its shard, and for
 document that overlaps it doc_id, start in the shard and length. Reading prunes to the
 index columns where planes are not needed, and any chunk is decoded without the others.
 
-Nulls: a null text is an empty one (its end id alone); a null doc_id sorts first. Repeated
+A long text is encoded as one; its ids go through blocks like all others. Nulls: a null
+text is an empty one (its end id alone); a null doc_id sorts first. Rows of equal doc_id
+are dealt by text too, so a doc_id that very many rows repeat fills no single shard. Repeated
 rows each get their own entry, ordered by doc_id, then text. Empty tables give no rows.
 Other columns of the input are ignored."""
 
@@ -26,13 +28,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.llm.tokens import TextEncoder, batches
+from ledgerline.llm.tokens import batches, encoder, vocabulary_size
 
 CHUNKS = "shard int, chunk int, first long, n_ids int, width int, planes array<binary>, doc_ids array<bigint>, doc_starts array<bigint>, doc_lengths array<bigint>"
 
 
+def width_of(most: int) -> int:
+    """Bytes that ids up to most take: 1, 2 or 4."""
+    if not 0 <= most < 2**32:
+        raise ValueError(f"ids are unsigned 32-bit integers, not {most}")
+    return 1 if most < 2**8 else 2 if most < 2**16 else 4
+
+
 def to_planes(ids: np.ndarray, width: int, kind: str, level: int = 3) -> list[bytes]:
-    """Planes of ids, each compressed. width: bytes an id takes."""
+    """Planes of ids, each compressed. width: bytes an id takes; ids that do not fit are an error."""
+    if len(ids) and int(ids.max()) >= 1 << 8 * width:
+        raise ValueError(f"id {int(ids.max())} does not fit into {width} bytes")
     squeeze = zstandard.ZstdCompressor(level=level).compress
     raw = np.ascontiguousarray(ids, f"<u{width}").view(np.uint8).reshape(-1, width)
     if kind == "bit":
@@ -52,14 +63,17 @@ def from_planes(planes: list[bytes], n: int, width: int) -> np.ndarray:
     return np.ascontiguousarray(block).reshape(-1).view(f"<u{width}").astype(np.uint32)
 
 
-def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int, block: int = 65_536, width: int = 2, kind: str = "byte", shards: int | None = None) -> None:
-    """Encode doc_id, text of docs and write the format above to path.
+def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int, block: int = 65_536, width: int | None = None, kind: str = "byte", shards: int | None = None) -> None:
+    """Encode doc_id, text of docs and write the format above to path. width: bytes an id
+    takes; as many as the vocabulary and end_id need if it is not given.
 
     Documents are dealt to shards by ranges of doc_id; a task holds one Arrow batch of
     texts and one block of ids, whatever the size of the shard."""
 
+    width = width or width_of(max(vocabulary_size(vocabulary) - 1, end_id))
+
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = TextEncoder(vocabulary), np.array([end_id], np.uint32)
+        words, end = encoder(vocabulary), np.array([end_id], np.uint32)
         waiting: list[np.ndarray] = []  # ids not yet written
         index: list[tuple[int | None, int, int]] = []  # documents that end after the last chunk
         state = {"held": 0, "first": 0, "chunk": 0, "total": 0}
@@ -85,7 +99,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int, b
             shard = part.column("shard")[0].as_py()
             ids_of, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
             for a, b in batches(texts):
-                for doc, ids in zip(ids_of[a:b], encoder.encode(texts[a:b]), strict=True):
+                for doc, ids in zip(ids_of[a:b], words.encode(texts[a:b]), strict=True):
                     waiting += [ids, end]
                     index.append((doc, state["total"], len(ids) + 1))
                     state["total"] += len(ids) + 1
@@ -95,8 +109,9 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int, b
                 yield from rows(shard, False)
         yield from rows(shard, True)
 
+    by = F.substring("text", 1, 40)  # in the order of text, and short
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = keyed.repartitionByRange(shards, "doc_id") if shards else keyed.repartitionByRange("doc_id")
+    dealt = keyed.repartitionByRange(shards, "doc_id", by) if shards else keyed.repartitionByRange("doc_id", by)
     ordered = dealt.sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
     ordered.mapInArrow(encode, CHUNKS).write.option("compression", "none").parquet(path)
 

@@ -7,6 +7,9 @@ ids are those of encoding the whole text (tests compare the two)."""
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 import numpy as np
 import regex
 from tokenizers import Tokenizer
@@ -15,7 +18,29 @@ from tokenizers import Tokenizer
 _WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: The normalisers and splitters for which pieces of text are known to be independent.
+_WORD_KIND = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+_BYTE_KIND = ([], [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}])
+
+
+def kind_of(tokenizer: Tokenizer) -> str | None:
+    """"words" or "bytes" for vocabularies that split as above, else None: then only whole
+    texts are encoded."""
+    spec = json.loads(tokenizer.to_str())
+
+    def steps(name: str, inner: str) -> list[dict]:
+        found = spec[name]
+        return [] if found is None else found[inner] if found["type"] == "Sequence" else [found]
 
+    rules = steps("normalizer", "normalizers"), steps("pre_tokenizer", "pretokenizers")
+    plain = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec.get("truncation") and not spec.get("padding")
+    return {plain and rules == _WORD_KIND: "words", plain and rules == _BYTE_KIND: "bytes"}.get(True)
 
 
 def _letters() -> dict[int, str]:
@@ -63,7 +88,7 @@ class _Rows(dict):
 
 
 class TextEncoder:
-    """Encodes lists of texts; one per task, as it keeps its memo.
+    """Encodes lists of texts; encoder() keeps one a worker process, with its memo.
 
     memo bounds the number of pieces kept; beyond it the memo starts anew. The strings of
     special tokens inside texts are ordinary text."""
@@ -71,7 +96,8 @@ class TextEncoder:
     def __init__(self, path: str, memo: int = 600_000) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._words = self._tokenizer.normalizer is not None
+        kind = kind_of(self._tokenizer)
+        self._words, self._whole = kind == "words", kind is None
         self._memo, self._pieces, self._parts = memo, _Rows(), _Rows()
 
     def _direct(self, texts: list[str]) -> list[list[int]]:
@@ -140,7 +166,7 @@ class TextEncoder:
         for n, text in enumerate(texts):
             if not text:
                 continue
-            pieces = self._split(text)
+            pieces = None if self._whole else self._split(text)
             if pieces is None:
                 whole.append(n)
             else:
@@ -158,6 +184,16 @@ class TextEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> TextEncoder:
+    """The worker process's encoder: what a task looked up, the next one need not."""
+    return TextEncoder(path)
+
+
+def vocabulary_size(path: str) -> int:
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def batches(texts: list[str | None], size: int = 2_000_000):
     """Ranges of texts of about so many characters."""
     start, total = 0, 0

@@ -7,9 +7,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from ledgerline.llm import token_planes as tp
+from ledgerline.llm import tokens
 from ledgerline.llm.tokens import TextEncoder
 
 WORDS, BYTES = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -63,3 +64,32 @@ def test_file_round_trip(spark, tmp_path, kind):
 def test_empty_table(spark, tmp_path):
     tp.write_token_file(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/e", WORDS, 2)
     assert tp.read_token_file(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_width_follows_the_ids(spark, tmp_path):
+    assert [tp.width_of(n) for n in (0, 255, 256, 65_535, 65_536, 2**32 - 1)] == [1, 1, 2, 2, 4, 4]
+    with pytest.raises(ValueError, match="does not fit"):
+        tp.to_planes(np.array([70_000, 5], np.uint32), 2, "byte")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    tp.write_token_file(docs, f"{tmp_path}/wide", WORDS, 70_000, kind="bit")
+    ids = np.array([*PLAIN[WORDS].encode("a b", add_special_tokens=False).ids, 70_000], "<u4")
+    assert tp.read_token_file(spark, f"{tmp_path}/wide").first()["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    other = Tokenizer.from_file(BYTES)
+    other.normalizer = normalizers.Lowercase()
+    other.save(f"{tmp_path}/other.json")
+    assert tokens.kind_of(PLAIN[WORDS]) == "words"
+    assert tokens.kind_of(PLAIN[BYTES]) == "bytes"
+    assert tokens.kind_of(other) is None
+    some = ["Ab C\n d", "", None]
+    assert [x.tolist() for x in TextEncoder(f"{tmp_path}/other.json").encode(some)] == [other.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_one_id_for_many_rows(spark, tmp_path):
+    rows = [(7, f"row {n % 40} x" * 5) for n in range(200)] + [(8, "last")]
+    tp.write_token_file(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/f", WORDS, 2, shards=4)
+    got = tp.read_token_file(spark, f"{tmp_path}/f").orderBy("start").collect()
+    assert [tuple(r)[:4] for r in got] == expected(rows)
+    assert len({r["shard"] for r in got}) > 2
