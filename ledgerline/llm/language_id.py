@@ -6,23 +6,27 @@ language, in written tables; log frequencies are over all counts. A word of the
 scores its log frequency in each language. Any other word is covered by the longest known
 n-gram at each of its letters, from three letters down to one.
 
-Scoring reads texts once, with the most frequent words broadcast (up to HOT counts); each
-document's other words are counted and meet the tables in joins, distinct words first. So
-what is broadcast is bounded and nothing is left out.
+Scoring reads texts once, with the most frequent words broadcast as arrays (up to HOT
+counts) and the n-grams, up to BROADCAST_GRAMS of them. Words that these cannot decide (not
+among the frequent ones while there are others, or longer n-grams left out) are counted by
+document and meet the tables in joins, distinct words first. So what is broadcast is
+bounded and nothing is left out. Frequent words are found by a 64-bit hash.
 
 Nulls: rows with null text or lang teach nothing; a text that is null or has no letter is
-"und" with score 0, as is any text if nothing was learned. Ties go to the language that
+"und" with score 0, as is any text if nothing was learned. Letters are those of \\p{L},
+in learning and in scoring; a long text is scored whole. Ties go to the language that
 sorts first. Each row has its own prediction; an empty table gives no rows."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +34,10 @@ from ledgerline.llm.common import small_batches, write_table
 
 LONGEST = 3
 #: Counts of words (word, language) that are broadcast, and n-grams.
-HOT, BROADCAST_GRAMS = 200_000, 500_000
+HOT, BROADCAST_GRAMS = 2_000_000, 500_000
 #: Scores of pieces of text that a task remembers.
 MEMO = 1_500_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -100,9 +104,9 @@ def learn(rows: DataFrame) -> LanguageModel:
     return LanguageModel(languages, words, grams, base)
 
 
-def frequent(words: DataFrame, most: int) -> DataFrame:
-    """The most frequent words, with up to most counts in all. Cut between eighths of powers
-    of two, so no task ranks words."""
+def frequent(words: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The most frequent words, with up to most counts in all, and whether these are all
+    words. Cut between eighths of powers of two, so no task ranks words."""
     level = F.floor(F.log2("n") * 8)
     sizes = words.groupBy(level.alias("level")).agg(F.sum(F.size("langs")).alias("n")).collect()
     least, sum_ = None, 0
@@ -110,73 +114,123 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
         if (sum_ := sum_ + r["n"]) > most:
             break
         least = r["level"]
-    return words.filter(level >= least if least is not None else F.lit(False))
+    return words.filter(level >= least if least is not None else F.lit(False)), sum_ <= most
 
 
-class Words:
-    """Words with their places and gains, in arrays."""
+class Gains:
+    """Places and gains of the keys of a table, in arrays."""
 
     def __init__(self, table: pa.Table) -> None:
-        table = table.combine_chunks()
-        self.at = {w: n for n, w in enumerate(table.column("key").to_pylist())}
-        sizes = np.array([len(x) for x in table.column("langs").to_pylist()], np.int64)
-        self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.langs, self.gains = (np.array([x for own in table.column(c).to_pylist() for x in own], t) for c, t in (("langs", np.int64), ("gains", float)))
+        langs, gains = (table.column(c).combine_chunks() for c in ("langs", "gains"))
+        self.sizes = np.asarray(langs.value_lengths(), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.langs, self.gains = np.asarray(langs.flatten(), np.int64).astype(np.int16), np.asarray(gains.flatten(), np.float64)
 
-    def sums(self, found: list[int], rows: list[int], out: np.ndarray) -> None:
-        """Add the gains of each found word to its row of out."""
-        ids = np.asarray(found, np.int64)
-        sizes = self.ends[ids + 1] - self.ends[ids]
-        flat = np.repeat(self.ends[ids] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        np.add.at(out, (np.repeat(np.asarray(rows, np.int64), sizes), self.langs[flat]), self.gains[flat])
+    def add(self, found: np.ndarray, rows: np.ndarray, out: np.ndarray, weights: np.ndarray | float = 1.0) -> None:
+        """Add the gains of each found key, times its weight, to its row of out."""
+        sizes = self.sizes[found]
+        flat = np.repeat(self.starts[found] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        np.add.at(out, (np.repeat(rows, sizes), self.langs[flat]), self.gains[flat] * np.repeat(np.broadcast_to(weights, len(sizes)), sizes))
+
+
+class Words(Gains):
+    """Words by their hash."""
+
+    def __init__(self, table: pa.Table) -> None:
+        super().__init__(table)
+        hashes = np.asarray(table.column("hash").combine_chunks(), np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.sizes, self.starts = hashes[order], self.sizes[order], self.starts[order]
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Where each word is, or -1."""
+        digest = xxhash.xxh64_intdigest
+        wanted = np.fromiter((digest(w.encode(), 42) for w in words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, wanted), max(0, len(self.hashes) - 1))
+        return np.where(self.hashes[at] == wanted, at, -1) if len(self.hashes) else np.full(len(words), -1)
+
+
+class Grams(Gains):
+    """All n-grams by their letters."""
+
+    def __init__(self, table: pa.Table) -> None:
+        super().__init__(table)
+        self.at = {g: n for n, g in enumerate(table.column("key").to_pylist())}
+
+    def cover(self, word: str) -> tuple[list[int], list[int]]:
+        """The longest known n-gram that starts at each letter and mark, and its size."""
+        marked, get = f"_{word}_", self.at.get
+        found, sizes = [], []
+        for i in range(len(marked)):
+            for k in range(min(LONGEST, len(marked) - i), 0, -1):
+                if (n := get(marked[i : i + k])) is not None:
+                    found.append(n)
+                    sizes.append(k)
+                    break
+        return found, sizes
 
 
 class Scorer:
-    """Sums over the frequent words of pieces of text between spaces, remembered within a
-    task, and each piece's other words."""
+    """Sums over what is known of pieces of text between spaces, remembered within a task,
+    and each piece's other words. A row holds the languages' gains, the shares of words and
+    of each size of n-gram, and the number of words.
+
+    grams: None if words that are not among words cannot be decided here."""
 
-    def __init__(self, words: Words, languages: int) -> None:
-        self.words, self.languages, self.memo = words, languages, _Memo()
+    def __init__(self, words: Words, grams: Grams | None, languages: int) -> None:
+        self.words, self.grams, self.languages, self.memo = words, grams, languages, _Memo()
+        self.width = languages + LONGEST + 2
         self._forget()
 
     def _forget(self) -> None:
         self.memo.clear()
-        self.table = np.zeros((0, self.languages + 2))  # and words found, words
+        self.table = np.zeros((0, self.width))
         self.others: list[list[str] | None] = []
         self.has_others = np.zeros(0, bool)
 
     def _resolve(self) -> None:
         fresh = self.memo.fresh
-        table = np.zeros((len(fresh), self.languages + 2))
-        found: list[int] = []
-        rows: list[int] = []
-        get = self.words.at.get
-        for n, piece in enumerate(fresh):
-            others = []
-            for word in _LETTERS.findall(piece):
-                if word[0].isalpha() or any(c.isalpha() for c in word):
-                    table[n, -1] += 1
-                    if (k := get(word)) is None:
-                        others.append(word)
-                    else:
-                        found.append(k)
-                        rows.append(n)
-                        table[n, -2] += 1
-            self.others.append(others or None)
-        if found:
-            self.words.sums(found, rows, table)
+        table = np.zeros((len(fresh), self.width))
+        cut = [_LETTERS.findall(piece) for piece in fresh]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        words, rows = [w for own in cut for w in own], np.repeat(np.arange(len(cut)), sizes)
+        table[:, -1] = sizes
+        found = self.words.find(words)
+        known = found >= 0
+        self.words.add(found[known], rows[known], table)
+        np.add.at(table, (rows[known], self.languages), 1.0)
+        others: list[list[str] | None] = [None] * len(fresh)
+        pieces: list[int] = []
+        at: list[int] = []
+        lengths: list[int] = []
+        weights: list[float] = []
+        for n in np.flatnonzero(~known).tolist():
+            row = int(rows[n])
+            if self.grams is None:
+                others[row] = [*(others[row] or ()), words[n]]
+                continue
+            own, own_sizes = self.grams.cover(words[n])
+            pieces += own
+            lengths += own_sizes
+            at += [row] * len(own)
+            weights += [1.0 / max(1, len(own))] * len(own)
+        if pieces:
+            at_, weight = np.asarray(at), np.asarray(weights)
+            self.grams.add(np.asarray(pieces), at_, table, weight)
+            np.add.at(table, (at_, self.languages + np.asarray(lengths)), weight)
+        self.others += others
         self.table = np.concatenate([self.table, table])
-        self.has_others = np.concatenate([self.has_others, [x is not None for x in self.others[len(self.has_others) :]]]).astype(bool)
+        self.has_others = np.concatenate([self.has_others, [x is not None for x in others]]).astype(bool)
         self.memo.fresh = []
 
     def scan(self, texts: list[str | None]) -> tuple[np.ndarray, list[Counter]]:
-        """Sums, words found and words of each text, and its other words."""
-        if len(self.memo) * (self.languages + 2) > MEMO:
+        """The sums of each text, and its other words."""
+        if len(self.memo) * self.width > MEMO:
             self._forget()
         pieces = [(t or "").lower().split() for t in texts]
         rows = [np.fromiter(map(self.memo.__getitem__, p), np.int64, len(p)) for p in pieces]
         self._resolve()
-        sums = np.array([self.table[r].sum(0) for r in rows]).reshape(len(rows), self.languages + 2)
+        sums = np.array([self.table[r].sum(0) for r in rows]).reshape(len(rows), self.width)
         return sums, [Counter(w for k in r[self.has_others[r]] for w in self.others[k]) for r in rows]
 
 
@@ -238,15 +292,31 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     if not model.languages:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     languages, base, width = model.languages, model.base, len(model.languages)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(Words(frequent(model.words, HOT).select("key", "langs", "gains").toArrow()))
+    spark = docs.sparkSession
+    hot, all_words = frequent(model.words, HOT)
+    whole = all_words and model.grams.count() <= BROADCAST_GRAMS
+    words = Words(hot.select(F.xxhash64("key").alias("hash"), "langs", "gains").toArrow())
+    shared = spark.sparkContext.broadcast((words, Grams(model.grams.select("key", "langs", "gains").toArrow()) if whole else None))
+
+    def answer(ids: pa.Array, sums: np.ndarray, gains: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
+        total = sums[:, :width] + gains + (sums[:, width:-1] + shares) @ base
+        names, odds = judged(total, sums[:, -1], languages)
+        return pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(odds, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    def scan_whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value, width)
+        for part in small_batches(parts, 500):
+            yield answer(part.column("doc_id"), scorer.scan(part.column("text").to_pylist())[0], 0.0, 0.0)
+
+    if whole:
+        return rows.mapInArrow(scan_whole, "doc_id long, lang_pred string, score double")
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, width)
+        scorer = Scorer(*shared.value, width)
         for part in small_batches(parts, 500):
             sums, others = scorer.scan(part.column("text").to_pylist())
             sizes = [len(x) for x in others]
-            arrays = [part.column("rid"), part.column("doc_id"), lists(sums.ravel(), [width + 2] * len(sums), pa.float64())]
+            arrays = [part.column("rid"), part.column("doc_id"), lists(sums.ravel(), [sums.shape[1]] * len(sums), pa.float64())]
             arrays += [lists([w for x in others for w in x], sizes, pa.string()), lists([n for x in others for n in x.values()], sizes, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "sums", "words", "times"])
 
@@ -271,15 +341,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for part in small_batches(parts, 500):
             if not part.num_rows:
                 continue
-            sums = part.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 2)
-            total, words = sums[:, :width] + sums[:, width : width + 1] * base[0], sums[:, -1]
+            sums = part.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            gains, shares = np.zeros((len(sums), width)), np.zeros((len(sums), LONGEST + 1))
             sizes = np.asarray(part.column("langs").value_lengths().fill_null(0))
-            np.add.at(total, (np.repeat(np.arange(len(sizes)), sizes), np.asarray(part.column("langs").flatten())), np.asarray(part.column("gains").flatten()))
+            np.add.at(gains, (np.repeat(np.arange(len(sizes)), sizes), np.asarray(part.column("langs").flatten())), np.asarray(part.column("gains").flatten()))
             sizes = np.asarray(part.column("shares").value_lengths().fill_null(0))
-            shares = np.zeros((len(sizes), LONGEST + 1))
             np.add.at(shares, (np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) % (LONGEST + 1)), np.asarray(part.column("shares").flatten()))
-            names, odds = judged(total + shares @ base, words, languages)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(odds, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield answer(part.column("doc_id"), sums, gains, shares)
 
     full = read.select("rid", "doc_id", "sums").join(more, "rid", "left").select("doc_id", "sums", "shares", "langs", "gains")
     return full.mapInArrow(finish, "doc_id long, lang_pred string, score double")
