@@ -20,15 +20,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     joined back and repeated or null ids do no harm."""
     labels = read(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     model = line_quality.learn(read(spark, sf_dir, "documents").select("doc_id", "text"), labels)
-    return line_quality.score(docs, model, keep=True).filter("score >= 0.3").select(*docs.columns)
+    return line_quality.scored_rows(docs, model).filter("score >= 0.3").select("row.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group; rows with a null doc_id have
-    no such place and stay."""
-    groups = simhash_dedup.near_duplicates(docs)
-    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each group: the one with the least doc_id, of several rows with
+    that id the one whose text has the least hash; a row without an id only where no row of
+    its group has one."""
+    return simhash_dedup.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

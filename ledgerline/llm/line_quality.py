@@ -5,14 +5,16 @@ the lines before and after it, and neighbouring labels interact. Forward-backwar
 each line's marginal; weighted by line length they add up to the document's score.
 
 The weights are fitted on a bounded sample of labelled rows (SAMPLE documents, chosen by a
-hash of doc_id, of which the first FIT_LINES lines each teach), where each line carries
-its document's label. Scoring reads whole texts: a line longer than a segment is split at
-spaces into segments of about SEGMENT characters, so a text without line ends is a chain
-too. Features use nothing but the text.
+hash of doc_id), of which every line teaches its document's label. Tasks turn lines into
+feature numbers, ten bytes a line, so texts do not pass through the driver; a document of
+more than CHAIN lines teaches in chains of that many. Scoring reads whole texts: a line
+longer than a segment is split at spaces into segments of about SEGMENT characters, so a
+text without line ends is a chain too. Features use nothing but the text.
 
 Nulls: a null or empty text is one empty line and gets a score; rows with null labels or
-text teach nothing. Repeated rows are scored each. An empty table gives no rows; without
-any labelled rows every score is 0.5. Other columns are ignored."""
+text teach nothing, and labels that disagree on a document count as good. Repeated rows
+teach once, and are scored each. An empty table gives no rows; without any labelled rows
+every score is 0.5. Columns of any other names are ignored, or kept in row."""
 
 from __future__ import annotations
 
@@ -26,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what is fitted on.
-SAMPLE, FIT_LINES = 4_000, 30
+from ledgerline.llm.common import row_schema, small_batches, whole_rows
+
+#: Labelled documents that are fitted on, and lines of a chain in fitting.
+SAMPLE, CHAIN = 4_000, 128
 SEGMENT = 600
 EDGES = {  # borders of the bins that each measure falls into
     "length": (0, 1, 20, 60, 200, 450),
@@ -148,14 +152,15 @@ def gathered(rows: np.ndarray, errors: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(rows.ravel(), np.repeat(errors[:, y], each), SIZE) for y in (0, 1)], axis=1)
 
 
-def fit(documents: list[tuple[list[str], int]], steps: int = 150, rate: float = 0.15, decay: float = 3e-4) -> LineModel:
-    """Maximum likelihood with a quadratic penalty, by Adam over the whole sample."""
+def fit(chains: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.15, decay: float = 3e-4) -> LineModel:
+    """Maximum likelihood with a quadratic penalty, by Adam over all chains (feature numbers
+    of lines, label)."""
     weights, moves = np.zeros((SIZE, 2)), np.zeros((2, 2))
-    if not documents:
+    if not chains:
         return LineModel(weights, moves)
-    starts = np.cumsum([0, *(len(x) for x, _ in documents)])
-    own = features([line for x, _ in documents for line in x])
-    labels = np.repeat([y for _, y in documents], np.diff(starts))
+    starts = np.cumsum([0, *(len(x) for x, _ in chains)])
+    own = np.concatenate([x for x, _ in chains]).astype(np.int64)
+    labels = np.repeat([y for _, y in chains], np.diff(starts))
     truth = np.eye(2)[labels]
     inner = np.ones(len(own), bool)
     inner[starts[:-1]] = False
@@ -202,24 +207,35 @@ def learn(docs: DataFrame, labels: DataFrame) -> LineModel:
         own = known.filter(F.col("quality") == label)
         picked.append(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2))
     chosen = picked[0].unionByName(picked[1])
-    start = F.substring("text", 1, FIT_LINES * SEGMENT)  # what the first FIT_LINES lines can hold
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", start.alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * SAMPLE).collect()
-    return fit([(lines_of(r["text"])[:FIT_LINES], r["quality"]) for r in rows])
+
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_batches(parts):
+            found = [features(lines_of(t)).astype(np.uint8).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "lines"])
+
+    taught = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    taught = taught.join(F.broadcast(chosen.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))), "doc_id")
+    rows = taught.mapInArrow(number, "doc_id long, quality int, lines binary").distinct().orderBy("doc_id", "lines").collect()
+    chains = []
+    for r in rows:
+        lines = np.frombuffer(r["lines"], np.uint8).reshape(-1, len(EDGES))
+        chains += [(lines[at : at + CHAIN], r["quality"]) for at in range(0, len(lines), CHAIN)]
+    return fit(chains)
 
 
-def score(docs: DataFrame, model: LineModel, keep: bool = False) -> DataFrame:
-    """doc_id, score for each row; with keep all columns of docs, of which one named score
-    is replaced."""
+def scored_rows(docs: DataFrame, model: LineModel) -> DataFrame:
+    """row (docs' columns) and score for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != "score"] if keep else ["doc_id", "text"]
-    kept = columns if keep else ["doc_id"]
 
     def compute(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            found = [score_texts(texts[at : at + 200], shared.value) for at in range(0, len(texts), 200)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.concatenate(found) if found else np.zeros(0))], [*kept, "score"])
-
-    rows = docs.select(*columns)
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInArrow(compute, fields + ", score double")
+        for part in small_batches(parts, 200):
+            found = score_texts(part.column("text").to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found)], ["row", "score"])
+
+    rows = whole_rows(docs, text=F.col("text").cast("string"))
+    return rows.mapInArrow(compute, row_schema(rows, "score double"))
+
+
+def score(docs: DataFrame, model: LineModel) -> DataFrame:
+    """doc_id, score for each row."""
+    return scored_rows(docs.select("doc_id", "text"), model).select("row.doc_id", "score")

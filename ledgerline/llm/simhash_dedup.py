@@ -13,10 +13,12 @@ members outside the bucket's most frequent component are compared with the membe
 other components, and only links leave the join. Links, components and fingerprints stay
 distributed.
 
-Nulls: a null or blank text has fingerprint 0 and is linked like any other; rows with a
+Texts are whole, long ones too (about 60 bytes of memory a word). Nulls: a null or blank
+text has fingerprint 0 and is linked like any other; rows with a
 null doc_id take part, and a component of only such rows has a null id. Repeated rows stay
-repeated. Ties cannot arise: an id is a minimum. An empty table gives no rows; other
-columns are ignored."""
+repeated. An id is a minimum; of rows that tie on it, the one whose text has the least
+hash is kept where one of a group stays. An empty table gives no rows; columns of any other
+names are ignored, or kept in row."""
 
 from __future__ import annotations
 
@@ -27,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerline.llm.common import write_table
+from ledgerline.llm.common import small_batches, whole_rows, write_table
 from ledgerline.llm.graph import components
 
 BITS, SEED = 64, 42
@@ -58,16 +61,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_each: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row."""
+def fingerprints(rows: DataFrame, words_each: int = 4) -> DataFrame:
+    """rows (text and other columns) with fp (the 64 bits as a long) in place of text."""
+    kept = [c for c in rows.columns if c != "text"]
 
     def compute(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in small_batches(parts):
             found = [majority(shingle_hashes(t.as_py(), words_each)) for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.array(found, np.uint64).view(np.int64))], [*kept, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(compute, "doc_id long, fp long")
+    return rows.mapInArrow(compute, StructType([*(rows.schema[c] for c in kept), StructField("fp", LongType())]))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -109,12 +112,31 @@ def links(nodes: DataFrame, radius: int, rounds: int = 2) -> DataFrame:
     return components(rest.unionByName(found.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
 
+def groups(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, label for each distinct fingerprint: the least one reachable."""
+    nodes = prints.select("fp").distinct()
+    labels = links(nodes, radius)
+    return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words_each: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for each row."""
-    prints = write_table(fingerprints(docs, words_each), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = links(nodes.select("fp"), radius)
-    labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "label").select("fp", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = write_table(fingerprints(rows, words_each), "fingerprints")
+    labelled = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups(prints, radius), "fp"), "labels")
+    # a table of its own, so that rows of one label can be split where they are joined
+    least = write_table(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "component-ids")
+    named = write_table(labelled.join(least, "label").select("fp", "component_id"), "components")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, words_each: int = 4) -> DataFrame:
+    """docs' rows without near duplicates: of each group the row with the least doc_id stays
+    (a null one comes last), of several with that id the one whose text has the least hash.
+    Rows are told apart by a number of their own, so repeated or null ids do no harm."""
+    numbered = write_table(whole_rows(docs, rid=F.monotonically_increasing_id(), doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string")), "rows")
+    prints = write_table(fingerprints(numbered.select("rid", "doc_id", F.xxhash64("text").alias("th"), "text"), words_each), "fingerprints")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rid")).alias("first")
+    labelled = write_table(prints.groupBy("fp").agg(order).join(groups(prints, radius), "fp"), "labels")
+    stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+    return numbered.join(stay, "rid", "left_semi").select("row.*")

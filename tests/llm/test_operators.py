@@ -147,8 +147,9 @@ def test_quality_held_out(spark):
     assert all(0 <= s <= 1 for s in got.values())
     assert all(got[n] >= 0.3 for n, _ in good if n % 5 == 0)
     assert all(got[n] < 0.3 for n, _ in bad if n % 5 == 0)
-    kept = line_quality.score(docs, model, keep=True)
-    assert set(kept.columns) == set(docs.columns)
+    kept = line_quality.scored_rows(docs, model)
+    assert kept.select("row.*").columns == docs.columns
+    assert sorted(map(str, kept.select("row.*").collect())) == sorted(map(str, docs.collect()))
     empty = line_quality.learn(docs, labels.limit(0))
     assert all(abs(r["score"] - 0.5) < 1e-9 for r in line_quality.score(docs, empty).collect())
     assert line_quality.score(table(spark, []), model).count() == 0
