@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, line_quality, pattern_packing, simhash_dedup, suffix_dedup
-from ledgerline.llm.common import read, write_table
+from ledgerline.llm.common import read, whole_rows, write_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,12 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark. Rows with a null doc_id are told
-    apart by their text, so such a row goes if its own text holds an item."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    found = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    leaks = found.select(F.col("doc_id").alias("leak_key")).distinct()
-    return docs.join(leaks, key == F.col("leak_key"), "left_anti").select(*docs.columns)
+    """Drops documents that hold an item of the benchmark. What a row says decides, not its
+    doc_id: rows without an id, or with one that others have too, go if their own text holds
+    an item and stay if it does not."""
+    rows = whole_rows(docs, text_key=F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)), text=F.col("text"))
+    found = decontaminate.contaminated(rows.select(F.col("text_key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("text_key")).distinct(), "text_key", "left_anti").select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

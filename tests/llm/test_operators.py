@@ -38,14 +38,14 @@ ODD = [(900, None), (901, ""), (902, " \n\t "), (903, "one"), (None, "a document
 
 def leaks_by_force(docs, items):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    cut = lambda w: {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}
+    cut = lambda w: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
     weight = lambda s: sum(map(len, s))
     out = set()
     for doc, text in docs:
         w = words(text)
         for item, other in items:
             v = words(other)
-            if len(v) < 5:
+            if not v or not w:
                 continue
             for k in range(max(1, len(w) - len(v) + 1)):
                 a, b = cut(w[k : k + len(v)]), cut(v)
@@ -55,7 +55,7 @@ def leaks_by_force(docs, items):
 
 
 def test_leaks(spark):
-    items = [(n, prose(50 + n, 20 + 9 * n)) for n in range(5)] + [(7, None), (8, "too short"), (0, prose(50, 20))]
+    items = [(n, prose(50 + n, 20 + 9 * n)) for n in range(5)] + [(7, None), (8, "Quite short"), (9, "one"), (10, "just four words here"), (11, ""), (12, "?!"), (0, prose(50, 20))]
     docs = [(n, prose(n, 60)) for n in range(12)]
     for n in range(5):
         docs.append((20 + n, prose(n, 30) + " " + items[n][1].upper().replace(" ", ", ") + ". " + prose(n + 9, 30)))
@@ -64,6 +64,7 @@ def test_leaks(spark):
         docs.append((40 + n, " ".join(w[: len(w) - 2])))
         docs.append((50 + n, " ".join(w[: len(w) // 2])))
     docs += [docs[12]] * 2 + ODD + [(77, prose(1, 3000) + " " + items[3][1])]
+    docs += [(80, "A quite, short text"), (81, "quite a short text"), (82, prose(5, 30) + " just four words here"), (83, "just four words")]
     found = decontaminate.contaminated(table(spark, docs), spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, size int"))
     got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
     assert got == leaks_by_force(docs, items)
