@@ -10,29 +10,35 @@ from ledgerline.functions import labels
 from ledgerline.functions.text import clean, unwrap
 
 #: Section codes, headings and the upload address of that form.
-SITE = r"myaccount\.chambers\.com"
-LAWYERS, CLIENTS = r"(?s)^B9(?![\p{L}\p{N}_]).*ranked and unranked lawyers", r"(?s)^(D0|E0)(?![\p{L}\p{N}_]).*clients"
-PARTNER_COLUMN, NAME_COLUMN, NEW_COLUMN = r"^partner\s*y\s*/\s*n", r"^name of client", r"^new client"
+SITE = "myaccount.chambers.com"
+LAWYERS, CLIENTS = (("B9",), "ranked and unranked lawyers"), (("D0", "E0"), "clients")
+PARTNER_COLUMN, NAME_COLUMN, NEW_COLUMN = "partner~y~/~n", "name of client", "new client"
+
+
+def is_section(label: Column, section: tuple[tuple[str, ...], str]) -> Column:
+    """A label that begins with one of the section's codes and mentions its subject."""
+    codes, subject = section
+    return labels.begins(clean(label), codes, labels.END) & labels.mentions(clean(label), [subject])
 
 
 def is_alternate(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id of documents that carry the form's own codes or address, never by absence."""
     label = F.get("cells", F.lit(0))
-    coded = rows.filter((F.col("row_no") == 0) & (label.rlike(labels.FLAGS + LAWYERS) | label.rlike(labels.FLAGS + CLIENTS)))
-    sited = blocks.filter((F.col("kind") == "p") & F.col("text").rlike(labels.FLAGS + SITE))
+    coded = rows.filter((F.col("row_no") == 0) & (is_section(label, LAWYERS) | is_section(label, CLIENTS)))
+    sited = blocks.filter((F.col("kind") == "p") & labels.mentions(F.col("text"), [SITE]))
     return coded.select("doc_id").unionByName(sited.select("doc_id")).distinct()
 
 
-def _column_of(pattern: str) -> Column:
-    """The first cell that fits pattern, from 1; null if none does."""
-    hits = F.transform("cells", lambda c: clean(c).rlike(labels.FLAGS + pattern))
+def _column_of(heading: str) -> Column:
+    """The first cell that begins with heading, from 1; null if none does."""
+    hits = F.transform("cells", lambda c: labels.begins(clean(c), [heading]))
     return F.nullif(F.array_position(hits, True), F.lit(0)).cast("int")
 
 
-def _below_heading(rows: DataFrame, section: str, **columns: str) -> DataFrame:
+def _below_heading(rows: DataFrame, section: tuple[tuple[str, ...], str], **columns: str) -> DataFrame:
     """Rows of tables of a section below the first row that has the first column's heading,
     with the place of each named column."""
-    tables = rows.filter((F.col("row_no") == 0) & F.get("cells", F.lit(0)).rlike(labels.FLAGS + section)).select("doc_id", "tbl_no")
+    tables = rows.filter((F.col("row_no") == 0) & is_section(F.get("cells", F.lit(0)), section)).select("doc_id", "tbl_no")
     own = Window.partitionBy("doc_id", "tbl_no")
     first = next(iter(columns))
     placed = rows.join(tables, ["doc_id", "tbl_no"], "left_semi").withColumns({k: _column_of(p) for k, p in columns.items()})
@@ -54,7 +60,7 @@ def count_clients(rows: DataFrame) -> DataFrame:
     """doc_id, active, new_clients: null if any answer is neither yes nor no."""
     body = _below_heading(rows, CLIENTS, name=NAME_COLUMN, new=NEW_COLUMN)
     name = clean(F.get("cells", F.col("name") - 1))
-    known = body.filter((name != "") & ~name.rlike(labels.FLAGS + labels.NOT_APPLICABLE))
+    known = body.filter((name != "") & ~labels.not_applicable(name))
     answer = labels.answer(F.coalesce(F.get("cells", F.col("new") - 1), F.lit("")))
     counted = known.withColumn("answer", answer).groupBy("doc_id").agg(F.count("*").cast("int").alias("active"), F.count_if(F.col("answer") == "new").cast("int").alias("new"), F.count_if(F.col("answer") == "unrecognised").alias("odd"))
     return counted.select("doc_id", "active", F.when(F.col("odd") == 0, F.col("new")).alias("new_clients"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.functions.labels import FLAGS
+from ledgerline.functions.labels import END, begins, mentions
 from ledgerline.functions.text import clean, let, split_dropdown
 
 #: The prompt of the typed box, and what begins another part of the form.
-TYPED_PROMPT, TYPED_LONGEST = r"type in this box", 200
-OTHER_PARTS = r"^(choose one from|contact details|what is the team|head\(s\) of team|either select|practice area|country|firm name)(?![\p{L}\p{N}_])"
+TYPED_PROMPT, TYPED_LONGEST = "type in this box", 200
+OTHER_PARTS = ("choose one from", "contact details", "what is the team", "head(s) of team", "either select", "practice area", "country", "firm name")
 
 
 def firm_names(blocks: DataFrame, rows: DataFrame) -> DataFrame:
@@ -38,14 +38,14 @@ def dropdowns(controls: DataFrame) -> DataFrame:
 def typed_areas(blocks: DataFrame) -> DataFrame:
     """doc_id, typed: what follows the prompt on its line, or the nearest of the next five
     paragraphs before a table, unless it belongs to another part of the form."""
-    prompt = (F.col("kind") == "p") & F.col("text").rlike(FLAGS + TYPED_PROMPT)
+    prompt = (F.col("kind") == "p") & mentions(F.col("text"), [TYPED_PROMPT])
     own = Window.partitionBy("doc_id")
     at = blocks.withColumn("at", F.min(F.when(prompt, F.col("block_no"))).over(own)).filter("at IS NOT NULL AND block_no BETWEEN at AND at + 5")
     stop = F.min(F.when(F.col("kind") == "tbl", F.col("block_no"))).over(own)
     near = at.withColumn("stop", stop).filter("kind = 'p' AND (stop IS NULL OR block_no < stop)")
     tail = F.when(F.contains("text", F.lit("►")), F.element_at(F.split("text", "►"), -1)).when(F.contains("text", F.lit(":")), F.element_at(F.split("text", ":"), -1)).otherwise("")
     said = near.withColumn("said", clean(F.when(F.col("block_no") == F.col("at"), tail).otherwise(F.col("text"))))
-    fits = said.filter((F.col("said") != "") & (F.length("said") <= TYPED_LONGEST) & ~F.col("said").rlike(FLAGS + OTHER_PARTS))
+    fits = said.filter((F.col("said") != "") & (F.length("said") <= TYPED_LONGEST) & ~begins(F.col("said"), OTHER_PARTS, END))
     return fits.groupBy("doc_id").agg(F.min_by("said", "block_no").alias("typed"))
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions import labels, text
 from ledgerline.operators import clients, numbering
 
-HEADINGS = {"lead_partners": r"your team.*:\s*leading\s+partners", "next_gen": r"your team.*:\s*next\s+gen", "associates": r"your team.*:\s*leading\s+associates"}
-TEAM = r"^(lead partners?\(s\)|lead partner\(s\)|other key team members)"
+#: Headings of the nomination sections, and of the people who worked on a matter.
+HEADINGS = {"lead_partners": "leading partners", "next_gen": "next gen", "associates": "leading associates"}
+TEAM = ("lead partner", "lead partners", "lead partner(s)", "other key team members", "other team members")
+#: Rows of a matter box.
+CLIENT_ROW, CLIENT_ROW_LOOSE, SECTOR_ROW = ("name of client",), ("name of client", "name of the client"), ("industry sector",)
+SUMMARY_ROW = ("matter summary", "matter description")
+
+
+def section_heading(text: Column, name: str) -> Column:
+    """Your team ...: name."""
+    return F.coalesce(text.rlike(f"{labels.FLAGS}{labels.wording(['your team'])}.*:\\s*{labels.wording([name])}"), F.lit(False))
 
 
 def labelled(rows: DataFrame) -> DataFrame:
@@ -18,7 +27,7 @@ def labelled(rows: DataFrame) -> DataFrame:
     first = text.clean(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
     own = Window.partitionBy("doc_id", "tbl_no")
     out = rows.withColumn("label", first).withColumns({"category": labels.nomination(F.col("label")), "matter": labels.is_matter(F.col("label")), "client": labels.is_client_table(F.col("label"))})
-    out = out.withColumns({"last_row": F.max("row_no").over(own), "any_matter": F.max("matter").over(own), "any_label": F.max(F.col("matter") | F.col("client") | F.col("category").isNotNull()).over(own), "team": F.max(F.lower("label").rlike(TEAM)).over(own)})
+    out = out.withColumns({"last_row": F.max("row_no").over(own), "any_matter": F.max("matter").over(own), "any_label": F.max(F.col("matter") | F.col("client") | F.col("category").isNotNull()).over(own), "team": F.max(F.lower("label").isin(*TEAM)).over(own)})
     return out.withColumn("filled", F.exists("cells", lambda c: text.clean(c) != ""))
 
 
@@ -44,8 +53,8 @@ def matters(rows: DataFrame) -> DataFrame:
     in: a client beside or below "Name of client" decides, else any text."""
     body = _bodies(rows.withColumn("starts", F.col("matter")), "starts")
     ahead = Window.partitionBy("doc_id", "tbl_no", "seg").orderBy("row_no")
-    body = body.withColumns({"below": F.lead("filled").over(ahead), "asks": F.coalesce(F.lower("cell").rlike(r"^name of client"), F.lit(False))})
-    beside = F.exists(F.slice("cells", 2, 99), lambda c: (text.clean(c) != "") & ~F.lower(text.clean(c)).rlike("^industry sector"))
+    body = body.withColumns({"below": F.lead("filled").over(ahead), "asks": F.coalesce(labels.begins(F.col("cell"), CLIENT_ROW), F.lit(False))})
+    beside = F.exists(F.slice("cells", 2, 99), lambda c: (text.clean(c) != "") & ~labels.begins(text.clean(c), SECTOR_ROW))
     first = F.min(F.when(F.col("asks"), F.struct("row_no", (F.coalesce(beside, F.lit(False)) | F.coalesce("below", F.lit(False))).alias("client"))))
     each = body.groupBy("doc_id", "tbl_no", "seg", "head").agg(F.coalesce(first["client"], F.max("filled"), F.lit(False)).alias("real"))
     return each.select("doc_id", "tbl_no", "head", labels.matter_kind(F.col("head")).alias("kind"), labels.matter_number(F.col("head")).alias("number"), "real")
@@ -53,8 +62,8 @@ def matters(rows: DataFrame) -> DataFrame:
 
 def coloured_matters(rows: DataFrame) -> DataFrame:
     """Unlabelled tables that are laid out as a matter and whose label box has a colour."""
-    asks = F.lower("label").rlike("^name of client") & F.col("row_no").between(1, 3)
-    tells = F.lower("label").rlike("^(matter description|summary)") & F.col("row_no").between(1, 8)
+    asks = labels.begins(F.col("label"), CLIENT_ROW_LOOSE) & F.col("row_no").between(1, 3)
+    tells = labels.begins(F.col("label"), SUMMARY_ROW) & F.col("row_no").between(1, 8)
     own = rows.filter(~F.col("any_label")).groupBy("doc_id", "tbl_no").agg(F.min_by("label", "row_no").alias("head"), F.min_by("fill", "row_no").alias("fill"), F.max(asks).alias("a"), F.max(tells).alias("b"))
     found = own.withColumn("kind", text.colour_kind(F.col("fill"))).filter("a AND b AND kind IS NOT NULL")
     return found.select("doc_id", "tbl_no", "head", "kind", F.nullif(F.regexp_extract("head", r"(\d+)\s*$", 1), F.lit("")).try_cast("int").alias("number"), F.lit(True).alias("real"))
@@ -80,6 +89,12 @@ def client_answers(rows: DataFrame) -> DataFrame:
     return named.filter("row_class = 'client'").select("doc_id", "tbl_no", "row_no", F.col("label").alias("name"), "answer")
 
 
+def looks_like_submission(rows: DataFrame) -> DataFrame:
+    """doc_id of documents of which a table's first row carries one of the form's labels."""
+    strict = labels.begins(F.col("label"), labels.STRICT_NAMES, labels.END)
+    return labelled(rows).filter((F.col("row_no") == 0) & (F.col("client") | F.col("matter") | strict)).select("doc_id").distinct()
+
+
 def recount(documents: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, metric, value (null: could not be counted), needs_check; six rows a document."""
     mine = labelled(rows)
@@ -93,7 +108,7 @@ def recount(documents: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFra
     counted = clients.count_answers(answers, ["doc_id"]).select("doc_id", "active", "new_clients", F.lit(True).alias("answered"))
     odd = clients.suspicious_blanks(answers, ["doc_id", "tbl_no"], ["doc_id"]).select("doc_id", (F.col("suspicious") > 0).alias("odd"))
     named = nominees(mine).groupBy("doc_id").agg(*(F.count_if((F.col("kind") == k) & (F.col("name") != "")).cast("int").alias(k) for k in HEADINGS), *(F.count_if(F.col("kind") == k).alias(f"{k}_boxes") for k in HEADINGS), (F.count_if((F.col("kind") == "unclassified") & (F.col("name") != "")) > 0).alias("unclassified"))
-    headed = blocks.filter("kind = 'p'").groupBy("doc_id").agg(*(F.max(F.lower("text").rlike(p)).alias(f"{k}_heading") for k, p in HEADINGS.items()))
+    headed = blocks.filter("kind = 'p'").groupBy("doc_id").agg(*(F.max(section_heading(F.col("text"), p)).alias(f"{k}_heading") for k, p in HEADINGS.items()))
     wide = ids
     for part in (per_doc, gaps, has_table, counted, odd, named, headed):
         wide = wide.join(part, "doc_id", "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import posixpath
 import re
 import zipfile
-from io import BytesIO
+from io import BytesIO, StringIO
 from xml.etree import ElementTree
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -37,6 +39,35 @@ class Package:
             return self.zip.read(info)
 
 
+    def main_part(self) -> str:
+        """The document that the package's relations name, else the usual one."""
+        if "_rels/.rels" in self.names:
+            for relation in ElementTree.fromstring(self.part("_rels/.rels")):
+                target = relation.get("Target") or ""
+                if (relation.get("Type") or "").endswith("/officeDocument") and target.lower().lstrip("/") in self.names:
+                    return target
+        return "word/document.xml"
+
+    def audit(self) -> list[str]:
+        """How many relations and content types name a part in another case than it has."""
+        stored = set(self.names.values())
+
+        def misspelt(target: str) -> bool:
+            return target not in stored and target.lower() in self.names
+
+        relations = types = 0
+        for lower, name in self.names.items():
+            if lower.endswith(".rels"):
+                base = posixpath.dirname(posixpath.dirname(name))
+                for relation in ElementTree.fromstring(self.part(name)):
+                    target = relation.get("Target") or ""
+                    if relation.get("TargetMode") != "External" and target:
+                        relations += misspelt(target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(base, target)))
+            elif lower == "[content_types].xml":
+                types += sum(misspelt((x.get("PartName") or "").lstrip("/")) for x in ElementTree.fromstring(self.part(name)))
+        return [f"{n} {what} name a part in another case" for n, what in ((relations, "relations"), (types, "content types")) if n]
+
+
 def _text(paragraph: ElementTree.Element) -> str:
     """Text of a paragraph's own runs; text inside inline content controls is not part of it."""
     out: list[str] = []
@@ -63,8 +94,8 @@ def read_document(content: bytes) -> dict:
     out: dict = {"blocks": [], "rows": [], "controls": [], "notes": [], "error": None}
     try:
         package = Package(content)
-        body = ElementTree.fromstring(package.part("word/document.xml")).find(W + "body")
-        out["notes"] = package.notes
+        body = ElementTree.fromstring(package.part(package.main_part())).find(W + "body")
+        out["notes"] = package.notes + (package.audit() if package.notes else [])
     except Exception as problem:  # a document that cannot be read is a result, not a failure
         return out | {"error": f"{type(problem).__name__}: {problem}"}
     tables = 0
@@ -113,7 +144,8 @@ def read_document(content: bytes) -> dict:
 
 
 def read_workbook(content: bytes) -> list[dict]:
-    """Cells of all sheets: sheet, row_no, col_no, value, link, fill (RRGGBB or empty)."""
+    """Cells of all sheets in their order: sheet_no, sheet, row_no, col_no, value, link, fill
+    (RRGGBB or empty)."""
     package = Package(content)
     relations = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(package.part("xl/_rels/workbook.xml.rels"))}
     shared = []
@@ -127,7 +159,7 @@ def read_workbook(content: bytes) -> list[dict]:
             fills.append((colour.get("rgb") or "")[-6:] if colour is not None else "")
         styles = [int(x.get("fillId") or 0) for x in sheet.findall(f"{S}cellXfs/{S}xf")]
     out = []
-    for sheet in ElementTree.fromstring(package.part("xl/workbook.xml")).iter(S + "sheet"):
+    for number_of, sheet in enumerate(ElementTree.fromstring(package.part("xl/workbook.xml")).iter(S + "sheet")):
         target = relations[sheet.get(R + "id")].lstrip("/")
         path = target if target.startswith("xl/") else "xl/" + target
         tree = ElementTree.fromstring(package.part(path))
@@ -150,13 +182,22 @@ def read_workbook(content: bytes) -> list[dict]:
                 style = int(cell.get("s") or 0)
                 fill = fills[styles[style]] if style < len(styles) and styles[style] < len(fills) else ""
                 if text is not None or fill:
-                    out.append({"sheet": sheet.get("name"), "row_no": int(number), "col_no": column, "value": text, "link": links.get(cell.get("r")), "fill": fill})
+                    out.append({"sheet_no": number_of, "sheet": sheet.get("name"), "row_no": int(number), "col_no": column, "value": text, "link": links.get(cell.get("r")), "fill": fill})
     return out
 
 
 _XML = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
 
 
+def read_csv(content: bytes) -> list[dict]:
+    """Cells of a comma-separated text, as of a workbook of one sheet; a byte order mark
+    before it is dropped."""
+    out = []
+    for number, row in enumerate(csv.reader(StringIO(content.decode("utf-8-sig"), newline="")), 1):
+        out += [{"sheet_no": 0, "sheet": "csv", "row_no": number, "col_no": k, "value": v, "link": None, "fill": ""} for k, v in enumerate(row, 1) if v != ""]
+    return out
+
+
 def _escaped(text: object) -> str:
     return re.sub('[&<>"]', lambda m: _XML[m[0]], re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(text)))
 

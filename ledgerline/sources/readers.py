@@ -6,20 +6,22 @@ each task decodes its own files. A file that cannot be decoded becomes a row wit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import clean, to_int
-from ledgerline.sources.ooxml import read_document, read_workbook
+from ledgerline.functions.labels import is_elite_area
+from ledgerline.functions.text import area_variants, clean, normalise, to_int
+from ledgerline.sources.ooxml import read_csv, read_document, read_workbook
 
 DOCUMENT = (
     "blocks array<struct<block_no: int, kind: string, text: string, tbl_no: int>>, "
     "rows array<struct<tbl_no: int, row_no: int, cells: array<string>, fill: string>>, "
     "controls array<struct<sdt_no: int, alias: string, text: string>>, notes array<string>, error string"
 )
-CELLS = "array<struct<sheet: string, row_no: int, col_no: int, value: string, link: string, fill: string>>"
+CELLS = "array<struct<sheet_no: int, sheet: string, row_no: int, col_no: int, value: string, link: string, fill: string>>"
 
 
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -57,60 +59,101 @@ def controls(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.inline("controls"))
 
 
-def decode_workbooks(packages: DataFrame) -> DataFrame:
-    """doc_id, sheet, row_no, col_no, value, link, fill: one row a cell."""
+def decode_tables(packages: DataFrame) -> DataFrame:
+    """doc_id, cells, error of spreadsheets: workbooks by their first bytes, anything else is
+    read as comma-separated text. A file that cannot be decoded has no cells and an error."""
 
     def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = pa.struct([("sheet", pa.string()), ("row_no", pa.int32()), ("col_no", pa.int32()), ("value", pa.string()), ("link", pa.string()), ("fill", pa.string())])
+        cell = pa.struct([("sheet_no", pa.int32()), ("sheet", pa.string()), ("row_no", pa.int32()), ("col_no", pa.int32()), ("value", pa.string()), ("link", pa.string()), ("fill", pa.string())])
+
+        def one(content: bytes) -> tuple[list[dict], str | None]:
+            try:
+                return (read_workbook(content) if content.startswith(b"PK") else read_csv(content)), None
+            except Exception as problem:  # a file that cannot be read is a result, not a failure
+                return [], f"{type(problem).__name__}: {problem}"
+
         for part in parts:
-            found = [read_workbook(c.as_py()) for c in part.column("content")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(cell))], ["doc_id", "cells"])
+            found = [one(c.as_py() or b"") for c in part.column("content")]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.list_(cell)), pa.array([f[1] for f in found], pa.string())], ["doc_id", "cells", "error"])
+
+    return packages.select("doc_id", "content").mapInArrow(decode, f"doc_id string, cells {CELLS}, error string")
 
-    return packages.select("doc_id", "content").mapInArrow(decode, f"doc_id string, cells {CELLS}").select("doc_id", F.inline("cells"))
+
+def decode_workbooks(packages: DataFrame) -> DataFrame:
+    """doc_id, sheet_no, sheet, row_no, col_no, value, link, fill: one row a cell."""
+    return decode_tables(packages).select("doc_id", F.inline("cells"))
 
 
-#: Headers under which the automated counts export names its fields.
+#: Headers under which the automated counts export names its fields, those
+#: tried first standing first.
 COUNT_FIELDS = {
-    "firm": ("firm_name", "firm name"),
-    "firm_ref": ("firm_ref", "firm ref"),
-    "region": ("country_name", "country"),
-    "area": ("practice area", "concatenated_practice_area_name", "submission_practice_area_name"),
-    "num_matters": ("num_matters", "# matters"),
-    "num_active_clients": ("num_active_clients", "# active clients"),
-    "num_new_clients": ("num_new_clients", "# new clients"),
-    "num_lead_partners": ("num_lead_partners", "# l.partners"),
-    "num_next_gen": ("num_next_gen", "# next gens"),
-    "num_associates": ("num_associates", "# associates"),
+    "match_status": ("match_status", "matched?", "matched", "match status"),
+    "firm": ("firm_name", "firm name", "firm"),
+    "firm_ref": ("firm_ref", "firm ref", "firm reference"),
+    "region": ("country_name", "country", "region"),
+    "area": ("concatenated_practice_area_name", "practice area", "practice area name", "submission_practice_area_name"),
+    "num_matters": ("num_matters", "# matters", "matters"),
+    "num_active_clients": ("num_active_clients", "# active clients", "active clients"),
+    "num_new_clients": ("num_new_clients", "# new clients", "new clients"),
+    "num_lead_partners": ("num_lead_partners", "# l.partners", "# lead partners", "lead partners"),
+    "num_next_gen": ("num_next_gen", "# next gens", "# next gen", "next gens", "next gen"),
+    "num_associates": ("num_associates", "# associates", "associates"),
 }
 COUNTS = [f for f in COUNT_FIELDS if f.startswith("num_")]
-
-
-def resolve_columns(header: list[str]) -> tuple[dict[str, int], list[str]]:
-    """field -> column number, and fields that are missing. Only if none of the counts is
-    named and there are six columns or more, the last six are taken for them."""
-    keys = [" ".join((h or "").lower().split()) for h in header]
-    found = {field: next(keys.index(a) for a in names if a in keys) for field, names in COUNT_FIELDS.items() if any(a in keys for a in names)}
-    if not any(f in found for f in COUNTS) and len(header) >= 6:
-        found |= {f: len(header) - 6 + k for k, f in enumerate(COUNTS)}
-    return found, [f for f in COUNT_FIELDS if f not in found]
+NEEDED = ("firm", "firm_ref", "region", "area")
+
+
+def count_columns(cells: DataFrame) -> DataFrame:
+    """doc_id, sheet_no, at (a struct of column numbers, from 1, null where a field is
+    missing), last_row, notes: the first sheet of each workbook that names firm, reference,
+    region and area. Only if none of the counts is named and there are six columns or more,
+    the last six are taken for them. A workbook without such a sheet has a null sheet_no."""
+    heads = cells.groupBy("doc_id", "sheet_no").agg(
+        F.max("col_no").alias("width"),
+        F.max("row_no").alias("last_row"),
+        F.map_from_entries(F.collect_list(F.when(F.col("row_no") == 1, F.struct("col_no", F.lower(clean(F.col("value"))).alias("head"))))).alias("named"),
+    )
+    keys = heads.withColumn("keys", F.transform(F.sequence(F.lit(1), "width"), lambda k: F.coalesce(F.try_element_at("named", k), F.lit(""))))
+    place = {f: F.coalesce(*(F.nullif(F.array_position("keys", a), F.lit(0)) for a in names)).cast("int") for f, names in COUNT_FIELDS.items()}
+    placed = keys.select("doc_id", "sheet_no", "last_row", "width", "keys", F.struct(*(c.alias(f) for f, c in place.items())).alias("by_name"))
+    known = sum((F.col(f"by_name.{f}").isNotNull().cast("int") for f in COUNTS), F.lit(0))
+    by_place = (known == 0) & (F.col("width") >= len(COUNTS))
+    at = F.struct(*((F.when(by_place, F.col("width") - len(COUNTS) + 1 + COUNTS.index(f)).otherwise(F.col(f"by_name.{f}")) if f in COUNTS else F.col(f"by_name.{f}")).cast("int").alias(f) for f in COUNT_FIELDS))
+    missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"by_name.{f}").isNull(), f) for f in COUNTS))), ", ")
+    used = F.array_join(F.slice("keys", F.greatest(F.col("width") - len(COUNTS) + 1, F.lit(1)), len(COUNTS)), ", ")
+    notes = F.array_compact(F.array(
+        F.when(by_place, F.concat(F.lit("no count was recognised by name, so the last six columns were used: "), used)),
+        F.when(~by_place & (known < len(COUNTS)), F.concat(F.lit("some counts were not recognised and nothing was assumed about their place: "), missing)),
+    ))
+    usable = reduce(Column.__and__, (F.col(f"by_name.{f}").isNotNull() for f in NEEDED))
+    first = F.min(F.when(usable, F.struct("sheet_no", at.alias("at"), "last_row", notes.alias("notes")))).alias("s")
+    found = placed.groupBy("doc_id").agg(first)
+    none = F.array(F.lit("no sheet has the columns that an export of counts needs"))
+    return found.select("doc_id", "s.sheet_no", "s.at", "s.last_row", F.coalesce("s.notes", none).alias("notes"))
 
 
 def count_rows(cells: DataFrame) -> DataFrame:
-    """The export's rows from the first sheet that names firm, reference, region and area;
-    rows without firm or area are dropped. Headers are metadata and are read on the driver."""
-    heads = cells.filter("row_no = 1").groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("col_no", "value"))).alias("h")).collect()
-    for row in sorted(heads, key=lambda r: r["sheet"]):
-        width = max(c["col_no"] for c in row["h"])
-        header = [next((c["value"] for c in row["h"] if c["col_no"] == k), "") for k in range(1, width + 1)]
-        found, _ = resolve_columns(header)
-        if {"firm", "firm_ref", "region", "area"} <= set(found):
-            break
-    else:
-        raise ValueError("no sheet has the columns that an export of counts needs")
-    pick = lambda f: F.max(F.when(F.col("col_no") == found[f] + 1, F.col("value"))) if f in found else F.max(F.lit(None).cast("string"))
-    wide = cells.filter((F.col("sheet") == row["sheet"]) & (F.col("row_no") > 1)).groupBy("row_no").agg(*(pick(f).alias(f) for f in COUNT_FIELDS))
+    """The exports' rows: doc_id, row_order, firm, firm_ref, region, area and the counts.
+    Rows without firm or area are dropped."""
+    wanted = cells.filter("row_no > 1").join(count_columns(cells).select("doc_id", "sheet_no", "at"), ["doc_id", "sheet_no"])
+    pick = lambda f: F.max(F.when(F.col("col_no") == F.col(f"at.{f}"), F.col("value"))).alias(f)
+    wide = wanted.groupBy("doc_id", "row_no").agg(*(pick(f) for f in COUNT_FIELDS if f != "match_status"))
     kept = wide.filter((clean(F.col("firm")) != "") & (clean(F.col("area")) != ""))
-    return kept.select(F.col("row_no").alias("row_order"), "firm", "firm_ref", "region", "area", *(to_int(F.col(f)).alias(f) for f in COUNTS))
+    return kept.select("doc_id", F.col("row_no").alias("row_order"), *NEEDED, *(to_int(F.col(f)).alias(f) for f in COUNTS))
+
+
+def count_notes(cells: DataFrame) -> DataFrame:
+    """doc_id, note: what was assumed about columns, rows dropped (blank ones too), and keys
+    of firm, region and area that several rows share."""
+    columns, rows = count_columns(cells), count_rows(cells)
+    said = columns.select("doc_id", F.explode("notes").alias("note"))
+    kept = rows.groupBy("doc_id").agg(F.count("*").alias("kept"))
+    dropped = columns.filter("sheet_no IS NOT NULL").join(kept, "doc_id", "left").select("doc_id", (F.col("last_row") - 1 - F.coalesce("kept", F.lit(0))).alias("n"))
+    lost = dropped.filter("n > 0").select("doc_id", F.concat(F.col("n").cast("string"), F.lit(" rows without a firm or practice area were left out")).alias("note"))
+    keys = rows.filter(~is_elite_area(F.col("area"))).select("doc_id", "row_order", normalise(F.col("firm")).alias("firm"), normalise(F.col("region")).alias("region"), F.explode(area_variants(F.col("area"))).alias("form"))
+    shared = keys.groupBy("doc_id", "firm", "region", "form").agg(F.count("*").alias("n")).filter("n > 1").groupBy("doc_id").agg(F.count("*").alias("n"))
+    several = shared.select("doc_id", F.concat(F.col("n").cast("string"), F.lit(" keys of firm, region and practice area stand more than once")).alias("note"))
+    return said.unionByName(lost).unionByName(several)
 
 
 def is_package(content: Column) -> Column:
@@ -121,4 +164,30 @@ def is_package(content: Column) -> Column:
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
     """A portal listing in CSV with a header; a byte order mark before it is dropped."""
     table = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    return table.toDF(*(c.lstrip("﻿").strip() for c in table.columns))
+    return table.toDF(*(c.lstrip("\ufeff").strip() for c in table.columns))
+
+
+def folders_of(spark: SparkSession, path: str, depth: int = 3) -> DataFrame:
+    """folder, documents: the folders, up to depth levels down, that hold Word documents."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path).select("path")
+    inside = F.regexp_replace("path", "/[^/]*$", "")
+    root = F.lit(path.rstrip("/"))
+    below = F.size(F.split(F.substring(inside, F.length(root) + F.instr(inside, path.rstrip("/")), F.length(inside)), "/")) - 1
+    named = found.filter(~F.element_at(F.split("path", "/"), -1).startswith("~$")).select(inside.alias("folder"), below.alias("below"))
+    return named.filter(F.col("below") <= depth).groupBy("folder").agg(F.count("*").alias("documents"))
+
+
+def pick_folder(folders: DataFrame, firm: str) -> DataFrame:
+    """The folders that name the firm, spaces and case aside: by the folder's own name, or
+    else by its path."""
+    plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    wanted = plain(F.lit(firm))
+    marked = folders.withColumns({"own": F.contains(plain(F.element_at(F.split("folder", "/"), -1)), wanted), "any": F.contains(plain(F.col("folder")), wanted)})
+    own = marked.filter("own")
+    return (marked.filter("any") if own.isEmpty() else own).select("folder", "documents")
+
+
+def exports_naming(tables: DataFrame, firm: str) -> DataFrame:
+    """doc_id of decoded spreadsheets (doc_id, cells) that mention the firm: the candidates
+    among files that lie near the documents."""
+    return tables.filter(F.exists("cells", lambda c: F.contains(F.lower(clean(c["value"])), F.lower(clean(F.lit(firm)))))).select("doc_id")

@@ -1,12 +1,16 @@
 """Documents end to end: decoding, recount, spreadsheets."""
 
+import zipfile
+from io import BytesIO
+
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators.metrics import recount
+from ledgerline.operators.metrics import looks_like_submission, recount
 from ledgerline.sources import readers
+from ledgerline.sources.listings import portal_rows
 from ledgerline.sources.ooxml import read_document, read_workbook, write_workbook
-from tests.docx_files import GOLDEN, control, p, package, tbl
+from tests.docx_files import GOLDEN, NS, control, nominee, p, package, tbl
 
 METRICS = ("matters", "active_clients", "new_clients", "lead_partners", "next_gen", "associates")
 
@@ -64,14 +68,79 @@ def test_counts_export(spark):
     content = write_workbook({"Export": [[(v, "") for v in r] for r in [header, *body]]})
     cells = readers.decode_workbooks(spark.createDataFrame([("e.xlsx", bytearray(content))], "doc_id string, content binary"))
     got = [tuple(r) for r in readers.count_rows(cells).collect()]
-    assert got == [(2, "Smith LLP", "F1", "London", "Tax", 5, 4, None, 2, 1, 0)]
-
-
-def test_columns_by_name():
-    found, missing = readers.resolve_columns(["FIRM_NAME", "Firm  Ref", "Country", "SUBMISSION_PRACTICE_AREA_NAME", "Practice Area", "# Matters", "x", "y", "z"])
-    assert found["area"] == 4
-    assert found["num_matters"] == 5
-    assert "num_associates" in missing
+    assert got == [("e.xlsx", 2, "Smith LLP", "F1", "London", "Tax", 5, 4, None, 2, 1, 0)]
+    notes = [r["note"] for r in readers.count_notes(cells).collect()]
+    assert len(notes) == 2
+    assert any("last six columns were used: a, b, c, d, e, f" in n for n in notes)
+    assert any(n.startswith("2 rows without") for n in notes)
+
+
+def exports(spark, **books):
+    rows = [(k, bytearray(v if isinstance(v, bytes) else write_workbook({s: [[(x, "") for x in r] for r in t] for s, t in v.items()}))) for k, v in books.items()]
+    return spark.createDataFrame(rows, "doc_id string, content binary")
+
+
+def test_columns_by_name(spark):
+    header = ["FIRM_NAME", "Firm  Ref", "Country", "SUBMISSION_PRACTICE_AREA_NAME", "Practice Area", "# Matters", "x", "y", "z"]
+    found = readers.count_columns(readers.decode_workbooks(exports(spark, a={"s": [header]}))).first()
+    assert (found["at"]["area"], found["at"]["num_matters"], found["at"]["num_associates"]) == (5, 6, None)
+    assert "num_associates" in found["notes"][0]
+    header = ["Firm Name", "Firm Ref", "Country", "Practice Area", "Matters", "Active Clients"]
+    found = readers.count_columns(readers.decode_workbooks(exports(spark, a={"s": [header]}))).first()
+    assert (found["at"]["num_matters"], found["at"]["num_active_clients"], found["at"]["num_new_clients"], found["at"]["firm"]) == (5, 6, None, 1)
+
+
+def test_two_exports_and_sheet_order(spark):
+    header = ["Firm", "Firm Ref", "Region", "Practice Area", "# Matters"]
+    books = exports(
+        spark,
+        a={"Zfirst": [header, ["Aa", "r1", "UK", "Tax", 3]], "Asecond": [header, ["Aa", "r1", "UK", "Tax", 99]]},
+        b={"notes": [["nothing here"]], "s": [header, ["Bb", "r2", "FR", "VAT", 7], [], ["Bb", "r2", "FR", "VAT", 8]]},
+        c={"s": [["no", "headers"]]},
+        d=b"PKbroken",
+    )
+    tables = readers.decode_tables(books).cache()
+    assert {r["doc_id"]: r["error"] is None for r in tables.collect()} == {"a": True, "b": True, "c": True, "d": False}
+    cells = tables.select("doc_id", F.inline("cells"))
+    got = sorted((r["doc_id"], r["firm"], r["firm_ref"], r["region"], r["area"], r["num_matters"]) for r in readers.count_rows(cells).collect())
+    assert got == [("a", "Aa", "r1", "UK", "Tax", 3), ("b", "Bb", "r2", "FR", "VAT", 7), ("b", "Bb", "r2", "FR", "VAT", 8)]
+    notes = {(r["doc_id"], r["note"].split(" ")[1]) for r in readers.count_notes(cells).collect()}
+    assert {("b", "keys"), ("b", "rows"), ("c", "sheet")} <= notes
+
+
+def test_folders(spark, tmp_path):
+    for name in ("Smith LLP/a.docx", "Smith LLP/b.docx", "Jones/Smith/x.docx", "Jones/~$x.docx", "k/l/m/n/deep.docx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = readers.folders_of(spark, str(tmp_path))
+    assert {r["folder"].split(tmp_path.name + "/")[1]: r["documents"] for r in found.collect()} == {"Smith LLP": 2, "Jones/Smith": 1}
+    assert [r["documents"] for r in readers.pick_folder(found, "smithllp").collect()] == [2]
+    assert {r["folder"].split("/")[-1] for r in readers.pick_folder(found, "jones").collect()} == {"Smith"}
+
+
+def test_team_rows_are_no_nominations(spark):
+    for head in ("Lead partners", "Lead partner(s)", "Other team members", "Other key team members"):
+        body = tbl((head,), ("Partner: leading individual 1",), ("Name",), ("Ann",)) + tbl(*nominee("Partner: leading individual 2", "Bo"))
+        docs = readers.decode_documents(spark.createDataFrame([("d", bytearray(package(body)))], "doc_id string, content binary"))
+        got = {r["metric"]: r["value"] for r in recount(docs, readers.rows(docs), readers.blocks(docs)).collect()}
+        assert got["lead_partners"] == 1, head
+
+
+def test_looks_like_a_submission(spark):
+    bodies = {"clients": tbl(("Active key clients", "New")), "matter": tbl(("Publishable matter 3", "")), "named": tbl(("Partner: leading partner 1",)), "other": tbl(("Partner: two",)) + tbl(("x",), ("Publishable matter 1",))}
+    docs = readers.decode_documents(spark.createDataFrame([(k, bytearray(package(v))) for k, v in bodies.items()], "doc_id string, content binary"))
+    assert {r["doc_id"] for r in looks_like_submission(readers.rows(docs)).collect()} == {"clients", "matter", "named"}
+
+
+def test_miscased_relations():
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", '<Types><Override PartName="/word/main.xml"/></Types>')
+        z.writestr("_rels/.rels", '<R><r Type="x/officeDocument" Target="word/main.xml"/></R>')
+        z.writestr("Word/Main.xml", f"<w:document {NS}><w:body>{p('a')}</w:body></w:document>")
+    found = read_document(out.getvalue())
+    assert found["blocks"][0]["text"] == "a"
+    assert [n.split(" ", 1)[0] for n in found["notes"][1:]] == ["1", "1"]
 
 
 def test_package_sniffing(spark):
@@ -84,3 +153,10 @@ def test_listing_with_byte_order_mark(spark, tmp_path):
     got = readers.read_listing(spark, str(tmp_path / "l.csv"))
     assert got.columns == ["Firm", "File URI"]
     assert got.first()["Firm"] == 'A, "B"'
+
+
+def test_csv_listing_is_read_like_a_workbook(spark):
+    text = "\ufeffID,Firm,Region,Practice Area Name,Created At,File URI\n1,\"A, Co\",UK,Tax,2026-01-15,h/a%20b.docx\n\n2,A,UK,\"V\nAT\",,\n3,A,UK,X,,h/c.pdf\n"
+    cells = readers.decode_workbooks(spark.createDataFrame([("l.csv", bytearray(text.encode()))], "doc_id string, content binary"))
+    got = sorted((r["portal_id"], r["firm"], r["filename"], r["has_document"]) for r in portal_rows(cells).collect())
+    assert got == [("1", "A, Co", "a b.docx", True), ("2", "A", "", False)]
