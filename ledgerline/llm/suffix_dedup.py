@@ -45,9 +45,6 @@ SIDE = STRING - GRAM  # bytes of context before an anchor, and after its gram
 GROUP, BATCH = 4_000, 1_000
 #: Bytes of text that a task works on at a time.
 BLOCK = 1_000_000
-#: Requests or spans of up to so many bytes are sent to every executor; more are joined by a
-#: shuffle of the texts.
-BROADCAST_BYTES = 32_000_000
 #: Contexts that a task remembers because they came again, and bytes of a run that are sent
 #: as one piece.
 HOT, PIECE = 50_000, 16_384
@@ -501,8 +498,7 @@ def cut(rows: DataFrame, requests: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k == 6 else pa.int64()) for k in range(7)], names)
 
     asked = requests.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "a", "b", "split", "salt")).alias("asked"))
-    few = requests.count() * 40 <= BROADCAST_BYTES
-    both = rows.filter(F.col("text").isNotNull()).join(F.broadcast(asked) if few else asked, ["doc", "th"])
+    both = rows.filter(F.col("text").isNotNull()).join(asked, ["doc", "th"])
     return both.select("doc", "th", "text", "asked").mapInArrow(slices, f"key long, split long, salt long, {KEYS}, low long, raw binary")
 
 
@@ -544,8 +540,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """row (docs' columns), spans (possibly null), kept, the remaining bytes, and kept_text,
     those of them that are whole characters (a text without spans as it was), for each row."""
-    size = spans.agg(F.coalesce(F.sum(16 + 16 * F.size("spans")), F.lit(0))).first()[0]
-    both = keyed(docs).join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, ["doc", "th"], "left").select("row", "text", "spans")
+    both = keyed(docs).join(spans, ["doc", "th"], "left").select("row", "text", "spans")
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(parts):

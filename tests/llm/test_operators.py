@@ -369,7 +369,7 @@ def test_repeats(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "BATCH", group)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0 if group == 4 else 10**6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if group == 4 else "10m")
     monkeypatch.setattr(suffix_dedup, "HOT", group)
     monkeypatch.setattr(suffix_dedup, "PIECE", 150 if group == 4 else 16_384)
     shared, edge = prose(1, 60), prose(2, 40)[:100]
@@ -385,6 +385,7 @@ def test_repeats(spark, monkeypatch, group):
     for r in got:
         spans = r["spans"] or []
         assert (sum(s["b"] - s["a"] for s in spans), len(spans), bytes(r["kept"])) == want[(r["doc_id"], r["text"] or "")], r["doc_id"]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     empty = table(spark, [])
     assert suffix_dedup.remove(empty, suffix_dedup.repeated_spans(empty)).count() == 0
 
