@@ -6,11 +6,12 @@ language, in written tables; log frequencies are over all counts. A word of the
 scores its log frequency in each language. Any other word is covered by the longest known
 n-gram at each of its letters, from three letters down to one.
 
-Scoring reads texts once, with the most frequent words broadcast as arrays (up to HOT
-counts) and the n-grams, up to BROADCAST_GRAMS of them. Words that these cannot decide (not
-among the frequent ones while there are others, or longer n-grams left out) are counted by
-document and meet the tables in joins, distinct words first. So what is broadcast is
-bounded and nothing is left out. Frequent words are found by a 64-bit hash.
+Scoring reads texts once, with the most frequent words (up to HOT counts) and all n-grams
+broadcast. Any other word is covered by n-grams at once; if the model knows it after all, a
+join by its hash corrects that, so unknown words leave the join and rows are small. n-grams
+beyond BROADCAST_GRAMS are not broadcast; then words are covered in joins, distinct words
+first. So what is broadcast is bounded and nothing is left out. Words are told apart by
+64-bit hashes.
 
 Nulls: rows with null text or lang teach nothing; a text that is null or has no letter is
 "und" with score 0, as is any text if nothing was learned. Letters are those of \\p{L},
@@ -34,7 +35,7 @@ from ledgerline.llm.common import small_batches, write_table
 
 LONGEST = 3
 #: Counts of words (word, language) that are broadcast, and n-grams.
-HOT, BROADCAST_GRAMS = 2_000_000, 500_000
+HOT, BROADCAST_GRAMS = 200_000, 500_000
 #: Scores of pieces of text that a task remembers.
 MEMO = 1_500_000
 _LETTERS = regex.compile(r"\p{L}+")
@@ -104,9 +105,9 @@ def learn(rows: DataFrame) -> LanguageModel:
     return LanguageModel(languages, words, grams, base)
 
 
-def frequent(words: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """The most frequent words, with up to most counts in all, and whether these are all
-    words. Cut between eighths of powers of two, so no task ranks words."""
+def frequent(words: DataFrame, most: int) -> Column:
+    """Whether a word is one of the most frequent ones, with up to most counts in all. Cut
+    between eighths of powers of two, so no task ranks words."""
     level = F.floor(F.log2("n") * 8)
     sizes = words.groupBy(level.alias("level")).agg(F.sum(F.size("langs")).alias("n")).collect()
     least, sum_ = None, 0
@@ -114,7 +115,7 @@ def frequent(words: DataFrame, most: int) -> tuple[DataFrame, bool]:
         if (sum_ := sum_ + r["n"]) > most:
             break
         least = r["level"]
-    return words.filter(level >= least if least is not None else F.lit(False)), sum_ <= most
+    return level >= least if least is not None else F.lit(False)
 
 
 class Gains:
@@ -170,12 +171,29 @@ class Grams(Gains):
         return found, sizes
 
 
+    def cover_all(self, words: list[str], rows: np.ndarray, out: np.ndarray, languages: int, sign: float = 1.0) -> None:
+        """Add the mean over each word's n-grams to its row of out: gains, then the shares of
+        each size."""
+        pieces: list[int] = []
+        lengths: list[int] = []
+        counts = np.zeros(len(words), np.int64)
+        for n, word in enumerate(words):
+            own, sizes = self.cover(word)
+            pieces += own
+            lengths += sizes
+            counts[n] = len(own)
+        if pieces:
+            at, weight = np.repeat(rows, counts), np.repeat(sign / np.maximum(counts, 1), counts)
+            self.add(np.asarray(pieces), at, out, weight)
+            np.add.at(out, (at, languages + np.asarray(lengths)), weight)
+
+
 class Scorer:
-    """Sums over what is known of pieces of text between spaces, remembered within a task,
-    and each piece's other words. A row holds the languages' gains, the shares of words and
+    """Sums over pieces of text between spaces, remembered within a task, and each piece's
+    words that are not among words. A row holds the languages' gains, the shares of words and
     of each size of n-gram, and the number of words.
 
-    grams: None if words that are not among words cannot be decided here."""
+    grams: None if such words are not covered here."""
 
     def __init__(self, words: Words, grams: Grams | None, languages: int) -> None:
         self.words, self.grams, self.languages, self.memo = words, grams, languages, _Memo()
@@ -200,24 +218,12 @@ class Scorer:
         self.words.add(found[known], rows[known], table)
         np.add.at(table, (rows[known], self.languages), 1.0)
         others: list[list[str] | None] = [None] * len(fresh)
-        pieces: list[int] = []
-        at: list[int] = []
-        lengths: list[int] = []
-        weights: list[float] = []
-        for n in np.flatnonzero(~known).tolist():
+        unknown = np.flatnonzero(~known)
+        for n in unknown.tolist():
             row = int(rows[n])
-            if self.grams is None:
-                others[row] = [*(others[row] or ()), words[n]]
-                continue
-            own, own_sizes = self.grams.cover(words[n])
-            pieces += own
-            lengths += own_sizes
-            at += [row] * len(own)
-            weights += [1.0 / max(1, len(own))] * len(own)
-        if pieces:
-            at_, weight = np.asarray(at), np.asarray(weights)
-            self.grams.add(np.asarray(pieces), at_, table, weight)
-            np.add.at(table, (at_, self.languages + np.asarray(lengths)), weight)
+            others[row] = [*(others[row] or ()), words[n]]
+        if self.grams is not None:
+            self.grams.cover_all([words[n] for n in unknown.tolist()], rows[unknown], table, self.languages)
         self.others += others
         self.table = np.concatenate([self.table, table])
         self.has_others = np.concatenate([self.has_others, [x is not None for x in others]]).astype(bool)
@@ -286,68 +292,79 @@ def judged(sums: np.ndarray, words: np.ndarray, languages: list[str]) -> tuple[l
     return names, odds
 
 
+def corrections(words: DataFrame, shared, width: int) -> DataFrame:
+    """hash, places, values for each of words (key, langs, gains): what a count of it adds to
+    a text's sums in which its n-grams stand for it."""
+
+    def correct(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = shared.value[1]
+        for part in small_batches(parts, 2_000):
+            keys, n = part.column("key").to_pylist(), part.num_rows
+            fix = np.zeros((n, width + LONGEST + 1))
+            sizes = np.asarray(part.column("langs").value_lengths(), np.int64)
+            np.add.at(fix, (np.repeat(np.arange(n), sizes), np.asarray(part.column("langs").flatten())), np.asarray(part.column("gains").flatten()))
+            fix[:, width] += 1.0
+            grams.cover_all(keys, np.arange(n), fix, width, -1.0)
+            own, places = np.nonzero(fix)
+            sizes = np.bincount(own, minlength=n).tolist()
+            yield pa.RecordBatch.from_arrays([part.column("hash"), lists(places, sizes, pa.int32()), lists(fix[own, places], sizes, pa.float64())], ["hash", "places", "values"])
+
+    return words.select(F.xxhash64("key").alias("hash"), "key", "langs", "gains").mapInArrow(correct, "hash long, places array<int>, values array<double>")
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if not model.languages:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     languages, base, width = model.languages, model.base, len(model.languages)
-    spark = docs.sparkSession
-    hot, all_words = frequent(model.words, HOT)
-    whole = all_words and model.grams.count() <= BROADCAST_GRAMS
-    words = Words(hot.select(F.xxhash64("key").alias("hash"), "langs", "gains").toArrow())
-    shared = spark.sparkContext.broadcast((words, Grams(model.grams.select("key", "langs", "gains").toArrow()) if whole else None))
-
-    def answer(ids: pa.Array, sums: np.ndarray, gains: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
-        total = sums[:, :width] + gains + (sums[:, width:-1] + shares) @ base
-        names, odds = judged(total, sums[:, -1], languages)
-        return pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(odds, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    def scan_whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value, width)
-        for part in small_batches(parts, 500):
-            yield answer(part.column("doc_id"), scorer.scan(part.column("text").to_pylist())[0], 0.0, 0.0)
-
-    if whole:
-        return rows.mapInArrow(scan_whole, "doc_id long, lang_pred string, score double")
+    hot = frequent(model.words, HOT)
+    whole = model.grams.count() <= BROADCAST_GRAMS
+    words = Words(model.words.filter(hot).select(F.xxhash64("key").alias("hash"), "langs", "gains").toArrow())
+    shared = docs.sparkSession.sparkContext.broadcast((words, Grams(model.grams.select("key", "langs", "gains").toArrow()) if whole else None))
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value, width)
+        scorer, digest = Scorer(*shared.value, width), xxhash.xxh64_intdigest
         for part in small_batches(parts, 500):
             sums, others = scorer.scan(part.column("text").to_pylist())
             sizes = [len(x) for x in others]
-            arrays = [part.column("rid"), part.column("doc_id"), lists(sums.ravel(), [sums.shape[1]] * len(sums), pa.float64())]
-            arrays += [lists([w for x in others for w in x], sizes, pa.string()), lists([n for x in others for n in x.values()], sizes, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "sums", "words", "times"])
+            flat = [w for x in others for w in x]
+            hashes = np.fromiter((digest(w.encode(), 42) for w in flat), np.uint64, len(flat)).view(np.int64)
+            arrays = [part.column("rid"), part.column("doc_id"), lists(sums.ravel(), [sums.shape[1]] * len(sums), pa.float64()), lists(hashes, sizes, pa.int64())]
+            arrays += [lists([] if whole else flat, [0] * len(sizes) if whole else sizes, pa.string()), lists([n for x in others for n in x.values()], sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "sums", "hashes", "words", "times"])
 
     # rid is written with the rows, so it stays the same wherever it is read
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    read = write_table(numbered.mapInArrow(scan, "rid long, doc_id long, sums array<double>, words array<string>, times array<double>"), "language-scan")
-    others = read.select("rid", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
-    known = model.words.select(F.col("key").alias("word"), "langs", "gains")
-    asked = write_table(others.select("word").distinct().join(known, "word", "left"), "language-asked")
-    own = asked.filter(F.col("langs").isNotNull()).select("word", F.array(F.lit(1.0), *[F.lit(0.0)] * LONGEST).alias("shares"), "langs", "gains")
-    scored = own.unionByName(cover(asked.filter(F.col("langs").isNull()).select("word"), model.grams))
+    read = write_table(numbered.mapInArrow(scan, "rid long, doc_id long, sums array<double>, hashes array<long>, words array<string>, times array<int>"), "language-scan")
+    if whole:
+        others = read.select("rid", F.inline(F.arrays_zip("hashes", "times"))).withColumnRenamed("hashes", "hash")
+        scored = corrections(model.words.filter(~hot), shared, width)
+    else:
+        others = read.select("rid", F.inline(F.arrays_zip("hashes", "words", "times"))).withColumnRenamed("hashes", "hash")
+        scored = covered(others.select(F.col("words").alias("word")).distinct(), model, width)
     # in one order, so that sums are the same in every run
-    each = F.struct(F.xxhash64("word").alias("h"), "times", "shares", "langs", "gains")
-    more = others.join(scored, "word").groupBy("rid").agg(F.sort_array(F.collect_list(each)).alias("more"))
-
-    def weighted(c: str) -> Column:
-        return F.flatten(F.transform("more", lambda m: F.transform(m[c], lambda x: x * m["times"]))).alias(c)
-
-    more = more.select("rid", F.flatten("more.langs").alias("langs"), weighted("shares"), weighted("gains"))
+    each = F.struct("hash", "places", F.transform("values", lambda x: x * F.col("times")).alias("values"))
+    more = others.select("rid", "hash", "times").join(scored, "hash").select("rid", each.alias("m"))
+    more = more.groupBy("rid").agg(F.sort_array(F.collect_list("m")).alias("more")).select("rid", F.flatten("more.places").alias("places"), F.flatten("more.values").alias("values"))
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(parts, 500):
-            if not part.num_rows:
-                continue
-            sums = part.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-            gains, shares = np.zeros((len(sums), width)), np.zeros((len(sums), LONGEST + 1))
-            sizes = np.asarray(part.column("langs").value_lengths().fill_null(0))
-            np.add.at(gains, (np.repeat(np.arange(len(sizes)), sizes), np.asarray(part.column("langs").flatten())), np.asarray(part.column("gains").flatten()))
-            sizes = np.asarray(part.column("shares").value_lengths().fill_null(0))
-            np.add.at(shares, (np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) % (LONGEST + 1)), np.asarray(part.column("shares").flatten()))
-            yield answer(part.column("doc_id"), sums, gains, shares)
-
-    full = read.select("rid", "doc_id", "sums").join(more, "rid", "left").select("doc_id", "sums", "shares", "langs", "gains")
+            sums = part.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).copy()
+            sizes = np.asarray(part.column("places").value_lengths().fill_null(0))
+            np.add.at(sums, (np.repeat(np.arange(len(sizes)), sizes), np.asarray(part.column("places").flatten())), np.asarray(part.column("values").flatten()))
+            names, odds = judged(sums[:, :width] + sums[:, width:-1] @ base, sums[:, -1], languages)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(odds, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    full = read.select("rid", "doc_id", "sums").join(more, "rid", "left").select("doc_id", "sums", "places", "values")
     return full.mapInArrow(finish, "doc_id long, lang_pred string, score double")
+
+
+def covered(words: DataFrame, model: LanguageModel, width: int) -> DataFrame:
+    """hash, places, values for distinct words, known or not, from the model's tables."""
+    known = model.words.select(F.col("key").alias("word"), "langs", "gains")
+    asked = write_table(words.join(known, "word", "left"), "language-asked")
+    own = asked.filter(F.col("langs").isNotNull()).select("word", F.array(F.lit(1.0), *[F.lit(0.0)] * LONGEST).alias("shares"), "langs", "gains")
+    scored = own.unionByName(cover(asked.filter(F.col("langs").isNull()).select("word"), model.grams))
+    places = F.concat("langs", F.array(*(F.lit(width + k) for k in range(LONGEST + 1))))
+    return scored.select(F.xxhash64("word").alias("hash"), places.alias("places"), F.concat("gains", "shares").alias("values"))
