@@ -107,8 +107,8 @@ def uri_to_filename(uri: Column) -> Column:
 
 
 def table_code(name: Column) -> tuple[Column, Column]:
-    """Firm reference and table code of a name such as x_AB12_submission_y_EC34.docx."""
-    pattern = r"(?i)_([A-Z0-9]+)_submission_.*_EC(\d+)[^/]*\.docx$"
+    """Firm reference and table code of a name such as x_12_submission_y_EC34.docx."""
+    pattern = r"(?i)_([0-9]+)_submission_.*_EC([0-9]+)\.docx$"
     one = lambda k: F.nullif(F.regexp_extract(name, pattern, k), F.lit(""))
     return one(1), one(2)
 

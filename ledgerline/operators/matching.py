@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerline.functions.text import area_variants
+
+
+def with_variants(rows: DataFrame, area: str, out: str) -> DataFrame:
+    """rows with the spellings of area, computed once for each distinct area."""
+    each = rows.select(F.col(area).alias("_area")).distinct().select("_area", area_variants(F.col("_area")).alias(out))
+    return rows.join(each, F.col(area).eqNullSafe(F.col("_area")), "left").drop("_area")
+
 
 def first_key_join(left: DataFrame, right: DataFrame, left_id: str, keys: Column, key: str, extra: list[str] | None = None) -> DataFrame:
     """left with the rows of right that its first matching key finds (left outer).

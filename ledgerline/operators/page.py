@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import clean, normalise, order_keys
+from ledgerline.functions.text import clean, normalise, order_keys, portal_area
+from ledgerline.operators.matching import with_variants
 
 #: Headings of a page's columns.
 HINTS = {
@@ -37,11 +38,31 @@ def named_columns(lines: DataFrame) -> DataFrame:
     return heads.filter("practice_area IS NOT NULL OR filename IS NOT NULL")
 
 
+def vocabulary(export_areas: DataFrame, listing: DataFrame) -> DataFrame:
+    """known: every area and file name that the exports know, normalised. export_areas: area;
+    listing: grp, area, tbl, filename, rows without a document included."""
+    full = export_areas.select(normalise(F.col("area")).alias("known"))
+    bare = full.filter(F.contains("known", F.lit(" > "))).select(F.element_at(F.split("known", " > ", 2), 2).alias("known"))
+    named = listing.select(portal_area(F.col("grp"), F.col("area"), F.col("tbl")).alias("whole"))
+    spelled = with_variants(named, "whole", "forms").select(F.explode("forms").alias("known"))
+    files = listing.select(normalise(F.col("filename")).alias("known"))
+    whole = full.unionByName(bare).unionByName(spelled).unionByName(files)
+    return whole.filter("known <> ''").distinct()
+
+
+def recognised(values: DataFrame, vocabulary: DataFrame, value: str) -> DataFrame:
+    """values with recognised: the vocabulary has the value, or what follows its first level."""
+    text = normalise(F.col(value))
+    forms = F.when(text == "", F.array().cast("array<string>")).when(F.contains(text, F.lit(" > ")), F.array(text, F.element_at(F.split(text, " > ", 2), 2))).otherwise(F.array(text))
+    each = values.select(value).distinct().select(value, F.explode(forms).alias("known")).join(vocabulary, "known", "left_semi").select(F.col(value).alias("_value")).distinct()
+    both = values.join(each, F.col(value) == F.col("_value"), "left")
+    return both.withColumn("recognised", F.col("_value").isNotNull()).drop("_value")
+
+
 def column_scores(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """page_id, col_no, n (values), score (values that vocabulary, column known, has)."""
-    cells = lines.select("page_id", F.posexplode("cols").alias("col_no", "value")).withColumn("known", normalise(F.col("value")))
-    marked = cells.join(vocabulary.select("known").distinct().withColumn("hit", F.lit(True)), "known", "left")
-    return marked.groupBy("page_id", "col_no").agg(F.count_if(F.col("value") != "").alias("n"), F.count_if(F.col("hit") & (F.col("value") != "")).alias("score"))
+    cells = recognised(lines.select("page_id", F.posexplode("cols").alias("col_no", "value")), vocabulary, "value")
+    return cells.groupBy("page_id", "col_no").agg(F.count_if(F.col("value") != "").alias("n"), F.count_if("recognised").alias("score"))
 
 
 def suggested_column(scores: DataFrame, named: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.labels import differs
+from ledgerline.functions.text import clean, normalise
 
 
 def final_value(present: Column, override: Column, recount: Column) -> Column:
@@ -53,3 +54,54 @@ def keyed_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
     each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_old.{c}").cast("string").alias("old"), F.col(f"_new.{c}").cast("string").alias("new")) for c in columns))
     unlike = F.filter(each, lambda s: ~s["old"].eqNullSafe(s["new"]))
     return pair.select(key, F.inline(F.when(one_side, missing).otherwise(unlike)))
+
+
+def few(texts: Column, most: int) -> Column:
+    """The first most of an array of texts, and how many more there are."""
+    more = F.size(texts) - most
+    return F.array_join(F.concat(F.slice(texts, 1, most), F.when(more > 0, F.array(F.concat(F.lit("and "), more.cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))), ", ")
+
+
+def sorted_notes(notes: Column) -> Column:
+    """Each note once, in order of its text."""
+    return F.array_sort(F.array_distinct(notes))
+
+
+def was(value: Column, original: Column) -> Column:
+    """n, or n (was m) where the original is another."""
+    shown = value.cast("string")
+    return F.when(differs(value, original), F.concat(shown, F.lit(" (was "), original.cast("string"), F.lit(")"))).otherwise(shown)
+
+
+def review_note(parts: Column, alternate: Column, checked: Column) -> Column:
+    """What of a row wants a look: nothing once it is ticked, one memo for the alternate form
+    (there every figure does), else its parts."""
+    memo = "the alternate form was used: check every figure"
+    return F.when(F.coalesce(checked, F.lit(False)), "").when(F.coalesce(alternate, F.lit(False)), memo).otherwise(F.array_join(parts, "; "))
+
+
+#: Columns that each order of the result table goes by, before the order of upload.
+ORDERS = {
+    "pasted": ("page_position",),
+    "export": ("export_order",),
+    "listing": ("listing_order",),
+    "hierarchy": ("group_id", "area_id"),
+    "alphabet": ("region", "area"),
+    "upload": (),
+}
+
+
+def in_order(order: str, upload: str = "doc_no") -> list[Column]:
+    """Sort columns of an order; rows without its key come last, as they were uploaded. Ids
+    are compared as texts."""
+    columns = ORDERS[order]
+    if order == "hierarchy":
+        keys = [F.when(F.col("group_id").isNotNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+        missing = F.col("group_id").isNull()
+    elif order == "alphabet":
+        keys = [normalise(F.col(c)) for c in columns]
+        missing = (clean(F.col("region")) == "") & (clean(F.col("area")) == "")
+    else:
+        keys = [F.col(c) for c in columns]
+        missing = F.col(columns[0]).isNull() if columns else F.lit(False)
+    return [missing, *(F.when(~missing, k).asc_nulls_first() for k in keys), F.col(upload)]

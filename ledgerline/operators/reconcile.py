@@ -2,41 +2,105 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerline.functions.labels import is_elite
+from ledgerline.functions.text import normalise, portal_area
+from ledgerline.operators.matching import first_key_join, with_variants
+
 ASSIGNED = "page_id long, line_no int, candidate long, repeat_of int"
 
 
-def _assign(page: pd.DataFrame) -> pd.DataFrame:
-    """One page: a line takes the first unused candidate, uploaded ones first, then those
-    with a document; elite ones last. With all used, it repeats one of them."""
-    used: set[int] = set()
-    first_line: dict[int, int] = {}
-    out, lines = [], {}
-    columns = ("line_no", "is_elite", "rank", "candidate", "uploaded", "has_document")
-    for row in sorted(zip(*(page[c].tolist() for c in columns), strict=True)):
-        lines.setdefault(row[0], []).append(row)
-    number = int(page["page_id"].iloc[0])
-    for line, own in lines.items():
-        free = [r for r in own if r[3] not in used] or own
-        choice = next((r for r in free if r[4]), None) or next((r for r in free if r[5]), None) or free[0]
-        used.add(choice[3])
-        out.append((number, line, choice[3], first_line.get(choice[3])))
-        first_line.setdefault(choice[3], line)
-    return pd.DataFrame(out, columns=["page_id", "line_no", "candidate", "repeat_of"]).astype({"line_no": "int32", "repeat_of": "Int32"})
+def line_candidates(lines: DataFrame, listing: DataFrame, firms: DataFrame, regions: DataFrame) -> DataFrame:
+    """page_id, line_no, candidate, rank, is_elite, has_document: the listed rows that each line (page_id, line_no,
+    value) may mean. listing: candidate, firm_keys, region, grp, area, tbl, has_document.
+
+    The first spelling that any row has decides; then rows of the page's firms (page_id,
+    firm_key) stay, where the page has any, and of these the ones in its regions (page_id,
+    region_key), but only if that leaves something."""
+    named = listing.withColumn("whole", portal_area(F.col("grp"), F.col("area"), F.col("tbl")))
+    forms = with_variants(named, "whole", "forms").select("candidate", "firm_keys", normalise(F.col("region")).alias("region_key"), is_elite(F.col("grp")).alias("is_elite"), "has_document", F.explode("forms").alias("form"))
+    keyed = with_variants(lines.select("page_id", "line_no", "value"), "value", "keys").withColumn("line_id", F.struct("page_id", "line_no"))
+    hits = first_key_join(keyed, forms, "line_id", F.col("keys"), "form").filter("candidate IS NOT NULL")
+    known = firms.groupBy("page_id").agg(F.collect_set("firm_key").alias("page_firms"))
+    own = hits.join(known, "page_id", "left").filter(F.col("page_firms").isNull() | F.arrays_overlap("firm_keys", "page_firms"))
+    there = own.join(regions.select("page_id", "region_key", F.lit(True).alias("there")).distinct(), ["page_id", "region_key"], "left")
+    line = Window.partitionBy("page_id", "line_no")
+    there = there.withColumn("any", F.max(F.coalesce("there", F.lit(False))).over(line)).filter(~F.col("any") | F.col("there"))
+    return there.select("page_id", "line_no", "candidate", F.col("candidate").alias("rank"), "is_elite", "has_document").distinct()
 
 
 def assign_lines(candidates: DataFrame) -> DataFrame:
-    """candidates: page_id, line_no, candidate, rank, is_elite, uploaded, has_document. A
-    choice depends on all earlier ones of its page, so a page is one group: a person's
-    paste, bounded by what a page shows."""
-    return candidates.groupBy("page_id").applyInPandas(_assign, ASSIGNED)
+    """candidates: page_id, line_no, candidate, rank, is_elite, uploaded, has_document. A line
+    takes the first unused candidate, uploaded ones first, then those with a document; elite
+    ones last. With all used, it repeats one of them.
+
+    A choice depends on all earlier ones of its page, so a page's rows stream through one
+    task in order; it remembers what the page has used."""
+
+    def stream(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("page_id", "line_no", "candidate", "uploaded", "has_document")
+        rows = (row for part in parts for row in zip(*(part.column(c).to_pylist() for c in columns), strict=True))
+        page: int | None = None
+        first_line: dict[int, int] = {}
+        out: list[tuple] = []
+
+        def table() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["page_id", "line_no", "candidate", "repeat_of"])
+
+        for (number, line), group in groupby(rows, lambda r: r[:2]):
+            if number != page:
+                page, first_line = number, {}
+            own = list(group)
+            free = [r for r in own if r[2] not in first_line] or own
+            choice = next((r for r in free if r[3]), None) or next((r for r in free if r[4]), None) or free[0]
+            out.append((number, line, choice[2], first_line.get(choice[2])))
+            first_line.setdefault(choice[2], line)
+            if len(out) >= 10_000:
+                yield table()
+                out.clear()
+        yield table()
+
+    dealt = candidates.repartition("page_id").sortWithinPartitions("page_id", "line_no", "is_elite", "rank", "candidate")
+    return dealt.select("page_id", "line_no", "candidate", "uploaded", "has_document").mapInArrow(stream, ASSIGNED)
+
+
+def assign_in_turn(lines: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
+    """As assign_lines, where lines with equal keys have the same candidates and others have
+    none of them: the n-th line takes the n-th candidate, so both are ranked and joined, and
+    no pair of a line and a candidate is made in vain.
+
+    lines: keys, line_no; pool: keys, candidate, is_elite, uploaded, has_document."""
+    preferred = F.when(F.col("uploaded"), 0).when(F.col("has_document"), 1).otherwise(2)
+    turns = lines.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("line_no")))
+    ranked = pool.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(preferred, "is_elite", "candidate")))
+    sizes = ranked.groupBy(*keys).agg(F.max("turn").alias("size"))
+    starts = turns.groupBy(*keys).agg(F.min("line_no").alias("first_line"))
+    over = F.col("turn") > F.col("size")
+    placed = turns.join(sizes, keys).withColumns({"repeats": over, "turn": F.when(over, 1).otherwise(F.col("turn"))})
+    both = placed.join(ranked.select(*keys, "turn", "candidate"), [*keys, "turn"]).join(starts, keys)
+    return both.select(*keys, "line_no", "candidate", F.when(F.col("repeats"), F.col("first_line")).cast("int").alias("repeat_of"))
 
 
 def reached(lines: DataFrame, page: str, line: str, attempted: str) -> DataFrame:
     """reached: the line is among the first attempted ones of its page."""
     order = Window.partitionBy(page).orderBy(line)
     return lines.withColumn("reached", F.row_number().over(order) <= F.col(attempted))
+
+
+def page_superseded(lines: DataFrame, firm: Column, region: Column, area: Column, at: str) -> DataFrame:
+    """lines (page_id, line_no, is_elite, has_document ...) with superseded: a newer line of the page
+    covers the slot, and one only is the newest. Elite lines, lines without a document, firm
+    or area are left alone."""
+    counts = F.col("has_document") & ~F.col("is_elite") & (normalise(firm) != "") & (normalise(area) != "")
+    slot = Window.partitionBy("page_id", F.when(counts, normalise(firm)), normalise(region), normalise(area), counts)
+    top = F.max(at).over(slot)
+    marked = lines.withColumns({"_counts": counts, "_top": top}).withColumn("_newest", F.count_if(F.col(at) == F.col("_top")).over(slot))
+    return marked.withColumn("superseded", F.coalesce(F.col("_counts") & (F.col("_newest") == 1) & (F.col(at) < F.col("_top")), F.lit(False))).drop("_counts", "_top", "_newest")

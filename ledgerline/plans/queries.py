@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions import labels, text
-from ledgerline.operators import clients, matching, numbering, present, reconcile, segments
+from ledgerline.operators import batch, clients, matching, numbering, page, present, reconcile, segments
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,7 +50,7 @@ def q02_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 def _three_levels(spark: SparkSession, d: str) -> DataFrame:
     c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
-    joined = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select("c_custkey", "r_name", "n_name", "c_mktsegment", F.concat_ws(" > ", "r_name", "n_name", "c_mktsegment").alias("area"))
 
 
@@ -226,11 +226,13 @@ def q20_recount(spark: SparkSession, d: str) -> DataFrame:
     return recounted(spark, d).filter(labels.differs(F.col("recount"), F.col("reported"))).select("o_orderkey", "recount", "reported")
 
 
-_ANSWER_SQL = f"SELECT user_id, CAST(ts AS DATE) AS day, {_CASE('event_id', ANSWERS)} AS answer FROM events WHERE user_id % 3 > 0 OR event_id % 10 NOT IN (3, 7)"
+#: A third of users give no answer that cannot be read: theirs says the first one instead.
+_ANSWER_SQL = f"SELECT user_id, CAST(ts AS DATE) AS day, {_CASE('(CASE WHEN user_id % 3 = 0 AND event_id % 10 IN (3, 7) THEN 0 ELSE event_id END)', ANSWERS)} AS answer FROM events"
 
 
 def _known_answers(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark, d).filter("user_id % 3 > 0 OR event_id % 10 NOT IN (3, 7)").withColumn("day", F.to_date("ts"))
+    read = F.when((F.col("user_id") % 3 == 0) & (F.col("event_id") % 10).isin(3, 7), 0).otherwise(F.col("event_id"))
+    return table(spark, d, "events").withColumns({"answer": labels.answer(pick([k for k, _ in ANSWERS], read % len(ANSWERS))), "day": F.to_date("ts")})
 
 
 @query(f"""
@@ -330,7 +332,8 @@ def q29_longest_spelling(spark: SparkSession, d: str) -> DataFrame:
     region, key = F.lower("r_name").alias("region"), F.col("n_nationkey").cast("long")
     wide = both.filter("n_nationkey % 2 = 0").select(region, text.normalise(F.concat_ws(">", "r_name", "n_name")).alias("form"), key.alias("id"))
     right = wide.unionByName(both.select(region, text.normalise(F.col("n_name")).alias("form"), (key + 100).alias("id")))
-    return matching.first_key_join(left, right, "c_custkey", text.area_variants(F.col("area")), "form", ["region"]).select("c_custkey", "form", "id")
+    spelled = matching.with_variants(left, "area", "keys")
+    return matching.first_key_join(spelled, right, "c_custkey", F.col("keys"), "form", ["region"]).select("c_custkey", "form", "id")
 
 
 @query("""
@@ -338,7 +341,8 @@ SELECT a.s_suppkey, a.s_name || ' Ltd' AS one, b.s_name || ' LLP' AS other FROM
 """)
 def q30_other_spelling(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
-    one = s.filter("s_suppkey % 3 > 0").select("s_suppkey", F.concat("s_name", F.lit(" Ltd")).alias("one"))
+    # a third of suppliers are spelled alike on both sides, so they are no other spelling
+    one = s.select("s_suppkey", F.concat("s_name", F.when(F.col("s_suppkey") % 3 > 0, " Ltd").otherwise(" LLP")).alias("one"))
     other = s.select(F.concat("s_name", F.lit(" LLP")).alias("other"))
     same = text.firm_key(F.col("one")) == text.firm_key(F.col("other"))
     return one.join(other, same & (text.normalise(F.col("one")) != text.normalise(F.col("other"))))
@@ -348,7 +352,7 @@ def q30_other_spelling(spark: SparkSession, d: str) -> DataFrame:
 def q30b_other_regions(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     names = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    held = c.select("c_mktsegment", "c_nationkey").distinct().join(F.broadcast(names), "c_nationkey")
+    held = c.select("c_mktsegment", "c_nationkey").distinct().join(names, "c_nationkey")
     sets = held.groupBy("c_mktsegment").agg(F.array_sort(F.collect_set(F.struct("n_name", "c_nationkey"))).alias("all"))  # one entry a nation
     others = F.transform(F.filter("all", lambda x: x["c_nationkey"] != F.col("c_nationkey")), lambda x: x["n_name"])
     return c.join(sets, "c_mktsegment").select("c_custkey", F.array_join(others, ", ").alias("nations")).filter("nations <> ''")
@@ -368,7 +372,7 @@ SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY pos N
 def q32_pasted_order(spark: SparkSession, d: str) -> DataFrame:
     lines = spark.createDataFrame([("1-URGENT", 1), ("4-LOW", 2), ("3-MEDIUM", 3), ("1-URGENT", 4)], "name string, line_no int")
     first = lines.groupBy(text.normalise(F.col("name")).alias("key")).agg(F.min("line_no").alias("pos"))
-    placed = table(spark, d, "orders").withColumn("key", text.normalise(F.col("o_orderpriority"))).join(F.broadcast(first), "key", "left")
+    placed = table(spark, d, "orders").withColumn("key", text.normalise(F.col("o_orderpriority"))).join(first, "key", "left")
     order = Window.partitionBy("o_custkey").orderBy(F.col("pos").asc_nulls_last(), "o_orderkey")
     return placed.select("o_orderkey", F.row_number().over(order).alias("place"))
 
@@ -484,7 +488,7 @@ SELECT c_custkey, coalesce(CASE WHEN c_custkey % 4 > 0 THEN n_name END, 'unknown
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def q44_issues(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     listed = F.when(F.col("c_custkey") % 4 > 0, F.col("n_name")).otherwise("")
     found = present.issues((F.col("c_acctbal") < 0, "negative balance"), (F.nullif(listed, F.lit("")).isNull(), "no nation"), (F.col("c_mktsegment") == "BUILDING", "check segment"))
     return rows.select("c_custkey", F.coalesce(F.nullif(listed, F.lit("")), F.lit("unknown")).alias("nation"), F.array_join(found, "; ").alias("issues"))
@@ -511,13 +515,143 @@ def q47_best_column(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("p_brand", top["best"].alias("best"), top["score"].alias("score"))
 
 
-@query()
+# --- pages and batches ---
+
+
+@query("""
+WITH l AS (SELECT o_custkey AS page_id, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no FROM orders),
+t AS (SELECT *, row_number() OVER (PARTITION BY page_id, o_orderpriority ORDER BY line_no) AS turn, min(line_no) OVER (PARTITION BY page_id, o_orderpriority) AS first_line FROM l),
+p AS (SELECT o_custkey AS page_id, o_orderpriority, o_orderkey AS candidate, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS size,
+    row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderkey % 3 > 0 THEN 1 ELSE 2 END, o_orderkey % 10 = 0, o_orderkey) AS place
+    FROM orders WHERE o_orderkey % 4 > 0)
+SELECT page_id, CAST(line_no AS INTEGER) AS line_no, candidate, CAST(CASE WHEN turn > size THEN first_line END AS INTEGER) AS repeat_of
+FROM t JOIN p USING (page_id, o_orderpriority) WHERE place = CASE WHEN turn > size THEN 1 ELSE turn END
+""")
 def q48_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a page and priority share their candidates, of which there are fewer."""
+    lines, pool = _page(spark, d)
+    return reconcile.assign_in_turn(lines, pool, ["page_id", "o_orderpriority"]).select("page_id", "line_no", "candidate", "repeat_of")
+
+
+def _page(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), "o_orderkey", "o_orderpriority", "o_orderstatus")
     lines = rows.select("page_id", "o_orderpriority", F.row_number().over(Window.partitionBy("page_id").orderBy("o_orderkey")).alias("line_no"))
-    pool = rows.select("page_id", "o_orderpriority", F.col("o_orderkey").alias("candidate"), (F.col("o_orderstatus") == "F").alias("uploaded"), (F.col("o_orderkey") % 3 > 0).alias("has_document"), (F.col("o_orderkey") % 10 == 0).alias("is_elite"))
-    pairs = lines.join(pool, ["page_id", "o_orderpriority"]).withColumn("rank", F.col("candidate"))
-    return reconcile.assign_lines(pairs.select("page_id", "line_no", "candidate", "rank", "is_elite", "uploaded", "has_document"))
+    k = F.col("o_orderkey")
+    listed = rows.withColumn("listed", k % 4 > 0).filter("listed")
+    return lines, listed.select("page_id", "o_orderpriority", k.alias("candidate"), (F.col("o_orderstatus") == "F").alias("uploaded"), (k % 3 > 0).alias("has_document"), (k % 10 == 0).alias("is_elite"))
+
+
+_STATUS_IDS = "CASE s WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_orderdate AS dated, lower(c_mktsegment) AS seg FROM orders JOIN customer ON o_custkey = c_custkey),
+d AS (SELECT k AS doc_no, * FROM o UNION ALL SELECT k + 1000000000, * FROM o WHERE k % 10 = 0),
+m AS (SELECT *, k % 3 > 0 AS listed, CASE WHEN c % 4 = 0 THEN 0 WHEN c % 4 < 3 THEN 1 WHEN k % 3 > 0 AND k % 13 = 0 THEN 0 ELSE 2 END AS candidates FROM d),
+t AS (SELECT *, CASE WHEN listed AND k % 7 = 0 THEN 'elite' WHEN k % 11 = 0 THEN 'parse_error' WHEN k % 6 = 0 OR candidates = 0 THEN 'unmatched'
+    WHEN candidates = 2 THEN 'ambiguous' WHEN listed AND k % 10 = 0 AND doc_no = k THEN 'duplicate' ELSE 'matched' END AS state,
+    CASE WHEN listed THEN 'f' || k || '.docx' ELSE 'f' || k || CASE WHEN k % 5 = 0 AND doc_no = k THEN ' (1)' ELSE '' END || '.docx' END AS filename,
+    CASE WHEN listed AND k % 13 = 0 THEN 'other' ELSE 'status' END AS word, CASE WHEN listed THEN CAST(dated AS TIMESTAMP) ELSE TIMESTAMP '0001-01-01' END AS day FROM m),
+w AS (SELECT *, row_number() OVER (PARTITION BY c, s, word ORDER BY day DESC, doc_no) AS place, max(day) OVER (PARTITION BY c, s, word) AS newest,
+    count(DISTINCT filename) OVER (PARTITION BY c, s, word) AS names FROM t WHERE state = 'matched'),
+x AS (SELECT *, count(*) FILTER (day = newest) OVER (PARTITION BY c, s, word) AS tied FROM w),
+y AS (SELECT doc_no, CASE WHEN place > 1 THEN 'superseded' ELSE 'matched' END AS status, place = 1 AND names > 1 AND tied > 1 AS undecided FROM x),
+z AS (SELECT t.*, coalesce(y.status, state) AS status, coalesce(undecided, false) AS undecided, state NOT IN ('elite', 'parse_error') AND k % 6 > 0 AND candidates = 1 AS compared FROM t LEFT JOIN y USING (doc_no))
+SELECT doc_no, filename, status, undecided, CASE WHEN compared THEN c * 10 + {_STATUS_IDS} END AS export_id,
+    CASE WHEN listed THEN 'r' || c WHEN compared THEN 'x' || c END AS firm_ref FROM z
+""")
+def q49_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, most of them listed, some twice uploaded, elite, unreadable or
+    without a region; customers' statuses as the export, spelled in two ways."""
+    c, n = (table(spark, d, t) for t in ("customer", "nation"))
+    named = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", "n_name")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").join(named, "o_custkey")
+    k, plain = F.col("o_orderkey"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".docx"))
+    status, ref = F.concat(F.lit("Status "), "o_orderstatus"), F.col("o_custkey").cast("string")
+    none = F.lit(None).cast("string")
+
+    def document(number: Column, name: Column) -> list[Column]:
+        error = F.when(k % 11 == 0, "unreadable")
+        return [number.alias("doc_no"), name.alias("file_name"), F.col("c_name").alias("firm"), F.when(k % 6 > 0, F.col("n_name")).alias("region"), F.col("c_mktsegment").alias("grp"), status.alias("area"), none.alias("typed"), status.alias("dropdown"), error.alias("error"), F.array().cast("array<string>").alias("warnings")]
+
+    copied = F.when(k % 5 == 0, F.regexp_replace(plain, r"\.docx$", " (1).docx")).otherwise(plain)
+    again = orders.withColumn("twice", k % 10 == 0).filter("twice")
+    documents = orders.select(*document(k, copied)).unionByName(again.select(*document(k + 1_000_000_000, plain)))
+    listing = orders.withColumn("listed", k % 3 > 0).filter("listed").select(
+        k.alias("portal_id"), F.col("c_name").alias("firm"), F.concat(F.lit("r"), ref).alias("firm_ref"), F.col("n_name").alias("region"),
+        F.when(k % 7 == 0, F.concat(F.lit("Elite "), "c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("grp"),
+        F.when(k % 13 == 0, F.concat(F.lit("Other "), "o_orderstatus")).otherwise(status).alias("area"), none.alias("tbl"), none.alias("submission_type"), none.alias("person"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"), plain.alias("filename"), F.lit(True).alias("has_document"), F.lit("L").alias("sheet"), k.alias("row_no"),
+    )
+    pairs = orders.select("o_custkey", "o_orderstatus", "c_name", "c_mktsegment", "n_name").distinct()
+    kind = F.col("o_custkey") % 4
+    number = F.col("o_custkey") * 10 + F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    rows = F.when(kind == 0, F.array().cast("array<int>")).when(kind == 3, F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0)))
+    area = F.when(kind == 1, F.concat_ws(" > ", "c_mktsegment", status)).otherwise(status)
+    export = pairs.select(F.explode(rows).alias("more"), number.alias("number"), F.col("c_name").alias("firm"), F.concat(F.lit("x"), ref).alias("firm_ref"), F.col("n_name").alias("region"), area.alias("area"))
+    export = export.withColumn("export_id", F.col("number") + F.col("more"))
+    return batch.batch(documents, listing, export).select("doc_no", "filename", "status", "undecided", "export_id", "firm_ref")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 3 THEN n_nationkey % 2 = 0 ELSE c_custkey % 5 < 3 END AS recognised FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
+def q50_recognised(spark: SparkSession, d: str) -> DataFrame:
+    n, r, c = (table(spark, d, t) for t in ("nation", "region", "customer"))
+    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    file_name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".docx"))
+    listing = both.withColumn("listed", F.col("n_nationkey") % 2 == 0).filter("listed").select(F.col("r_name").alias("grp"), F.col("n_name").alias("area"), F.lit(None).cast("string").alias("tbl"), file_name.alias("filename"))
+    known = page.vocabulary(both.select(F.concat_ws(">", "r_name", "n_name").alias("area")), listing)
+    kind = F.col("c_custkey") % 5
+    value = F.when(kind == 0, F.col("n_name")).when(kind == 1, F.concat_ws("  > ", "r_name", "n_name")).when(kind == 2, F.concat(F.lit("Elsewhere > "), "n_name")).when(kind == 3, F.upper(file_name)).otherwise("nothing of the kind")
+    pasted = c.join(both, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", value.alias("value"))
+    return page.recognised(pasted, known, "value").select("c_custkey", "recognised")
+
+
+@query("""
+SELECT c_custkey, CAST(row_number() OVER (w ORDER BY c_custkey % 3 = 0, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 11 END, c_custkey) AS INTEGER) AS pasted,
+    CAST(row_number() OVER (w ORDER BY c_custkey % 2 = 0, CASE WHEN c_custkey % 2 > 0 THEN c_custkey % 101 END, c_custkey) AS INTEGER) AS export,
+    CAST(row_number() OVER (w ORDER BY c_custkey % 97, c_custkey) AS INTEGER) AS listing,
+    CAST(row_number() OVER (w ORDER BY c_custkey % 5 = 0, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 12 AS VARCHAR) END, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 31 AS VARCHAR) END, c_custkey) AS INTEGER) AS hierarchy,
+    CAST(row_number() OVER (w ORDER BY c_custkey % 7 = 0, CASE WHEN c_custkey % 7 > 0 THEN lower(c_mktsegment) END, c_custkey) AS INTEGER) AS alphabet,
+    CAST(row_number() OVER (w ORDER BY c_custkey) AS INTEGER) AS upload
+FROM customer WINDOW w AS (PARTITION BY c_nationkey)
+""")
+def q51_row_orders(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(
+        "c_nationkey", k.alias("doc_no"), F.when(k % 3 > 0, k % 11).alias("page_position"), F.when(k % 2 > 0, k % 101).alias("export_order"), (k % 97).alias("listing_order"),
+        F.when(k % 5 > 0, k % 12).alias("group_id"), (k % 31).alias("area_id"), F.when(k % 7 > 0, F.col("c_mktsegment")).alias("region"), F.when(k % 7 > 0, "one").alias("area"),
+    )
+    place = {o: F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*present.in_order(o))) for o in present.ORDERS}
+    return rows.select(F.col("doc_no").alias("c_custkey"), *(p.alias(o) for o, p in place.items()))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS candidate, n_nationkey AS nation, 'g' || s_suppkey % 3 AS g, 'a' || s_suppkey % 5 AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+l AS (SELECT n_nationkey AS page_id, line_no, CASE line_no WHEN 1 THEN 'g0 > a1' WHEN 2 THEN 'a2' ELSE 'elsewhere' END AS v FROM nation, (VALUES (1), (2), (3)) AS t(line_no)),
+h AS (SELECT page_id, line_no, candidate, nation FROM l JOIN s ON v = g || ' > ' || a OR v = a),
+k AS (SELECT DISTINCT nation % 5 AS fifth FROM s WHERE candidate % 4 = 0),
+f AS (SELECT *, page_id % 5 = 0 OR page_id % 5 NOT IN (FROM k) OR candidate % 4 = 0 AND nation % 5 = page_id % 5 AS own FROM h),
+r AS (SELECT *, nation = page_id AND page_id % 2 = 0 AS there FROM f WHERE own),
+x AS (SELECT *, bool_or(there) OVER (PARTITION BY page_id, line_no) AS any_there FROM r)
+SELECT page_id, CAST(line_no AS INTEGER) AS line_no, candidate, candidate % 2 = 0 AS has_document FROM x WHERE there OR NOT any_there
+""")
+def q52_line_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of nations; a page's firms are some suppliers of five nations, or none are named."""
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    k = F.col("s_suppkey")
+    named = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    listing = named.select(
+        k.alias("candidate"), batch.firm_keys(F.lit(None).cast("string"), F.col("s_name")).alias("firm_keys"), F.col("n_name").alias("region"), F.concat(F.lit("G"), (k % 3).cast("string")).alias("grp"),
+        F.concat(F.lit("A"), (k % 5).cast("string")).alias("area"), F.lit(None).cast("string").alias("tbl"), (k % 2 == 0).alias("has_document"),
+    )
+    lines = n.select(F.col("n_nationkey").alias("page_id"), F.posexplode(F.array(F.lit("G0 > A1"), F.lit("A2"), F.lit("elsewhere"))).alias("at", "value")).select("page_id", (F.col("at") + 1).alias("line_no"), "value")
+    fifths = named.withColumns({"fifth": F.col("n_nationkey") % 5, "own": k % 4 == 0}).filter("own").select("fifth", F.explode(batch.firm_keys(F.lit(None).cast("string"), F.col("s_name"))).alias("firm_key"))
+    pages = n.select(F.col("n_nationkey").alias("page_id"), (F.col("n_nationkey") % 5).alias("fifth"), "n_name")
+    firms = pages.filter("fifth > 0").join(fifths, "fifth").select("page_id", "firm_key")
+    regions = pages.filter("page_id % 2 = 0").select("page_id", text.normalise(F.col("n_name")).alias("region_key"))
+    return reconcile.line_candidates(lines, listing, firms, regions).select("page_id", "line_no", "candidate", "has_document")
 
 
 _FLAGSHIP_SQL = f"""
