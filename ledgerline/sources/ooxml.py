@@ -210,9 +210,19 @@ def _letters(column: int) -> str:
     return out
 
 
-def write_workbook(sheets: dict[str, list[list[tuple[object, str]]]]) -> bytes:
-    """A workbook of sheets of rows of (value, fill); the first row of each stays in view.
-    fill is green, amber or empty."""
+def _note_parts(notes: list[tuple[int, int, str]], main: str) -> tuple[str, str]:
+    """The comments of a sheet, and the drawing that gives each its box, from (row, column, text)."""
+    listed = "".join(f'<comment ref="{_letters(c)}{r}" authorId="0"><text><t xml:space="preserve">{_escaped(t)}</t></text></comment>' for r, c, t in notes)
+    box = 'type="#note" fillcolor="#ffffe1" style="position:absolute;width:320px;height:110px;visibility:hidden"'
+    shapes = "".join(f'<v:shape id="n{k}" {box}><x:ClientData ObjectType="Note"><x:Row>{r - 1}</x:Row><x:Column>{c - 1}</x:Column></x:ClientData></v:shape>' for k, (r, c, _) in enumerate(notes))
+    spaces = 'xmlns:v="urn:schemas-microsoft-com:vml" xmlns:o="urn:schemas-microsoft-com:office:office" xmlns:x="urn:schemas-microsoft-com:office:excel"'
+    kind = '<v:shapetype id="note" coordsize="21600,21600" o:spt="202" path="m,l,21600r21600,l21600,xe"/>'
+    return f"<comments {main}><authors><author>recount</author></authors><commentList>{listed}</commentList></comments>", f"<xml {spaces}>{kind}{shapes}</xml>"
+
+
+def write_workbook(sheets: dict[str, list[list[tuple]]]) -> bytes:
+    """A workbook of sheets of rows of (value, fill) or (value, fill, comment); the first row
+    of each stays in view. fill is green, amber or empty."""
     colours = {"": 0, "green": 1, "amber": 2}
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -221,9 +231,10 @@ def write_workbook(sheets: dict[str, list[list[tuple[object, str]]]]) -> bytes:
     parts = {}
     for n, rows in enumerate(sheets.values(), 1):
         lines = []
+        notes = [(r, c, x[2]) for r, row in enumerate(rows, 1) for c, x in enumerate(row, 1) if len(x) > 2 and x[2]]
         for r, row in enumerate(rows, 1):
             cells = []
-            for c, (value, fill) in enumerate(row, 1):
+            for c, (value, fill, *_) in enumerate(row, 1):
                 at, style = f"{_letters(c)}{r}", colours[fill]
                 if isinstance(value, (int, float)) and not isinstance(value, bool):
                     cells.append(f'<c r="{at}" s="{style}"><v>{value}</v></c>')
@@ -233,7 +244,10 @@ def write_workbook(sheets: dict[str, list[list[tuple[object, str]]]]) -> bytes:
         widths = [min(48, 2 + max((len(str(row[c][0] or "")) for row in rows[:400] if c < len(row)), default=0)) for c in range(max(map(len, rows), default=0))]
         cols = "".join(f'<col min="{c}" max="{c}" width="{w}" customWidth="1"/>' for c, w in enumerate(widths, 1))
         view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-        parts[f"xl/worksheets/sheet{n}.xml"] = f"<worksheet {main}>{view}{f'<cols>{cols}</cols>' if cols else ''}<sheetData>{''.join(lines)}</sheetData></worksheet>"
+        parts[f"xl/worksheets/sheet{n}.xml"] = f"<worksheet {main} xmlns:r=\"{office}\">{view}{f'<cols>{cols}</cols>' if cols else ''}<sheetData>{''.join(lines)}</sheetData>{'<legacyDrawing r:id="rId1"/>' if notes else ''}</worksheet>"
+        if notes:
+            parts[f"xl/worksheets/_rels/sheet{n}.xml.rels"] = f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/vmlDrawing" Target="../drawings/vmlDrawing{n}.vml"/><Relationship Id="rId2" Type="{office}/comments" Target="../comments{n}.xml"/></Relationships>'
+            parts[f"xl/comments{n}.xml"], parts[f"xl/drawings/vmlDrawing{n}.vml"] = _note_parts(notes, main)
     listed = "".join(f'<sheet name="{_escaped(name)}" sheetId="{n}" r:id="rId{n}"/>' for n, name in enumerate(sheets, 1))
     parts["xl/workbook.xml"] = f'<workbook {main} xmlns:r="{office}"><sheets>{listed}</sheets></workbook>'
     related = "".join(f'<Relationship Id="rId{n}" Type="{office}/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(sheets) + 1))
@@ -244,7 +258,8 @@ def write_workbook(sheets: dict[str, list[list[tuple[object, str]]]]) -> bytes:
     parts["xl/styles.xml"] = f'<styleSheet {main}><fonts count="1"><font/></fonts>{fills}<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3">{xfs}</cellXfs></styleSheet>'
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     overrides = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="{kind}.worksheet+xml"/>' for n in range(1, len(sheets) + 1))
-    parts["[Content_Types].xml"] = f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{overrides}</Types>'
+    overrides += "".join(f'<Override PartName="/{name}" ContentType="{kind}.comments+xml"/>' for name in parts if name.startswith("xl/comments"))
+    parts["[Content_Types].xml"] = f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="vml" ContentType="application/vnd.openxmlformats-officedocument.vmlDrawing"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{overrides}</Types>'
     parts["_rels/.rels"] = f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>'
     out = BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:

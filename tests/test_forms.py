@@ -1,5 +1,8 @@
 """Headers, the alternate form, pasted pages, sinks and the drop folder."""
 
+import zipfile
+from io import BytesIO
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators import alternate, headers, page
@@ -98,3 +101,34 @@ def test_drop_folder(spark, tmp_path):
     run = arriving_documents(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     run.awaitTermination(60)
     assert [(r["doc_id"], r["error"]) for r in spark.table("arrived").collect()] == [("a.docx", None)]
+
+
+def test_workbooks_of_batches(spark):
+    rows = [("x", 1, "a.docx", 5, "green", "The export says 4"), ("x", 2, "b.docx", None, "amber", None), ("y", 1, "c.docx", 7, "", None)]
+    cells = spark.createDataFrame(rows, "firm string, n int, name string, matters int, shade string, why string")
+    changed = spark.createDataFrame([("x", 1, "a.docx", 4)], "firm string, n int, name string, exported int")
+    said = spark.createDataFrame([("y", 9, "z"), ("z", 1, "only an issue")], "firm string, n int, issue string")
+    books = {r["key"]: bytes(r["content"]) for r in sinks.result_workbooks(cells, changed, said, "firm", "n", {"matters": ("shade", "why")}).collect()}
+    assert set(books) == {"x", "y", "z"}
+    at = {k: {(c["sheet"], c["row_no"], c["col_no"]): (c["value"], c["fill"]) for c in read_workbook(b)} for k, b in books.items()}
+    assert [at["x"]["Recount", r, c] for r, c in ((1, 2), (2, 2), (3, 1), (3, 2))] == [("matters", ""), ("5", "C6EFCE"), ("b.docx", ""), ("", "FFE699")]
+    assert at["y"]["Changes", 2, 1] == ("No differences found.", "")
+    assert at["z"]["Recount", 2, 1] == ("No documents.", "")
+    assert at["z"]["Issues", 2, 1] == ("only an issue", "")
+    with zipfile.ZipFile(BytesIO(books["x"])) as z:
+        assert "The export says 4" in z.read("xl/comments1.xml").decode()
+        assert "xl/drawings/vmlDrawing1.vml" in z.namelist()
+        assert 'width="' in z.read("xl/worksheets/sheet1.xml").decode()
+
+
+def test_comments_and_issue_rows(spark):
+    rows = [("m", 5, 4, 5, False, ["n"]), ("u", None, 2, None, False, ["why"]), ("c", 3, 3, 3, True, ["odd"]), ("h", 6, 4, 5, False, []), ("s", 4, 4, 4, False, [])]
+    df = spark.createDataFrame(rows, "metric string, final int, exported int, counted int, needs_check boolean, notes array<string>").withColumn("checked", F.lit(False))
+    got = {r["metric"]: r["comment"] for r in sinks.recount_cells(df).collect()}
+    assert got["m"] == "The export says 4, decided by the recount."
+    assert got["h"] == "The export says 4, decided by hand."
+    assert got["u"].endswith("unverified.\nwhy")
+    assert got["c"] == "Counted, but worth checking.\nodd"
+    assert got["s"] is None
+    one = spark.createDataFrame([("a", ["i1", "i2"], [("Matters", "n")])], "name string, issues array<string>, notes array<struct<label: string, text: string>>")
+    assert [r["issue"] for r in sinks.issue_rows(one, F.col("issues"), F.col("notes"), "name").orderBy("place").collect()] == ["i1", "i2", "Matters: n"]
