@@ -16,9 +16,17 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_file(spark, path)
 
 
-#: The stated rules, and words whose hosts the filter itself blocks.
+#: The stated rules, and words and phrases whose hosts the filter itself blocks. Words that
+#: say nothing alone stand in phrases only.
 URL_RULES = [url_rules.host_rule(r, v) for r, v in (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))]
-URL_WORDS = ["casino", "pills", "porn", "spam"]
+URL_WORDS = [
+    "bet", "bets", "betting", "casino", "casinos", "jackpot", "lottery", "poker", "roulette", "slots", "wager",
+    "escort", "escorts", "hentai", "nude", "nudes", "porn", "porno", "xxx", "live cams", "hot singles", "adult chat",
+    "cialis", "pills", "viagra", "weightloss", "cheap meds", "diet miracle", "online pharmacy",
+    "keygen", "serials", "torrent", "torrents", "warez", "cracked software", "free movies", "free download crack",
+    "adserver", "doubleclick", "popunder", "spam", "ads track", "ad click", "click track", "link farm", "traffic exchange",
+    "get rich", "free money", "payday loan", "payday loans", "forex signals", "crypto giveaway", "free bets", "casino win",
+]
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +51,7 @@ WITH rest AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, '(^|[^a-z0-9])({"|".join(URL_WORDS)})([^a-z0-9]|$)') THEN 'block'
+    WHEN regexp_matches(host, '(^|[^a-z0-9])({"|".join(w.replace(" ", "[^a-z0-9]+") for w in URL_WORDS)})([^a-z0-9]|$)') THEN 'block'
     ELSE 'allow' END AS verdict FROM ruled
 """
 

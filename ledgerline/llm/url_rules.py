@@ -7,7 +7,7 @@ The tokens of a url fetch candidate rules by an equi-join; only for these the re
 expressions run. The best rule is aggregated by (host, path) before the shuffle and joined
 back, so repeated urls cost one row and a hot host none of its rows gathered.
 
-Nulls: a null url, or one without "://", has empty host and path and fits no rule. Ties
+Long urls are read whole. Nulls: a null url, or one without "://", has empty host and path and fits no rule. Ties
 between rules go to the greater rank, then length, then text. Repeated rows stay repeated;
 an empty table gives no rows; other columns (also ones named like results) are ignored,
 except the key columns that the caller names."""
@@ -56,9 +56,12 @@ def host_rule(text: str, verdict: str) -> UrlRule:
     return UrlRule(text, verdict, rf"(?s)^(.*\.)?{_quoted(host)}\z", "(?s)^" + ".*".join(map(_quoted, pieces)), tuple(sorted(tokens)), 1, len(text))
 
 
-def word_rule(word: str, verdict: str) -> UrlRule:
-    """A rule for hosts of which a part between dots or dashes is word."""
-    return UrlRule(f"word:{word}", verdict, rf"(?s)^(.*[^a-z0-9])?{word}([^a-z0-9].*)?\z", "", (f"h:{word}",), 0, len(word))
+def word_rule(text: str, verdict: str) -> UrlRule:
+    """A rule for hosts of which neighbouring parts between dots, dashes and the like are the
+    words of text."""
+    words = text.split(" ")
+    between = "[^a-z0-9]+".join(words)
+    return UrlRule(f"word:{text}", verdict, rf"(?s)^(.*[^a-z0-9])?{between}([^a-z0-9].*)?\z", "", tuple(sorted(f"h:{w}" for w in words)), 0, len(text))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

@@ -30,3 +30,15 @@ def test_rarest_token(spark):
 def test_shuffled_rules_agree(spark, monkeypatch):
     monkeypatch.setattr(ur, "BROADCAST_RULES", 0)
     assert [r[:4] for r in judged(spark, URLS)] == EXPECTED
+
+
+def test_phrases_ties_and_long_urls(spark):
+    rules = [ur.word_rule("free bets", "block"), ur.word_rule("casino", "block"), ur.host_rule("a.org/x", "allow"), ur.host_rule("a.org/x*y", "block"), ur.word_rule("a b", "block"), ur.word_rule("c b", "allow")]
+    urls = ["http://free-bets.example.com/", "http://freebets.com/", "http://bets.free.com/", "http://www.free.bets/", "http://a.org/x/" + "long/" * 20_000 + "y", "http://a.org/x", "http://c.b.a.b.com/", "http://b.a/", "http://x.com/casino", "http://casino/" + "z" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)) * 2, "page_id long, url string")
+    got = ur.judge_urls(pages, rules).select("page_id", "fitted", "verdict").collect()
+    assert len(got) == 2 * len(urls)
+    assert {r["page_id"]: (r["fitted"], r["verdict"]) for r in got} == {
+        0: ("word:free bets", "block"), 1: (None, "allow"), 2: (None, "allow"), 3: ("word:free bets", "block"), 4: ("a.org/x*y", "block"), 5: ("a.org/x", "allow"),
+        6: ("word:c b", "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("word:casino", "block"),
+    }
