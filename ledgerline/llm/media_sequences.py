@@ -9,9 +9,12 @@ The store is written where the payload is made: a task stores a payload once, ot
 may store it again, and the index keeps one entry a digest. So payloads never cross the
 network, also where a third of all rows hold the same one.
 
-Nulls: a null html has no segments, a null text is an empty payload; a reference without a
-digest, or to a payload that is not in the store, resolves to null. Repeated rows stay
-repeated; rows with equal keys keep their own segments. Empty tables give no rows."""
+Long pages and texts are read whole, a page or text at a time. Nulls: a null html has no
+segments, a null text is an empty payload; a reference without a digest, or to a payload
+that is not in the store, resolves to null. Every parsed row has a number of its own, so
+rows with null or equal keys keep their own segments, and repeated rows stay repeated. Ties
+cannot arise: a digest has one payload. Empty tables give no rows; columns of any other
+names are kept in row."""
 
 from __future__ import annotations
 
@@ -26,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import write_table
+from ledgerline.llm.common import row_schema, small_batches, write_table
 
 SEGMENTS = "array<struct<pos: int, kind: string, text: string, ref: string, caption: string>>"
 _BLOCKS = frozenset("address article aside blockquote dd div dl dt figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul br".split())
 _MEDIA = frozenset("img video audio source embed".split())
 _HIDDEN = frozenset("script style template noscript title".split())
 WIDTH = 576
+#: How hard media are compressed.
+LEVEL = 6
 
 
 class _Segments(HTMLParser):
@@ -92,17 +97,17 @@ def segments_of(html: str | None) -> list[dict]:
     return parser.out
 
 
-def parse_pages(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, segments."""
+def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """row (pages' other columns), segments."""
 
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
-        for part in parts:
-            found = [segments_of(h) for h in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], [key, "segments"])
+        for part in small_batches(parts, 256, "html"):
+            found = [segments_of(h) for h in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, kind)], ["row", "segments"])
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(parse, f"{key} {kind}, segments {SEGMENTS}")
+    named = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns if c != html)).alias("row"), F.col(html).cast("string").alias("html"))
+    return named.mapInArrow(parse, row_schema(named, f"segments {SEGMENTS}"))
 
 
 def digest_of(ref):
@@ -110,20 +115,21 @@ def digest_of(ref):
     return F.nullif(F.regexp_extract(ref, "^sha256:([0-9a-f]{64})$", 1), F.lit(""))
 
 
-def interleave(parsed: DataFrame, index: DataFrame, key: str) -> DataFrame:
+def interleave(parsed: DataFrame, index: DataFrame) -> DataFrame:
     """parsed with a struct media in each segment: the index's row for its digest, or null.
 
-    index: digest and any other columns, one row a digest."""
+    index: digest and any other columns, one row a digest; a written table, so that rows of
+    one digest can be split where they are joined."""
     columns = [c for c in index.columns if c != "digest"]
-    refs = parsed.select(key, F.explode(F.array_distinct(F.transform("segments", lambda s: digest_of(s["ref"])))).alias("digest"))
-    found = refs.filter(F.col("digest").isNotNull()).join(index, "digest").select(F.col(key).alias("_key"), F.struct("digest", F.struct(*columns).alias("media")).alias("m"))
-    found = found.groupBy("_key").agg(F.map_from_entries(F.collect_set("m")).alias("_media"))
-    both = parsed.join(found, parsed[key].eqNullSafe(found["_key"]), "left")
+    rows = write_table(parsed.withColumn("rid", F.monotonically_increasing_id()), "sequences")
+    refs = rows.select("rid", F.explode(F.array_distinct(F.transform("segments", lambda s: digest_of(s["ref"])))).alias("digest")).filter("digest IS NOT NULL")
+    found = refs.join(index, "digest").select("rid", F.struct("digest", F.struct(*columns).alias("media")).alias("m"))
+    found = found.groupBy("rid").agg(F.map_from_entries(F.collect_list("m")).alias("found"))
     resolved = F.transform(
         "segments",
-        lambda s: F.struct(*(s[c].alias(c) for c in ("pos", "kind", "text", "ref", "caption")), F.try_element_at("_media", F.coalesce(digest_of(s["ref"]), F.lit(""))).alias("media")),
+        lambda s: F.struct(*(s[c].alias(c) for c in ("pos", "kind", "text", "ref", "caption")), F.try_element_at("found", F.coalesce(digest_of(s["ref"]), F.lit(""))).alias("media")),
     )
-    return both.select(key, resolved.alias("segments"))
+    return rows.join(found, "rid", "left").select("row", resolved.alias("segments"))
 
 
 def encode_png(payload: bytes) -> bytes:
@@ -136,7 +142,7 @@ def encode_png(payload: bytes) -> bytes:
         return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
 
     head = struct.pack(">IIBBBBB", WIDTH, height, 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), LEVEL)) + chunk(b"IEND", b"")
 
 
 def decode_png(media: bytes) -> np.ndarray:
@@ -178,18 +184,16 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for part in parts:
-            texts, ids = part.column("text"), part.column("doc_id")
-            for at in range(0, part.num_rows, 256):
-                rows = []
-                for text in texts[at : at + 256].to_pylist():
-                    n, payload = payload_of(text)
-                    digest = hashlib.sha256(payload)
-                    new = digest.digest() not in seen
-                    seen.add(digest.digest())
-                    rows.append((n, digest.hexdigest(), encode_png(payload) if new else None))
-                columns = [ids[at : at + 256], *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary())))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "digest", "media"])
+        for part in small_batches(parts):
+            rows = []
+            for text in part.column("text"):
+                n, payload = payload_of(text.as_py())
+                digest = hashlib.sha256(payload)
+                new = digest.digest() not in seen
+                seen.add(digest.digest())
+                rows.append((n, digest.hexdigest(), encode_png(payload) if new else None))
+            columns = [part.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary())))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "digest", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return write_table(rows.mapInArrow(encode, "doc_id long, n_bytes long, digest string, media binary"), "media")
@@ -213,4 +217,4 @@ def media_index(store: DataFrame) -> DataFrame:
     stored = store.filter(F.col("media").isNotNull()).select("digest", "media")
     rows = stored.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     # the copies of a digest are equal, so any aggregate keeps the row
-    return rows.groupBy("digest").agg(*(F.max(c).alias(c) for c in rows.columns if c != "digest"))
+    return write_table(rows.groupBy("digest").agg(*(F.max(c).alias(c) for c in rows.columns if c != "digest")), "media-index")

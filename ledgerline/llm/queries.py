@@ -115,12 +115,10 @@ def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = media_sequences.store_texts(read(spark, sf_dir, "documents"))
     caption = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
     figure = F.concat(F.lit('<figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
-    pages = store.select("doc_id", F.concat(F.lit("<p>Stored as media.</p>"), figure).alias("html"))
-    sequences = media_sequences.interleave(media_sequences.parse_pages(pages, "doc_id"), media_sequences.media_index(store), "doc_id")
-    media = sequences.select("doc_id", F.explode(F.filter("segments", lambda s: s["kind"] == "media")).alias("s"))
-    sizes = store.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "n_bytes").distinct()
-    found = media.join(sizes, media["doc_id"].eqNullSafe(sizes["id"]) & (F.col("s.media.payload_sha256") == F.col("of")))
-    return found.select("doc_id", "n_bytes", "s.media.payload_bytes", "s.media.payload_sha256", "s.media.tail_crc32", "s.media.media_bytes", "s.media.media_sha256", "s.media.feature", "s.caption")
+    pages = store.select("doc_id", "n_bytes", F.concat(F.lit("<p>Stored as media.</p>"), figure).alias("html"))
+    sequences = media_sequences.interleave(media_sequences.parse_pages(pages), media_sequences.media_index(store))
+    media = sequences.select("row.doc_id", "row.n_bytes", F.explode(F.filter("segments", lambda s: s["kind"] == "media")).alias("s"))
+    return media.select("doc_id", "n_bytes", "s.media.payload_bytes", "s.media.payload_sha256", "s.media.tail_crc32", "s.media.media_bytes", "s.media.media_sha256", "s.media.feature", "s.caption")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

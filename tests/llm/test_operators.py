@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -182,14 +183,28 @@ def test_store_and_sequences(spark):
     index = media_sequences.media_index(store)
     assert index.count() == len({media_sequences.payload_of(t)[1] for _, t in rows})
     html = F.concat(F.lit("<p>t</p><img src='sha256:"), F.col("digest"), F.lit("' alt='c'><img src='sha256:00'>"))
-    pages = store.select("doc_id", html.alias("html"))
-    out = media_sequences.interleave(media_sequences.parse_pages(pages, "doc_id"), index, "doc_id").collect()
+    pages = store.select("doc_id", F.lit("x").alias("segments"), F.lit("y").alias("rid"), html.alias("html"))
+    out = media_sequences.interleave(media_sequences.parse_pages(pages), index).collect()
     assert len(out) == len(rows)
     want = sorted((str(d), hashlib.sha256(media_sequences.payload_of(t)[1]).hexdigest()) for d, t in rows)
-    assert sorted((str(r["doc_id"]), r["segments"][1]["media"]["payload_sha256"]) for r in out) == want
+    assert sorted((str(r["row"]["doc_id"]), r["segments"][1]["media"]["payload_sha256"]) for r in out) == want
+    assert {tuple(r["row"])[1:] for r in out} == {("x", "y")}
     assert all(r["segments"][2]["media"] is None and r["segments"][1]["caption"] == "c" for r in out)
 
 
+def test_real_pages(spark):
+    """Whole pages: text in order, nothing of scripts and styles, positions without gaps."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = media_sequences.parse_pages(pages).select("row.page_id", "segments").collect()
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    assert len(got) == len(html)
+    for r in got:
+        assert [s["pos"] for s in r["segments"]] == list(range(len(r["segments"])))
+        said = "".join(s["text"] or "" for s in r["segments"]).replace(" ", "")
+        plain = re.sub(r"(?s)<!--.*?-->|<(script|style|title|template|noscript)\b.*?</\1>|<[^>]*>", "", html[r["page_id"]] or "")
+        assert said == "".join(unescape(plain).split())
+
+
 # --- 6 ---
 
 

@@ -124,7 +124,7 @@ def test_op5(spark, folder):
         height = len(payload) // 576
         lines = b"".join(b"\0" + payload[k * 576 : (k + 1) * 576] for k in range(height))
         chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
-        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (576).to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (576).to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
         assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
         mean = sum(payload) / len(payload)
         spread = sum(x * x for x in payload) / len(payload) - mean * mean
