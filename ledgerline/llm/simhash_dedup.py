@@ -29,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import AtomicType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
-from ledgerline.llm.common import small_batches, whole_rows, write_table
+from ledgerline.llm.common import remove_table, small_batches, whole_rows, write_table
 from ledgerline.llm.graph import components
 
 BITS, SEED = 64, 42
@@ -95,6 +96,7 @@ def links(nodes: DataFrame, radius: int, rounds: int = 2) -> DataFrame:
     hashed = nodes.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     shared = hashed.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = write_table(hashed.join(shared, ["k", "key"]), "buckets")
+    done = [rows]
     found = None
     for turn in range(rounds):
         hubs = rows.groupBy("k", "key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp"))["fp"].alias("hub"))
@@ -104,12 +106,16 @@ def links(nodes: DataFrame, radius: int, rounds: int = 2) -> DataFrame:
         labelled = rows.select("k", "key", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("k", "key", "fp", F.coalesce("label", "fp").alias("label"))
         mixed = labelled.groupBy("k", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("k", "key")
         rows = write_table(labelled.join(mixed, ["k", "key"]), "buckets")
+        done.append(rows)
     most = rows.groupBy("k", "key", "label").agg(F.count("*").alias("n")).groupBy("k", "key").agg(F.max_by("label", "n").alias("most"))
     few = rows.join(most, ["k", "key"]).filter("label <> most").select("k", "key", F.col("fp").alias("u"), F.col("label").alias("own"))
     meets = (F.col("own") != F.col("label")) & near("u", "fp", radius)
     both = few.alias("a").join(rows.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & meets)
     rest = both.select("u", F.col("fp").alias("v")).distinct()
-    return components(rest.unionByName(found.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    whole = components(rest.unionByName(found.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    for table in done:  # what they gave is written
+        remove_table(table)
+    return whole
 
 
 def groups(prints: DataFrame, radius: int) -> DataFrame:
@@ -130,13 +136,23 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_each: int = 4) -> Da
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_keys(df: DataFrame) -> dict[str, Column]:
+    """Two 64-bit hashes of a whole row; nulls count."""
+    plain = [F.col(f"`{f.name}`") if isinstance(f.dataType, AtomicType) else F.col(f"`{f.name}`").cast("string") for f in df.schema]
+    gaps = F.concat(*(F.when(c.isNull(), "1").otherwise("0") for c in plain))
+    return {"row_a": F.xxhash64(gaps, *plain), "row_b": F.xxhash64(F.lit("b"), *plain, gaps)}
+
+
 def one_of_each(docs: DataFrame, radius: int = 4, words_each: int = 4) -> DataFrame:
     """docs' rows without near duplicates: of each group the row with the least doc_id stays
     (a null one comes last), of several with that id the one whose text has the least hash.
-    Rows are told apart by a number of their own, so repeated or null ids do no harm."""
-    numbered = write_table(whole_rows(docs, rid=F.monotonically_increasing_id(), doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string")), "rows")
-    prints = write_table(fingerprints(numbered.select("rid", "doc_id", F.xxhash64("text").alias("th"), "text"), words_each), "fingerprints")
-    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rid")).alias("first")
+    Rows are told apart by 128 bits of hashes over all columns, so repeated or null ids do no
+    harm; of rows that are alike in every column one stays."""
+    rows = whole_rows(docs, **row_keys(docs), doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
+    prints = write_table(fingerprints(rows.select("row_a", "row_b", "doc_id", F.xxhash64("text").alias("th"), "text"), words_each), "fingerprints")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "row_a", "row_b")).alias("first")
     labelled = write_table(prints.groupBy("fp").agg(order).join(groups(prints, radius), "fp"), "labels")
-    stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
-    return numbered.join(stay, "rid", "left_semi").select("row.*")
+    stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.row_a", "first.row_b")
+    kept = rows.select("row", "row_a", "row_b").join(stay, ["row_a", "row_b"], "left_semi")
+    same = Window.partitionBy("row_a", "row_b").orderBy("row_a")
+    return kept.withColumn("copy", F.row_number().over(same)).filter("copy = 1").select("row.*")
