@@ -50,3 +50,10 @@ def ledger(**counts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def adds_up(lines: DataFrame, total: str, *parts: str) -> DataFrame:
+    """total, parts, adds_up: whether lines (line, n) named parts sum to the one named total."""
+    named = lambda *names: F.sum(F.when(F.col("line").isin(*names), F.col("n")).otherwise(0))
+    sums = lines.agg(named(total).alias("total"), named(*parts).alias("parts"))
+    return sums.select("total", "parts", (F.col("total") == F.col("parts")).alias("adds_up"))

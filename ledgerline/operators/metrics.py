@@ -89,6 +89,19 @@ def client_answers(rows: DataFrame) -> DataFrame:
     return named.filter("row_class = 'client'").select("doc_id", "tbl_no", "row_no", F.col("label").alias("name"), "answer")
 
 
+def trace(rows: DataFrame) -> DataFrame:
+    """doc_id, tbl_no, row_no, label, what, row_class, answer: every filled row in order, with
+    what its label was taken for (matter, clients, a nomination's category, or null), and for
+    rows of client tables whether they count and how their answer was read."""
+    mine = labelled(rows).filter("filled")
+    tables = mine.filter("row_no = 0 AND client").select("doc_id", "tbl_no", F.lit(True).alias("in_clients"))
+    what = F.when(F.col("matter"), "matter").when(F.col("client"), "clients").otherwise(F.col("category"))
+    inside = F.coalesce("in_clients", F.lit(False)) & (F.col("row_no") > 0)
+    row_class = F.when(inside, labels.client_row(F.col("label")))
+    answer = F.when(row_class == "client", labels.answer(F.coalesce(F.get("cells", F.lit(1)), F.lit(""))))
+    return mine.join(tables, ["doc_id", "tbl_no"], "left").select("doc_id", "tbl_no", "row_no", "label", what.alias("what"), row_class.alias("row_class"), answer.alias("answer"))
+
+
 def looks_like_submission(rows: DataFrame) -> DataFrame:
     """doc_id of documents of which a table's first row carries one of the form's labels."""
     strict = labels.begins(F.col("label"), labels.STRICT_NAMES, labels.END)

@@ -6,7 +6,8 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators.metrics import looks_like_submission, recount
+from ledgerline.operators import edits
+from ledgerline.operators.metrics import looks_like_submission, recount, trace
 from ledgerline.sources import readers
 from ledgerline.sources.listings import portal_rows
 from ledgerline.sources.ooxml import read_document, read_workbook, write_workbook
@@ -160,3 +161,19 @@ def test_csv_listing_is_read_like_a_workbook(spark):
     cells = readers.decode_workbooks(spark.createDataFrame([("l.csv", bytearray(text.encode()))], "doc_id string, content binary"))
     got = sorted((r["portal_id"], r["firm"], r["filename"], r["has_document"]) for r in portal_rows(cells).collect())
     assert got == [("1", "A, Co", "a b.docx", True), ("2", "A", "", False)]
+
+
+def test_trace(spark):
+    body = tbl(("Active key clients", "New"), ("Client name", ""), ("A", "Yes"), ("N/A", ""), ("B", "TBC"), ("", "")) + tbl(("Publishable matter 1", ""), ("x", "")) + tbl(("Rising star 1",))
+    docs = readers.decode_documents(spark.createDataFrame([("d", bytearray(package(body)))], "doc_id string, content binary"))
+    got = [(r["label"], r["what"], r["row_class"], r["answer"]) for r in trace(readers.rows(docs)).orderBy("tbl_no", "row_no").collect()]
+    assert got == [
+        ("Active key clients", "clients", None, None), ("Client name", None, "header", None), ("A", None, "client", "new"), ("N/A", None, "not_applicable", None), ("B", None, "client", "unrecognised"),
+        ("Publishable matter 1", "matter", None, None), ("x", None, None, None), ("Rising star 1", "associates", None, None),
+    ]
+
+
+def test_ledger_adds_up(spark):
+    lines = spark.createDataFrame([("page", 5), ("elite", 1), ("expected", 4)], "line string, n long")
+    assert tuple(edits.adds_up(lines, "page", "elite", "expected").first()) == (5, 5, True)
+    assert not edits.adds_up(lines, "page", "elite").first()["adds_up"]
