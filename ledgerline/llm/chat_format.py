@@ -7,7 +7,7 @@ inside texts and roles are escaped: the escape character first, doubled, then ea
 string by a code that holds none of its characters, so that reading back is exact.
 
 A conversation is one output row, so its turns meet in one row: that is its size, not a
-group's. Nulls: a null text or role is empty; a null turn sorts first; rows with a null
+group's. Texts are kept whole, however long. Nulls: a null text or role is empty; a null turn sorts first; rows with a null
 conv_id form one conversation. Ties in turn are ordered by role, then text; repeated rows
 are repeated turns. An order the machine does not accept is flagged in valid, and the
 conversation is still formatted. An empty table gives no rows; other columns are ignored."""

@@ -38,3 +38,16 @@ def test_ties_and_repeats_and_empty(spark):
     got = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chats(spark, rows).collect()}
     assert got == {1: ["s", "a", "a", "b"], None: ["n"]}
     assert chats(spark, []).count() == 0
+
+
+def test_long_texts_and_ties(spark):
+    """A text of 300,000 characters with marks throughout; turns of one number; clashing names."""
+    long = "### a: </turn>\\ " * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (None, None, None, None)]
+    turns = spark.createDataFrame([(*r, "x", True) for r in rows], "conv_id long, turn int, role string, text string, formatted string, segments boolean")
+    stored = cf.format_conversations(turns)
+    got = {r["conv_id"]: r for r in stored.select("conv_id", "valid", "complete", cf.read_turns(F.col("formatted")).alias("turns"), cf.read_loss_text(F.col("segments")).alias("loss")).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("user", long), ("assistant", long), ("assistant", "b"), ("assistant", "b")]
+    assert got[1]["loss"] == long + "bb"
+    assert not got[1]["valid"]
+    assert [(t["role"], t["text"]) for t in got[None]["turns"]] == [("", "")]
