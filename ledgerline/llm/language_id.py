@@ -292,28 +292,45 @@ def judged(sums: np.ndarray, words: np.ndarray, languages: list[str]) -> tuple[l
     return names, odds
 
 
-def corrections(words: DataFrame, shared, width: int) -> DataFrame:
-    """hash, places, values for each of words (key, langs, gains): what a count of it adds to
-    a text's sums in which its n-grams stand for it."""
+def corrections(words: DataFrame, shared, base: np.ndarray) -> DataFrame:
+    """hash and v0, v1 ... for each of words (key, langs, gains): what a count of it adds to a
+    text's log frequencies in each language, in which its n-grams stand for it."""
+    width = base.shape[1]
+    names = ["hash", *(f"v{k}" for k in range(width))]
 
     def correct(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = shared.value[1]
         for part in small_batches(parts, 2_000):
-            keys, n = part.column("key").to_pylist(), part.num_rows
+            n = part.num_rows
             fix = np.zeros((n, width + LONGEST + 1))
             sizes = np.asarray(part.column("langs").value_lengths(), np.int64)
             np.add.at(fix, (np.repeat(np.arange(n), sizes), np.asarray(part.column("langs").flatten())), np.asarray(part.column("gains").flatten()))
             fix[:, width] += 1.0
-            grams.cover_all(keys, np.arange(n), fix, width, -1.0)
-            own, places = np.nonzero(fix)
-            sizes = np.bincount(own, minlength=n).tolist()
-            yield pa.RecordBatch.from_arrays([part.column("hash"), lists(places, sizes, pa.int32()), lists(fix[own, places], sizes, pa.float64())], ["hash", "places", "values"])
+            grams.cover_all(part.column("key").to_pylist(), np.arange(n), fix, width, -1.0)
+            values = fix[:, :width] + fix[:, width:] @ base
+            yield pa.RecordBatch.from_arrays([part.column("hash"), *(pa.array(v) for v in np.ascontiguousarray(values.T))], names)
 
-    return words.select(F.xxhash64("key").alias("hash"), "key", "langs", "gains").mapInArrow(correct, "hash long, places array<int>, values array<double>")
+    fields = "hash long, " + ", ".join(f"v{k} double" for k in range(width))
+    return words.select(F.xxhash64("key").alias("hash"), "key", "langs", "gains").mapInArrow(correct, fields)
+
+
+def covered(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """hash and v0, v1 ... for distinct words, known or not, from the model's tables."""
+    known = model.words.select(F.col("key").alias("word"), "langs", "gains")
+    asked = write_table(words.join(known, "word", "left"), "language-asked")
+    own = asked.filter(F.col("langs").isNotNull()).select("word", F.array(F.lit(1.0), *[F.lit(0.0)] * LONGEST).alias("shares"), "langs", "gains")
+    scored = own.unionByName(cover(asked.filter(F.col("langs").isNull()).select("word"), model.grams))
+    held = scored.select(F.xxhash64("word").alias("hash"), "shares", F.map_from_arrays("langs", "gains").alias("held"))
+
+    def value(lang: int) -> Column:
+        return sum((F.col("shares")[k] * float(model.base[k, lang]) for k in range(LONGEST + 1)), F.coalesce(F.try_element_at("held", F.lit(lang)), F.lit(0.0)))
+
+    return held.select("hash", *(value(k).alias(f"v{k}") for k in range(len(model.languages))))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
+    """doc_id, lang_pred, score for each row of docs (doc_id, text). Sums are taken in no fixed
+    order, so a score may differ in its last digits between runs."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if not model.languages:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -330,41 +347,30 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             sizes = [len(x) for x in others]
             flat = [w for x in others for w in x]
             hashes = np.fromiter((digest(w.encode(), 42) for w in flat), np.uint64, len(flat)).view(np.int64)
-            arrays = [part.column("rid"), part.column("doc_id"), lists(sums.ravel(), [sums.shape[1]] * len(sums), pa.float64()), lists(hashes, sizes, pa.int64())]
+            totals = sums[:, :width] + sums[:, width:-1] @ base
+            arrays = [part.column("rid"), part.column("doc_id"), lists(totals.ravel(), [width] * len(totals), pa.float64()), pa.array(sums[:, -1].astype(np.int64)), lists(hashes, sizes, pa.int64())]
             arrays += [lists([] if whole else flat, [0] * len(sizes) if whole else sizes, pa.string()), lists([n for x in others for n in x.values()], sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "sums", "hashes", "words", "times"])
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "sums", "n", "hashes", "words", "times"])
 
     # rid is written with the rows, so it stays the same wherever it is read
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    read = write_table(numbered.mapInArrow(scan, "rid long, doc_id long, sums array<double>, hashes array<long>, words array<string>, times array<int>"), "language-scan")
+    read = write_table(numbered.mapInArrow(scan, "rid long, doc_id long, sums array<double>, n long, hashes array<long>, words array<string>, times array<int>"), "language-scan")
     if whole:
-        others = read.select("rid", F.inline(F.arrays_zip("hashes", "times"))).withColumnRenamed("hashes", "hash")
-        scored = corrections(model.words.filter(~hot), shared, width)
+        others = read.select("rid", F.inline(F.arrays_zip("hashes", "times")))
+        scored = corrections(model.words.filter(~hot), shared, base)
     else:
-        others = read.select("rid", F.inline(F.arrays_zip("hashes", "words", "times"))).withColumnRenamed("hashes", "hash")
-        scored = covered(others.select(F.col("words").alias("word")).distinct(), model, width)
-    # in one order, so that sums are the same in every run
-    each = F.struct("hash", "places", F.transform("values", lambda x: x * F.col("times")).alias("values"))
-    more = others.select("rid", "hash", "times").join(scored, "hash").select("rid", each.alias("m"))
-    more = more.groupBy("rid").agg(F.sort_array(F.collect_list("m")).alias("more")).select("rid", F.flatten("more.places").alias("places"), F.flatten("more.values").alias("values"))
+        others = read.select("rid", F.inline(F.arrays_zip("hashes", "words", "times")))
+        scored = covered(others.select(F.col("words").alias("word")).distinct(), model)
+    met = others.select("rid", F.col("hashes").alias("hash"), "times").join(scored, "hash")
+    more = met.groupBy("rid").agg(*(F.sum(F.col(f"v{k}") * F.col("times")).alias(f"v{k}") for k in range(width)))
+    more = more.select("rid", F.array(*(f"v{k}" for k in range(width))).alias("more"))
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(parts, 500):
-            sums = part.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).copy()
-            sizes = np.asarray(part.column("places").value_lengths().fill_null(0))
-            np.add.at(sums, (np.repeat(np.arange(len(sizes)), sizes), np.asarray(part.column("places").flatten())), np.asarray(part.column("values").flatten()))
-            names, odds = judged(sums[:, :width] + sums[:, width:-1] @ base, sums[:, -1], languages)
+            table = [part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width) for c in ("sums", "more")]
+            names, odds = judged(table[0] + table[1], np.asarray(part.column("n")), languages)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(odds, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    full = read.select("rid", "doc_id", "sums").join(more, "rid", "left").select("doc_id", "sums", "places", "values")
+    none = F.array_repeat(F.lit(0.0), width)
+    full = read.select("rid", "doc_id", "sums", "n").join(more, "rid", "left").select("doc_id", "sums", "n", F.coalesce("more", none).alias("more"))
     return full.mapInArrow(finish, "doc_id long, lang_pred string, score double")
-
-
-def covered(words: DataFrame, model: LanguageModel, width: int) -> DataFrame:
-    """hash, places, values for distinct words, known or not, from the model's tables."""
-    known = model.words.select(F.col("key").alias("word"), "langs", "gains")
-    asked = write_table(words.join(known, "word", "left"), "language-asked")
-    own = asked.filter(F.col("langs").isNotNull()).select("word", F.array(F.lit(1.0), *[F.lit(0.0)] * LONGEST).alias("shares"), "langs", "gains")
-    scored = own.unionByName(cover(asked.filter(F.col("langs").isNull()).select("word"), model.grams))
-    places = F.concat("langs", F.array(*(F.lit(width + k) for k in range(LONGEST + 1))))
-    return scored.select(F.xxhash64("word").alias("hash"), places.alias("places"), F.concat("gains", "shares").alias("values"))
