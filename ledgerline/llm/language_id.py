@@ -152,40 +152,36 @@ class Words(Gains):
 
 
 class Grams(Gains):
-    """All n-grams by their letters."""
+    """All n-grams by their letters, 21 bits each in one number."""
 
     def __init__(self, table: pa.Table) -> None:
         super().__init__(table)
-        self.at = {g: n for n, g in enumerate(table.column("key").to_pylist())}
-
-    def cover(self, word: str) -> tuple[list[int], list[int]]:
-        """The longest known n-gram that starts at each letter and mark, and its size."""
-        marked, get = f"_{word}_", self.at.get
-        found, sizes = [], []
-        for i in range(len(marked)):
-            for k in range(min(LONGEST, len(marked) - i), 0, -1):
-                if (n := get(marked[i : i + k])) is not None:
-                    found.append(n)
-                    sizes.append(k)
-                    break
-        return found, sizes
-
+        codes = np.array([sum(ord(c) << 21 * k for k, c in enumerate(reversed(g))) for g in table.column("key").to_pylist()], np.int64)
+        self.order = np.argsort(codes)
+        self.codes = codes[self.order]
 
     def cover_all(self, words: list[str], rows: np.ndarray, out: np.ndarray, languages: int, sign: float = 1.0) -> None:
-        """Add the mean over each word's n-grams to its row of out: gains, then the shares of
-        each size."""
-        pieces: list[int] = []
-        lengths: list[int] = []
-        counts = np.zeros(len(words), np.int64)
-        for n, word in enumerate(words):
-            own, sizes = self.cover(word)
-            pieces += own
-            lengths += sizes
-            counts[n] = len(own)
-        if pieces:
-            at, weight = np.repeat(rows, counts), np.repeat(sign / np.maximum(counts, 1), counts)
-            self.add(np.asarray(pieces), at, out, weight)
-            np.add.at(out, (at, languages + np.asarray(lengths)), weight)
+        """Add the mean over each word's longest known n-grams, one at each letter and mark, to
+        its row of out: gains, then the shares of each size."""
+        if not words or not len(self.codes):
+            return
+        letters = np.frombuffer("".join(f"_{w}_" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        own = np.repeat(np.arange(len(words)), sizes)
+        left = np.cumsum(sizes)[own] - np.arange(len(letters))  # letters to the word's end
+        found, lengths = np.full(len(letters), -1), np.zeros(len(letters), np.int64)
+        padded = np.concatenate([letters, np.zeros(LONGEST, np.int64)])
+        for k in range(LONGEST, 0, -1):
+            at = np.flatnonzero((found < 0) & (left >= k))
+            code = sum(padded[at + i] << 21 * (k - 1 - i) for i in range(k))
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = self.codes[place] == code
+            found[at[hit]], lengths[at[hit]] = self.order[place[hit]], k
+        known = np.flatnonzero(found >= 0)
+        who = own[known]
+        weight = sign / np.bincount(who, minlength=len(words))[who]
+        self.add(found[known], rows[who], out, weight)
+        np.add.at(out, (rows[who], languages + lengths[known]), weight)
 
 
 class Scorer:
