@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, decontaminate, language_id, line_quality, media_sequences, pattern_packing, simhash_dedup, suffix_dedup, token_planes, url_rules
+from ledgerline.llm import budget_mix, chat_format, decontaminate, language_id, line_quality, media_sequences, pattern_packing, periodic_runs, simhash_dedup, suffix_dedup, token_planes, url_rules, whitening
 from ledgerline.llm.common import new_path, read, write_table
 
 
@@ -149,6 +149,32 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=4)
+    return whitened.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = budget_mix.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(docs, rewrite=periodic_runs.periodic_tail, texts=False)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("best", best).select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_url_rules": op2_url_rules,
@@ -160,5 +186,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pattern_packing": op10_pattern_packing,
+    "op11_whitening": op11_whitening,
+    "op12_budget_mix": op12_budget_mix,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {"op2_url_rules": OP2_SQL, "op8_chat_format": OP8_SQL}
