@@ -33,30 +33,30 @@ def level_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use mentions it."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
+def _levels(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, " > "), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def levels(area: Column) -> Column:
     """The non-empty levels of a normalised area."""
-    return F.filter(F.transform(F.split(normalise(area), " > "), lambda x: F.trim(x)), lambda x: x != "")
+    return _levels(normalise(area))
 
 
-def canonical_levels(area: Column) -> Column:
-    """Levels without trailing ones that repeat the level before."""
-    parts = levels(area)
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda acc, i: F.struct(
-            F.when(acc["on"] & _repeats(parts, i), acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            (acc["on"] & _repeats(parts, i)).alias("on"),
-        ),
-        lambda acc: acc["n"],
-    )
-    return F.slice(parts, F.lit(1), F.greatest(F.size(parts) - count, F.lit(0)))
+def _kept(parts: Column) -> Column:
+    """How many levels stay without trailing ones that have the words of the one before: up to
+    the last that differs from the one before it."""
+    differs = lambda words: F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i + 1).otherwise(1))
+    return F.coalesce(F.array_max(let(F.transform(parts, level_words), differs)), F.lit(0))
 
 
-def _repeats(parts: Column, back: Column) -> Column:
-    """Whether the level at back from the end has the words of the one before it."""
-    here, before = F.try_element_at(parts, -back), F.try_element_at(parts, -back - 1)
-    return F.coalesce(level_words(here) == level_words(before), F.lit(False))
+def canonical_levels(area: Column) -> Column:
+    """Levels without trailing ones that repeat the level before."""
+    return let(levels(area), lambda parts: F.slice(parts, F.lit(1), _kept(parts)))
 
 
 def canonical_area(area: Column) -> Column:
@@ -69,19 +69,23 @@ def area_variants(area: Column) -> Column:
     A trailing level that repeats the one before may be left out or stand alone; of three
     or more levels two neighbours may stand alone; every level but the first may stand
     alone. The first level of several never does: it is a group, not an area."""
-    text, parts = normalise(area), levels(area)
-    last = canonical_levels(area)
-    dropped = F.sequence(F.size(last), F.size(parts))
+    none = F.array().cast("array<string>")
     join = lambda a: F.array_join(a, " > ")
-    shortened = F.transform(dropped, lambda n: join(F.slice(parts, F.lit(1), n)))
-    wide = F.size(last) >= 3
-    pairs = F.when(wide, F.array(join(F.slice(last, -2, 2)), join(F.slice(last, 1, 2)))).otherwise(F.array().cast("array<string>"))
-    single = F.when(F.size(last) >= 1, F.concat(F.slice(last, 2, F.greatest(F.size(last) - 1, F.lit(0))), F.array(F.try_element_at(last, F.lit(-1)))))
-    gone = F.slice(parts, F.size(last) + 1, F.greatest(F.size(parts) - F.size(last), F.lit(0)))
-    forms = F.concat(F.array(text), F.when(F.size(parts) > 0, shortened).otherwise(F.array().cast("array<string>")), pairs, F.coalesce(single, F.array().cast("array<string>")), gone)
-    found = F.array_distinct(F.filter(forms, lambda x: x != ""))
-    ordered = F.array_sort(F.transform(found, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(ordered, lambda s: s["x"]))
+
+    def forms(x: Column) -> Column:
+        text, parts, kept = x["text"], x["parts"], x["kept"]
+        shortened = F.transform(F.sequence(kept, F.size(parts)), lambda n: join(F.slice(parts, F.lit(1), n)))
+        pairs = F.when(kept >= 3, F.array(join(F.slice(parts, kept - 1, F.lit(2))), join(F.slice(parts, 1, 2)))).otherwise(none)
+        # levels but the first, the last of what stays, and what repeats it
+        single = F.filter(F.transform(parts, lambda level, i: F.when((i > 0) | (kept == 1), level)), lambda level: level.isNotNull())
+        every = F.concat(F.array(text), F.when(kept > 0, F.concat(shortened, pairs, single)).otherwise(none))
+        found = F.array_distinct(F.filter(every, lambda f: f != ""))
+        ordered = F.array_sort(F.transform(found, lambda f: F.struct((-F.length(f)).alias("n"), f.alias("f"))))
+        return F.transform(ordered, lambda s: s["f"])
+
+    split = lambda text: F.struct(text.alias("text"), _levels(text).alias("parts"))
+    counted = lambda x: F.struct(x["text"].alias("text"), x["parts"].alias("parts"), _kept(x["parts"]).alias("kept"))
+    return let(let(let(normalise(area), split), counted), forms)
 
 
 def to_int(text: Column) -> Column:
@@ -121,9 +125,9 @@ def portal_area(group: Column, area: Column, table: Column) -> Column:
 
 def created_at(text: Column) -> Column:
     """ISO dates and dd/mm/yyyy; anything else counts as the earliest time."""
-    iso = F.when(text.cast("string").rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.substring(text.cast("string"), 1, 19)))
-    day = F.try_to_timestamp(text.cast("string"), F.lit("dd/MM/yyyy"))
-    return F.coalesce(iso, day, F.lit("0001-01-01 00:00:00").cast("timestamp")).cast("timestamp_ntz")
+    iso = F.regexp_replace(text.cast("string"), r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$2-$1")
+    at = F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(iso, 1, 19).try_cast("timestamp_ntz"))  # no zone: no hour is skipped
+    return F.coalesce(at, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def created_text(at: Column) -> Column:
@@ -139,20 +143,20 @@ def split_dropdown(text: Column) -> Column:
 PAIRS = (("[", "]"), ("(", ")"), ("{", "}"), ('"', '"'), ("'", "'"), ("“", "”"))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), where value is computed once however often use mentions it."""
-    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+_OPENING = "".join("\\" + a for a, _ in PAIRS)
 
 
-def unwrap(text: Column, depth: int = 4) -> Column:
-    """Strips enclosing pairs of brackets or quotes, up to depth of them."""
+def unwrap(text: Column) -> Column:
+    """Strips enclosing pairs of brackets or quotes until none is left: no more often than
+    there are openings at the text's start."""
 
     def strip(acc: Column, _: Column) -> Column:
         ends = F.concat(F.left(acc, F.lit(1)), F.right(acc, F.lit(1)))
         enclosed = (F.length(acc) >= 2) & ends.isin([a + b for a, b in PAIRS])
         return F.when(enclosed, F.trim(F.substring(acc, F.lit(2), F.length(acc) - 2))).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), text, strip)
+    opening = F.length(F.regexp_extract(text, f"^[{_OPENING}\\s]*", 0))
+    return F.aggregate(F.sequence(F.lit(0), F.coalesce(opening, F.lit(0))), text, strip)
 
 
 def shorten(text: Column, n: int) -> Column:
