@@ -520,25 +520,25 @@ def q47_best_column(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT o_custkey AS page_id, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no FROM orders),
-t AS (SELECT *, row_number() OVER (PARTITION BY page_id, o_orderpriority ORDER BY line_no) AS turn, min(line_no) OVER (PARTITION BY page_id, o_orderpriority) AS first_line FROM l),
+t AS (SELECT *, row_number() OVER (PARTITION BY page_id, o_orderpriority ORDER BY line_no) AS turn FROM l),
 p AS (SELECT o_custkey AS page_id, o_orderpriority, o_orderkey AS candidate, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS size,
-    row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderkey % 3 > 0 THEN 1 ELSE 2 END, o_orderkey % 10 = 0, o_orderkey) AS place
+    row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderkey % 3 > 0 THEN 1 ELSE 2 END, o_orderkey % 10 = 0, o_orderkey) AS place,
+    row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey % 3 = 0, o_orderkey % 10 = 0, o_orderkey) AS again
     FROM orders WHERE o_orderkey % 4 > 0)
-SELECT page_id, CAST(line_no AS INTEGER) AS line_no, candidate, CAST(CASE WHEN turn > size THEN first_line END AS INTEGER) AS repeat_of
-FROM t JOIN p USING (page_id, o_orderpriority) WHERE place = CASE WHEN turn > size THEN 1 ELSE turn END
+SELECT t.page_id, CAST(t.line_no AS INTEGER) AS line_no, candidate, CASE WHEN o_orderstatus = 'F' AND t.turn <= size THEN candidate END AS file_no, CAST(CASE WHEN t.turn > size THEN f.line_no END AS INTEGER) AS repeat_of
+FROM t JOIN p ON p.page_id = t.page_id AND p.o_orderpriority = t.o_orderpriority AND CASE WHEN t.turn > size THEN again = 1 ELSE place = t.turn END
+JOIN t f ON f.page_id = t.page_id AND f.o_orderpriority = t.o_orderpriority AND f.turn = place JOIN orders ON o_orderkey = candidate
 """)
 def q48_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a page and priority share their candidates, of which there are fewer."""
-    lines, pool = _page(spark, d)
-    return reconcile.assign_in_turn(lines, pool, ["page_id", "o_orderpriority"]).select("page_id", "line_no", "candidate", "repeat_of")
-
-
-def _page(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), "o_orderkey", "o_orderpriority", "o_orderstatus")
-    lines = rows.select("page_id", "o_orderpriority", F.row_number().over(Window.partitionBy("page_id").orderBy("o_orderkey")).alias("line_no"))
-    k = F.col("o_orderkey")
-    listed = rows.withColumn("listed", k % 4 > 0).filter("listed")
-    return lines, listed.select("page_id", "o_orderpriority", k.alias("candidate"), (F.col("o_orderstatus") == "F").alias("uploaded"), (k % 3 > 0).alias("has_document"), (k % 10 == 0).alias("is_elite"))
+    """Orders as lines; the fewer listed ones of a customer and priority are what a line may
+    mean, each with its own file if it is finished."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), "o_orderkey", F.col("o_orderpriority").alias("pool"), "o_orderstatus")
+    lines = rows.select("page_id", "pool", F.row_number().over(Window.partitionBy("page_id").orderBy("o_orderkey")).alias("line_no"))
+    k, name = F.col("o_orderkey"), F.col("o_orderkey").cast("string").alias("name")
+    listed = rows.filter(k % 4 > 0)
+    pools = listed.select("page_id", "pool", k.alias("candidate"), k.alias("rank"), (k % 10 == 0).alias("is_elite"), (k % 3 > 0).alias("has_document"), name, F.lit(None).cast("string").alias("identity"))
+    files = listed.filter("o_orderstatus = 'F'").select("page_id", k.alias("file_no"), name, F.lit(False).alias("by_code"))
+    return reconcile.assign_lines(lines, pools, files)
 
 
 _STATUS_IDS = "CASE s WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END"
@@ -654,6 +654,89 @@ def q52_line_candidates(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.line_candidates(lines, listing, firms, regions).select("page_id", "line_no", "candidate", "has_document")
 
 
+# Orders as a portal page a customer: what each line may mean, walked line by line.
+_PAGE_SQL = """
+WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_custkey AS page_id, o_orderpriority AS area, o_orderstatus AS s, o_orderdate AS dated, k % 10 = 0 AS elite, k % 3 > 0 AS doc,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no FROM orders),
+r AS (SELECT *, 'c' || page_id || '-' || (k % 5) || '.docx' AS name, CASE WHEN k % 7 = 0 THEN 'c' || k ELSE 'i' || (page_id * 10 + k % 4) END AS ident FROM o WHERE k % 4 > 0),
+f AS (SELECT page_id, k AS file_no, name, k % 11 = 0 AS by_code,
+    CASE WHEN elite THEN 'elite' WHEN k % 13 = 0 THEN 'parse_error' WHEN k % 17 = 0 THEN 'duplicate' WHEN k % 9 = 0 THEN 'superseded' ELSE 'matched' END AS status FROM r WHERE s = 'F'),
+fq AS (SELECT page_id, name, list(file_no ORDER BY by_code, file_no) AS queue FROM f WHERE status NOT IN ('elite', 'duplicate') GROUP BY ALL),
+pool AS (SELECT page_id, area, plain, list(struct_pack(k := k, doc := doc, ident := ident, q := coalesce(queue, [])) ORDER BY elite, k) AS rows
+    FROM (SELECT page_id, area, plain, k, doc, ident, elite, queue, page_id IN (SELECT page_id FROM f) AND s IN ('F', 'O') AS there,
+        bool_or(s IN ('F', 'O')) OVER (PARTITION BY page_id, area, plain) AS anywhere
+        FROM r CROSS JOIN (VALUES (true), (false)) v(plain) LEFT JOIN fq USING (page_id, name) WHERE plain OR NOT elite)
+    WHERE NOT anywhere OR there OR page_id NOT IN (SELECT page_id FROM f) GROUP BY ALL),
+ask AS (SELECT o.page_id, o.line_no, coalesce(p.rows, []) AS rows FROM o LEFT JOIN pool p ON p.page_id = o.page_id AND p.area = o.area AND p.plain = (o.k % 2 = 0)),
+walk AS (
+    SELECT page_id, 0 AS line_no, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS placed, CAST([] AS STRUCT(ident VARCHAR, line BIGINT)[]) AS seen,
+        CAST(NULL AS BIGINT) AS candidate, CAST(NULL AS BIGINT) AS file_no, CAST(NULL AS BIGINT) AS repeat_of FROM (SELECT DISTINCT page_id FROM o)
+    UNION ALL
+    SELECT page_id, line_no, CASE WHEN c IS NULL THEN taken ELSE list_append(taken, c.k) END, CASE WHEN file IS NULL THEN placed ELSE list_append(placed, file) END,
+        CASE WHEN c IS NULL THEN seen ELSE list_append(seen, struct_pack(ident := c.ident, line := CAST(line_no AS BIGINT))) END, c.k, file,
+        list_filter(seen, lambda x: x.ident = c.ident)[1].line
+    FROM (SELECT *, CASE WHEN c IS NOT NULL THEN list_filter(c.q, lambda x: NOT list_contains(placed, x))[1] END AS file
+        FROM (SELECT *, coalesce(list_filter(use, lambda r: len(list_filter(r.q, lambda x: NOT list_contains(placed, x))) > 0)[1], list_filter(use, lambda r: r.doc)[1], use[1]) AS c
+            FROM (SELECT w.page_id, a.line_no, w.taken, w.placed, w.seen, CASE WHEN len(list_filter(a.rows, lambda r: NOT list_contains(w.taken, r.k))) > 0
+                THEN list_filter(a.rows, lambda r: NOT list_contains(w.taken, r.k)) ELSE a.rows END AS use
+                FROM walk w JOIN ask a ON a.page_id = w.page_id AND a.line_no = w.line_no + 1)))
+),
+l AS (SELECT w.page_id, w.line_no, w.candidate, w.file_no, w.repeat_of, coalesce(r.doc, false) AS doc, coalesce(r.elite, false) AS elite, r.area, r.s, r.dated, r.name, f.status AS fs
+    FROM walk w LEFT JOIN r ON r.k = w.candidate LEFT JOIN f ON f.file_no = w.file_no WHERE w.line_no > 0),
+m AS (SELECT *, max(dated) OVER slot AS newest FROM l WINDOW slot AS (PARTITION BY page_id, doc AND NOT elite, area, s)),
+n AS (SELECT *, doc AND NOT elite AND dated < newest AND count(*) FILTER (dated = newest) OVER (PARTITION BY page_id, doc AND NOT elite, area, s) = 1 AS superseded FROM m),
+x AS (SELECT *, doc AND NOT elite AND NOT superseded AS expected, count(*) FILTER (doc AND NOT elite AND NOT superseded) OVER (PARTITION BY page_id ORDER BY line_no) AS turn FROM n),
+y AS (SELECT x.*, expected AND turn <= coalesce(g.n, 0) AS reached FROM x LEFT JOIN (SELECT page_id, count(*) AS n FROM f WHERE status <> 'elite' GROUP BY page_id) g USING (page_id)),
+z AS (SELECT *, CASE WHEN candidate IS NULL THEN 'unrecognised' WHEN elite THEN 'elite' WHEN NOT doc THEN 'no document' WHEN fs = 'parse_error' THEN 'could not read' WHEN fs = 'superseded' THEN 'older version'
+    WHEN file_no IS NOT NULL THEN 'uploaded' WHEN superseded THEN 'older version' WHEN repeat_of IS NOT NULL AND reached THEN 'check page' WHEN reached THEN 'missing' ELSE 'not reached' END AS status FROM y)
+"""
+
+
+def _page_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Lines, listing, results, firms and regions: every customer is a firm with a page. A
+    line of an even order names the area alone, so it may mean elite rows too."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    k, page_id = F.col("o_orderkey"), F.col("o_custkey").alias("page_id")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate").join(c, "o_custkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    lines = orders.select(page_id, place.alias("line_no"), F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise(F.concat_ws(" > ", F.lit("Group"), "o_orderpriority")).alias("value"))
+    listed = orders.filter(k % 4 > 0).withColumn("filename", F.concat(F.lit("c"), "o_custkey", F.lit("-"), k % 5, F.lit(".docx")))
+    none = F.lit(None).cast("string")
+    listing = listed.select(
+        k.alias("candidate"), F.col("c_name").alias("firm"), batch.firm_keys(none, F.col("c_name")).alias("firm_keys"), F.col("o_orderstatus").alias("region"), F.when(k % 10 == 0, "Elite group").otherwise("Group").alias("grp"),
+        F.col("o_orderpriority").alias("area"), none.alias("tbl"), "filename", F.when(k % 7 > 0, F.col("o_custkey") * 10 + k % 4).alias("portal_id"), F.col("o_orderdate").cast("string").alias("created_at"), (k % 3 > 0).alias("has_document"),
+    )
+    status = F.when(k % 10 == 0, "elite").when(k % 13 == 0, "parse_error").when(k % 17 == 0, "duplicate").when(k % 9 == 0, "superseded").otherwise("matched")
+    results = listed.filter("o_orderstatus = 'F'").select(page_id, k.alias("file_no"), F.col("filename").alias("name"), (k % 11 == 0).alias("by_code"), status.alias("status"))
+    firms = orders.select(page_id, "c_name").distinct().select("page_id", F.explode(batch.firm_keys(none, F.col("c_name"))).alias("firm_key"))
+    regions = results.select("page_id").distinct().select("page_id", F.explode(F.array(F.lit("f"), F.lit("o"))).alias("region_key"))
+    return lines, listing, results, firms, regions
+
+
+@query(_PAGE_SQL + """
+SELECT page_id, CAST(line_no AS INTEGER) AS line_no, candidate, file_no, CAST(repeat_of AS INTEGER) AS repeat_of, superseded, reached, status FROM z
+""")
+def q54_page(spark: SparkSession, d: str) -> DataFrame:
+    """From pasted lines to the row, the file and the status of each."""
+    done = reconcile.page_lines(*_page_tables(spark, d))
+    return done.select("page_id", "line_no", "candidate", "file_no", "repeat_of", "superseded", "reached", "status")
+
+
+@query(_PAGE_SQL + """
+SELECT z.page_id, count(*) AS page_size, count(*) FILTER (expected) AS expected, count(*) FILTER (reached) AS in_batch, count(*) FILTER (z.status = 'missing') AS missing, count(*) FILTER (z.status = 'not reached') AS not_reached,
+    count(*) FILTER (file_no IS NOT NULL AND z.status IN ('uploaded', 'older version')) AS accounted,
+    count(DISTINCT CASE WHEN expected AND repeat_of IS NULL THEN name END) + count(*) FILTER (expected AND repeat_of IS NOT NULL) AS distinct_documents, count(*) FILTER (z.status = 'check page') AS unclear,
+    count(*) FILTER (z.status = 'could not read') AS unreadable, coalesce(any_value(dup), 0) AS duplicates, coalesce(any_value(placeable), 0) - count(file_no) AS not_on_page,
+    count(*) FILTER (z.status IN ('missing', 'not reached', 'check page', 'could not read')) + coalesce(any_value(dup), 0) = 0 AS accounted_for
+FROM z LEFT JOIN (SELECT page_id, count(*) FILTER (status = 'duplicate') AS dup, count(*) FILTER (status NOT IN ('duplicate', 'elite')) AS placeable FROM f GROUP BY page_id) USING (page_id) GROUP BY z.page_id
+""")
+def q55_page_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """What a page owes and has, counted."""
+    tables = _page_tables(spark, d)
+    done = reconcile.page_rollup(reconcile.page_lines(*tables), tables[2])
+    return done.select("page_id", "page_size", "expected", "in_batch", "missing", "not_reached", "accounted", "distinct_documents", "unclear", "unreadable", "duplicates", "not_on_page", "accounted_for")
+
+
 _FLAGSHIP_SQL = f"""
 WITH m AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders)
 SELECT r.o_custkey, r.o_orderkey, r.recount, r.reported, CASE WHEN r.recount < r.reported THEN 'lines missing' ELSE 'lines repeated' END AS reason

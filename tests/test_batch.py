@@ -1,7 +1,6 @@
 """A batch from documents to changes, and pages of lines."""
 
 import datetime
-import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from ledgerline.operators.metrics import recount
 from ledgerline.sources import listings, readers
 from ledgerline.sources.ooxml import write_workbook
 from tests.docx_files import clients, control, matter, nominee, p, package, tbl
-from tests.test_operators import assigned_by_hand
 
 DOCS = "doc_no long, file_name string, firm string, region string, grp string, area string, typed string, dropdown string, error string, warnings array<string>"
 LIST = "portal_id string, firm string, firm_ref string, region string, grp string, area string, tbl string, submission_type string, person string, created_at timestamp_ntz, filename string, has_document boolean, sheet string, row_no int"
@@ -116,28 +114,6 @@ def test_from_files_to_changes(spark):
     assert sorted((r["metric"], r["exported"], r["counted"]) for r in batch.differences(found, figures, export, names).collect()) == [("lead_partners", 0, 1), ("matters", 3, 2)]
 
 
-def test_lines_in_turn(spark):
-    r = random.Random(3)
-    lines, pool, pairs = [], [], []
-    for number in range(6):
-        for kind in "ab":
-            own = [(n, r.random() < 0.2, r.random() < 0.5, r.random() < 0.7) for n in range(r.randint(1, 5))]
-            pool += [(number, kind, (ord(kind) - 97) * 10 + n, *flags) for n, *flags in own]
-            for line in range(1, r.randint(2, 8)):
-                lines.append((number, kind, line * 2 + (kind == "b")))
-                pairs += [(number, lines[-1][2], (ord(kind) - 97) * 10 + n, (ord(kind) - 97) * 10 + n, *flags) for n, *flags in own]
-    got = {}
-    # elite ones are never uploaded here: then an order by kind and the greedy choice are the same
-    pool = [(*x[:3], x[3] and not x[4], *x[4:]) for x in pool]
-    flags = {(x[0], x[2]): x[3:] for x in pool}
-    pairs = [(*x[:4], *flags[x[0], x[2]]) for x in pairs]
-    found = reconcile.assign_in_turn(spark.createDataFrame(lines, "page_id long, kind string, line_no int"), spark.createDataFrame(pool, "page_id long, kind string, candidate long, is_elite boolean, uploaded boolean, has_document boolean"), ["page_id", "kind"])
-    for x in found.collect():
-        got.setdefault(x["page_id"], []).append((x["line_no"], x["candidate"], x["repeat_of"]))
-    for number in range(6):
-        assert sorted(got[number]) == assigned_by_hand([x for x in pairs if x[0] == number])
-
-
 def test_line_candidates(spark):
     listing = [(1, ["name:a"], "UK", "G", "Tax", True), (2, ["name:b"], "UK", "G", "Tax", True), (3, ["name:a"], "FR", "G", "Tax", False), (4, ["name:a"], "FR", "Big Elite", "VAT", True), (5, ["name:a"], "UK", None, "Tax", True)]
     listed = spark.createDataFrame([(*x[:5], None, x[5]) for x in listing], "candidate long, firm_keys array<string>, region string, grp string, area string, tbl string, has_document boolean")

@@ -1,11 +1,9 @@
 """Matching, supersession and reconciliation on small tables."""
 
-import random
-
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text
-from ledgerline.operators import matching, numbering, present, reconcile
+from ledgerline.operators import matching, numbering, present
 
 
 def test_longest_spelling_wins_and_exact_decides(spark):
@@ -41,33 +39,6 @@ def test_numbering(spark):
     assert got == {"straight": (True, 0), "kinds": (True, 0), "gap": (False, 1), "twice": (False, 0), "far": (False, 5)}
 
 
-def assigned_by_hand(rows):
-    used, first, out = set(), {}, []
-    for line in sorted({r[1] for r in rows}):
-        own = sorted((r for r in rows if r[1] == line), key=lambda r: (r[4], r[3]))
-        free = [r for r in own if r[2] not in used] or own
-        pick = next((r for r in free if r[5]), None) or next((r for r in free if r[6]), None) or free[0]
-        used.add(pick[2])
-        out.append((line, pick[2], first.get(pick[2])))
-        first.setdefault(pick[2], line)
-    return out
-
-
-def test_greedy_assignment(spark):
-    r = random.Random(6)
-    rows = []
-    for page in range(8):
-        flags = {c: (r.random() < 0.2, r.random() < 0.5, r.random() < 0.7) for c in range(6)}
-        for line in range(1, 9):
-            rows += [(page, line, c, c, *flags[c]) for c in range(6) if r.random() < 0.5]
-    df = spark.createDataFrame(rows, "page_id long, line_no int, candidate long, rank long, is_elite boolean, uploaded boolean, has_document boolean")
-    got = {}
-    for x in reconcile.assign_lines(df).collect():
-        got.setdefault(x["page_id"], []).append((x["line_no"], x["candidate"], x["repeat_of"]))
-    for page in range(8):
-        assert sorted(got[page]) == assigned_by_hand([x for x in rows if x[0] == page])
-
-
 def test_override_of_null_is_not_no_override(spark):
     df = spark.createDataFrame([(True, None, 5), (None, None, 5), (True, 7, 5)], "present boolean, value int, recount int")
     assert [r[0] for r in df.select(present.final_value(F.col("present"), F.col("value"), F.col("recount"))).collect()] == [None, 5, 7]
