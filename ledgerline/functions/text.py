@@ -165,14 +165,22 @@ def shorten(text: Column, n: int) -> Column:
 
 def colour_kind(fill: Column) -> Column:
     """Red hues are Non-publishable, green ones Publishable; pale or other ones null."""
-    r, g, b = (F.conv(F.substring(fill, at, 2), 16, 10).cast("double") / 255 for at in (1, 3, 5))
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    span, light = high - low, (high + low) / 2
-    saturation = F.when(span == 0, 0.0).when(light <= 0.5, F.try_divide(span, high + low)).otherwise(F.try_divide(span, 2 - high - low))
-    turn = F.when(high == r, F.try_divide(g - b, span)).when(high == g, 2 + F.try_divide(b - r, span)).otherwise(4 + F.try_divide(r - g, span))
-    hue = F.pmod(turn * 60, F.lit(360.0))
-    kind = F.when((saturation < 0.25) | (span == 0), F.lit(None)).when((hue < 15) | (hue > 345), "Non-publishable").when((hue > 75) & (hue < 160), "Publishable")
-    return F.when(fill.rlike("^[0-9A-Fa-f]{6}$"), kind)
+    rgb = F.struct(*((F.conv(F.substring(fill, at, 2), 16, 10).cast("double") / 255).alias(c) for c, at in (("r", 1), ("g", 3), ("b", 5))))
+
+    def spread(x: Column) -> Column:
+        high, low = F.greatest(x["r"], x["g"], x["b"]), F.least(x["r"], x["g"], x["b"])
+        return F.struct(x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b"), high.alias("high"), low.alias("low"), (high - low).alias("span"))
+
+    def tone(x: Column) -> Column:
+        r, g, b, high, low, span = (x[c] for c in ("r", "g", "b", "high", "low", "span"))
+        saturation = F.when(span == 0, 0.0).when((high + low) / 2 <= 0.5, F.try_divide(span, high + low)).otherwise(F.try_divide(span, 2 - high - low))
+        turn = F.when(high == r, F.try_divide(g - b, span)).when(high == g, 2 + F.try_divide(b - r, span)).otherwise(4 + F.try_divide(r - g, span))
+        return F.struct(saturation.alias("saturation"), F.pmod(turn * 60, F.lit(360.0)).alias("hue"))
+
+    def kind(x: Column) -> Column:
+        return F.when(x["saturation"] < 0.25, F.lit(None)).when((x["hue"] < 15) | (x["hue"] > 345), "Non-publishable").when((x["hue"] > 75) & (x["hue"] < 160), "Publishable")
+
+    return F.when(fill.rlike("^[0-9A-Fa-f]{6}$"), let(let(let(rgb, spread), tone), kind))
 
 
 def ranges_text(numbers: Column) -> Column:

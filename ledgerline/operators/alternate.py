@@ -21,11 +21,21 @@ def is_section(label: Column, section: tuple[tuple[str, ...], str]) -> Column:
     return labels.begins(clean(label), codes, labels.END) & labels.mentions(clean(label), [subject])
 
 
+def is_coded(label: Column) -> Column:
+    """A table's label with one of the form's section codes."""
+    return is_section(label, LAWYERS) | is_section(label, CLIENTS)
+
+
+def is_sited(text: Column) -> Column:
+    """A paragraph with the form's upload address."""
+    return labels.mentions(text, [SITE])
+
+
 def is_alternate(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id of documents that carry the form's own codes or address, never by absence."""
     label = F.get("cells", F.lit(0))
-    coded = rows.filter((F.col("row_no") == 0) & (is_section(label, LAWYERS) | is_section(label, CLIENTS)))
-    sited = blocks.filter((F.col("kind") == "p") & labels.mentions(F.col("text"), [SITE]))
+    coded = rows.filter((F.col("row_no") == 0) & is_coded(label))
+    sited = blocks.filter((F.col("kind") == "p") & is_sited(F.col("text")))
     return coded.select("doc_id").unionByName(sited.select("doc_id")).distinct()
 
 
@@ -36,31 +46,46 @@ def _column_of(heading: str) -> Column:
 
 
 def _below_heading(rows: DataFrame, section: tuple[tuple[str, ...], str], **columns: str) -> DataFrame:
-    """Rows of tables of a section below the first row that has the first column's heading,
-    with the place of each named column."""
-    tables = rows.filter((F.col("row_no") == 0) & is_section(F.get("cells", F.lit(0)), section)).select("doc_id", "tbl_no")
+    """Rows of tables of a section from the first row on that has the first column's heading
+    (is_head), with the place of each named column and the table's label."""
+    tables = rows.filter((F.col("row_no") == 0) & is_section(F.get("cells", F.lit(0)), section)).select("doc_id", "tbl_no", clean(F.get("cells", F.lit(0))).alias("section"))
     own = Window.partitionBy("doc_id", "tbl_no")
     first = next(iter(columns))
-    placed = rows.join(tables, ["doc_id", "tbl_no"], "left_semi").withColumns({k: _column_of(p) for k, p in columns.items()})
+    placed = rows.join(tables, ["doc_id", "tbl_no"]).withColumns({k: _column_of(p) for k, p in columns.items()})
     head = F.min(F.when(F.col(first).isNotNull(), F.struct("row_no", *columns))).over(own)
-    below = placed.withColumn("head", head).filter("head IS NOT NULL AND row_no > head.row_no")
-    return below.select("doc_id", "tbl_no", "row_no", "cells", *(F.col(f"head.{k}").alias(k) for k in columns))
+    below = placed.withColumn("head", head).filter("head IS NOT NULL AND row_no >= head.row_no")
+    return below.select("doc_id", "tbl_no", "row_no", "cells", "section", (F.col("row_no") == F.col("head.row_no")).alias("is_head"), *(F.col(f"head.{k}").alias(k) for k in columns))
+
+
+def lawyers(rows: DataFrame) -> DataFrame:
+    """doc_id, tbl_no, row_no, is_head, name, answer, kind (partner, other or null): the rows of
+    lawyer tables. A head row says that the table was found."""
+    body = _below_heading(rows, LAWYERS, partner=PARTNER_COLUMN)
+    answer = unwrap(clean(F.get("cells", F.col("partner") - 1)))
+    kind = F.when(F.lower("answer").isin(*labels.NEW_YES), "partner").when(F.lower("answer").isin(*labels.NEW_NO), "other")
+    named = body.select("doc_id", "tbl_no", "row_no", "is_head", clean(F.get("cells", F.lit(0))).alias("name"), answer.alias("answer"))
+    return named.filter("is_head OR name <> ''").withColumn("kind", kind)
+
+
+def listed_clients(rows: DataFrame) -> DataFrame:
+    """doc_id, tbl_no, row_no, is_head, section, name, answer, kind (new, not, blank,
+    unrecognised): the rows of client tables, and their head rows."""
+    body = _below_heading(rows, CLIENTS, name=NAME_COLUMN, new=NEW_COLUMN)
+    answer = unwrap(clean(F.get("cells", F.col("new") - 1)))
+    named = body.select("doc_id", "tbl_no", "row_no", "is_head", "section", clean(F.get("cells", F.col("name") - 1)).alias("name"), answer.alias("answer"))
+    known = named.filter(F.col("is_head") | ((F.col("name") != "") & ~labels.not_applicable(F.col("name"))))
+    return known.withColumn("kind", labels.answer(F.col("answer")))
 
 
 def count_lawyers(rows: DataFrame) -> DataFrame:
     """doc_id, lead_partners (Y), associates (N), unreadable."""
-    body = _below_heading(rows, LAWYERS, partner=PARTNER_COLUMN)
-    answer = F.lower(unwrap(clean(F.get("cells", F.col("partner") - 1))))
-    named = body.filter(clean(F.get("cells", F.lit(0))) != "").withColumn("answer", answer)
-    yes, no = F.col("answer").isin(*labels.NEW_YES), F.col("answer").isin(*labels.NEW_NO)
-    return named.groupBy("doc_id").agg(F.count_if(yes).cast("int").alias("lead_partners"), F.count_if(no).cast("int").alias("associates"), F.count_if(~yes & ~no).cast("int").alias("unreadable"))
+    named = lawyers(rows)
+    body = ~F.col("is_head")
+    return named.groupBy("doc_id").agg(F.count_if(body & (F.col("kind") == "partner")).cast("int").alias("lead_partners"), F.count_if(body & (F.col("kind") == "other")).cast("int").alias("associates"), F.count_if(body & F.col("kind").isNull()).cast("int").alias("unreadable"))
 
 
 def count_clients(rows: DataFrame) -> DataFrame:
     """doc_id, active, new_clients: null if any answer is neither yes nor no."""
-    body = _below_heading(rows, CLIENTS, name=NAME_COLUMN, new=NEW_COLUMN)
-    name = clean(F.get("cells", F.col("name") - 1))
-    known = body.filter((name != "") & ~labels.not_applicable(name))
-    answer = labels.answer(F.coalesce(F.get("cells", F.col("new") - 1), F.lit("")))
-    counted = known.withColumn("answer", answer).groupBy("doc_id").agg(F.count("*").cast("int").alias("active"), F.count_if(F.col("answer") == "new").cast("int").alias("new"), F.count_if(F.col("answer") == "unrecognised").alias("odd"))
+    body = ~F.col("is_head")
+    counted = listed_clients(rows).groupBy("doc_id").agg(F.count_if(body).cast("int").alias("active"), F.count_if(body & (F.col("kind") == "new")).cast("int").alias("new"), F.count_if(body & (F.col("kind") == "unrecognised")).alias("odd"))
     return counted.select("doc_id", "active", F.when(F.col("odd") == 0, F.col("new")).alias("new_clients"))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ledgerline.functions.labels import differs, is_elite, is_elite_area
 from ledgerline.functions.text import canonical_area, clean, copy_suffix, created_text, firm_key, normalise, portal_area, table_code
+from ledgerline.operators import edits
 from ledgerline.operators.matching import first_key_join, mark_copies, prefer_exact, result_status, unique_only, with_variants
 from ledgerline.operators.tables import settled
 from ledgerline.sources.listings import newest_per_file
@@ -92,11 +93,15 @@ def referenced(rows: DataFrame) -> DataFrame:
 
 
 def claimed(rows: DataFrame) -> DataFrame:
-    """duplicate: another listed file holds the name; a file without a copy suffix holds it first."""
+    """duplicate: another listed file holds the name; a file without a copy suffix holds it
+    first. A copy's issues say from which file the submission is counted."""
     plain, copy = copy_suffix(F.col("file_name"))
     own = F.concat(F.lit("/"), F.col("doc_no").cast("string"))  # no file name: rows that are not listed stand alone
     keyed = rows.withColumns({"name_key": F.when(F.col("listed"), F.lower(plain)).otherwise(own), "suffixed": copy.isNotNull()})
-    return mark_copies(keyed, "name_key", F.col("suffixed"), "doc_no").withColumn("duplicate", F.col("copy_no") > 1).drop("copy_no", "name_key", "suffixed")
+    holder = F.first("file_name").over(Window.partitionBy("name_key").orderBy("suffixed", "doc_no"))
+    marked = mark_copies(keyed, "name_key", F.col("suffixed"), "doc_no").withColumns({"duplicate": F.col("copy_no") > 1, "holder": holder})
+    note = F.array_compact(F.array(F.when(F.col("duplicate"), F.concat(F.lit("a second copy of the same submission, counted from "), "holder"))))
+    return marked.withColumn("issues", F.concat("issues", note)).drop("copy_no", "name_key", "suffixed", "holder")
 
 
 def export_forms(export: DataFrame) -> DataFrame:
@@ -204,10 +209,17 @@ def batch(documents: DataFrame, listing: DataFrame, export: DataFrame) -> DataFr
     return collapse_superseded(rows).select("doc_no", "file_name", "filename", "firm", "firm_ref", "region", "area", "export_id", "candidates", "status", "undecided", "by_code", "issues")
 
 
-def differences(results: DataFrame, figures: DataFrame, export: DataFrame, counts: dict[str, str]) -> DataFrame:
-    """doc_no, filename, firm, region, area, metric, exported, counted of the table's rows
-    whose figures differ. figures: doc_no, metric, value. counts: metric -> export's column."""
+def differences(results: DataFrame, figures: DataFrame, export: DataFrame, counts: dict[str, str], overrides: DataFrame | None = None) -> DataFrame:
+    """doc_no, filename, firm, region, area, metric, exported, counted, decided_by of the
+    table's rows whose figures differ. figures: doc_no, metric, value. counts: metric ->
+    export's column. overrides: name, metric, value, as edits.latest_overrides gives them; an
+    entered figure holds, and a null one differs from nothing."""
     shown = results.filter("status NOT IN ('duplicate', 'superseded', 'elite')")
     theirs = export.select("export_id", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).alias("exported")) for m, c in counts.items()))))
     both = shown.join(theirs, "export_id").join(figures.select("doc_no", "metric", F.col("value").alias("counted")), ["doc_no", "metric"])
-    return both.filter(differs(F.col("exported"), F.col("counted"))).select("doc_no", "filename", "firm", "region", "area", "metric", "exported", "counted")
+    if overrides is None:
+        held = both.withColumns({"value": F.col("counted"), "by_hand": F.lit(False)})
+    else:
+        held = edits.decided(both, overrides, "filename")
+    changed = held.filter(differs(F.col("exported"), F.col("value")))
+    return changed.select("doc_no", "filename", "firm", "region", "area", "metric", "exported", F.col("value").alias("counted"), F.when(F.col("by_hand"), "a person").otherwise("the count").alias("decided_by"))

@@ -1,4 +1,10 @@
-"""The recount: six figures per document from rows of tables, unknown rather than zero."""
+"""The recount: six figures per document from rows of tables, unknown rather than zero, each
+with what was counted (evidence), what is worth knowing (notes) and flags.
+
+Everything that bears on a figure is a fact of its document: a row of (source, place, texts).
+Facts of all kinds are grouped once by document, in order, and the figures are expressions
+over that one array. What kind of document it is decides which figures those are: one that
+cannot be read and one that is no submission have none, the alternate form has its own."""
 
 from __future__ import annotations
 
@@ -7,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions import labels, text
-from ledgerline.operators import clients, numbering
+from ledgerline.operators import alternate
+from ledgerline.operators.present import few, sorted_notes
+from ledgerline.operators.tables import settled
 
 #: Headings of the nomination sections, and of the people who worked on a matter.
 HEADINGS = {"lead_partners": "leading partners", "next_gen": "next gen", "associates": "leading associates"}
@@ -43,21 +51,22 @@ def _bodies(rows: DataFrame, starts: str) -> DataFrame:
     lone = heads.filter(F.col("head_row") == F.col("end")).join(plain, ["doc_id", "tbl_no"], "left_semi")
     ahead = seg.select("doc_id", (F.col("tbl_no") - 1).alias("tbl_no"), "row_no", "cells", "filled", F.col("label").alias("cell"))
     adopted = lone.join(ahead, ["doc_id", "tbl_no"])
-    columns = ["doc_id", "tbl_no", "seg", "row_no", "cells", "filled", "cell"]
-    body = inside.select(columns).unionByName(adopted.select(columns))
+    columns = ["doc_id", "tbl_no", "seg", "row_no", "cells", "filled", "cell", "adopted"]
+    body = inside.withColumn("adopted", F.lit(False)).select(columns).unionByName(adopted.withColumn("adopted", F.lit(True)).select(columns))
     return heads.join(body, ["doc_id", "tbl_no", "seg"], "left")
 
 
 def matters(rows: DataFrame) -> DataFrame:
-    """doc_id, tbl_no, head, kind, number, real: every matter box, and whether it is filled
-    in: a client beside or below "Name of client" decides, else any text."""
+    """doc_id, tbl_no, seg, head, kind, number, real, split: every matter box, whether it is
+    filled in (a client beside or below "Name of client" decides, else any text), and whether
+    its body is the next table."""
     body = _bodies(rows.withColumn("starts", F.col("matter")), "starts")
     ahead = Window.partitionBy("doc_id", "tbl_no", "seg").orderBy("row_no")
     body = body.withColumns({"below": F.lead("filled").over(ahead), "asks": F.coalesce(labels.begins(F.col("cell"), CLIENT_ROW), F.lit(False))})
-    beside = F.exists(F.slice("cells", 2, 99), lambda c: (text.clean(c) != "") & ~labels.begins(text.clean(c), SECTOR_ROW))
+    beside = F.exists(F.slice("cells", F.lit(2), F.greatest(F.size("cells"), F.lit(0))), lambda c: (text.clean(c) != "") & ~labels.begins(text.clean(c), SECTOR_ROW))
     first = F.min(F.when(F.col("asks"), F.struct("row_no", (F.coalesce(beside, F.lit(False)) | F.coalesce("below", F.lit(False))).alias("client"))))
-    each = body.groupBy("doc_id", "tbl_no", "seg", "head").agg(F.coalesce(first["client"], F.max("filled"), F.lit(False)).alias("real"))
-    return each.select("doc_id", "tbl_no", "head", labels.matter_kind(F.col("head")).alias("kind"), labels.matter_number(F.col("head")).alias("number"), "real")
+    each = body.groupBy("doc_id", "tbl_no", "seg", "head").agg(F.coalesce(first["client"], F.max("filled"), F.lit(False)).alias("real"), F.coalesce(F.max("adopted"), F.lit(False)).alias("split"))
+    return each.select("doc_id", "tbl_no", "seg", "head", labels.matter_kind(F.col("head")).alias("kind"), labels.matter_number(F.col("head")).alias("number"), "real", (F.col("real") & F.col("split")).alias("split"))
 
 
 def coloured_matters(rows: DataFrame) -> DataFrame:
@@ -70,15 +79,17 @@ def coloured_matters(rows: DataFrame) -> DataFrame:
 
 
 def nominees(rows: DataFrame) -> DataFrame:
-    """doc_id, kind, head, name: every nomination box; name is empty in an untouched one.
-    Roles inside matter boxes are the matter's team, no nominations."""
+    """doc_id, tbl_no, seg, kind, head, name, split: every nomination box; name is empty in an
+    untouched one, split says that it stands in the next table. Roles inside matter boxes are
+    the matter's team, no nominations."""
     mine = rows.filter(~F.col("any_matter") & ~F.col("team")).withColumn("starts", F.col("category").isNotNull())
     body = _bodies(mine, "starts")
     inside = Window.partitionBy("doc_id", "tbl_no", "seg").orderBy("row_no")
     body = body.withColumns({"place": F.row_number().over(inside), "next": F.lead("cell").over(inside), "is_name": F.coalesce(F.lower("cell") == "name", F.lit(False))})
     under = F.min(F.when(F.col("is_name"), F.struct("place", F.coalesce("next", F.lit("")).alias("name"))))
     usual = F.max(F.when(F.col("place") == 2, F.col("cell")))
-    return body.groupBy("doc_id", "tbl_no", "seg", "kind", "head").agg(F.coalesce(under["name"], usual, F.lit("")).alias("name"))
+    named = body.groupBy("doc_id", "tbl_no", "seg", "kind", "head").agg(F.coalesce(under["name"], usual, F.lit("")).alias("name"), F.coalesce(F.max("adopted"), F.lit(False)).alias("split"))
+    return named.withColumn("split", F.col("split") & (F.col("name") != ""))
 
 
 def client_answers(rows: DataFrame) -> DataFrame:
@@ -108,33 +119,266 @@ def looks_like_submission(rows: DataFrame) -> DataFrame:
     return labelled(rows).filter((F.col("row_no") == 0) & (F.col("client") | F.col("matter") | strict)).select("doc_id").distinct()
 
 
-def recount(documents: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, metric, value (null: could not be counted), needs_check; six rows a document."""
-    mine = labelled(rows)
-    ids = documents.select("doc_id", F.col("error").isNotNull().alias("failed"))
-    boxes = matters(mine).unionByName(coloured_matters(mine))
-    per_doc = boxes.groupBy("doc_id").agg(F.count_if("real").cast("int").alias("matters"))
-    numbered = boxes.filter("real AND number IS NOT NULL")
-    gaps = numbering.check_numbering(numbered, ["doc_id"], "kind", "number").select("doc_id", (~F.col("clean")).alias("gap"))
-    answers = client_answers(mine)
-    has_table = mine.filter((F.col("row_no") == 0) & F.col("client")).select("doc_id", F.lit(True).alias("has_clients")).distinct()
-    counted = clients.count_answers(answers, ["doc_id"]).select("doc_id", "active", "new_clients", F.lit(True).alias("answered"))
-    odd = clients.suspicious_blanks(answers, ["doc_id", "tbl_no"], ["doc_id"]).select("doc_id", (F.col("suspicious") > 0).alias("odd"))
-    named = nominees(mine).groupBy("doc_id").agg(*(F.count_if((F.col("kind") == k) & (F.col("name") != "")).cast("int").alias(k) for k in HEADINGS), *(F.count_if(F.col("kind") == k).alias(f"{k}_boxes") for k in HEADINGS), (F.count_if((F.col("kind") == "unclassified") & (F.col("name") != "")) > 0).alias("unclassified"))
-    headed = blocks.filter("kind = 'p'").groupBy("doc_id").agg(*(F.max(section_heading(F.col("text"), p)).alias(f"{k}_heading") for k, p in HEADINGS.items()))
-    wide = ids
-    for part in (per_doc, gaps, has_table, counted, odd, named, headed):
-        wide = wide.join(part, "doc_id", "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    nomination = {k: F.when(F.coalesce(F.col(f"{k}_boxes"), F.lit(0)) == 0, F.when(~yes(f"{k}_heading"), 0)).otherwise(F.col(k)) for k in HEADINGS}
-    new = F.when(yes("answered"), F.col("new_clients")).otherwise(F.when(yes("has_clients"), 0))
-    figures = {
-        "matters": (F.col("matters"), yes("gap")),
-        "active_clients": (F.when(yes("has_clients"), F.coalesce("active", F.lit(0))), yes("odd")),
-        "new_clients": (new, F.lit(False)),
-        "lead_partners": (nomination["lead_partners"], yes("unclassified")),
-        "next_gen": (nomination["next_gen"], yes("unclassified")),
-        "associates": (nomination["associates"], F.lit(False)),
+METRICS = ("matters", "active_clients", "new_clients", "lead_partners", "next_gen", "associates")
+#: A fact: where it comes from, its place, two texts, a kind, a number and a mark.
+FACT = "source string, tbl_no int, row_no int, a string, b string, kind string, n int, mark boolean"
+
+
+def _fact(source: str, **columns: Column | str) -> Column:
+    types = dict(f.split() for f in FACT.split(", "))
+    given = {"source": F.lit(source)} | {k: F.col(c) if isinstance(c, str) else c for k, c in columns.items()}
+    return F.struct(*(given.get(k, F.lit(None)).cast(t).alias(k) for k, t in types.items()))
+
+
+def facts(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, fact: all that the figures of a document are made of. Labels are told once and
+    kept, so documents are decoded once for their rows and once for their paragraphs."""
+    mine = settled(labelled(rows))
+    boxes = settled(matters(mine))
+    followed = boxes.filter("split").select("doc_id", (F.col("tbl_no") + 1).alias("tbl_no"))
+    coloured = coloured_matters(mine).join(followed, ["doc_id", "tbl_no"], "left_anti")
+    first = F.col("row_no") == 0
+    strict = labels.begins(F.col("label"), labels.STRICT_NAMES, labels.END)
+    said_by_rows = F.array(
+        F.when(first & F.col("client"), _fact("client_table", tbl_no="tbl_no", a="label")),
+        F.when(first & (F.col("client") | F.col("matter") | strict), _fact("submission")),
+        F.when(first & alternate.is_coded(F.col("label")), _fact("alternate")),
+        F.when(F.col("category").isNotNull() & (F.col("any_matter") | F.col("team")), _fact("team", tbl_no="tbl_no", row_no="row_no", a="label")),
+    )
+    of = F.coalesce(*(F.when(section_heading(F.col("text"), p), k) for k, p in HEADINGS.items()))
+    paragraphs = blocks.filter("kind = 'p'").select("doc_id", of.alias("of"), alternate.is_sited(F.col("text")).alias("sited"))
+    said_by_paragraphs = F.array(F.when(F.col("of").isNotNull(), _fact("heading", kind="of")), F.when(F.col("sited"), _fact("alternate")))
+    tables = mine.filter(first & F.col("client")).select("doc_id", "tbl_no")
+    asked = mine.filter("row_no > 0").join(tables, ["doc_id", "tbl_no"], "left_semi").select("doc_id", "tbl_no", "row_no", "label", labels.client_row(F.col("label")).alias("row_class"), text.unwrap(text.clean(F.get("cells", F.lit(1)))).alias("said"))
+    asked = asked.withColumn("kind", F.when(F.col("row_class") == "client", labels.answer(F.col("said"))).otherwise(F.col("row_class")))
+    more = F.col("kind").isin("new", "not") & ~labels.answer_is_bare(F.col("said"))
+    parts = [
+        mine.select("doc_id", F.explode(F.array_compact(said_by_rows)).alias("fact")),
+        paragraphs.select("doc_id", F.explode(F.array_compact(said_by_paragraphs)).alias("fact")),
+        boxes.select("doc_id", _fact("matter", tbl_no="tbl_no", row_no="seg", a="head", kind="kind", n="number", mark="split", b=F.when(F.col("real"), "real")).alias("fact")),
+        coloured.select("doc_id", _fact("coloured", tbl_no="tbl_no", a="head", kind="kind", n="number").alias("fact")),
+        asked.select("doc_id", _fact("client", tbl_no="tbl_no", row_no="row_no", a="label", b="said", kind="kind", mark=more, n=F.when(labels.answer_is_substituted(F.col("said")), 1)).alias("fact")),
+        nominees(mine).select("doc_id", _fact("nominee", tbl_no="tbl_no", row_no="seg", a="head", b="name", kind="kind", mark="split").alias("fact")),
+        alternate.lawyers(mine).select("doc_id", _fact("lawyer", tbl_no="tbl_no", row_no="row_no", a="name", b="answer", kind="kind", mark="is_head").alias("fact")),
+        alternate.listed_clients(mine).select("doc_id", _fact("listed_client", tbl_no="tbl_no", row_no="row_no", a=F.when(F.col("is_head"), F.col("section")).otherwise(F.col("name")), b="answer", kind="kind", mark="is_head").alias("fact")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _notes(*cases: tuple[Column, Column]) -> Column:
+    """The notes whose condition holds, in order."""
+    return F.array_compact(F.array(*(F.when(condition, note) for condition, note in cases)))
+
+
+def _say(*parts: Column | str | int) -> Column:
+    return F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
+
+
+def _quoted(texts: Column) -> Column:
+    return F.transform(texts, lambda t: _say("'", t, "'"))
+
+
+def _listed(texts: Column, most: int | None = None) -> Column:
+    """Quoted texts joined by commas; beyond most of them, how many more there are."""
+    return few(_quoted(texts), most) if most else F.array_join(_quoted(texts), ", ")
+
+
+def _texts(found: Column, field: str = "a") -> Column:
+    return F.transform(found, lambda f: f[field])
+
+
+def _numbers(found: Column) -> Column:
+    """The numbers of facts that have one, sorted, with what a check of 1..N needs."""
+    n = F.array_sort(F.filter(F.transform(found, lambda f: f["n"]), lambda x: x.isNotNull()))
+    return text.let(n, lambda a: F.struct(a.alias("all"), F.array_distinct(a).alias("each"), F.coalesce(F.array_max(a), F.lit(0)).alias("top")))
+
+
+def _straight(x: Column) -> Column:
+    """Exactly 1 to N, each once: as many different numbers as numbers, and the largest as large."""
+    return (F.size(x["each"]) == F.size(x["all"])) & (x["top"] == F.size(x["all"])) & (F.coalesce(F.array_min(x["all"]), F.lit(1)) == 1)
+
+
+def _gap_note(name: str, across: str, x: Column) -> Column:
+    """What is absent below the largest number, as ranges, and what is there twice."""
+    before = F.concat(F.array(F.lit(0)), x["each"])
+    holes = F.filter(F.zip_with(before, x["each"], lambda a, b: F.struct((a + 1).alias("a"), (b - 1).alias("b"))), lambda h: (h["b"] >= h["a"]) & h["a"].isNotNull())
+    ranges = F.array_join(F.transform(holes, lambda h: F.when(h["a"] == h["b"], h["a"].cast("string")).when(h["a"] + 1 == h["b"], _say(h["a"], ", ", h["b"])).otherwise(_say(h["a"], " to ", h["b"]))), ", ")
+    twice = F.filter(x["each"], lambda n: F.size(F.filter(x["all"], lambda m: m == n)) > 1)
+    detail = F.array_join(_notes((F.size(holes) > 0, _say("no ", ranges)), (F.size(twice) > 0, _say("repeated ", text.ranges_text(twice)))), "; ")
+    return _say(f"{name} are numbered up to ", x["top"], f"{across}, and ", F.size(x["all"]), " were counted (", detail, "): one may have been deleted or mistyped, or missed by the count")
+
+
+def _metric(name: str, value: Column, evidence: Column, notes: Column, check: Column, gap: Column | None = None) -> Column:
+    """A figure of the result."""
+    return F.struct(F.lit(name).alias("metric"), value.cast("int").alias("value"), evidence.alias("evidence"), notes.alias("notes"), F.coalesce(gap if gap is not None else F.lit(False), F.lit(False)).alias("numbering_gap"), F.coalesce(check, F.lit(False)).alias("needs_check"))
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _matter_figure(of, always_check: Column) -> Column:
+    boxes, coloured = of("matter"), of("coloured")
+    real = F.filter(boxes, lambda f: f["b"].isNotNull())
+    counted = F.concat(real, coloured)
+    of_kind = lambda kind: _numbers(F.filter(counted, lambda f: f["kind"] == kind))
+    kinds = F.struct(of_kind("Publishable").alias("open"), of_kind("Non-publishable").alias("closed"), _numbers(counted).alias("both"))
+
+    def figure(x: Column) -> Column:
+        n, empty = F.size(counted), F.size(boxes) - F.size(real)
+        split, merged = F.size(F.filter(real, lambda f: f["mark"])), F.size(F.filter(boxes, lambda f: f["row_no"] > 1))
+        by_kind = lambda test: [test(x[c]) for c in ("open", "closed")]
+        absent = lambda y: y["top"] - F.size(y["each"])
+        a, b = by_kind(_straight)
+        gap = ~(a & b) & ~_straight(x["both"])
+        each = sum(by_kind(absent)[1:], by_kind(absent)[0]) <= absent(x["both"])
+        lost = (n == 0) & (empty == 0)
+        notes = _notes(
+            (F.size(coloured) > 0, _say(F.size(coloured), " matter(s) were told by the colour of an unusual label: ", _listed(_texts(coloured)))),
+            (lost, F.lit("no matter was found: the section of work highlights could not be located")),
+            (empty > 0, _say(empty, " empty matter box(es) were left out")),
+            (split > 0, _say(split, " matter(s) have their label in a table of its own and the details in the next one")),
+            (~lost & (merged > 0), _say(merged, " matter(s) share a table with the one above and were counted separately")),
+            (gap & each & ~a, _gap_note("Publishable matters", "", x["open"])),
+            (gap & each & ~b, _gap_note("Non-publishable matters", "", x["closed"])),
+            (gap & ~each, _gap_note("Matters", " across publishable and non-publishable", x["both"])),
+        )
+        return _metric("matters", F.when(~lost, n), _texts(counted), notes, always_check, gap)
+
+    return text.let(kinds, figure)
+
+
+def _client_figures(of) -> tuple[Column, Column]:
+    tables, rows = of("client_table"), of("client")
+    real = F.filter(rows, lambda f: f["kind"].isin("new", "not", "blank", "unrecognised"))
+    kind = lambda *k: F.filter(rows, lambda f: f["kind"].isin(*k))
+    inside = lambda found, t: F.filter(found, lambda f: f["tbl_no"] == t["tbl_no"])
+    blank, unread = kind("blank"), kind("unrecognised")
+
+    def odd(t: Column) -> Column:
+        """Rows of a table that answer nothing where others do, or that stand alone."""
+        own, empty = inside(real, t), inside(blank, t)
+        return F.when((F.size(empty) < F.size(own)) | (F.size(own) == 1), _texts(empty)).otherwise(_nothing())
+
+    def figures(x: Column) -> Column:
+        found = F.size(tables) > 0
+        missing = F.lit("no table of active key clients: the section of clients could not be located")
+        evidence = F.transform(tables, lambda t: _say(t["a"], ": ", F.size(inside(real, t)), " client rows"))
+        headers, away, qualified = kind("header"), kind("not_applicable"), F.filter(real, lambda f: f["mark"])
+        substituted = F.filter(F.filter(real, lambda f: f["kind"].isin("new", "not")), lambda f: f["n"] == 1)
+        active = _notes(
+            (~found, missing),
+            (F.size(x["odd"]) > 0, _say(F.size(x["odd"]), " row(s) answer nothing about new clients: ", _listed(F.transform(x["odd"], lambda t: text.shorten(t, 44)), 4), "; counted, check that they are clients")),
+            (F.size(away) > 0, _say(F.size(away), " row(s) say N/A for a client and were not counted")),
+        )
+        fresh = _notes(
+            (~found, missing),
+            (F.size(headers) > 0, _say("repeated header row(s) were left out: ", _listed(_texts(headers)))),
+            (F.size(substituted) > 0, _say(F.size(substituted), " answer(s) say new or existing for yes or no")),
+            (F.size(blank) > 0, _say(F.size(blank), " blank answer(s) count as not new")),
+            (F.size(qualified) > 0, _say(F.size(qualified), " answer(s) say more than yes or no and were read by their first word: ", _listed(sorted_notes(_texts(qualified, "b"))))),
+            (F.size(unread) > 0, _say(F.size(unread), " answer(s) are neither yes nor no: ", _listed(sorted_notes(_texts(unread, "b"))), "; count this column by hand")),
+        )
+        return F.struct(
+            _metric("active_clients", F.when(found, F.size(real)), evidence, active, F.size(x["odd"]) > 0).alias("active"),
+            _metric("new_clients", F.when(found & (F.size(unread) == 0), F.size(kind("new"))), evidence, fresh, F.lit(False)).alias("new"),
+        )
+
+    both = text.let(F.struct(F.flatten(F.transform(tables, odd)).alias("odd")), figures)
+    return both["active"], both["new"]
+
+
+def _nomination_figure(of, key: str) -> Column:
+    boxes, team = of("nominee"), sorted_notes(_texts(of("team")))
+    mine = F.filter(boxes, lambda f: f["kind"] == key)
+    named = F.filter(mine, lambda f: f["b"] != "")
+    vague = F.filter(boxes, lambda f: (f["kind"] == "unclassified") & (f["b"] != "")) if key != "associates" else None
+    n, empty = F.size(named), F.size(mine) - F.size(named)
+    none = (n == 0) & (empty == 0)
+    headed = F.exists(of("heading"), lambda f: f["kind"] == key)
+    split, merged = F.size(F.filter(named, lambda f: f["mark"])), F.size(F.filter(boxes, lambda f: f["row_no"] > 1))
+    unsure = [] if vague is None else [(F.size(vague) > 0, _say(F.size(vague), " partner nomination(s) say neither leading nor next generation: ", _listed(sorted_notes(_texts(vague))), "; counted as neither, decide by hand"))]
+    notes = _notes(
+        *unsure,
+        (none & headed, F.lit("the heading of this category is there, but no nomination below it was recognised")),
+        (none & ~headed, F.lit("no nominations of this kind")),
+        (~none & (F.size(team) > 0), _say(F.size(of("team")), " role(s) inside matters are no nominations: ", _listed(team, 3))),
+        (empty > 0, _say(empty, " empty nomination box(es) were left out")),
+        (split > 0, _say(split, " nomination(s) have their label in a table of its own and the details in the next one")),
+        (~none & (merged > 0), _say(merged, " nomination(s) share a table with the one above and were counted separately")),
+    )
+    return _metric(key, F.when(~(none & headed), n), F.transform(named, lambda f: _say(f["a"], " - ", f["b"])), notes, F.lit(False) if vague is None else F.size(vague) > 0)
+
+
+def _alternate_figures(of) -> dict[str, Column]:
+    lawyers, clients = of("lawyer"), of("listed_client")
+    people = F.filter(lawyers, lambda f: ~f["mark"])
+    unread = F.filter(people, lambda f: f["kind"].isNull())
+    told = F.transform(unread, lambda f: text.shorten(F.when(f["b"] == "", f["a"]).otherwise(_say(f["a"], ": '", f["b"], "'")), 34))
+    no_column = F.lit("no column that asks whether a lawyer is a partner was found")
+    found = F.size(lawyers) > 0
+    about = _notes((~found, no_column), (F.size(unread) > 0, _say(F.size(unread), " lawyer(s) are said to be neither partner nor not: ", few(told, 4), "; not counted")))
+
+    def of_kind(metric: str, kind: str, word: str) -> Column:
+        own = F.filter(people, lambda f: f["kind"] == kind)
+        return _metric(metric, F.when(found, F.size(own)), F.transform(own, lambda f: _say(f["a"], f" - {word}")), about, found)
+
+    heads, rows = F.filter(clients, lambda f: f["mark"]), F.filter(clients, lambda f: ~f["mark"])
+    listed = F.size(heads) > 0
+    odd = F.filter(rows, lambda f: f["kind"] == "unrecognised")
+    evidence = F.transform(heads, lambda h: _say(text.shorten(h["a"], 48), ": ", F.size(F.filter(rows, lambda f: f["tbl_no"] == h["tbl_no"])), " client rows"))
+    none = F.lit("no numbered list of clients was found")
+    fresh = _notes((~listed, none), (F.size(odd) > 0, _say(F.size(odd), " answer(s) are neither yes nor no: ", _listed(sorted_notes(_texts(odd, "b")), 4), "; count this column by hand")))
+    return {
+        "active_clients": _metric("active_clients", F.when(listed, F.size(rows)), evidence, _notes((~listed, none)), listed),
+        "new_clients": _metric("new_clients", F.when(listed & (F.size(odd) == 0), F.size(F.filter(rows, lambda f: f["kind"] == "new"))), evidence, fresh, listed),
+        "lead_partners": of_kind("lead_partners", "partner", "partner"),
+        "next_gen": _metric("next_gen", F.lit(None), _nothing(), F.array(F.lit("the alternate form has no section for the next generation")), F.lit(False)),
+        "associates": of_kind("associates", "other", "not a partner"),
     }
-    parts = F.array(*(F.struct(F.lit(k).alias("metric"), F.when(~F.col("failed"), v).cast("int").alias("value"), check.alias("needs_check")) for k, (v, check) in figures.items()))
-    return wide.select("doc_id", F.inline(parts))
+
+
+#: Where facts come from.
+SOURCES = ("matter", "coloured", "client_table", "client", "nominee", "team", "heading", "submission", "alternate", "lawyer", "listed_client")
+
+
+def routed(documents: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, route, error, facts (a struct of arrays by source, each in order): what kind of
+    document each is. unreadable: it could not be opened; alternate: it carries the alternate
+    form's codes or address; no submission: none of the form's tables is there; else
+    ordinary. The first that applies."""
+    each = (F.array_sort(F.collect_list(F.when(F.col("fact.source") == s, F.col("fact")))).alias(s) for s in SOURCES)
+    grouped = facts(rows, blocks).groupBy("doc_id").agg(*each)
+    whole = documents.select("doc_id", "error").join(grouped, "doc_id", "left")
+    none = F.array().cast(f"array<struct<{FACT.replace(' ', ':').replace(',:', ',')}>>")
+    has = lambda source: F.coalesce(F.size(source), F.lit(0)) > 0
+    route = F.when(F.col("error").isNotNull(), "unreadable").when(has("alternate"), "alternate").when(~has("submission"), "no submission").otherwise("ordinary")
+    lost = F.lit("this does not look like a submission: none of its tables (clients, matters, nominations) was found")
+    kept = F.struct(*(F.coalesce(s, none).alias(s) for s in SOURCES))
+    return whole.select("doc_id", route.alias("route"), F.when(route == "no submission", lost).otherwise(F.col("error")).alias("error"), kept.alias("facts"))
+
+
+def figures(documents: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, route, error, metric, value (null: could not be counted), evidence, notes,
+    numbering_gap, needs_check; six rows a document, whatever its kind."""
+    kinds = routed(documents, rows, blocks)
+    alike = F.col("route") == "alternate"
+
+    def counted(facts: Column) -> Column:
+        of = lambda source: facts[source]
+        active, new = _client_figures(of)
+        plain = {"matters": _matter_figure(of, alike), "active_clients": active, "new_clients": new} | {k: _nomination_figure(of, k) for k in HEADINGS}
+        other = _alternate_figures(of) | {"matters": plain["matters"]}
+        return F.when(alike, F.array(*(other[k] for k in METRICS))).otherwise(F.array(*(plain[k] for k in METRICS)))
+
+    none = F.array(*(_metric(k, F.lit(None), _nothing(), F.array("error"), F.lit(False)) for k in METRICS))
+    return kinds.select("doc_id", "route", "error", F.inline(F.when(F.col("error").isNotNull(), none).otherwise(text.let(F.col("facts"), counted))))
+
+
+def recount(documents: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, metric, value (null: could not be counted), needs_check (a flag of either kind);
+    six rows a document."""
+    return figures(documents, rows, blocks).select("doc_id", "metric", "value", (F.col("needs_check") | F.col("numbering_gap")).alias("needs_check"))

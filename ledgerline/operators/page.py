@@ -81,6 +81,14 @@ def order_map(lines: DataFrame, filename: Column, firm: Column, region: Column,
     return keys.groupBy("page_id", "key").agg(F.min("line_no").alias("position"))
 
 
+def positions(rows: DataFrame, index: DataFrame, row_id: str, filename: Column, firm: Column, region: Column, group: Column, area: Column) -> DataFrame:
+    """page_id, row_id, position: where on the page a row stands, by the first of its keys that
+    the page has at all; not the line that comes first. Rows (with a page_id) that the page
+    does not mention are left out. index: as order_map gives it."""
+    keys = rows.select("page_id", row_id, F.posexplode(order_keys(filename, firm, region, group, area)).alias("turn", "key"))
+    return keys.join(index, ["page_id", "key"]).groupBy("page_id", row_id).agg(F.min_by("position", "turn").alias("position"))
+
+
 def rollup(lines: DataFrame) -> DataFrame:
     """One row a page from page_id, status, has_document, is_elite, superseded, repeat_of,
     placed, first_candidate: the counts that must add up."""

@@ -187,10 +187,10 @@ def page_lines(lines: DataFrame, listing: DataFrame, results: DataFrame, firms:
 
 def page_rollup(lines: DataFrame, results: DataFrame) -> DataFrame:
     """One row a page from what page_lines gives: the counts of page.rollup, and in_batch (the
-    expected lines reached), duplicates, not_on_page (files that no line has) and
+    expected lines reached), superseded, duplicates, not_on_page (files that no line has) and
     accounted_for: nothing missing, not reached, unclear, unreadable, and no copies."""
     counts = rollup(lines.withColumns({"placed": F.col("file_no").isNotNull(), "first_candidate": F.coalesce("filename", F.lit(""))}))
-    spans = lines.groupBy("page_id").agg(F.count_if("reached").alias("in_batch"), F.count("file_no").alias("placed_files"))
+    spans = lines.groupBy("page_id").agg(F.count_if("reached").alias("in_batch"), F.count_if("superseded").alias("superseded"), F.count("file_no").alias("placed_files"))
     given = results.groupBy("page_id").agg(F.count_if(F.col("status") == "duplicate").alias("duplicates"), F.count_if(~F.col("status").isin("duplicate", "elite")).alias("placeable"))
     both = counts.join(spans, "page_id").join(given, "page_id", "left").na.fill(0, ["duplicates", "placeable"])
     whole = both.withColumns({"not_on_page": F.col("placeable") - F.col("placed_files"), "accounted_for": F.col("accounted_for") & (F.col("duplicates") == 0)})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions import labels, text
-from ledgerline.operators import batch, clients, matching, numbering, page, present, reconcile, segments
+from ledgerline.operators import batch, clients, edits, matching, metrics, numbering, page, present, reconcile, segments
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -654,6 +654,50 @@ def q52_line_candidates(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.line_candidates(lines, listing, firms, regions).select("page_id", "line_no", "candidate", "has_document")
 
 
+@query("""
+WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus) AS n, l_returnflag AS r, l_linestatus = 'O' AS filled, l_quantity > 25 AS named, l_partkey AS p FROM lineitem),
+d AS (SELECT k, CASE k % 5 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'alternate' WHEN 2 THEN 'no submission' ELSE 'ordinary' END AS route, count(*) AS lines,
+    count(*) FILTER (r = 'A') AS yes, count(*) FILTER (r = 'N') AS no, count(*) FILTER (r = 'R' AND n % 3 = 0) AS odd, count(*) FILTER (r = 'R' AND n % 3 > 0) AS blank,
+    count(*) FILTER (filled) AS matters, coalesce(min(n) FILTER (filled), 1) AS low, coalesce(max(n) FILTER (filled), 0) AS high, count(*) FILTER (named) AS leads,
+    string_agg('Publishable matter ' || n, '; ' ORDER BY n) FILTER (filled) AS matter_texts, string_agg('Partner: leading individual 1 - P' || p, '; ' ORDER BY n) FILTER (named) AS lead_texts,
+    string_agg('P' || p || ' - partner', '; ' ORDER BY n) FILTER (r = 'A') AS partner_texts, string_agg('P' || p || ' - not a partner', '; ' ORDER BY n) FILTER (r = 'N') AS other_texts FROM l GROUP BY k),
+m AS (SELECT *, unnest(['matters', 'active_clients', 'new_clients', 'lead_partners', 'next_gen', 'associates']) AS metric, route = 'ordinary' AS plain, route = 'alternate' AS alt FROM d)
+SELECT k AS doc_id, route, metric, CAST(CASE WHEN plain THEN CASE metric WHEN 'matters' THEN matters WHEN 'active_clients' THEN lines WHEN 'new_clients' THEN CASE WHEN odd = 0 THEN yes END WHEN 'lead_partners' THEN leads ELSE 0 END
+    WHEN alt THEN CASE metric WHEN 'active_clients' THEN lines WHEN 'new_clients' THEN CASE WHEN odd = 0 THEN yes END WHEN 'lead_partners' THEN yes WHEN 'associates' THEN no END END AS INTEGER) AS value,
+    coalesce(CASE WHEN plain THEN CASE metric WHEN 'matters' THEN matter_texts WHEN 'lead_partners' THEN lead_texts WHEN 'active_clients' THEN 'Active key clients: ' || lines || ' client rows' WHEN 'new_clients' THEN 'Active key clients: ' || lines || ' client rows' END
+    WHEN alt THEN CASE metric WHEN 'lead_partners' THEN partner_texts WHEN 'associates' THEN other_texts WHEN 'active_clients' THEN 'D0 Clients: ' || lines || ' client rows' WHEN 'new_clients' THEN 'D0 Clients: ' || lines || ' client rows' END END, '') AS evidence,
+    plain AND metric = 'matters' AND NOT (low = 1 AND high = matters) AS numbering_gap,
+    CASE WHEN plain THEN metric = 'active_clients' AND blank > 0 AND (blank < lines OR lines = 1) ELSE alt AND metric <> 'next_gen' END AS needs_check FROM m
+""")
+def q53_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents of four kinds, their lines as clients, matters and nominations: a
+    letter and an unreadable file have no figures, the alternate form has its own."""
+    turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), turn.alias("n"), F.col("l_returnflag").alias("r"), "l_linestatus", "l_quantity", F.concat(F.lit("P"), "l_partkey").alias("p"))
+    n, kind, empty = F.col("n"), F.col("doc_id") % 5, F.lit("")
+    row = lambda tbl, at, *cells: F.struct(tbl.cast("int").alias("tbl_no"), at.cast("int").alias("row_no"), F.array(*(c if not isinstance(c, str) else F.lit(c) for c in cells)).alias("cells"))
+    answer = lambda yes, no: F.when(F.col("r") == "A", yes).when(F.col("r") == "N", no).when(n % 3 == 0, "maybe").otherwise("")
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    ordinary = F.array(
+        row(zero, n, "p", answer("Yes", "No")),
+        row(n * 10, zero, F.concat(F.lit("Publishable matter "), n)), row(n * 10, one, "Name of client"), row(n * 10, two, F.when(F.col("l_linestatus") == "O", "X").otherwise(empty)),
+        row(n * 10 + 1, zero, "Partner: leading individual 1"), row(n * 10 + 1, one, "Name"), row(n * 10 + 1, two, F.when(F.col("l_quantity") > 25, F.col("p")).otherwise(empty)),
+    )
+    other = F.array(row(zero, n + 1, F.col("p"), F.when(F.col("r") == "A", "Y").when(F.col("r") == "N", "N").otherwise("?")), row(one, n + 1, F.lit("1"), F.col("p"), answer("Y", "N")))
+    once = {
+        1: F.array(row(zero, zero, "B9: ranked and unranked lawyers"), row(zero, one, "Name", "Partner Y/N"), row(one, zero, "D0 Clients"), row(one, one, "No", "Name of client", "New client")),
+        2: F.array(row(zero, zero, "Dear", "Sir")), 3: F.array(row(zero, zero, "Active key clients", "New")), 4: F.array(row(zero, zero, "Active key clients", "New")),
+    }
+    docs = li.select("doc_id").distinct()
+    heads = docs.select("doc_id", F.inline(F.coalesce(*(F.when(kind == k, v) for k, v in once.items()))))
+    body = li.select("doc_id", F.inline(F.when(kind == 1, other).when(kind > 2, ordinary)))
+    rows = heads.unionByName(body).withColumn("fill", empty)
+    documents = docs.select("doc_id", F.when(kind == 0, "broken").alias("error"))
+    blocks = docs.select("doc_id", zero.alias("block_no"), F.lit("p").alias("kind"), F.lit("a paragraph").alias("text"))
+    found = metrics.figures(documents, rows, blocks)
+    return found.select("doc_id", "route", "metric", "value", F.array_join("evidence", "; ").alias("evidence"), "numbering_gap", "needs_check")
+
+
 # Orders as a portal page a customer: what each line may mean, walked line by line.
 _PAGE_SQL = """
 WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_custkey AS page_id, o_orderpriority AS area, o_orderstatus AS s, o_orderdate AS dated, k % 10 = 0 AS elite, k % 3 > 0 AS doc,
@@ -737,6 +781,88 @@ def q55_page_rollup(spark: SparkSession, d: str) -> DataFrame:
     return done.select("page_id", "page_size", "expected", "in_batch", "missing", "not_reached", "accounted", "distinct_documents", "unclear", "unreadable", "duplicates", "not_on_page", "accounted_for")
 
 
+@query(_PAGE_SQL + """
+, p AS (SELECT z.page_id, count(*) AS page_size, count(*) FILTER (status = 'no document') AS without_document, count(*) FILTER (status = 'unrecognised') AS unrecognised, count(*) FILTER (status = 'elite') AS elite,
+    count(*) FILTER (superseded) AS superseded, count(*) FILTER (expected) AS expected, count(DISTINCT CASE WHEN expected AND repeat_of IS NULL THEN name END) + count(*) FILTER (expected AND repeat_of IS NOT NULL) AS documents FROM z GROUP BY z.page_id),
+b AS (SELECT page_id, count(*) AS files, count(*) FILTER (status = 'elite') AS elite, count(*) FILTER (status = 'superseded') AS older, count(*) FILTER (status = 'duplicate') AS copies FROM f GROUP BY page_id),
+e AS (SELECT page_id, count(*) AS n, count(*) FILTER (k IN (SELECT file_no FROM f WHERE status = 'matched')) AS matched FROM r WHERE NOT elite GROUP BY page_id),
+u AS (SELECT page_id, 'page' AS chain, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS line_no, unnest(['rows pasted', 'without a document', 'not found for this firm', 'elite, not recounted', 'replaced by a newer row', 'rows to check', 'share a document with another row', 'separate documents to download']) AS label,
+        unnest([page_size, -without_document, -unrecognised, -elite, -superseded, expected, documents - expected, documents]) AS n, unnest([NULL, NULL, NULL, NULL, NULL, true, NULL, true]) AS follows FROM p
+    UNION ALL SELECT page_id, 'files', unnest([1, 2, 3, 4, 5]), unnest(['documents uploaded', 'elite, not recounted', 'older versions removed', 'second copies removed', 'rows in the table']), unnest([files, -elite, -older, -copies, files - elite - older - copies]), unnest([NULL, NULL, NULL, NULL, true]) FROM b
+    UNION ALL SELECT page_id, 'export', unnest([1, 2, 3]), unnest(['rows in the export for these firms', 'not matched to any document', 'matched and compared']), unnest([n, matched - n, matched]), unnest([NULL, NULL, true]) FROM e)
+SELECT page_id, chain, line_no, label, n, follows FROM u WHERE n <> 0 OR label IN ('rows pasted', 'rows to check', 'separate documents to download', 'documents uploaded', 'rows in the table', 'rows in the export for these firms', 'matched and compared')
+""")
+def q56_ledgers(spark: SparkSession, d: str) -> DataFrame:
+    """How a page, its files and the export come down, line by line, to what is compared."""
+    tables = _page_tables(spark, d)
+    results, exported = tables[2], F.col("candidate").alias("export_id")
+    pages = reconcile.page_rollup(reconcile.page_lines(*tables), results)
+    owners = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate"), F.col("o_custkey").alias("page_id"))
+    export = tables[1].filter("NOT grp LIKE 'Elite%'").join(owners, "candidate").select("page_id", exported)
+    matched = results.filter("status = 'matched'").select(F.col("file_no").alias("export_id"))
+    parts = [
+        edits.chain(pages, ["page_id"], "page", edits.PAGE_CHAIN), edits.chain(edits.file_counts(results, ["page_id"]), ["page_id"], "files", edits.FILE_CHAIN),
+        edits.chain(edits.export_counts(export, matched, ["page_id"]), ["page_id"], "export", edits.EXPORT_CHAIN),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+WITH n AS (SELECT n_nationkey, lower(n_name) AS region FROM nation), c AS (SELECT c_custkey, lower(c_name) AS firm, region FROM customer JOIN n ON c_nationkey = n_nationkey),
+l AS (SELECT o_orderkey * 4 AS line_no, 'file|f' || o_orderkey || '.docx' AS key FROM orders WHERE o_orderkey % 40 = 1
+    UNION ALL SELECT c_custkey * 4 + 1, unnest(['fra|' || firm || '|' || region || '|1-urgent', 'ra|' || region || '|1-urgent', 'a|1-urgent']) FROM c WHERE c_custkey % 30 = 1
+    UNION ALL SELECT n_nationkey * 4 + 2, unnest(['ra|' || region || '|2-high', 'a|2-high']) FROM n WHERE n_nationkey % 2 = 0
+    UNION ALL SELECT 3, 'a|3-medium'),
+m AS (SELECT key, min(line_no) AS place FROM l GROUP BY key),
+k AS (SELECT o_orderkey, unnest([1, 2, 3, 4]) AS turn, unnest(['file|f' || o_orderkey || '.docx', 'fra|' || firm || '|' || region || '|' || lower(o_orderpriority), 'ra|' || region || '|' || lower(o_orderpriority), 'a|' || lower(o_orderpriority)]) AS key
+    FROM orders JOIN c ON o_custkey = c_custkey)
+SELECT o_orderkey, CAST(arg_min(place, turn) AS INTEGER) AS position FROM k JOIN m USING (key) GROUP BY o_orderkey
+""")
+def q57_pasted_positions(spark: SparkSession, d: str) -> DataFrame:
+    """A page that names files, firms with regions, regions, and areas: each order stands where
+    the most specific of its keys does."""
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("region"))
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_name").alias("firm"), "region")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("area"))
+    none = F.lit(None).cast("string")
+    line = lambda df, at, file=none, firm=none, region=none, area=none: df.select(F.lit(1).alias("page_id"), at.cast("int").alias("line_no"), file.alias("file"), firm.alias("firm"), region.alias("region"), area.alias("area"))
+    k, name = F.col("o_orderkey"), F.concat(F.lit("f"), "o_orderkey", F.lit(".docx"))
+    lines = line(orders.filter(k % 40 == 1), k * 4, file=name)
+    lines = lines.unionByName(line(c.filter("c_custkey % 30 = 1"), F.col("c_custkey") * 4 + 1, firm=F.col("firm"), region=F.col("region"), area=F.lit("1-URGENT")))
+    lines = lines.unionByName(line(n.filter("n_nationkey % 2 = 0"), F.col("n_nationkey") * 4 + 2, region=F.col("region"), area=F.lit("2-HIGH")))
+    lines = lines.unionByName(line(n.filter("n_nationkey = 0"), F.lit(3), area=F.lit("3-MEDIUM")))
+    parts = (F.col("file"), F.col("firm"), F.col("region"), none, F.col("area"))
+    rows = orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.lit(1).alias("page_id"), "o_orderkey", name.alias("file"), "firm", "region", "area")
+    return page.positions(rows, page.order_map(lines, *parts), "o_orderkey", *parts).select("o_orderkey", "position")
+
+
+# What the count and a person say, in a log: every seventh order was entered, every 21st taken back.
+_DECIDED_SQL = f"""
+SELECT l_orderkey, metric, reported, recounted, CASE WHEN l_orderkey % 7 = 0 AND l_orderkey % 21 > 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN reported END ELSE recounted END AS value FROM ({_METRICS_SQL})
+"""
+
+
+def _overrides(metrics_: DataFrame) -> DataFrame:
+    """First an impossible figure, then the export's own or unknown; some are taken back."""
+    k = F.col("l_orderkey")
+    entered = metrics_.filter(k % 7 == 0).select(k.cast("string").alias("name"), "metric", k, "reported")
+    entry = lambda at, value, removed: F.struct(F.lit(at).alias("at"), value.cast("int").alias("value"), removed.alias("removed"))
+    steps = F.array(entry(1, F.lit(-5), F.lit(False)), entry(2, F.when(k % 2 == 0, F.col("reported")), F.lit(False)), entry(3, F.lit(None), F.lit(True)))
+    log = entered.select("name", "metric", F.inline(F.when(k % 21 == 0, steps).otherwise(F.slice(steps, 1, 2))))
+    return edits.latest_overrides(log)
+
+
+@query(f"""
+SELECT l_orderkey, metric, reported AS exported, recounted AS counted, value, array_to_string(list_filter([CASE WHEN recounted IS NULL THEN 'count by hand' END, CASE WHEN l_orderkey % 5 = 0 THEN 'check the count' END,
+    CASE WHEN value <> reported THEN 'differs from the export' END], lambda x: x IS NOT NULL), ', ') AS why FROM ({_DECIDED_SQL}) WHERE recounted IS NULL OR l_orderkey % 5 = 0 OR value <> reported
+""")
+def q58_review_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of orders that a person may have to decide, with what was entered for some."""
+    found = _metrics(spark, d)
+    asked = found.select("l_orderkey", F.col("l_orderkey").cast("string").alias("name"), "metric", F.col("reported").alias("exported"), F.col("recounted").alias("counted"), (F.col("l_orderkey") % 5 == 0).alias("needs_check"))
+    return edits.review_rows(asked, _overrides(found)).select(F.col("name").cast("long").alias("l_orderkey"), "metric", "exported", "counted", "value", "why")
+
+
 _FLAGSHIP_SQL = f"""
 WITH m AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders)
 SELECT r.o_custkey, r.o_orderkey, r.recount, r.reported, CASE WHEN r.recount < r.reported THEN 'lines missing' ELSE 'lines repeated' END AS reason

@@ -71,5 +71,5 @@ GOLDEN = {
         + tbl(*nominee("Partner: leading individual 2", "")),
         (4, 3, 2, 1, 0, 0),
     ),
-    "empty.docx": (p("nothing") + p("Your team: leading partners"), (None, None, None, None, 0, 0)),
+    "empty.docx": (p("nothing") + p("Your team: leading partners"), (None, None, None, None, None, None)),
 }

@@ -90,7 +90,17 @@ def test_differences(results):
     spark, found, _, export = results
     figures = spark.createDataFrame([(1, "matters", 6), (4, "matters", 3), (5, "matters", None), (3, "matters", 99), (9, "matters", 5)], "doc_no long, metric string, value int")
     got = batch.differences(found, figures, export, {"matters": "num_matters"})
-    assert sorted((r["doc_no"], r["exported"], r["counted"]) for r in got.collect()) == [(1, 5, 6), (9, 4, 5)]
+    assert sorted((r["doc_no"], r["exported"], r["counted"], r["decided_by"]) for r in got.collect()) == [(1, 5, 6, "the count"), (9, 4, 5, "the count")]
+    names = {r["doc_no"]: r["filename"] for r in found.collect()}
+    entered = spark.createDataFrame([(names[1].upper(), "matters", 5), (names[9], "matters", 7), (names[5], "matters", None), ("other", "matters", 1)], "name string, metric string, value int")
+    got = batch.differences(found, figures, export, {"matters": "num_matters"}, entered)
+    assert sorted((r["doc_no"], r["exported"], r["counted"], r["decided_by"]) for r in got.collect()) == [(9, 4, 7, "a person")]
+
+
+def test_copies_say_what_is_counted(results):
+    said = [(r["doc_no"], i) for r in results[1].filter("status = 'duplicate'").collect() for i in r["issues"] if "second copy" in i]
+    assert said
+    assert all(i.startswith("a second copy of the same submission, counted from ") for _, i in said)
 
 
 def test_from_files_to_changes(spark):

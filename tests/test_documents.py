@@ -6,12 +6,12 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import edits
+from ledgerline.operators import edits, metrics
 from ledgerline.operators.metrics import looks_like_submission, recount, trace
 from ledgerline.sources import readers
 from ledgerline.sources.listings import portal_rows
 from ledgerline.sources.ooxml import read_document, read_workbook, write_workbook
-from tests.docx_files import GOLDEN, NS, control, nominee, p, package, tbl
+from tests.docx_files import GOLDEN, NS, clients, control, matter, nominee, p, package, tbl
 
 METRICS = ("matters", "active_clients", "new_clients", "lead_partners", "next_gen", "associates")
 
@@ -177,3 +177,77 @@ def test_ledger_adds_up(spark):
     lines = spark.createDataFrame([("page", 5), ("elite", 1), ("expected", 4)], "line string, n long")
     assert tuple(edits.adds_up(lines, "page", "elite", "expected").first()) == (5, 5, True)
     assert not edits.adds_up(lines, "page", "elite").first()["adds_up"]
+
+
+ORDINARY = tbl(*clients(("Acme", "Yes")))
+
+
+def of_kind(spark, tmp_path, **bodies):
+    """(document, metric) -> row of the figures of documents with these bodies."""
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.docx").write_bytes(package(body) if isinstance(body, str) else body)
+    documents = readers.decode_documents(readers.files(spark, str(tmp_path), "*.docx")).cache()
+    found = metrics.figures(documents, readers.rows(documents), readers.blocks(documents)).collect()
+    return {(r["doc_id"].removesuffix(".docx"), r["metric"]): r for r in found}
+
+
+def values(got, name):
+    return tuple(got[name, m]["value"] for m in METRICS)
+
+
+def test_routes(spark, tmp_path):
+    """Unknown, never zero: a letter has no figures, the alternate form has its own."""
+    lawyers = tbl(("B9: Ranked and unranked lawyers", "", ""), ("Name", "Comments", "Partner Y/N"), ("Ann", "", "Y"), ("Bo", "", "[N]"), ("", "", "Y"))
+    listed = tbl(("D0 Publishable clients", "", ""), ("No", "Name of client", "New client (Y/N)"), ("1", "Acme", "Yes"), ("2", "N/A", ""), ("3", "Beta", "no"), ("4", "", ""))
+    got = of_kind(
+        spark, tmp_path, letter=tbl(("Dear", "Sir")), alternate=lawyers + listed, site=p("send it to https://myaccount.chambers.com/x") + ORDINARY,
+        odd=lawyers.replace("[N]", "perhaps") + listed.replace(">no<", ">perhaps<"), headless=tbl(("E0 Confidential clients",), ("nothing",)), broken=b"PK no package", plain=ORDINARY,
+    )
+    assert {name: got[name, "matters"]["route"] for name, m in got if m == "matters"} == {"letter": "no submission", "alternate": "alternate", "site": "alternate", "odd": "alternate", "headless": "alternate", "broken": "unreadable", "plain": "ordinary"}
+    assert values(got, "letter") == values(got, "broken") == (None,) * 6
+    assert got["letter", "next_gen"]["notes"] == [got["letter", "next_gen"]["error"]]
+    assert "does not look like a submission" in got["letter", "matters"]["error"]
+    assert values(got, "alternate") == (None, 2, 1, 1, None, 1)
+    assert got["alternate", "lead_partners"]["evidence"] == ["Ann - partner"]
+    assert got["alternate", "associates"]["evidence"] == ["Bo - not a partner"]
+    assert got["alternate", "new_clients"]["evidence"] == ["D0 Publishable clients: 2 client rows"]
+    assert all(got["alternate", m]["needs_check"] for m in METRICS if m != "next_gen")
+    assert values(got, "site") == values(got, "headless") == (None,) * 6  # neither list was found
+    assert values(got, "odd") == (None, 2, None, 1, None, 0)
+    assert got["odd", "associates"]["notes"] == ["1 lawyer(s) are said to be neither partner nor not: Bo: 'perhaps'; not counted"]
+    assert got["odd", "new_clients"]["notes"] == ["1 answer(s) are neither yes nor no: 'perhaps'; count this column by hand"]
+    assert values(got, "plain") == (None, 1, 1, 0, 0, 0)
+
+
+def test_evidence_and_notes(spark, tmp_path):
+    numbers = lambda kind, *ns: "".join(tbl(*matter(f"{kind} matter {n}", "X")) for n in ns)
+    many = [(f"Client {n}", "") for n in range(7)]
+    got = of_kind(
+        spark, tmp_path,
+        straight=numbers("Publishable", 1, 2) + numbers("Non-publishable", 3, 4),
+        kinds=numbers("Publishable", 1, 2, 2, 5) + numbers("Non-publishable", 1, 2), far=numbers("Publishable", 2, 2, 900) + numbers("Non-publishable", 1, 2),
+        both=numbers("Publishable", 1, 2, 3, 7) + numbers("Non-publishable", 4, 5, 9),
+        blanks=tbl(*clients(*many, ("Answered", "Yes"))), lone=tbl(*clients(("All clients are confidential", ""))), habit=tbl(*clients(*many)),
+        odd=tbl(*clients(("A", "maybe"), ("B", "Not sure"), ("C", "maybe"), ("D", "Yes, partly"), ("E", "((no))"))),
+        vague=ORDINARY + tbl(*nominee("Partner: of note 1", "Ann")) + tbl(*nominee("Partner: of note 2", "")) + p("Your team: next gen partners"),
+        team=ORDINARY + tbl(*matter("Publishable matter 1", "X"), ("Associate: of the matter", "")) + tbl(*nominee("Associates: leading associate 1", "Cy")),
+        apart=tbl(("Non-publishable matter 1", "")) + tbl(("Name of client", "Industry sector"), ("Y", "")) + tbl(*matter("Publishable matter 1", "")) + tbl(*nominee("Leading partner 1", "")),
+    )
+    said = lambda name, m: got[name, m]["notes"]
+    assert (said("straight", "matters"), got["straight", "matters"]["numbering_gap"]) == ([], False)
+    assert said("kinds", "matters") == ["Publishable matters are numbered up to 5, and 4 were counted (no 3, 4; repeated 2): one may have been deleted or mistyped, or missed by the count"]
+    assert said("far", "matters") == ["Matters are numbered up to 900 across publishable and non-publishable, and 5 were counted (no 3 to 899; repeated 2): one may have been deleted or mistyped, or missed by the count"]
+    assert said("both", "matters") == ["Matters are numbered up to 9 across publishable and non-publishable, and 7 were counted (no 6, 8): one may have been deleted or mistyped, or missed by the count"]
+    assert got["both", "matters"]["numbering_gap"] and not got["both", "matters"]["needs_check"]
+    assert said("blanks", "active_clients") == ["7 row(s) answer nothing about new clients: 'Client 0', 'Client 1', 'Client 2', 'Client 3', and 3 more; counted, check that they are clients"]
+    assert said("lone", "active_clients") == ["1 row(s) answer nothing about new clients: 'All clients are confidential'; counted, check that they are clients"]
+    assert (said("habit", "active_clients"), said("habit", "new_clients")) == ([], ["7 blank answer(s) count as not new"])
+    assert got["odd", "new_clients"]["value"] is None
+    assert said("odd", "new_clients") == ["1 answer(s) say more than yes or no and were read by their first word: 'Yes, partly'", "3 answer(s) are neither yes nor no: 'Not sure', 'maybe'; count this column by hand"]
+    unsure = "1 partner nomination(s) say neither leading nor next generation: 'Partner: of note 1'; counted as neither, decide by hand"
+    assert said("vague", "lead_partners") == [unsure, "no nominations of this kind"]
+    assert said("vague", "next_gen") == [unsure, "the heading of this category is there, but no nomination below it was recognised"]
+    assert (got["vague", "lead_partners"]["value"], got["vague", "next_gen"]["value"], got["vague", "associates"]["value"]) == (0, None, 0)
+    assert (got["team", "associates"]["evidence"], said("team", "associates")) == (["Associates: leading associate 1 - Cy"], ["1 role(s) inside matters are no nominations: 'Associate: of the matter'"])
+    assert said("apart", "matters") == ["1 empty matter box(es) were left out", "1 matter(s) have their label in a table of its own and the details in the next one"]
+    assert (got["apart", "lead_partners"]["value"], said("apart", "lead_partners")) == (0, ["1 empty nomination box(es) were left out"])

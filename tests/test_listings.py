@@ -45,6 +45,23 @@ def test_ticks_and_ledger(spark):
 
 
 def test_review_rows(spark):
-    rows = [("a", "m", 1, None, False, False, ["x", "y"]), ("a", "n", 1, 2, True, False, ["z"]), ("b", "m", 1, None, False, True, []), ("b", "n", 1, 2, False, False, [])]
-    df = spark.createDataFrame(rows, "name string, metric string, exported int, counted int, needs_check boolean, checked boolean, notes array<string>")
-    assert sorted((r["name"], r["metric"], r["why"]) for r in edits.review_rows(df).collect()) == [("a", "m", "x y"), ("a", "n", "z")]
+    """Unknown figures, flagged ones and those that differ; what was entered holds, also null."""
+    rows = [("A", "m", 1, None, False), ("A", "n", 2, 2, True), ("b", "m", 5, 7, False), ("b", "n", 2, 2, False), ("c", "m", 5, 7, False), ("c", "n", 5, 7, False), ("d", "m", None, 4, False)]
+    df = spark.createDataFrame(rows, "name string, metric string, exported int, counted int, needs_check boolean")
+    log = spark.createDataFrame([("C", "m", 9, 1, False), ("c", "m", 5, 2, False), ("c", "n", None, 1, False), ("b", "m", 5, 1, False), ("B", "m", None, 2, True), ("b", "n", 3, 1, False)], "name string, metric string, value int, at int, removed boolean")
+    now = edits.latest_overrides(log)
+    assert sorted(tuple(r) for r in now.collect()) == [("b", "n", 3), ("c", "m", 5), ("c", "n", None)]
+    got = sorted(tuple(r) for r in edits.review_rows(df, now).collect())
+    assert got == [("A", "m", 1, None, None, "count by hand"), ("A", "n", 2, 2, 2, "check the count"), ("b", "m", 5, 7, 7, "differs from the export"), ("b", "n", 2, 2, 3, "differs from the export")]
+    assert edits.review_rows(df, now, everything=True).count() == len(rows)
+
+
+def test_chains(spark):
+    counts = spark.createDataFrame([("a", 10, 2, 0, 8, 3, 5), ("b", 4, 1, 1, 3, 0, 3), ("c", 0, None, 0, 0, 0, 0)], "k string, start int, x int, y int, mid int, z int, last int")
+    lines = [("all", "start", "start"), ("x", "x", "minus"), ("y", "y", "minus"), ("middle", "mid", "total"), ("z", "z", "minus"), ("end", "last", "total")]
+    got = sorted(tuple(r) for r in edits.chain(counts, ["k"], "test", lines).collect())
+    assert got == [
+        ("a", "test", 1, "all", 10, None), ("a", "test", 2, "x", -2, None), ("a", "test", 4, "middle", 8, True), ("a", "test", 5, "z", -3, None), ("a", "test", 6, "end", 5, True),
+        ("b", "test", 1, "all", 4, None), ("b", "test", 2, "x", -1, None), ("b", "test", 3, "y", -1, None), ("b", "test", 4, "middle", 3, False), ("b", "test", 6, "end", 3, True),
+        ("c", "test", 1, "all", 0, None), ("c", "test", 4, "middle", 0, True), ("c", "test", 6, "end", 0, True),
+    ]
