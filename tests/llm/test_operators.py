@@ -112,6 +112,27 @@ def test_blocks_meet_all_within_radius(spark):
     assert df.filter(F.size(F.array_intersect("a", "b")) == 0).count() == 0
 
 
+def test_radius_holds_pairs_near_the_threshold(spark):
+    """Items of 13 to 60 words whose last words differ, as many as a similarity of 0.8 allows,
+    at the start, inside and at the end of a document: found within the radius and without."""
+    items, docs = [], []
+    for n in range(13, 61):
+        for k in range(3):
+            number = n * 10 + k
+            words = prose(number, n).split()
+            items.append((number, " ".join(words)))
+            changed = words[: n - (n - 4) // 9] + prose(number + 5000, (n - 4) // 9).split()
+            before, after = ("" if k == 0 else prose(number + 7000, 20)), ("" if k == 2 else prose(number + 9000, 20))
+            docs.append((number, " ".join([before, *changed, after])))
+    held = spark.createDataFrame(items, "item_id long, text string")
+    whole, near = ({(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table(spark, docs), held, radius=radius).collect()} for radius in (None, decontaminate.RADIUS))
+    assert near <= whole
+    assert len(whole) > 0.8 * len(items)
+    for low, high in ((13, 20), (21, 30), (31, 45), (46, 60)):
+        own = {x for x in whole if low <= x[1] // 10 <= high}
+        assert len(near & own) >= 0.95 * len(own)
+
+
 # --- 4 ---
 
 
