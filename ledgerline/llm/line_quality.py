@@ -13,7 +13,8 @@ text without line ends is a chain too. Features use nothing but the text.
 
 Nulls: a null or empty text is one empty line and gets a score; rows with null labels or
 text teach nothing, and labels that disagree on a document count as good. Repeated rows
-teach once, and are scored each. An empty table gives no rows; without any labelled rows
+teach once, and are scored each. Ties: documents whose hashes are equal at the sample's edge
+are taken by doc_id; equal texts have equal scores. An empty table gives no rows; without any labelled rows
 every score is 0.5. Columns of any other names are ignored, or kept in row."""
 
 from __future__ import annotations

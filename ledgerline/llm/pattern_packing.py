@@ -9,8 +9,9 @@ non-negative least squares and rounded down, patterns are realised with actual l
 Each (length, rank) then has its place: pieces are ranked within their length in salted
 groups, so a length that a third of all rows share is split, and look their place up.
 
-Nulls: a null text is an empty document (its end id alone); a null doc_id is kept.
-Repeated rows are packed each. Empty tables give no rows; other columns are ignored."""
+Nulls: a null text is an empty document (its end id alone); a null doc_id is kept. A very
+long text is encoded whole and cut into as many pieces as it needs. Of pieces of one length
+any may take any place of that length; which does changes no sequence's length. Repeated rows are packed each. Empty tables give no rows; other columns are ignored."""
 
 from __future__ import annotations
 
