@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions import labels, text
-from ledgerline.operators import batch, clients, edits, matching, metrics, numbering, page, present, reconcile, segments
+from ledgerline.operators import batch, clients, edits, folders, matching, metrics, numbering, page, present, reconcile, segments
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -863,6 +863,69 @@ def q58_review_rows(spark: SparkSession, d: str) -> DataFrame:
     return edits.review_rows(asked, _overrides(found)).select(F.col("name").cast("long").alias("l_orderkey"), "metric", "exported", "counted", "value", "why")
 
 
+# --- folders of firms ---
+
+
+# A folder a customer, its orders' documents, a listing of all and one a nation. "Firm 1" is
+# also part of "Firm 12", so folders and rows are chosen, not just met.
+_FOLDERS_SQL = """
+WITH c AS (SELECT c_custkey AS k, n_name AS n, CASE c_custkey % 3 WHEN 0 THEN n_name || '/Firm' || c_custkey WHEN 1 THEN 'Firm' || c_custkey || '/2026' ELSE 'Firm ' || c_custkey END AS folder FROM customer JOIN nation ON c_nationkey = n_nationkey),
+o AS (SELECT c.*, o_orderkey AS r, o_orderdate AS dated, o_orderstatus AS area, o_orderpriority = '5-LOW' AS elite, o_orderkey % 13 > 0 AS has, '_submission_' || o_orderkey || '_EC' || o_orderkey % 10 || '.docx' AS tail FROM orders JOIN c ON o_custkey = k),
+docs AS (SELECT folder, 'x_' || k || tail AS name FROM o WHERE r % 5 > 0),
+listing AS (SELECT 'real/all.csv' AS export, * EXCLUDE (folder), 'X_' || k || tail AS name FROM o WHERE r % 7 > 0 UNION ALL SELECT n || '/spreadsheets/p.csv', * EXCLUDE (folder), 'X_' || k || tail FROM o WHERE r % 11 > 0 AND k % 2 = 0),
+firms AS (SELECT 'Firm ' || k AS firm, 'firm' || k AS short FROM c),
+folders AS (SELECT DISTINCT folder, lower(replace(folder, ' ', '')) AS short, string_split(folder, '/') AS path FROM docs),
+picked AS (SELECT firm, d.folder FROM firms f JOIN folders d ON contains(d.short, f.short)
+    QUALIFY row_number() OVER (PARTITION BY firm ORDER BY NOT contains(lower(replace(path[-1], ' ', '')), f.short), len(path), path) = 1),
+pairs AS (SELECT f.firm, l.k FROM firms f JOIN (SELECT DISTINCT k FROM listing) l ON contains('firm ' || l.k || ' llp', lower(f.firm))),
+asked AS (SELECT p.firm, l.* FROM pairs p JOIN listing l USING (k)),
+near AS (SELECT DISTINCT firm, folder, export, CASE WHEN export = regexp_replace(folder, '[^/]*$', 'spreadsheets/p.csv') THEN 2 WHEN export = 'real/all.csv' THEN 3 END AS turn FROM asked JOIN picked USING (firm)),
+chosen AS (SELECT firm, folder, export FROM near WHERE turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY firm ORDER BY turn) = 1),
+own AS (SELECT a.*, folder FROM asked a JOIN chosen USING (firm, export)),
+tops AS (SELECT *, max(dated) OVER (PARTITION BY firm, k, n, area) AS top FROM own WHERE NOT elite AND has),
+marked AS (SELECT *, dated < top AND count_if(dated = top) OVER (PARTITION BY firm, k, n, area) = 1 AS older FROM tops),
+held AS (SELECT firm, folder, export, name FROM chosen JOIN docs USING (folder)),
+codes AS (SELECT DISTINCT firm, k || '/' || r % 10 AS code FROM own WHERE elite),
+checked AS (SELECT firm, folder, export, coalesce(h.name, m.name) AS name, CASE WHEN h.name IS NULL THEN 'missing' WHEN m.name IS NOT NULL THEN 'present'
+    WHEN EXISTS (FROM codes e WHERE e.firm = firm_ AND e.code = regexp_replace(h.name, '^x_(\\d+)_.*EC(\\d+).docx$', '\\1/\\2')) THEN 'elite' ELSE 'extra' END AS side, n AS region, area, dated
+    FROM (SELECT *, firm AS firm_, lower(name) AS key FROM held) h FULL JOIN (SELECT *, lower(name) AS key FROM marked WHERE NOT older) m USING (firm, folder, export, key)
+    UNION ALL SELECT firm, folder, export, name, 'older version', n, area, dated FROM marked WHERE older
+    UNION ALL SELECT firm, folder, export, NULL, 'no document', n, area, dated FROM own WHERE NOT elite AND NOT has)
+"""
+
+
+def _folder_check(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k, r = F.col("c_custkey").cast("string"), F.col("o_orderkey")
+    place = F.when(F.col("c_custkey") % 3 == 0, F.concat("n_name", F.lit("/Firm"), k)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("Firm"), k, F.lit("/2026"))).otherwise(F.concat(F.lit("Firm "), k))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("folder", place)
+    tail = F.concat(k, F.lit("_submission_"), r, F.lit("_EC"), r % 10, F.lit(".docx"))
+    o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("tail", tail)
+    documents = o.filter(r % 5 > 0).select("folder", F.concat(F.lit("x_"), "tail").alias("name"))
+    exports = F.array_compact(F.array(F.when(r % 7 > 0, F.lit("real/all.csv")), F.when((r % 11 > 0) & (F.col("c_custkey") % 2 == 0), F.concat("n_name", F.lit("/spreadsheets/p.csv")))))
+    has = r % 13 > 0
+    listing = o.select(
+        F.explode(exports).alias("export"), r.alias("row_no"), F.concat(F.lit("Firm "), k, F.lit(" LLP")).alias("firm"), F.col("n_name").alias("region"), F.when(F.col("o_orderpriority") == "5-LOW", "Elite").otherwise("Group").alias("grp"),
+        F.col("o_orderstatus").alias("area"), F.concat(F.lit("X_"), "tail").alias("filename"), has.alias("has_document"), F.col("o_orderdate").alias("created_at"),
+    )
+    firms = c.select(F.concat(F.lit("Firm "), k).alias("firm"))
+    return firms, folders.check_folders(listing, documents, firms, ["real"])
+
+
+@query(_FOLDERS_SQL + "SELECT firm, folder, export, name, side, region, area, strftime(dated, '%Y-%m-%d') AS created FROM checked")
+def q59_folder_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in every customer's folder against what the nearest listing says of it."""
+    return _folder_check(spark, d)[1].withColumn("created", F.date_format("created_at", "yyyy-MM-dd")).drop("created_at")
+
+
+@query(_FOLDERS_SQL + f"""
+, n AS (SELECT firm, folder, export, {", ".join(f"count_if(side = '{s}') AS {c}" for s, c in folders.SIDES.items())} FROM checked GROUP BY ALL)
+SELECT f.firm, n.* EXCLUDE (firm), missing = 0 AS complete FROM firms f LEFT JOIN n USING (firm)
+""")
+def q60_folder_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A row a customer: what is present, missing, replaced, extra, and whether that is all."""
+    return folders.folder_counts(*_folder_check(spark, d))
+
+
 _FLAGSHIP_SQL = f"""
 WITH m AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders)
 SELECT r.o_custkey, r.o_orderkey, r.recount, r.reported, CASE WHEN r.recount < r.reported THEN 'lines missing' ELSE 'lines repeated' END AS reason
