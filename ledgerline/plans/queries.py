@@ -3,12 +3,16 @@ says the same independently."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions import labels, text
 from ledgerline.operators import batch, clients, edits, folders, matching, metrics, numbering, page, present, reconcile, segments
+from ledgerline.operators.tables import shared_folder
+from ledgerline.sources import readers, store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -926,6 +930,21 @@ def q60_folder_counts(spark: SparkSession, d: str) -> DataFrame:
     return folders.folder_counts(*_folder_check(spark, d))
 
 
+@query("""
+SELECT o_custkey, CAST(count(DISTINCT (o_orderstatus, o_orderpriority)) AS INTEGER) AS n_rows, CAST(count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderstatus END) AS INTEGER) AS n_urgent FROM orders GROUP BY o_custkey
+""")
+def q61_kept_decodes(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's kinds of orders, written as a spreadsheet and decoded again; equal files
+    are decoded once, and the second run finds all of them in the store."""
+    kinds = table(spark, d, "orders").select("o_custkey", F.concat_ws(",", "o_orderstatus", "o_orderpriority").alias("kind")).distinct()
+    packages = kinds.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("kind")), "\n").cast("binary").alias("content")).withColumn("doc_id", F.col("o_custkey").cast("string"))
+    kept = f"{shared_folder(packages)}/decoded/{uuid.uuid4().hex}"
+    for _ in range(2):
+        found = store.decoded(packages.select("doc_id", "content"), readers.decode_tables, kept)
+    count = lambda f: F.size(F.filter("cells", f)).alias
+    return found.select(F.col("doc_id").cast("long").alias("o_custkey"), count(lambda c: c["col_no"] == 1)("n_rows"), count(lambda c: c["value"] == "1-URGENT")("n_urgent"))
+
+
 _FLAGSHIP_SQL = f"""
 WITH m AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders)
 SELECT r.o_custkey, r.o_orderkey, r.recount, r.reported, CASE WHEN r.recount < r.reported THEN 'lines missing' ELSE 'lines repeated' END AS reason
