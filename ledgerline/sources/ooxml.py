@@ -89,8 +89,13 @@ def _squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def read_document(content: bytes) -> dict:
-    """blocks, rows and controls of a Word document in document order, or error."""
+#: What a Word document is decoded to, beside its notes and error.
+PARTS = frozenset({"blocks", "rows", "controls"})
+
+
+def read_document(content: bytes, parts: frozenset[str] = PARTS) -> dict:
+    """blocks, rows and controls of a Word document in document order, or error. Those that
+    parts leaves out stay empty and cost nothing."""
     out: dict = {"blocks": [], "rows": [], "controls": [], "notes": [], "error": None}
     try:
         package = Package(content)
@@ -128,14 +133,18 @@ def read_document(content: bytes) -> dict:
                 number = tables
                 tables += 1
                 out["blocks"].append({"block_no": len(out["blocks"]), "kind": "tbl", "text": None, "tbl_no": number})
-                out["rows"] += [{"tbl_no": number, "row_no": k, "cells": c, "fill": f} for k, (c, f) in enumerate(cell_rows(child))]
+                if "rows" in parts:
+                    out["rows"] += [{"tbl_no": number, "row_no": k, "cells": c, "fill": f} for k, (c, f) in enumerate(cell_rows(child))]
                 for cell in child.findall(f"{W}tr/{W}tc"):
                     walk(cell)
             elif child.tag == W + "sdt" and (inner := child.find(W + "sdtContent")) is not None:
                 walk(inner)
 
-    walk(body)
-    for sdt in body.iter(W + "sdt"):
+    if parts & {"blocks", "rows"}:
+        walk(body)
+    if "blocks" not in parts:
+        out["blocks"] = []
+    for sdt in body.iter(W + "sdt") if "controls" in parts else ():
         alias = sdt.find(f"{W}sdtPr/{W}alias")
         text = _squeezed("".join(t.text or "" for t in sdt.iter(W + "t")))
         if not re.match(r"(?i)^(choose an item|click here to enter text)\.?$", text):
@@ -143,9 +152,9 @@ def read_document(content: bytes) -> dict:
     return out
 
 
-def read_workbook(content: bytes) -> list[dict]:
+def read_workbook(content: bytes, sheets: frozenset[str] | None = None) -> list[dict]:
     """Cells of all sheets in their order: sheet_no, sheet, row_no, col_no, value, link, fill
-    (RRGGBB or empty)."""
+    (RRGGBB or empty). With sheets, only sheets of these names are opened."""
     package = Package(content)
     relations = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(package.part("xl/_rels/workbook.xml.rels"))}
     shared = []
@@ -160,6 +169,8 @@ def read_workbook(content: bytes) -> list[dict]:
         styles = [int(x.get("fillId") or 0) for x in sheet.findall(f"{S}cellXfs/{S}xf")]
     out = []
     for number_of, sheet in enumerate(ElementTree.fromstring(package.part("xl/workbook.xml")).iter(S + "sheet")):
+        if sheets is not None and sheet.get("name") not in sheets:
+            continue
         target = relations[sheet.get(R + "id")].lstrip("/")
         path = target if target.startswith("xl/") else "xl/" + target
         tree = ElementTree.fromstring(package.part(path))

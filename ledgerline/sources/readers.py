@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.labels import is_elite_area
 from ledgerline.functions.text import area_variants, clean, normalise, to_int
-from ledgerline.sources.ooxml import read_csv, read_document, read_workbook
+from ledgerline.sources.ooxml import PARTS, read_csv, read_document, read_workbook
 
 DOCUMENT = (
     "blocks array<struct<block_no: int, kind: string, text: string, tbl_no: int>>, "
@@ -25,24 +25,48 @@ CELLS = "array<struct<sheet_no: int, sheet: string, row_no: int, col_no: int, va
 
 
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """doc_id (file name), content; lock files of open documents are left out."""
+    """doc_id (file name), content; lock files of open documents are left out, and
+    so are files without a byte, which Spark's source skips."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    plain = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
-    return found.select(plain.alias("doc_id"), "content").filter(~F.startswith("doc_id", F.lit("~$")))
+    name = F.element_at(F.split("path", "/"), -1)  # path is the file's own, not encoded
+    return found.select(name.alias("doc_id"), "content").filter(~F.startswith("doc_id", F.lit("~$")))
+
+
+_BLOCK = pa.struct([("block_no", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("tbl_no", pa.int32())])
+_ROW = pa.struct([("tbl_no", pa.int32()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("fill", pa.string())])
+_CONTROL = pa.struct([("sdt_no", pa.int32()), ("alias", pa.string()), ("text", pa.string())])
+_CELL = pa.struct([("sheet_no", pa.int32()), ("sheet", pa.string()), ("row_no", pa.int32()), ("col_no", pa.int32()), ("value", pa.string()), ("link", pa.string()), ("fill", pa.string())])
+#: Arrow types of the columns of DOCUMENT, and of decoded spreadsheets.
+DOCUMENT_TYPES = {"blocks": pa.list_(_BLOCK), "rows": pa.list_(_ROW), "controls": pa.list_(_CONTROL), "notes": pa.list_(pa.string()), "error": pa.string()}
+TABLE_TYPES = {"cells": pa.list_(_CELL), "error": pa.string()}
+
+
+def document_columns(contents: list[bytes], wanted: list[str]) -> dict[str, pa.Array]:
+    """The wanted columns of DOCUMENT for each package; parts not wanted are not decoded."""
+    found = [read_document(c, frozenset(wanted) & PARTS) for c in contents]
+    return {k: pa.array([f[k] for f in found], t) for k, t in DOCUMENT_TYPES.items() if k in wanted}
+
+
+def table_columns(contents: list[bytes], sheets: frozenset[str] | None = None) -> dict[str, pa.Array]:
+    """cells and error of each spreadsheet; with sheets, of sheets of these names in workbooks."""
+
+    def one(content: bytes) -> tuple[list[dict], str | None]:
+        try:
+            return (read_workbook(content, sheets) if content.startswith(b"PK") else read_csv(content)), None
+        except Exception as problem:  # a file that cannot be read is a result, not a failure
+            return [], f"{type(problem).__name__}: {problem}"
+
+    found = [one(c) for c in contents]
+    return {k: pa.array([f[n] for f in found], t) for n, (k, t) in enumerate(TABLE_TYPES.items())}
 
 
 def decode_documents(packages: DataFrame) -> DataFrame:
     """doc_id and what read_document finds in content."""
 
     def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.struct([("block_no", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("tbl_no", pa.int32())])
-        row = pa.struct([("tbl_no", pa.int32()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("fill", pa.string())])
-        control = pa.struct([("sdt_no", pa.int32()), ("alias", pa.string()), ("text", pa.string())])
-        types = {"blocks": pa.list_(block), "rows": pa.list_(row), "controls": pa.list_(control), "notes": pa.list_(pa.string()), "error": pa.string()}
         for part in parts:
-            found = [read_document(c.as_py() or b"") for c in part.column("content")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([f[k] for f in found], t) for k, t in types.items())], ["doc_id", *types])
+            found = document_columns([c.as_py() or b"" for c in part.column("content")], list(DOCUMENT_TYPES))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found.values()], ["doc_id", *found])
 
     return packages.select("doc_id", "content").mapInArrow(decode, f"doc_id string, {DOCUMENT}")
 
@@ -64,17 +88,9 @@ def decode_tables(packages: DataFrame) -> DataFrame:
     read as comma-separated text. A file that cannot be decoded has no cells and an error."""
 
     def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = pa.struct([("sheet_no", pa.int32()), ("sheet", pa.string()), ("row_no", pa.int32()), ("col_no", pa.int32()), ("value", pa.string()), ("link", pa.string()), ("fill", pa.string())])
-
-        def one(content: bytes) -> tuple[list[dict], str | None]:
-            try:
-                return (read_workbook(content) if content.startswith(b"PK") else read_csv(content)), None
-            except Exception as problem:  # a file that cannot be read is a result, not a failure
-                return [], f"{type(problem).__name__}: {problem}"
-
         for part in parts:
-            found = [one(c.as_py() or b"") for c in part.column("content")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.list_(cell)), pa.array([f[1] for f in found], pa.string())], ["doc_id", "cells", "error"])
+            found = table_columns([c.as_py() or b"" for c in part.column("content")])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found.values()], ["doc_id", *found])
 
     return packages.select("doc_id", "content").mapInArrow(decode, f"doc_id string, cells {CELLS}, error string")
 

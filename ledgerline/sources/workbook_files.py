@@ -24,6 +24,13 @@ def file_name(key: str | None) -> str:
     return (quote(key, safe=" ()&,'+-_.") if key else "unnamed") + ".xlsx"
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder's URI or path, and the folder's path there."""
+    plain = path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+    store, root = fs.FileSystem.from_uri(plain)
+    return store, root.rstrip("/")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The files of one task that succeeded, below the job's folder."""
@@ -44,9 +51,7 @@ class WorkbookWriter(DataSourceWriter):
         store.create_dir(f"{root}/{self.job}", recursive=True)
 
     def _target(self) -> tuple[fs.FileSystem, str]:
-        path = self.path.removeprefix("file:") if self.path.startswith("file:/") and not self.path.startswith("file://") else self.path
-        store, root = fs.FileSystem.from_uri(path)
-        return store, root.rstrip("/")
+        return opened(self.path)
 
     def write(self, iterator: Iterator[Row]) -> Written:
         store, root = self._target()
