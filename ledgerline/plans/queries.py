@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ledgerline.functions import labels, text
 from ledgerline.operators import batch, clients, edits, folders, matching, metrics, numbering, page, present, reconcile, segments
 from ledgerline.operators.tables import shared_folder
-from ledgerline.sources import readers, store
+from ledgerline.sources import package_files, readers, sinks, store, workbook_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -945,6 +945,32 @@ def q61_kept_decodes(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("o_custkey"), count(lambda c: c["col_no"] == 1)("n_rows"), count(lambda c: c["value"] == "1-URGENT")("n_urgent"))
 
 
+@query("""
+WITH lines AS (
+  SELECT l_suppkey, l_linenumber, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY l_suppkey, l_linenumber
+)
+SELECT l_suppkey, CAST(count(CASE WHEN n_lines <> n_parts THEN 1 END) AS BIGINT) AS n_changes,
+  CAST(sum(CASE WHEN n_lines <> n_parts THEN n_lines - n_parts ELSE 0 END) AS BIGINT) AS repeated
+FROM lines GROUP BY l_suppkey
+""")
+def q62_workbook_files(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and parts of each supplier by line number, written as one workbook a supplier and
+    read back: of each workbook only the sheet of changes is opened."""
+    for source in (workbook_files, package_files):
+        source.register(spark)
+    counts = table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n_lines"), F.countDistinct("l_partkey").alias("n_parts"))
+    recount = counts.withColumn("line", F.col("l_linenumber")).select("l_suppkey", "l_linenumber", "line", "n_lines", "n_parts")
+    changes = recount.filter(labels.differs(F.col("n_lines"), F.col("n_parts")))
+    books = sinks.result_workbooks(recount, changes, recount.limit(0), "l_suppkey", "l_linenumber")
+    path = f"{shared_folder(books)}/books/{uuid.uuid4().hex}"
+    books.write.format(workbook_files.NAME).mode("append").save(path)
+    found = spark.read.format("submission_tables").option("sheets", "Changes").load(path)
+    figure = lambda column: F.filter("cells", lambda c: (c["row_no"] > 1) & (c["col_no"] == column) & c["value"].rlike("^[0-9]+$"))
+    total = lambda column: F.aggregate(figure(column), F.lit(0).cast("long"), lambda a, c: a + c["value"].cast("long"))
+    key = F.regexp_extract("doc_id", r"^(.*)\.xlsx$", 1).cast("long")
+    return found.select(key.alias("l_suppkey"), F.size(figure(2)).cast("long").alias("n_changes"), (total(2) - total(3)).alias("repeated"))
+
+
 _FLAGSHIP_SQL = f"""
 WITH m AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders)
 SELECT r.o_custkey, r.o_orderkey, r.recount, r.reported, CASE WHEN r.recount < r.reported THEN 'lines missing' ELSE 'lines repeated' END AS reason
