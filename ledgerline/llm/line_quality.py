@@ -6,8 +6,10 @@ each line's marginal; weighted by line length they add up to the document's scor
 
 The weights are fitted on a bounded sample of labelled rows (SAMPLE documents, chosen by a
 hash of doc_id), of which every line teaches its document's label. Tasks turn lines into
-feature numbers, ten bytes a line, so texts do not pass through the driver; a document of
-more than CHAIN lines teaches in chains of that many. Scoring reads whole texts: a line
+feature numbers, ten bytes a line, which are written as a table of chains; a document of
+more than CHAIN lines teaches in chains of that many. A step of the fit sums losses and
+slopes over that table in tasks, so the driver holds one vector a task, however long the
+texts. Scoring reads whole texts: a line
 longer than a segment is split at spaces into segments of about SEGMENT characters, so a
 text without line ends is a chain too. Features use nothing but the text.
 
@@ -29,10 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import row_schema, small_batches, whole_rows
+from ledgerline.llm.common import remove_table, row_schema, small_batches, whole_rows, write_table
 
 #: Labelled documents that are fitted on, and lines of a chain in fitting.
 SAMPLE, CHAIN = 4_000, 128
+#: Passes over the chains at most, directions that a step remembers, slope at which the fit
+#: ends, weight of the penalty on features (ten times that on moves).
+PASSES, MEMORY, FLAT, DECAY = 40, 8, 1e-5, 3e-5
+#: Bytes of feature numbers that a task works on at once.
+PORTION = 1_000_000
 SEGMENT = 600
 EDGES = {  # borders of the bins that each measure falls into
     "length": (0, 1, 20, 60, 200, 450),
@@ -153,37 +160,86 @@ def gathered(rows: np.ndarray, errors: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(rows.ravel(), np.repeat(errors[:, y], each), SIZE) for y in (0, 1)], axis=1)
 
 
-def fit(chains: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.15, decay: float = 3e-4) -> LineModel:
-    """Maximum likelihood with a quadratic penalty, by Adam over all chains (feature numbers
-    of lines, label)."""
-    weights, moves = np.zeros((SIZE, 2)), np.zeros((2, 2))
-    if not chains:
-        return LineModel(weights, moves)
-    starts = np.cumsum([0, *(len(x) for x, _ in chains)])
-    own = np.concatenate([x for x, _ in chains]).astype(np.int64)
-    labels = np.repeat([y for _, y in chains], np.diff(starts))
-    truth = np.eye(2)[labels]
+def slopes(own: np.ndarray, starts: np.ndarray, labels: np.ndarray, share: np.ndarray, model: LineModel) -> np.ndarray:
+    """Loss of chains one after another, and its slope: loss, then weights, then moves. labels
+    and share (what a line of the chain counts) are by chain."""
+    sizes = np.diff(starts)
+    line_labels, line_share = np.repeat(labels, sizes), np.repeat(share, sizes)
+    scores = chain_scores(own, starts, model.weights)
+    marginals, pairs, total = forward_backward(scores, model.moves, starts)
+    path = np.add.reduceat(scores[np.arange(len(own)), line_labels], starts[:-1]) + (sizes - 1) * model.moves[labels, labels]
+    error = (marginals - np.eye(2)[line_labels]) * line_share[:, None]
     inner = np.ones(len(own), bool)
     inner[starts[:-1]] = False
-    balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    pair_truth = np.zeros((len(own), 2, 2))
-    pair_truth[np.flatnonzero(inner), labels[inner], labels[inner]] = 1
-    first_, last_ = starts[:-1], starts[1:] - 1
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (weights, moves)]
-    for step in range(1, steps + 1):
-        marginals, pairs, _ = forward_backward(chain_scores(own, starts, weights), moves, starts)
-        error = (marginals - truth) * balance[:, None]
-        at = np.flatnonzero(inner)
-        slope = gathered(own, error) + gathered(own[at - 1] + OWN, error[at]) + gathered(own[at] + 2 * OWN, error[at - 1])
-        slope[-1], slope[-3], slope[-2] = error.sum(0), error[first_].sum(0), error[last_].sum(0)
-        slopes = (slope + decay * weights / 10, ((pairs - pair_truth) * balance[:, None, None]).sum(0) + decay * moves)
-        for p, g, (m, v) in zip((weights, moves), slopes, state, strict=True):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.99
-            v += 0.01 * g * g
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return LineModel(weights, moves)
+    at = np.flatnonzero(inner)
+    slope = gathered(own, error) + gathered(own[at - 1] + OWN, error[at]) + gathered(own[at] + 2 * OWN, error[at - 1])
+    slope[-1], slope[-3], slope[-2] = error.sum(0), error[starts[:-1]].sum(0), error[starts[1:] - 1].sum(0)
+    moves = (pairs[at] * line_share[at, None, None]).sum(0)
+    moves[[0, 1], [0, 1]] -= np.bincount(labels, (sizes - 1) * share, 2)
+    return np.concatenate([[(share * (total - path)).sum()], slope.ravel(), moves.ravel()])
+
+
+def model_of(x: np.ndarray) -> LineModel:
+    return LineModel(x[: 2 * SIZE].reshape(SIZE, 2), x[2 * SIZE :].reshape(2, 2))
+
+
+def summed(chains: DataFrame, shares: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """slopes of all chains (quality, lines), summed in tasks, in one order of tasks."""
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 + len(x))
+        for part in small_batches(parts, PORTION, "lines", PORTION):
+            lines = [np.frombuffer(b, np.uint8).reshape(-1, len(EDGES)) for b in part.column("lines").to_pylist()]
+            labels = np.asarray(part.column("quality"), np.int64)
+            out += slopes(np.concatenate(lines).astype(np.int64), np.cumsum([0, *map(len, lines)]), labels, shares[labels], model_of(x))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+    found = chains.select("quality", "lines").mapInArrow(add, "sums binary").select(F.spark_partition_id().alias("part"), "sums").collect()
+    return np.sum([np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["part"])], axis=0)
+
+
+def fit(chains: DataFrame) -> LineModel:
+    """Maximum likelihood with a quadratic penalty over written chains (quality, lines), either
+    label counting one half, by quasi-Newton steps that remember the last directions."""
+    x = np.zeros(2 * SIZE + 4)
+    lines = dict.fromkeys((0, 1), 0)
+    lines |= {r["quality"]: r["n"] for r in chains.groupBy("quality").agg((F.sum(F.length("lines")) / len(EDGES)).alias("n")).collect()}
+    if not any(lines.values()):
+        return model_of(x)
+    shares = np.array([0.5 / max(1, lines[y]) for y in (0, 1)])
+    decay = np.full(len(x), DECAY)
+    decay[2 * SIZE :] *= 10
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        found = summed(chains, shares, x)
+        return found[0] + (decay * x * x).sum() / 2, found[1:] + decay * x
+
+    loss, slope = at(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []  # moves of x, and changes of the slope with them
+    passes, reach = 1, 1.0
+    while passes < PASSES and np.abs(slope).max() > FLAT:
+        way, back = -slope, []
+        for dx, dg in reversed(steps):
+            back.append((dx @ way) / (dx @ dg))
+            way = way - back[-1] * dg
+        if steps:
+            way = way * (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1])
+        for (dx, dg), a in zip(steps, reversed(back), strict=True):
+            way = way + (a - (dg @ way) / (dx @ dg)) * dx
+        reach = 1.0 if steps else 1.0 / np.abs(way).max()
+        while passes < PASSES:
+            passes += 1
+            new_loss, new_slope = at(x + reach * way)
+            if new_loss <= loss + 1e-4 * reach * (slope @ way):
+                break
+            reach /= 2
+        else:
+            break
+        dx, dg = reach * way, new_slope - slope
+        if dx @ dg > 0:
+            steps = [*steps, (dx, dg)][-MEMORY:]
+        x, loss, slope = x + dx, new_loss, new_slope
+    return model_of(x)
 
 
 def score_texts(texts: list[str | None], model: LineModel) -> np.ndarray:
@@ -210,18 +266,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> LineModel:
     chosen = picked[0].unionByName(picked[1])
 
     def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "quality", "text_hash"]
         for part in small_batches(parts):
-            found = [features(lines_of(t)).astype(np.uint8).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "lines"])
+            found = [features(lines_of(t)).astype(np.uint8) for t in part.column("text").to_pylist()]
+            chains = [(row, no, lines[at : at + CHAIN].tobytes()) for row, lines in enumerate(found) for no, at in enumerate(range(0, len(lines), CHAIN))]
+            rows, numbers, lines = (list(c) for c in zip(*chains, strict=True)) if chains else ([], [], [])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows, pa.int64())) for c in names), pa.array(numbers, pa.int64()), pa.array(lines, pa.binary())], [*names, "no", "lines"])
 
     taught = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    taught = taught.join(F.broadcast(chosen.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))), "doc_id")
-    rows = taught.mapInArrow(number, "doc_id long, quality int, lines binary").distinct().orderBy("doc_id", "lines").collect()
-    chains = []
-    for r in rows:
-        lines = np.frombuffer(r["lines"], np.uint8).reshape(-1, len(EDGES))
-        chains += [(lines[at : at + CHAIN], r["quality"]) for at in range(0, len(lines), CHAIN)]
-    return fit(chains)
+    taught = taught.join(F.broadcast(chosen.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))), "doc_id").withColumn("text_hash", F.xxhash64("text"))
+    numbered = taught.mapInArrow(number, "doc_id long, quality int, text_hash long, no long, lines binary")
+    once = numbered.distinct().sortWithinPartitions("doc_id", "text_hash", "no")
+    chains = write_table(once, "chains")
+    model = fit(chains)
+    remove_table(chains)
+    return model
 
 
 def scored_rows(docs: DataFrame, model: LineModel) -> DataFrame:

@@ -154,6 +154,36 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(pairs[[2, 3, 5]].sum((1, 2)), 1)
 
 
+def test_slopes_by_small_differences():
+    r = np.random.default_rng(3)
+    starts = np.array([0, 1, 4, 9])
+    widths = [len(v) + 1 for v in line_quality.EDGES.values()]
+    own = np.stack([sum(widths[:k]) + r.integers(0, w, 9) for k, w in enumerate(widths)], axis=1)
+    labels, share = np.array([1, 0, 1]), np.array([0.3, 0.1, 0.2])
+    x = r.normal(size=2 * line_quality.SIZE + 4)
+    got = line_quality.slopes(own, starts, labels, share, line_quality.model_of(x))
+    loss = lambda x: line_quality.slopes(own, starts, labels, share, line_quality.model_of(x))[0]
+    for k in [*r.integers(0, len(x), 40), *range(2 * line_quality.SIZE - 6, len(x))]:
+        step = np.eye(len(x))[k] * 1e-5
+        assert abs((loss(x + step) - loss(x - step)) / 2e-5 - got[1 + k]) < 1e-6
+    halves = [line_quality.slopes(own[a:b], starts[i:j] - a, labels[i : j - 1], share[i : j - 1], line_quality.model_of(x)) for a, b, i, j in ((0, 4, 0, 3), (4, 9, 2, 4))]
+    assert np.allclose(sum(halves), got)
+
+
+def test_fit_reaches_the_least_loss(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(y), bytes(np.concatenate([line_quality.features([("ok. " if y else "$$ ") * int(n)])[0] for n in r.integers(1, 9, 5)]).astype(np.uint8))) for y in r.integers(0, 2, 40)]
+    chains = spark.createDataFrame([(y, bytearray(b)) for y, b in rows], "quality int, lines binary").repartition(3)
+    model = line_quality.fit(chains)
+    x = np.concatenate([model.weights.ravel(), model.moves.ravel()])
+    n = [5 * sum(y == k for y, _ in rows) for k in (0, 1)]
+    found = line_quality.summed(chains, np.array([0.5 / k for k in n]), x)
+    decay = np.r_[np.full(2 * line_quality.SIZE, line_quality.DECAY), np.full(4, 10 * line_quality.DECAY)]
+    assert np.abs(found[1:] + decay * x).max() < 2e-3
+    assert found[0] < 0.05
+    assert line_quality.fit(chains.limit(0)).weights.any() == 0
+
+
 def test_lines_keep_the_text():
     for text in ("", "a\n\nb", "word " * 1000, "x" * 5000):
         assert "".join(line_quality.lines_of(text)) == text.replace("\n", "")
