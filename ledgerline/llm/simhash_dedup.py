@@ -30,7 +30,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, LongType, StructField, StructType
-from pyspark.sql.window import Window
 
 from ledgerline.llm.common import remove_table, small_batches, whole_rows, write_table
 from ledgerline.llm.graph import components
@@ -153,6 +152,6 @@ def one_of_each(docs: DataFrame, radius: int = 4, words_each: int = 4) -> DataFr
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "row_a", "row_b")).alias("first")
     labelled = write_table(prints.groupBy("fp").agg(order).join(groups(prints, radius), "fp"), "labels")
     stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.row_a", "first.row_b")
-    kept = rows.select("row", "row_a", "row_b").join(stay, ["row_a", "row_b"], "left_semi")
-    same = Window.partitionBy("row_a", "row_b").orderBy("row_a")
-    return kept.withColumn("copy", F.row_number().over(same)).filter("copy = 1").select("row.*")
+    # rows alike in every column meet in their own tasks first, so they are no hot group
+    once = rows.select("row", "row_a", "row_b").dropDuplicates(["row_a", "row_b"])
+    return once.join(stay, ["row_a", "row_b"], "left_semi").select("row.*")
