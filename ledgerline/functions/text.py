@@ -164,7 +164,8 @@ def shorten(text: Column, n: int) -> Column:
 
 
 def colour_kind(fill: Column) -> Column:
-    """Red hues are Non-publishable, green ones Publishable; pale or other ones null."""
+    """Red hues are Non-publishable, green ones Publishable; pale or other ones null. The turn is
+    added before the remainder for all hues: that rounds hues at a border to it."""
     rgb = F.struct(*((F.conv(F.substring(fill, at, 2), 16, 10).cast("double") / 255).alias(c) for c, at in (("r", 1), ("g", 3), ("b", 5))))
 
     def spread(x: Column) -> Column:
@@ -175,7 +176,7 @@ def colour_kind(fill: Column) -> Column:
         r, g, b, high, low, span = (x[c] for c in ("r", "g", "b", "high", "low", "span"))
         saturation = F.when(span == 0, 0.0).when((high + low) / 2 <= 0.5, F.try_divide(span, high + low)).otherwise(F.try_divide(span, 2 - high - low))
         turn = F.when(high == r, F.try_divide(g - b, span)).when(high == g, 2 + F.try_divide(b - r, span)).otherwise(4 + F.try_divide(r - g, span))
-        return F.struct(saturation.alias("saturation"), F.pmod(turn * 60, F.lit(360.0)).alias("hue"))
+        return F.struct(saturation.alias("saturation"), ((turn * 60 + 360) % 360).alias("hue"))
 
     def kind(x: Column) -> Column:
         return F.when(x["saturation"] < 0.25, F.lit(None)).when((x["hue"] < 15) | (x["hue"] > 345), "Non-publishable").when((x["hue"] > 75) & (x["hue"] < 160), "Publishable")

@@ -80,6 +80,11 @@ def test_colours(spark):
     assert values(spark, text.colour_kind, "D0CECE", "FFFFFF", "FFF2CC", "DAE8F8", "", None) == [None] * 6
 
 
+def test_colours_at_a_border(spark):
+    """A hue of exactly 75 degrees is not beyond it."""
+    assert values(spark, text.colour_kind, "C2F42C", "C1F42C") == [None, "Publishable"]
+
+
 def test_ranges(spark):
     say = lambda c: text.ranges_text(F.transform(F.split(c, ","), lambda x: x.cast("int")))
     assert values(spark, say, "5,7,8,9," + ",".join(map(str, range(30, 230))), "3,4", "1") == ["5, 7 to 9, 30 to 229", "3, 4", "1"]
