@@ -56,6 +56,13 @@ def remove_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, never broadcast where it is joined. For what grows with the input: Spark takes an
+    exploded table for as large as it was before, and a written one for its compressed size,
+    and would collect it in the driver. Large partitions are split all the same."""
+    return df.hint("merge")
+
+
 def small_batches(parts: Iterator[pa.RecordBatch], rows: int = 256, column: str = "text", size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches of at most so many rows, and of about so many bytes of column
     at most (a longer text is a slice of its own): what a task holds as Python objects is

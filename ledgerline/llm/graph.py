@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import remove_table, write_table
+from ledgerline.llm.common import remove_table, shuffled, write_table
 
 
 def _mins(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is tied to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _mins(both).withColumn("m", F.least("u", "m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    tied = down.join(_mins(down), "u")
+    tied = down.join(shuffled(_mins(down)), "u")
     rest = tied.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(tied.select("u", F.col("m").alias("v"))).distinct()
 

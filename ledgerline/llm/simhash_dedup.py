@@ -11,7 +11,8 @@ pairs are listed: in rounds, every member is compared with one hub and linked if
 the radius; buckets whose members are then all in one component are done. In the others,
 members outside the bucket's most frequent component are compared with the members of
 other components, and only links leave the join. Links, components and fingerprints stay
-distributed.
+distributed: no join broadcasts, since a row stands for one a mask once it is exploded, and
+what is planned from the size before that would not fit a driver.
 
 Texts are whole, long ones too (about 60 bytes of memory a word). Nulls: a null or blank
 text has fingerprint 0 and is linked like any other; rows with a
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, LongType, StructField, StructType
 
-from ledgerline.llm.common import remove_table, small_batches, whole_rows, write_table
+from ledgerline.llm.common import remove_table, shuffled, small_batches, whole_rows, write_table
 from ledgerline.llm.graph import components
 
 BITS, SEED = 64, 42
@@ -94,22 +95,22 @@ def links(nodes: DataFrame, radius: int, rounds: int = 2) -> DataFrame:
     masks = F.array(*(F.lit(_signed(m)) for m in covering_masks(radius)))
     hashed = nodes.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     shared = hashed.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = write_table(hashed.join(shared, ["k", "key"]), "buckets")
+    rows = write_table(hashed.join(shuffled(shared), ["k", "key"]), "buckets")
     done = [rows]
     found = None
     for turn in range(rounds):
         hubs = rows.groupBy("k", "key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp"))["fp"].alias("hub"))
-        spokes = rows.join(hubs, ["k", "key"]).filter((F.col("fp") != F.col("hub")) & near("fp", "hub", radius))
+        spokes = rows.join(shuffled(hubs), ["k", "key"]).filter((F.col("fp") != F.col("hub")) & near("fp", "hub", radius))
         spokes = spokes.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
         found = components(spokes if found is None else spokes.unionByName(found.select(F.col("node").alias("u"), F.col("label").alias("v"))))
-        labelled = rows.select("k", "key", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("k", "key", "fp", F.coalesce("label", "fp").alias("label"))
+        labelled = rows.select("k", "key", "fp").join(shuffled(found.withColumnRenamed("node", "fp")), "fp", "left").select("k", "key", "fp", F.coalesce("label", "fp").alias("label"))
         mixed = labelled.groupBy("k", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("k", "key")
-        rows = write_table(labelled.join(mixed, ["k", "key"]), "buckets")
+        rows = write_table(labelled.join(shuffled(mixed), ["k", "key"]), "buckets")
         done.append(rows)
     most = rows.groupBy("k", "key", "label").agg(F.count("*").alias("n")).groupBy("k", "key").agg(F.max_by("label", "n").alias("most"))
-    few = rows.join(most, ["k", "key"]).filter("label <> most").select("k", "key", F.col("fp").alias("u"), F.col("label").alias("own"))
+    few = rows.join(shuffled(most), ["k", "key"]).filter("label <> most").select("k", "key", F.col("fp").alias("u"), F.col("label").alias("own"))
     meets = (F.col("own") != F.col("label")) & near("u", "fp", radius)
-    both = few.alias("a").join(rows.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & meets)
+    both = few.alias("a").join(shuffled(rows.alias("b")), (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & meets)
     rest = both.select("u", F.col("fp").alias("v")).distinct()
     whole = components(rest.unionByName(found.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     for table in done:  # what they gave is written
@@ -121,18 +122,18 @@ def groups(prints: DataFrame, radius: int) -> DataFrame:
     """fp, label for each distinct fingerprint: the least one reachable."""
     nodes = prints.select("fp").distinct()
     labels = links(nodes, radius)
-    return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    return nodes.join(shuffled(labels.withColumnRenamed("node", "fp")), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words_each: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for each row."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = write_table(fingerprints(rows, words_each), "fingerprints")
-    labelled = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups(prints, radius), "fp"), "labels")
+    labelled = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(shuffled(groups(prints, radius)), "fp"), "labels")
     # a table of its own, so that rows of one label can be split where they are joined
     least = write_table(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "component-ids")
-    named = write_table(labelled.join(least, "label").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = write_table(labelled.join(shuffled(least), "label").select("fp", "component_id"), "components")
+    return prints.join(shuffled(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def row_keys(df: DataFrame) -> dict[str, Column]:
@@ -150,8 +151,8 @@ def one_of_each(docs: DataFrame, radius: int = 4, words_each: int = 4) -> DataFr
     rows = whole_rows(docs, **row_keys(docs), doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
     prints = write_table(fingerprints(rows.select("row_a", "row_b", "doc_id", F.xxhash64("text").alias("th"), "text"), words_each), "fingerprints")
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "row_a", "row_b")).alias("first")
-    labelled = write_table(prints.groupBy("fp").agg(order).join(groups(prints, radius), "fp"), "labels")
+    labelled = write_table(prints.groupBy("fp").agg(order).join(shuffled(groups(prints, radius)), "fp"), "labels")
     stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.row_a", "first.row_b")
     # rows alike in every column meet in their own tasks first, so they are no hot group
     once = rows.select("row", "row_a", "row_b").dropDuplicates(["row_a", "row_b"])
-    return once.join(stay, ["row_a", "row_b"], "left_semi").select("row.*")
+    return once.join(shuffled(stay), ["row_a", "row_b"], "left_semi").select("row.*")

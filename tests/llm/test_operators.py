@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm import decontaminate, language_id, line_quality, media_sequences, pattern_packing, simhash_dedup, suffix_dedup
+from ledgerline.llm import decontaminate, graph, language_id, line_quality, media_sequences, pattern_packing, simhash_dedup, suffix_dedup
+from ledgerline.llm.common import write_table
 from ledgerline.llm.graph import components
 
 EXTRA = ", fp long, h long, words string, score double, a long, spans string, label string, length long"
@@ -275,6 +276,24 @@ def test_covering_masks_lose_no_pair():
         assert any(apart & m == 0 for m in masks)
 
 
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    """However small Spark takes a table to be: masks explode it."""
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write_table(df, name)
+
+    monkeypatch.setattr(simhash_dedup, "write_table", written)
+    monkeypatch.setattr(graph, "write_table", written)
+    rows = [(n, f"one two three four five six seven {n % 3}", "x") for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert simhash_dedup.near_duplicates(docs).count() == 6
+    kept = simhash_dedup.one_of_each(docs)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_near_duplicates(spark):
     rows = [(n, prose(n % 40, 120)) for n in range(60)]
     for n in range(60, 150):
