@@ -34,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.llm.common import write_table
+from ledgerline.llm.common import shuffled, write_table
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 16
-BROADCAST_SHINGLES, BROADCAST_DOCUMENTS = 1_000_000, 500_000
+BROADCAST_SHINGLES, BROADCAST_DOCUMENTS, BROADCAST_ITEMS = 1_000_000, 500_000, 50_000
 #: Counters of several bits are summed in one long: LANES of LANE_BITS each; one a long for
 #: items of more words than such a counter holds.
 LANES, LANE_BITS = 3, 21
@@ -117,7 +117,7 @@ def windows(hits: DataFrame, found: DataFrame) -> DataFrame:
         return F.sequence(low, F.greatest(low, high))
 
     around = hits.groupBy("uid", "size").agg(F.collect_set("block").alias("around"))
-    own = around.join(found.select("uid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), "uid")
+    own = around.join(shuffled(found.select("uid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))), "uid")
     each = own.select("uid", "size", "hashes", F.explode(F.array_distinct(F.flatten(F.transform("around", starts)))).alias("start"))
     return each.select("uid", "size", "start", F.explode(F.slice("hashes", F.col("start"), F.col("size"))).alias("h"))
 
@@ -171,11 +171,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     else:
         left = prints.select("*", F.inline(blocks(F.col("fp"), radius)))
         right = own.select("iid", "size", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius)))
-        met = left.join(right, ["size", "block", "value"])
+        # its rows are as many as items times blocks, however small Spark takes it to be
+        met = left.join(F.broadcast(right) if own.count() <= BROADCAST_ITEMS else shuffled(right), ["size", "block", "value"])
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     met = met.filter(apart <= (64 if radius is None else radius)).select("uid", "start", "iid", apart.alias("distance")).distinct()
 
-    both = met.join(items, "iid").join(found, "uid")
+    both = met.join(items, "iid").join(shuffled(found), "uid")
     window = F.slice("words", F.col("start"), F.col("size"))
     shared = once(window, lambda w: once(F.struct(own_shingles(w).alias("a"), own_shingles(F.col("item_words")).alias("b")), lambda s: similarity(s["a"], s["b"])))
     passed = both.withColumn("similarity", shared).filter(F.col("similarity") >= threshold)

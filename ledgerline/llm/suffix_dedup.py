@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import row_schema, small_batches, whole_rows, write_table
+from ledgerline.llm.common import row_schema, shuffled, small_batches, whole_rows, write_table
 
 STRING, GRAM = 100, 40
 SIDE = STRING - GRAM  # bytes of context before an anchor, and after its gram
@@ -498,7 +498,7 @@ def cut(rows: DataFrame, requests: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k == 6 else pa.int64()) for k in range(7)], names)
 
     asked = requests.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "a", "b", "split", "salt")).alias("asked"))
-    both = rows.filter(F.col("text").isNotNull()).join(asked, ["doc", "th"])
+    both = rows.filter(F.col("text").isNotNull()).join(shuffled(asked), ["doc", "th"])
     return both.select("doc", "th", "text", "asked").mapInArrow(slices, f"key long, split long, salt long, {KEYS}, low long, raw binary")
 
 
@@ -518,7 +518,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     strings = sorted_.filter("kind = 3")
     several = strings.groupBy("h", "c").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = write_table(strings.join(several, ["h", "c"]).select("doc", "th", F.col("h").alias("key"), "a", "b", zero.alias("split"), zero.alias("salt")), "requests")
+    again = write_table(strings.join(shuffled(several), ["h", "c"]).select("doc", "th", F.col("h").alias("key"), "a", "b", zero.alias("split"), zero.alias("salt")), "requests")
     if not again.isEmpty():
         covers.append(sort_groups(cut(rows, again)).filter("kind = 1").select("doc", "th", "a", "b"))
 
@@ -540,7 +540,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """row (docs' columns), spans (possibly null), kept, the remaining bytes, and kept_text,
     those of them that are whole characters (a text without spans as it was), for each row."""
-    both = keyed(docs).join(spans, ["doc", "th"], "left").select("row", "text", "spans")
+    both = keyed(docs).join(shuffled(spans), ["doc", "th"], "left").select("row", "text", "spans")
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(parts):
