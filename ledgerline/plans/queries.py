@@ -743,20 +743,21 @@ z AS (SELECT *, CASE WHEN candidate IS NULL THEN 'unrecognised' WHEN elite THEN
 def _page_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """Lines, listing, results, firms and regions: every customer is a firm with a page. A
     line of an even order names the area alone, so it may mean elite rows too."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    none = F.lit(None).cast("string")
+    # keys once a firm, not once an order; merged, as firms grow too and lines are dealt by them anyway
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", batch.firm_keys(none, F.col("c_name")).alias("firm_keys")).hint("merge")
     k, page_id = F.col("o_orderkey"), F.col("o_custkey").alias("page_id")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate").join(c, "o_custkey")
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     lines = orders.select(page_id, place.alias("line_no"), F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise(F.concat_ws(" > ", F.lit("Group"), "o_orderpriority")).alias("value"))
     listed = orders.filter(k % 4 > 0).withColumn("filename", F.concat(F.lit("c"), "o_custkey", F.lit("-"), k % 5, F.lit(".docx")))
-    none = F.lit(None).cast("string")
     listing = listed.select(
-        k.alias("candidate"), F.col("c_name").alias("firm"), batch.firm_keys(none, F.col("c_name")).alias("firm_keys"), F.col("o_orderstatus").alias("region"), F.when(k % 10 == 0, "Elite group").otherwise("Group").alias("grp"),
+        k.alias("candidate"), F.col("c_name").alias("firm"), "firm_keys", F.col("o_orderstatus").alias("region"), F.when(k % 10 == 0, "Elite group").otherwise("Group").alias("grp"),
         F.col("o_orderpriority").alias("area"), none.alias("tbl"), "filename", F.when(k % 7 > 0, F.col("o_custkey") * 10 + k % 4).alias("portal_id"), F.col("o_orderdate").cast("string").alias("created_at"), (k % 3 > 0).alias("has_document"),
     )
     status = F.when(k % 10 == 0, "elite").when(k % 13 == 0, "parse_error").when(k % 17 == 0, "duplicate").when(k % 9 == 0, "superseded").otherwise("matched")
     results = listed.filter("o_orderstatus = 'F'").select(page_id, k.alias("file_no"), F.col("filename").alias("name"), (k % 11 == 0).alias("by_code"), status.alias("status"))
-    firms = orders.select(page_id, "c_name").distinct().select("page_id", F.explode(batch.firm_keys(none, F.col("c_name"))).alias("firm_key"))
+    firms = orders.select(page_id, "firm_keys").distinct().select("page_id", F.explode("firm_keys").alias("firm_key"))
     regions = results.select("page_id").distinct().select("page_id", F.explode(F.array(F.lit("f"), F.lit("o"))).alias("region_key"))
     return lines, listing, results, firms, regions
 
