@@ -148,7 +148,7 @@ _OPENING = "".join("\\" + a for a, _ in PAIRS)
 
 def unwrap(text: Column) -> Column:
     """Strips enclosing pairs of brackets or quotes until none is left: no more often than
-    there are openings at the text's start."""
+    there are openings at the text's start. Most texts begin with none and stay as they are."""
 
     def strip(acc: Column, _: Column) -> Column:
         ends = F.concat(F.left(acc, F.lit(1)), F.right(acc, F.lit(1)))
@@ -156,7 +156,8 @@ def unwrap(text: Column) -> Column:
         return F.when(enclosed, F.trim(F.substring(acc, F.lit(2), F.length(acc) - 2))).otherwise(acc)
 
     opening = F.length(F.regexp_extract(text, f"^[{_OPENING}\\s]*", 0))
-    return F.aggregate(F.sequence(F.lit(0), F.coalesce(opening, F.lit(0))), text, strip)
+    stripped = F.aggregate(F.sequence(F.lit(0), F.coalesce(opening, F.lit(0))), text, strip)
+    return F.when(F.left(text, F.lit(1)).isin([a for a, _ in PAIRS]), stripped).otherwise(text)
 
 
 def shorten(text: Column, n: int) -> Column:

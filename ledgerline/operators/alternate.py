@@ -18,7 +18,7 @@ PARTNER_COLUMN, NAME_COLUMN, NEW_COLUMN = "partner~y~/~n", "name of client", "ne
 def is_section(label: Column, section: tuple[tuple[str, ...], str]) -> Column:
     """A label that begins with one of the section's codes and mentions its subject."""
     codes, subject = section
-    return labels.begins(clean(label), codes, labels.END) & labels.mentions(clean(label), [subject])
+    return labels.may_hold(label, [c.lower() for c in codes]) & labels.begins(clean(label), codes, labels.END) & labels.mentions(clean(label), [subject])
 
 
 def is_coded(label: Column) -> Column:

@@ -36,7 +36,7 @@ def labelled(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id", "tbl_no")
     out = rows.withColumn("label", first).withColumns({"category": labels.nomination(F.col("label")), "matter": labels.is_matter(F.col("label")), "client": labels.is_client_table(F.col("label"))})
     out = out.withColumns({"last_row": F.max("row_no").over(own), "any_matter": F.max("matter").over(own), "any_label": F.max(F.col("matter") | F.col("client") | F.col("category").isNotNull()).over(own), "team": F.max(F.lower("label").isin(*TEAM)).over(own)})
-    return out.withColumn("filled", F.exists("cells", lambda c: text.clean(c) != ""))
+    return out.withColumn("filled", F.exists("cells", lambda c: F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))))
 
 
 def _bodies(rows: DataFrame, starts: str) -> DataFrame:
@@ -47,9 +47,10 @@ def _bodies(rows: DataFrame, starts: str) -> DataFrame:
     heads = seg.filter(F.col(starts)).select("doc_id", "tbl_no", "seg", F.col("row_no").alias("head_row"), F.col("label").alias("head"), F.col("category").alias("kind"), F.col("last_row").alias("end"), "fill")
     inside = heads.join(seg.select("doc_id", "tbl_no", "seg", "row_no", "cells", "filled", F.col("label").alias("cell")), ["doc_id", "tbl_no", "seg"], "left")
     inside = inside.filter(F.col("row_no") > F.col("head_row"))
-    plain = seg.groupBy("doc_id", "tbl_no").agg(F.max("any_label").alias("l"), F.max("filled").alias("f")).filter("f AND NOT l").select("doc_id", (F.col("tbl_no") - 1).alias("tbl_no"))
+    # any_label is the same in all rows of a table: what is adopted has none, so only such rows travel
+    plain = seg.filter("filled AND NOT any_label").select("doc_id", (F.col("tbl_no") - 1).alias("tbl_no")).distinct()
     lone = heads.filter(F.col("head_row") == F.col("end")).join(plain, ["doc_id", "tbl_no"], "left_semi")
-    ahead = seg.select("doc_id", (F.col("tbl_no") - 1).alias("tbl_no"), "row_no", "cells", "filled", F.col("label").alias("cell"))
+    ahead = seg.filter(~F.col("any_label")).select("doc_id", (F.col("tbl_no") - 1).alias("tbl_no"), "row_no", "cells", "filled", F.col("label").alias("cell"))
     adopted = lone.join(ahead, ["doc_id", "tbl_no"])
     columns = ["doc_id", "tbl_no", "seg", "row_no", "cells", "filled", "cell", "adopted"]
     body = inside.withColumn("adopted", F.lit(False)).select(columns).unionByName(adopted.withColumn("adopted", F.lit(True)).select(columns))
@@ -222,18 +223,22 @@ def _nothing() -> Column:
 
 def _matter_figure(of, always_check: Column) -> Column:
     boxes, coloured = of("matter"), of("coloured")
-    real = F.filter(boxes, lambda f: f["b"].isNotNull())
-    counted = F.concat(real, coloured)
-    of_kind = lambda kind: _numbers(F.filter(counted, lambda f: f["kind"] == kind))
-    kinds = F.struct(of_kind("Publishable").alias("open"), of_kind("Non-publishable").alias("closed"), _numbers(counted).alias("both"))
+
+    def kinds(real: Column) -> Column:
+        of_kind = lambda x, kind: _numbers(F.filter(x, lambda f: f["kind"] == kind))
+        told = lambda x: F.struct(real.alias("real"), x.alias("counted"), of_kind(x, "Publishable").alias("open"), of_kind(x, "Non-publishable").alias("closed"), _numbers(x).alias("both"))
+        return text.let(F.concat(real, coloured), told)
+
+    def gaps(x: Column) -> Column:
+        return F.struct(*(x[c].alias(c) for c in ("real", "counted", "open", "closed", "both")), (~(_straight(x["open"]) & _straight(x["closed"])) & ~_straight(x["both"])).alias("gap"))
 
     def figure(x: Column) -> Column:
+        real, counted, gap = x["real"], x["counted"], x["gap"]
         n, empty = F.size(counted), F.size(boxes) - F.size(real)
         split, merged = F.size(F.filter(real, lambda f: f["mark"])), F.size(F.filter(boxes, lambda f: f["row_no"] > 1))
         by_kind = lambda test: [test(x[c]) for c in ("open", "closed")]
         absent = lambda y: y["top"] - F.size(y["each"])
         a, b = by_kind(_straight)
-        gap = ~(a & b) & ~_straight(x["both"])
         each = sum(by_kind(absent)[1:], by_kind(absent)[0]) <= absent(x["both"])
         lost = (n == 0) & (empty == 0)
         notes = _notes(
@@ -248,22 +253,23 @@ def _matter_figure(of, always_check: Column) -> Column:
         )
         return _metric("matters", F.when(~lost, n), _texts(counted), notes, always_check, gap)
 
-    return text.let(kinds, figure)
+    return text.let(text.let(text.let(F.filter(boxes, lambda f: f["b"].isNotNull()), kinds), gaps), figure)
 
 
-def _client_figures(of) -> tuple[Column, Column]:
+def _client_figures(of) -> Column:
+    """The figures of active and of new clients, as an array, so that both are made once."""
     tables, rows = of("client_table"), of("client")
     real = F.filter(rows, lambda f: f["kind"].isin("new", "not", "blank", "unrecognised"))
     kind = lambda *k: F.filter(rows, lambda f: f["kind"].isin(*k))
     inside = lambda found, t: F.filter(found, lambda f: f["tbl_no"] == t["tbl_no"])
-    blank, unread = kind("blank"), kind("unrecognised")
 
-    def odd(t: Column) -> Column:
+    def odd(t: Column, x: Column) -> Column:
         """Rows of a table that answer nothing where others do, or that stand alone."""
-        own, empty = inside(real, t), inside(blank, t)
+        own, empty = inside(x["real"], t), inside(x["blank"], t)
         return F.when((F.size(empty) < F.size(own)) | (F.size(own) == 1), _texts(empty)).otherwise(_nothing())
 
     def figures(x: Column) -> Column:
+        real, blank, unread = x["real"], x["blank"], x["unread"]
         found = F.size(tables) > 0
         missing = F.lit("no table of active key clients: the section of clients could not be located")
         evidence = F.transform(tables, lambda t: _say(t["a"], ": ", F.size(inside(real, t)), " client rows"))
@@ -282,35 +288,42 @@ def _client_figures(of) -> tuple[Column, Column]:
             (F.size(qualified) > 0, _say(F.size(qualified), " answer(s) say more than yes or no and were read by their first word: ", _listed(sorted_notes(_texts(qualified, "b"))))),
             (F.size(unread) > 0, _say(F.size(unread), " answer(s) are neither yes nor no: ", _listed(sorted_notes(_texts(unread, "b"))), "; count this column by hand")),
         )
-        return F.struct(
-            _metric("active_clients", F.when(found, F.size(real)), evidence, active, F.size(x["odd"]) > 0).alias("active"),
-            _metric("new_clients", F.when(found & (F.size(unread) == 0), F.size(kind("new"))), evidence, fresh, F.lit(False)).alias("new"),
+        return F.array(
+            _metric("active_clients", F.when(found, F.size(real)), evidence, active, F.size(x["odd"]) > 0),
+            _metric("new_clients", F.when(found & (F.size(unread) == 0), F.size(kind("new"))), evidence, fresh, F.lit(False)),
         )
 
-    both = text.let(F.struct(F.flatten(F.transform(tables, odd)).alias("odd")), figures)
-    return both["active"], both["new"]
+    parts = F.struct(real.alias("real"), kind("blank").alias("blank"), kind("unrecognised").alias("unread"))
+    whole = lambda x: F.struct(*(x[c].alias(c) for c in ("real", "blank", "unread")), F.flatten(F.transform(tables, lambda t: odd(t, x))).alias("odd"))
+    return text.let(text.let(parts, whole), figures)
 
 
 def _nomination_figure(of, key: str) -> Column:
-    boxes, team = of("nominee"), sorted_notes(_texts(of("team")))
-    mine = F.filter(boxes, lambda f: f["kind"] == key)
-    named = F.filter(mine, lambda f: f["b"] != "")
+    boxes = of("nominee")
     vague = F.filter(boxes, lambda f: (f["kind"] == "unclassified") & (f["b"] != "")) if key != "associates" else None
-    n, empty = F.size(named), F.size(mine) - F.size(named)
-    none = (n == 0) & (empty == 0)
-    headed = F.exists(of("heading"), lambda f: f["kind"] == key)
-    split, merged = F.size(F.filter(named, lambda f: f["mark"])), F.size(F.filter(boxes, lambda f: f["row_no"] > 1))
-    unsure = [] if vague is None else [(F.size(vague) > 0, _say(F.size(vague), " partner nomination(s) say neither leading nor next generation: ", _listed(sorted_notes(_texts(vague))), "; counted as neither, decide by hand"))]
-    notes = _notes(
-        *unsure,
-        (none & headed, F.lit("the heading of this category is there, but no nomination below it was recognised")),
-        (none & ~headed, F.lit("no nominations of this kind")),
-        (~none & (F.size(team) > 0), _say(F.size(of("team")), " role(s) inside matters are no nominations: ", _listed(team, 3))),
-        (empty > 0, _say(empty, " empty nomination box(es) were left out")),
-        (split > 0, _say(split, " nomination(s) have their label in a table of its own and the details in the next one")),
-        (~none & (merged > 0), _say(merged, " nomination(s) share a table with the one above and were counted separately")),
-    )
-    return _metric(key, F.when(~(none & headed), n), F.transform(named, lambda f: _say(f["a"], " - ", f["b"])), notes, F.lit(False) if vague is None else F.size(vague) > 0)
+    mine = F.struct(F.filter(boxes, lambda f: f["kind"] == key).alias("mine"), (F.lit(None) if vague is None else vague).alias("vague"))
+
+    def counts(x: Column) -> Column:
+        named = F.filter(x["mine"], lambda f: f["b"] != "")
+        return F.struct(named.alias("named"), F.size(x["mine"]).alias("all"), x["vague"].alias("vague"), F.exists(of("heading"), lambda f: f["kind"] == key).alias("headed"))
+
+    def figure(x: Column) -> Column:
+        named, vague_, headed = x["named"], x["vague"], x["headed"]
+        n, empty, none = F.size(named), x["all"] - F.size(named), x["all"] == 0
+        split, merged = F.size(F.filter(named, lambda f: f["mark"])), F.size(F.filter(boxes, lambda f: f["row_no"] > 1))
+        unsure = [] if vague is None else [(F.size(vague_) > 0, _say(F.size(vague_), " partner nomination(s) say neither leading nor next generation: ", _listed(sorted_notes(_texts(vague_))), "; counted as neither, decide by hand"))]
+        notes = _notes(
+            *unsure,
+            (none & headed, F.lit("the heading of this category is there, but no nomination below it was recognised")),
+            (none & ~headed, F.lit("no nominations of this kind")),
+            (~none & (F.size(of("team")) > 0), _say(F.size(of("team")), " role(s) inside matters are no nominations: ", _listed(sorted_notes(_texts(of("team"))), 3))),
+            (empty > 0, _say(empty, " empty nomination box(es) were left out")),
+            (split > 0, _say(split, " nomination(s) have their label in a table of its own and the details in the next one")),
+            (~none & (merged > 0), _say(merged, " nomination(s) share a table with the one above and were counted separately")),
+        )
+        return _metric(key, F.when(~(none & headed), n), F.transform(named, lambda f: _say(f["a"], " - ", f["b"])), notes, F.lit(False) if vague is None else F.size(vague_) > 0)
+
+    return text.let(text.let(mine, counts), figure)
 
 
 def _alternate_figures(of) -> dict[str, Column]:
@@ -369,10 +382,10 @@ def figures(documents: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFra
 
     def counted(facts: Column) -> Column:
         of = lambda source: facts[source]
-        active, new = _client_figures(of)
-        plain = {"matters": _matter_figure(of, alike), "active_clients": active, "new_clients": new} | {k: _nomination_figure(of, k) for k in HEADINGS}
-        other = _alternate_figures(of) | {"matters": plain["matters"]}
-        return F.when(alike, F.array(*(other[k] for k in METRICS))).otherwise(F.array(*(plain[k] for k in METRICS)))
+        matters_ = F.array(_matter_figure(of, alike))
+        other = _alternate_figures(of)
+        plain = F.concat(_client_figures(of), F.array(*(_nomination_figure(of, k) for k in HEADINGS)))
+        return F.concat(matters_, F.when(alike, F.array(*(other[k] for k in METRICS[1:]))).otherwise(plain))
 
     none = F.array(*(_metric(k, F.lit(None), _nothing(), F.array("error"), F.lit(False)) for k in METRICS))
     return kinds.select("doc_id", "route", "error", F.inline(F.when(F.col("error").isNotNull(), none).otherwise(text.let(F.col("facts"), counted))))

@@ -139,3 +139,12 @@ def test_order_keys(spark):
     assert got[0] == "file|a.docx"
     assert got[1:4] == ["fra|firm|uk|vat", "fra|firm|uk|tax > vat", "ra|uk|vat"]
     assert got[-1] == "a|tax > vat"
+
+
+def test_a_cheap_look_loses_no_label(spark):
+    """Cased, spaced and folded labels; the look is False only for texts without the word."""
+    assert values(spark, lambda c: labels.may_hold(c, ["matter"]), "MATTER 1", "client", "", None, "ma\u1e6dter") == [True, False, False, False, True]
+    assert values(spark, labels.is_matter, "PUBLISHABLE  Matter 3", "publi\u017fhable matter 2", "client", "", None) == [True, True, False, False, False]
+    assert values(spark, labels.nomination, "PARTNER : Leading", "Ri\u017fing Star", "Next\u00a0Gen", "P17", "", None) == ["lead_partners", "associates", "next_gen", None, None, None]
+    assert values(spark, labels.is_client_table, " ACTIVE key\u00a0clients", "P17", "", None) == [True, False, False, False]
+    assert values(spark, text.unwrap, "[(a)]", " (a)", "a)", "()", "", None) == ["a", " (a)", "a)", "", "", None]
