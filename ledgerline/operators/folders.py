@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerline.functions.text import table_code
 from ledgerline.operators.tables import settled
 
-#: Characters of the piece by which a name is looked up in texts.
-PIECE = 4
+#: Characters of the pieces by which names are looked up in texts.
+PIECES = (1, 2, 4, 8, 16, 32)
 #: Levels below the root in which folders are looked for.
 DEPTH = 3
 #: Fixed value: the folder of exports beside or inside a firm's folder.
@@ -22,23 +23,32 @@ def _pieces(value: Column, size: Column | int) -> Column:
     return F.when((size > 0) & (F.length(value) >= size), every).otherwise(F.array().cast("array<string>"))
 
 
-def names_within(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """text, name: each distinct text with each distinct name that it holds, as they are spelled.
+def names_to_search(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text, name: each pair once that names_within has to search, a few more than it finds.
 
-    A name is filed under the one of its pieces of PIECE characters (a shorter name: itself)
-    that fewest texts have; a text's pieces fetch names, and only those are searched for. A
-    name with a piece that no text has is dropped at once. Empty and null names are in no
-    text. For short texts such as paths and cells: a text travels once for each of its pieces
-    that some name has."""
-    wanted = names.select("name").filter("name <> ''").distinct()
-    filed = wanted.select("name", F.explode(F.array_distinct(_pieces(F.col("name"), F.least(F.length("name"), F.lit(PIECE))))).alias("piece"))
+    A name is filed under the one of its pieces, of the longest of the sizes PIECES that it has
+    room for, that fewest texts have; a text's pieces of the sizes in use fetch names. Pieces
+    are more than half as long as names below 64 characters, so numbered names do not meet
+    all texts that share a few digits. A name with a piece that no text has is dropped at
+    once."""
+    size = F.array_max(F.filter(F.array(*map(F.lit, PIECES)), lambda k: k <= F.length("name")))
+    wanted = names.select("name").filter("name <> ''").distinct().withColumn("size", size)
+    filed = wanted.select("name", F.explode(F.array_distinct(_pieces(F.col("name"), F.col("size")))).alias("piece"))
     whole = texts.select("text").filter("text <> ''").distinct()
-    met = whole.select("text", F.explode(F.array_distinct(F.flatten(F.array(*(_pieces(F.col("text"), k) for k in range(1, PIECE + 1)))))).alias("piece"))
+    used = wanted.agg(F.collect_set("size").alias("sizes"))  # one row
+    met = whole.crossJoin(F.broadcast(used)).select("text", F.explode(F.array_distinct(F.flatten(F.transform("sizes", lambda k: _pieces(F.col("text"), k))))).alias("piece"))
     met = met.join(filed.select("piece").distinct(), "piece", "left_semi")
     often = met.groupBy("piece").agg(F.count("*").alias("n"))
     counted = filed.join(often, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("name").agg(F.min(F.struct("n", "piece")).alias("r")).filter("r.n > 0").select("name", "r.piece")
-    return met.join(rarest, "piece").filter(F.contains("text", F.col("name"))).select("text", "name")
+    return met.join(rarest, "piece").select("text", "name")
+
+
+def names_within(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text, name: each distinct text with each distinct name that it holds, as they are spelled.
+    Empty and null names are in no text. For short texts such as paths and cells: a text
+    travels once for each of its pieces that some name has."""
+    return names_to_search(texts, names).filter(F.contains("text", F.col("name")))
 
 
 def _squeezed(value: Column) -> Column:
@@ -67,18 +77,17 @@ def pick_folders(documents: DataFrame, firms: DataFrame) -> DataFrame:
     return found.groupBy("firm").agg(F.min_by("folder", F.struct(~own, F.size(path), path)).alias("folder"))
 
 
-def firm_rows(listing: DataFrame, firms: DataFrame) -> DataFrame:
-    """asked (the firm asked for) and the rows of listing whose firm holds it, case aside."""
+def firm_names(listing: DataFrame, firms: DataFrame) -> DataFrame:
+    """asked (the firm asked for), text: the firms of listing, in lower case, that hold it."""
     wanted = firms.select(F.col("firm").alias("asked"), F.lower("firm").alias("name")).distinct()
-    keyed = listing.withColumn("text", F.lower("firm"))
-    return names_within(keyed, wanted).join(wanted, "name").drop("name").join(keyed, "text").drop("text")
+    return names_within(listing.select(F.lower("firm").alias("text")), wanted).join(wanted, "name").select("asked", "text")
 
 
 def pick_exports(rows: DataFrame, folders: DataFrame, general: list[str]) -> DataFrame:
     """asked, folder, export: for each firm with a folder the first export that mentions it: of those
     in the folder's own spreadsheets, in the folder, in spreadsheets beside it, then in the
-    general places in their order; by name within a place. rows: as firm_rows gives them,
-    with export, a path below the same root."""
+    general places in their order; by name within a place. rows: asked, export (a path below
+    the same root), each pair once or more."""
     place = F.regexp_replace("export", "/?[^/]*$", "")
     beside = F.regexp_replace("folder", "[^/]+$", SPREADSHEETS)
     order = F.when(place == F.concat("folder", F.lit(f"/{SPREADSHEETS}")), 0).when(place == F.col("folder"), 1).when(place == beside, 2)
@@ -99,32 +108,37 @@ def check_folders(listing: DataFrame, documents: DataFrame, firms: DataFrame, ge
     for documents that no row waits for, elite if firm reference and table code in the name
     are those of an elite row. Elite rows are not expected. Names are compared without case;
     of rows with one name the first counts. A firm without a folder, or that no export near
-    it mentions, has no rows here: folder_counts names it. The firms' rows and the folders chosen
-    are written once, as several steps use them."""
-    rows = settled(firm_rows(listing, firms))
-    chosen = settled(pick_exports(rows, pick_folders(documents, firms), general))
-    own = rows.join(chosen, ["asked", "export"]).withColumn("elite", F.coalesce(F.col("grp").rlike(r"(?i)\belite\b"), F.lit(False)))
+    it mentions, has no rows here: folder_counts names it. Which firms of the listing hold
+    which and the folders chosen are written once, as several steps use them."""
+    keyed = listing.withColumn("text", F.lower("firm"))
+    pairs = settled(firm_names(listing, firms))
+    mentioned = pairs.join(keyed.select("text", "export").distinct(), "text").select("asked", "export")
+    chosen = settled(pick_exports(mentioned, pick_folders(documents, firms), general))
+    # rows meet a firm only in the export that was chosen for it
+    own = pairs.join(chosen, "asked").join(keyed, ["text", "export"]).drop("text").withColumn("elite", F.coalesce(F.col("grp").rlike(r"(?i)\belite\b"), F.lit(False)))
     head = ["asked", "folder", "export"]
     said = ["region", "area", "created_at"]
 
     due = own.filter("NOT elite AND has_document").withColumn("slot", F.transform(F.array("firm", "region", "area"), lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))))
-    first = due.groupBy(*head, "filename").agg(F.min_by(F.struct("slot", *said), F.struct("row_no", "slot", *said)).alias("r")).select(*head, F.col("filename").alias("name"), "r.*")
-    dated = first.groupBy("asked", "slot", "created_at").agg(F.count("*").alias("n"))
-    newest = dated.groupBy("asked", "slot").agg(F.max(F.struct("created_at", "n")).alias("top"))
-    older = F.coalesce((F.col("created_at") < F.col("top.created_at")) & (F.col("top.n") == 1), F.lit(False))
-    marked = first.join(newest, ["asked", "slot"]).withColumn("older", older).drop("top", "slot")
-
-    held = chosen.join(documents, "folder").groupBy(*head, F.lower("name").alias("key")).agg(F.min("name").alias("held"))
-    both = marked.filter("NOT older").withColumn("key", F.lower("name")).drop("older").join(held, [*head, "key"], "full")
+    named = Window.partitionBy("asked", "filename").orderBy("row_no", "slot", *said)
+    first = due.withColumn("before", F.lag(F.lit(True)).over(named)).filter("before IS NULL").select(*head, F.col("filename").alias("name"), "slot", *said)
+    slot = Window.partitionBy("asked", "slot")
+    topped = first.withColumn("top", F.max("created_at").over(slot)).withColumn("n", F.count_if(F.col("created_at") == F.col("top")).over(slot))
+    older = F.coalesce((F.col("created_at") < F.col("top")) & (F.col("n") == 1), F.lit(False))
+    # a row that a newer one replaces has no key, so it meets no document and stays as it is
+    marked = topped.withColumn("older", older).withColumn("key", F.when(~F.col("older"), F.lower("name"))).drop("top", "n", "slot")
+
+    kept = documents.groupBy("folder", F.lower("name").alias("key")).agg(F.min("name").alias("held"))
+    held = chosen.join(kept, "folder")
+    both = marked.join(held, [*head, "key"], "full")
     name = F.coalesce("held", "name")
-    code = lambda c: F.struct(*(x.alias(k) for x, k in zip(table_code(c), ("ref", "code"), strict=True)))
+    code = lambda c: F.struct(*(x.alias(k) for k, x in zip(("ref", "code"), table_code(c), strict=True)))
     elite = own.filter("elite").select("asked", code(F.col("filename")).alias("code")).filter("code.ref IS NOT NULL").distinct().withColumn("known", F.lit(True))
-    side = F.when(F.col("held").isNull(), "missing").when(F.col("name").isNotNull(), "present").when(F.col("known"), "elite").otherwise("extra")
-    coded = both.withColumn("code", code(F.col("held"))).join(elite, ["asked", "code"], "left")
+    side = F.when(F.col("older"), "older version").when(F.col("held").isNull(), "missing").when(F.col("name").isNotNull(), "present").when(F.col("known"), "elite").otherwise("extra")
+    coded = both.withColumn("code", F.when(F.col("name").isNull(), code(F.col("held")))).join(elite, ["asked", "code"], "left")
     columns = lambda df, what, n: df.select(F.col("asked").alias("firm"), "folder", "export", n.alias("name"), what.alias("side"), *said)
-    replaced = columns(marked.filter("older"), F.lit("older version"), F.col("name"))
     without = columns(own.filter("NOT elite AND NOT has_document"), F.lit("no document"), F.lit(None).cast("string"))
-    return columns(coded, side, name).unionByName(replaced).unionByName(without)
+    return columns(coded, side, name).unionByName(without)
 
 
 #: The sides of check_folders and the columns that count them.

@@ -18,6 +18,30 @@ def test_names_within_equals_brute_force(spark):
     assert set(got) == {(t, n) for t in texts for n in names if t and n and n in t}
 
 
+def test_numbered_names_meet_few_texts(spark):
+    """What is searched grows with what is found, not with the square of the names."""
+    numbers = spark.range(20000)
+    texts, names = numbers.selectExpr("concat('firm ', id, ' llp') AS text"), numbers.selectExpr("concat('firm ', id) AS name")
+    found = folders.names_within(texts, names).count()
+    assert found == sum(len(str(n)) for n in range(20000))
+    assert folders.names_to_search(texts, names).count() < 2 * found
+
+
+def test_rows_of_one_name_and_older_ones_that_are_held(spark):
+    """The first row of a name counts, whatever its firm; a held older version is extra too."""
+    from datetime import datetime
+
+    old, new = datetime(2026, 1, 1), datetime(2026, 2, 1)
+    row = lambda n, firm, name, at, export="real/all.csv": (export, n, firm, "MX", "G", "Tax", name, True, at)
+    listing = [
+        row(2, "Acme One", "a.docx", new), row(1, "Acme Two", "a.docx", old), row(3, "Acme One", "A.docx", old), row(4, "Acme Two", "b.docx", new),
+        row(9, "Acme One", "far.docx", new, "elsewhere/x.csv"),
+    ]
+    got, _ = check(spark, listing, [("Acme", "a.DOCX"), ("Acme", "A.docx")], ["Acme"])
+    # a.docx is row 1, of Acme Two, where b.docx is newer; A.docx is alone in its slot
+    assert got == [("Acme", "missing", "b.docx"), ("Acme", "older version", "a.docx"), ("Acme", "present", "A.docx")]
+
+
 def test_documents_and_folders(spark):
     paths = ["file:/r/Acme/a.docx", "file:/r/mexico/Acme Abogados/b.DOCX", "file:/r/mexico/Acme Abogados/~$b.docx", "file:/r/1/2/3/deep.docx", "file:/r/1/2/3/4/no.docx", "file:/r/top.docx", "file:/r/chile/x.docx", "file:/r/Acme/n.txt"]
     docs = folders.documents_in(spark.createDataFrame([(p,) for p in paths], "path string"), "/r")
