@@ -15,7 +15,8 @@ def clean(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """clean, blanks around >, lower case. The result of the > step is not trimmed again."""
-    return F.lower(F.regexp_replace(clean(text), r"(?U)\s*>\s*", " > "))
+    tidy = clean(text)
+    return F.lower(F.when(F.contains(text.cast("string"), F.lit(">")), F.regexp_replace(tidy, r"(?U)\s*>\s*", " > ")).otherwise(tidy))
 
 
 #: Legal forms that a firm's name may end with.
@@ -97,7 +98,7 @@ def to_int(text: Column) -> Column:
 def copy_suffix(name: Column) -> tuple[Column, Column]:
     """stem (N).docx: the name without the suffix, and N (null if there is none)."""
     pattern = r"(?is)^(.*?)\s*\((\d+)\)(\.docx)$"
-    number = F.nullif(F.regexp_extract(name, pattern, 2), F.lit(""))
+    number = F.when(F.contains(name, F.lit("(")), F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")))
     plain = F.when(number.isNotNull(), F.concat(F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 3))).otherwise(name)
     return plain, number.try_cast("int")
 
@@ -113,7 +114,7 @@ def uri_to_filename(uri: Column) -> Column:
 def table_code(name: Column) -> tuple[Column, Column]:
     """Firm reference and table code of a name such as x_12_submission_y_EC34.docx."""
     pattern = r"(?i)_([0-9]+)_submission_.*_EC([0-9]+)\.docx$"
-    one = lambda k: F.nullif(F.regexp_extract(name, pattern, k), F.lit(""))
+    one = lambda k: F.when(F.contains(F.lower(name), F.lit("_submission_")), F.nullif(F.regexp_extract(name, pattern, k), F.lit("")))
     return one(1), one(2)
 
 

@@ -162,3 +162,14 @@ def test_shown_texts(spark):
 def test_firm_keys_and_codes(spark):
     df = spark.createDataFrame([("R 1", "Smith & Co. LLP"), (None, "A"), (" ", None)], "ref string, name string")
     assert [r[0] for r in df.select(batch.firm_keys(F.col("ref"), F.col("name"))).collect()] == [["ref:r 1", "name:smith co"], ["name:a"], []]
+
+
+def test_documents_without_a_row_are_not_dealt_by_it(spark):
+    """No join of all documents by export_id: those without one would be one task's."""
+    documents = spark.createDataFrame([doc(n, f"d{n}.docx", "Tax" if n == 1 else f"Other{n}") for n in range(1, 6)], DOCS)
+    export = spark.createDataFrame([(1, "Smith LLP", "77", "UK", "Tax", 1)], EXPORT)
+    done = batch.batch(documents, spark.createDataFrame([], LIST), export)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join LeftOuter" in line and "export_id" in line]
+    got = {r["doc_no"]: (r["export_id"], r["firm_ref"]) for r in done.collect()}
+    assert got == {1: (1, "77")} | {n: (None, None) for n in range(2, 6)}
