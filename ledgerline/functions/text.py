@@ -202,16 +202,30 @@ def ranges_text(numbers: Column) -> Column:
     return F.array_join(F.transform(runs, word), ", ")
 
 
+def order_forms(group: Column, area: Column) -> Column:
+    """Forms of a row's area, then those of group > area."""
+    group, area = normalise(group), normalise(area)
+    return F.array_distinct(F.concat(area_variants(area), F.when(group != "", area_variants(F.concat_ws(" > ", group, area))).otherwise(F.array().cast("array<string>"))))
+
+
+def own_order_keys(filename: Column, firm: Column, region: Column, forms: Column) -> Column:
+    """The keys of a row that few others have, most specific first: its file; firm, region and
+    form. forms: as order_forms gives them."""
+    file_, firm, region = (normalise(c) for c in (filename, firm, region))
+    empty = F.array().cast("array<string>")
+    named = F.when((firm != "") & (region != ""), F.transform(forms, lambda x: F.concat_ws("|", F.lit("fra"), firm, region, x))).otherwise(empty)
+    return F.concat(F.when(file_ != "", F.array(F.concat_ws("|", F.lit("file"), file_))).otherwise(empty), named)
+
+
+def shared_order_keys(region: Column, forms: Column) -> Column:
+    """The keys that a row shares with all of its region or area: region and form; form."""
+    region = normalise(region)
+    within = F.when(region != "", F.transform(forms, lambda x: F.concat_ws("|", F.lit("ra"), region, x))).otherwise(F.array().cast("array<string>"))
+    return F.concat(within, F.transform(forms, lambda x: F.concat_ws("|", F.lit("a"), x)))
+
+
 def order_keys(filename: Column, firm: Column, region: Column, group: Column, area: Column) -> Column:
     """Keys of a row, most specific first: its file; firm, region and form; region and
     form; form. Forms of the area come first, then those of group > area."""
-    file_, firm, region, group, area = (normalise(c) for c in (filename, firm, region, group, area))
-    forms = F.array_distinct(F.concat(area_variants(area), F.when(group != "", area_variants(F.concat_ws(" > ", group, area))).otherwise(F.array().cast("array<string>"))))
-    empty = F.array().cast("array<string>")
-    part = lambda known, kind, *c: F.when(known, F.transform(forms, lambda x: F.concat_ws("|", F.lit(kind), *c, x))).otherwise(empty)
-    return F.concat(
-        F.when(file_ != "", F.array(F.concat_ws("|", F.lit("file"), file_))).otherwise(empty),
-        part((firm != "") & (region != ""), "fra", firm, region),
-        part(region != "", "ra", region),
-        part(F.lit(True), "a"),
-    )
+    forms = order_forms(group, area)
+    return F.concat(own_order_keys(filename, firm, region, forms), shared_order_keys(region, forms))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import clean, normalise, order_keys, portal_area
+from ledgerline.functions.text import clean, normalise, order_forms, order_keys, own_order_keys, portal_area, shared_order_keys
 from ledgerline.operators.matching import with_variants
+from ledgerline.operators.tables import settled
 
 #: Headings of a page's columns.
 HINTS = {
@@ -84,9 +85,24 @@ def order_map(lines: DataFrame, filename: Column, firm: Column, region: Column,
 def positions(rows: DataFrame, index: DataFrame, row_id: str, filename: Column, firm: Column, region: Column, group: Column, area: Column) -> DataFrame:
     """page_id, row_id, position: where on the page a row stands, by the first of its keys that
     the page has at all; not the line that comes first. Rows (with a page_id) that the page
-    does not mention are left out. index: as order_map gives it."""
-    keys = rows.select("page_id", row_id, F.posexplode(order_keys(filename, firm, region, group, area)).alias("turn", "key"))
-    return keys.join(index, ["page_id", "key"]).groupBy("page_id", row_id).agg(F.min_by("position", "turn").alias("position"))
+    does not mention are left out. index: as order_map gives it.
+
+    The keys that all rows of a region or area share are looked up once for each page, region,
+    group and area (written: few as a rule, so joined back by a broadcast); only keys of a
+    row's own file or firm are dealt to tasks."""
+    named = {"_file": filename, "_firm": firm, "_region": region, "_group": group, "_area": area}
+    parts = rows.select("page_id", row_id, *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in named.items()))
+    place = ["page_id", "_region", "_group", "_area"]
+    first = lambda df, keys, by: df.select(*by, F.posexplode(keys).alias("turn", "key")).join(index, ["page_id", "key"]).groupBy(*by).agg(F.min_by("position", "turn").alias("position"))
+    each = parts.select(*place).distinct().withColumn("forms", order_forms(F.col("_group"), F.col("_area")))
+    shared = first(each, shared_order_keys(F.col("_region"), F.col("forms")), place)
+    known = settled(each.join(shared, place, "left").withColumnRenamed("position", "shared"))
+    whole = parts.join(known, place)
+    own = whole.select("page_id", row_id, F.posexplode(own_order_keys(F.col("_file"), F.col("_firm"), F.col("_region"), F.col("forms"))).alias("turn", "key"))
+    found = own.join(index, ["page_id", "key"]).select("page_id", row_id, "turn", "position")
+    # a shared key comes after all of a row's own
+    last = whole.filter("shared IS NOT NULL").select("page_id", row_id, F.lit(2**31 - 1).alias("turn"), F.col("shared").alias("position"))
+    return found.unionByName(last).groupBy("page_id", row_id).agg(F.min_by("position", "turn").alias("position"))
 
 
 def rollup(lines: DataFrame) -> DataFrame:
