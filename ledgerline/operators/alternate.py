@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ledgerline.functions import labels
 from ledgerline.functions.text import clean, unwrap
@@ -45,36 +47,70 @@ def _column_of(heading: str) -> Column:
     return F.nullif(F.array_position(hits, True), F.lit(0)).cast("int")
 
 
-def _below_heading(rows: DataFrame, section: tuple[tuple[str, ...], str], **columns: str) -> DataFrame:
-    """Rows of tables of a section from the first row on that has the first column's heading
-    (is_head), with the place of each named column and the table's label."""
-    tables = rows.filter((F.col("row_no") == 0) & is_section(F.get("cells", F.lit(0)), section)).select("doc_id", "tbl_no", clean(F.get("cells", F.lit(0))).alias("section"))
+def sections(own: WindowSpec) -> dict[str, Column]:
+    """lawyers_section, clients_section: the label of a table of that section, in all its rows.
+    own: all rows of a table."""
+    label = F.get("cells", F.lit(0))
+    said = lambda section: F.max(F.when((F.col("row_no") == 0) & is_section(label, section), clean(label))).over(own)
+    return {"lawyers_section": said(LAWYERS), "clients_section": said(CLIENTS)}
+
+
+def heads(own: WindowSpec) -> dict[str, Column]:
+    """lawyers_head, clients_head: of a section's table, the first row that has the first column's
+    heading, and the place of each column."""
+
+    def head(section: str, **columns: str) -> Column:
+        places = [F.when(F.col(section).isNotNull(), _column_of(p)).alias(k) for k, p in columns.items()]
+        return F.min(F.when(F.col(section).isNotNull() & places[0].isNotNull(), F.struct("row_no", *places))).over(own)
+
+    return {"lawyers_head": head("lawyers_section", partner=PARTNER_COLUMN), "clients_head": head("clients_section", name=NAME_COLUMN, new=NEW_COLUMN)}
+
+
+def _below(head: str, row: Callable[[Column], Column]) -> Column:
+    """What row makes of rows from the head row on; null above it."""
+    return F.when(F.col("row_no") >= F.col(f"{head}.row_no"), row(F.col("row_no") == F.col(f"{head}.row_no")))
+
+
+def lawyer() -> Column:
+    """is_head, name, answer, kind (partner, other or null) of a row with the columns of sections and
+    heads; null for a row that names no lawyer. A head row says that the table was found."""
+
+    def row(is_head: Column) -> Column:
+        answer = unwrap(clean(F.get("cells", F.col("lawyers_head.partner") - 1)))
+        kind = F.when(F.lower(answer).isin(*labels.NEW_YES), "partner").when(F.lower(answer).isin(*labels.NEW_NO), "other")
+        name = clean(F.get("cells", F.lit(0)))
+        return F.when(is_head | (name != ""), F.struct(is_head.alias("is_head"), name.alias("name"), answer.alias("answer"), kind.alias("kind")))
+
+    return _below("lawyers_head", row)
+
+
+def listed_client() -> Column:
+    """is_head, name, answer, kind (new, not, blank, unrecognised) of a row with the columns of
+    sections and heads; null for a row that names no client."""
+
+    def row(is_head: Column) -> Column:
+        answer = unwrap(clean(F.get("cells", F.col("clients_head.new") - 1)))
+        name = clean(F.get("cells", F.col("clients_head.name") - 1))
+        return F.when(is_head | ((name != "") & ~labels.not_applicable(name)), F.struct(is_head.alias("is_head"), name.alias("name"), answer.alias("answer"), labels.answer(answer).alias("kind")))
+
+    return _below("clients_head", row)
+
+
+def _in_sections(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id", "tbl_no")
-    first = next(iter(columns))
-    placed = rows.join(tables, ["doc_id", "tbl_no"]).withColumns({k: _column_of(p) for k, p in columns.items()})
-    head = F.min(F.when(F.col(first).isNotNull(), F.struct("row_no", *columns))).over(own)
-    below = placed.withColumn("head", head).filter("head IS NOT NULL AND row_no >= head.row_no")
-    return below.select("doc_id", "tbl_no", "row_no", "cells", "section", (F.col("row_no") == F.col("head.row_no")).alias("is_head"), *(F.col(f"head.{k}").alias(k) for k in columns))
+    return rows.withColumns(sections(own)).withColumns(heads(own))
 
 
 def lawyers(rows: DataFrame) -> DataFrame:
-    """doc_id, tbl_no, row_no, is_head, name, answer, kind (partner, other or null): the rows of
-    lawyer tables. A head row says that the table was found."""
-    body = _below_heading(rows, LAWYERS, partner=PARTNER_COLUMN)
-    answer = unwrap(clean(F.get("cells", F.col("partner") - 1)))
-    kind = F.when(F.lower("answer").isin(*labels.NEW_YES), "partner").when(F.lower("answer").isin(*labels.NEW_NO), "other")
-    named = body.select("doc_id", "tbl_no", "row_no", "is_head", clean(F.get("cells", F.lit(0))).alias("name"), answer.alias("answer"))
-    return named.filter("is_head OR name <> ''").withColumn("kind", kind)
+    """doc_id, tbl_no, row_no, is_head, name, answer, kind: the rows of lawyer tables."""
+    return _in_sections(rows).select("doc_id", "tbl_no", "row_no", lawyer().alias("found")).filter("found IS NOT NULL").select("doc_id", "tbl_no", "row_no", "found.*")
 
 
 def listed_clients(rows: DataFrame) -> DataFrame:
-    """doc_id, tbl_no, row_no, is_head, section, name, answer, kind (new, not, blank,
-    unrecognised): the rows of client tables, and their head rows."""
-    body = _below_heading(rows, CLIENTS, name=NAME_COLUMN, new=NEW_COLUMN)
-    answer = unwrap(clean(F.get("cells", F.col("new") - 1)))
-    named = body.select("doc_id", "tbl_no", "row_no", "is_head", "section", clean(F.get("cells", F.col("name") - 1)).alias("name"), answer.alias("answer"))
-    known = named.filter(F.col("is_head") | ((F.col("name") != "") & ~labels.not_applicable(F.col("name"))))
-    return known.withColumn("kind", labels.answer(F.col("answer")))
+    """doc_id, tbl_no, row_no, section, is_head, name, answer, kind: the rows of client tables, and
+    their head rows."""
+    found = _in_sections(rows).select("doc_id", "tbl_no", "row_no", F.col("clients_section").alias("section"), listed_client().alias("found"))
+    return found.filter("found IS NOT NULL").select("doc_id", "tbl_no", "row_no", "section", "found.*")
 
 
 def count_lawyers(rows: DataFrame) -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ledgerline.functions import labels, text
 from ledgerline.operators import alternate
 from ledgerline.operators.present import few, sorted_notes
-from ledgerline.operators.tables import settled
 
 #: Headings of the nomination sections, and of the people who worked on a matter.
 HEADINGS = {"lead_partners": "leading partners", "next_gen": "next gen", "associates": "leading associates"}
@@ -30,67 +29,60 @@ def section_heading(text: Column, name: str) -> Column:
     return F.coalesce(text.rlike(f"{labels.FLAGS}{labels.wording(['your team'])}.*:\\s*{labels.wording([name])}"), F.lit(False))
 
 
-def labelled(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, tbl_no, row_no, cells) with label, what it says, and its segment."""
+def labelled(rows: DataFrame, own: WindowSpec | None = None) -> DataFrame:
+    """rows (doc_id, tbl_no, row_no, cells) with label, what it says, and what its table holds.
+    own: a window over all rows of a table, in any order."""
     first = text.clean(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
-    own = Window.partitionBy("doc_id", "tbl_no")
+    own = own or Window.partitionBy("doc_id", "tbl_no")
     out = rows.withColumn("label", first).withColumns({"category": labels.nomination(F.col("label")), "matter": labels.is_matter(F.col("label")), "client": labels.is_client_table(F.col("label"))})
-    out = out.withColumns({"last_row": F.max("row_no").over(own), "any_matter": F.max("matter").over(own), "any_label": F.max(F.col("matter") | F.col("client") | F.col("category").isNotNull()).over(own), "team": F.max(F.lower("label").isin(*TEAM)).over(own)})
-    return out.withColumn("filled", F.exists("cells", lambda c: F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))))
-
-
-def _bodies(rows: DataFrame, starts: str) -> DataFrame:
-    """Rows below each row where starts holds, up to the next such row of the table, or the
-    whole next table where the label ends its table and the next one is unlabelled."""
-    own = Window.partitionBy("doc_id", "tbl_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    seg = rows.withColumn("seg", F.sum(F.when(F.col(starts), 1).otherwise(0)).over(own).cast("int"))
-    heads = seg.filter(F.col(starts)).select("doc_id", "tbl_no", "seg", F.col("row_no").alias("head_row"), F.col("label").alias("head"), F.col("category").alias("kind"), F.col("last_row").alias("end"), "fill")
-    inside = heads.join(seg.select("doc_id", "tbl_no", "seg", "row_no", "cells", "filled", F.col("label").alias("cell")), ["doc_id", "tbl_no", "seg"], "left")
-    inside = inside.filter(F.col("row_no") > F.col("head_row"))
-    # any_label is the same in all rows of a table: what is adopted has none, so only such rows travel
-    plain = seg.filter("filled AND NOT any_label").select("doc_id", (F.col("tbl_no") - 1).alias("tbl_no")).distinct()
-    lone = heads.filter(F.col("head_row") == F.col("end")).join(plain, ["doc_id", "tbl_no"], "left_semi")
-    ahead = seg.filter(~F.col("any_label")).select("doc_id", (F.col("tbl_no") - 1).alias("tbl_no"), "row_no", "cells", "filled", F.col("label").alias("cell"))
-    adopted = lone.join(ahead, ["doc_id", "tbl_no"])
-    columns = ["doc_id", "tbl_no", "seg", "row_no", "cells", "filled", "cell", "adopted"]
-    body = inside.withColumn("adopted", F.lit(False)).select(columns).unionByName(adopted.withColumn("adopted", F.lit(True)).select(columns))
-    return heads.join(body, ["doc_id", "tbl_no", "seg"], "left")
-
-
-def matters(rows: DataFrame) -> DataFrame:
-    """doc_id, tbl_no, seg, head, kind, number, real, split: every matter box, whether it is
-    filled in (a client beside or below "Name of client" decides, else any text), and whether
-    its body is the next table."""
-    body = _bodies(rows.withColumn("starts", F.col("matter")), "starts")
-    ahead = Window.partitionBy("doc_id", "tbl_no", "seg").orderBy("row_no")
-    body = body.withColumns({"below": F.lead("filled").over(ahead), "asks": F.coalesce(labels.begins(F.col("cell"), CLIENT_ROW), F.lit(False))})
+    out = out.withColumn("filled", F.exists("cells", lambda c: F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))))
+    any_label = F.col("matter") | F.col("client") | F.col("category").isNotNull()
+    held = {"any_matter": F.col("matter"), "any_label": any_label, "team": F.lower("label").isin(*TEAM), "any_filled": F.col("filled"), "in_clients": (F.col("row_no") == 0) & F.col("client")}
+    return out.withColumns({k: F.max(c).over(own) for k, c in held.items()} | alternate.sections(own))
+
+
+def boxed(rows: DataFrame) -> DataFrame:
+    """Labelled rows in the order of their document, with the box that each is in: from a row
+    that starts one up to the next such row of the table, or the whole next table where the
+    label ends its table and the next one is unlabelled.
+
+    starts: a matter's label, or a nomination's outside matter boxes, where roles are the
+    matter's team; seg: its place among those of its table; first: the table's first row;
+    real, name, split: of the box, whether it is filled in (a client beside or below "Name of
+    client" decides, else any text), who is nominated, and whether its body is the next
+    table; followed: the row is in a table that is the body of a filled matter box; laid_out:
+    the table has rows of a matter and no label. Windows agree in their order and the first
+    is of the document, so rows travel at most once, and not at all if they lie by document
+    already."""
+    document = Window.partitionBy("doc_id").orderBy("tbl_no", "row_no")
+    table = Window.partitionBy("doc_id", "tbl_no").orderBy("row_no")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = rows.withColumn("before", F.lag("tbl_no").over(document))
+    mine = labelled(placed, whole(table)).withColumn("starts", F.col("matter") | (F.col("category").isNotNull() & ~F.col("any_matter") & ~F.col("team")))
+    asks = F.when(~F.col("any_label") & F.col("row_no").between(1, 3), labels.begins(F.col("label"), CLIENT_ROW_LOOSE))
+    tells = F.when(~F.col("any_label") & F.col("row_no").between(1, 8), labels.begins(F.col("label"), SUMMARY_ROW))
+    laid_out = F.coalesce(F.max(asks).over(whole(table)) & F.max(tells).over(whole(table)), F.lit(False))
+    mine = mine.withColumns({"seg": F.count_if("starts").over(upto(table)).cast("int"), "laid_out": laid_out, **alternate.heads(whole(table))})
+    mine = mine.withColumn("last", F.lag(F.struct("starts", "matter")).over(document)).withColumn("first", F.coalesce(F.col("before") != F.col("tbl_no"), F.lit(True)))
+    adopted = F.col("last.starts") & (F.col("before") == F.col("tbl_no") - 1) & ~F.col("any_label") & F.col("any_filled") & (F.col("last.matter") | ~F.col("team"))
+    mine = mine.withColumn("opens", F.col("starts") | (F.col("first") & ~F.coalesce(adopted, F.lit(False))))
+    mine = mine.withColumns({"box": F.count_if("opens").over(upto(document)), "ahead": F.lead(F.struct("opens", "filled", "label")).over(document)})
+
+    box = whole(Window.partitionBy("doc_id", "box").orderBy("tbl_no", "row_no"))
+    body, more = ~F.col("starts"), ~F.col("ahead.opens")
     beside = F.exists(F.slice("cells", F.lit(2), F.greatest(F.size("cells"), F.lit(0))), lambda c: (text.clean(c) != "") & ~labels.begins(text.clean(c), SECTOR_ROW))
-    first = F.min(F.when(F.col("asks"), F.struct("row_no", (F.coalesce(beside, F.lit(False)) | F.coalesce("below", F.lit(False))).alias("client"))))
-    each = body.groupBy("doc_id", "tbl_no", "seg", "head").agg(F.coalesce(first["client"], F.max("filled"), F.lit(False)).alias("real"), F.coalesce(F.max("adopted"), F.lit(False)).alias("split"))
-    return each.select("doc_id", "tbl_no", "seg", "head", labels.matter_kind(F.col("head")).alias("kind"), labels.matter_number(F.col("head")).alias("number"), "real", (F.col("real") & F.col("split")).alias("split"))
-
-
-def coloured_matters(rows: DataFrame) -> DataFrame:
-    """Unlabelled tables that are laid out as a matter and whose label box has a colour."""
-    asks = labels.begins(F.col("label"), CLIENT_ROW_LOOSE) & F.col("row_no").between(1, 3)
-    tells = labels.begins(F.col("label"), SUMMARY_ROW) & F.col("row_no").between(1, 8)
-    own = rows.filter(~F.col("any_label")).groupBy("doc_id", "tbl_no").agg(F.min_by("label", "row_no").alias("head"), F.min_by("fill", "row_no").alias("fill"), F.max(asks).alias("a"), F.max(tells).alias("b"))
-    found = own.withColumn("kind", text.colour_kind(F.col("fill"))).filter("a AND b AND kind IS NOT NULL")
-    return found.select("doc_id", "tbl_no", "head", "kind", F.nullif(F.regexp_extract("head", r"(\d+)\s*$", 1), F.lit("")).try_cast("int").alias("number"), F.lit(True).alias("real"))
-
-
-def nominees(rows: DataFrame) -> DataFrame:
-    """doc_id, tbl_no, seg, kind, head, name, split: every nomination box; name is empty in an
-    untouched one, split says that it stands in the next table. Roles inside matter boxes are
-    the matter's team, no nominations."""
-    mine = rows.filter(~F.col("any_matter") & ~F.col("team")).withColumn("starts", F.col("category").isNotNull())
-    body = _bodies(mine, "starts")
-    inside = Window.partitionBy("doc_id", "tbl_no", "seg").orderBy("row_no")
-    body = body.withColumns({"place": F.row_number().over(inside), "next": F.lead("cell").over(inside), "is_name": F.coalesce(F.lower("cell") == "name", F.lit(False))})
-    under = F.min(F.when(F.col("is_name"), F.struct("place", F.coalesce("next", F.lit("")).alias("name"))))
-    usual = F.max(F.when(F.col("place") == 2, F.col("cell")))
-    named = body.groupBy("doc_id", "tbl_no", "seg", "kind", "head").agg(F.coalesce(under["name"], usual, F.lit("")).alias("name"), F.coalesce(F.max("adopted"), F.lit(False)).alias("split"))
-    return named.withColumn("split", F.col("split") & (F.col("name") != ""))
+    client = F.coalesce(beside, F.lit(False)) | F.coalesce(more & F.col("ahead.filled"), F.lit(False))
+    first_client = F.min(F.when(body & labels.begins(F.col("label"), CLIENT_ROW), F.struct("tbl_no", "row_no", client.alias("client")))).over(box)["client"]
+    below = F.min(F.when(body & (F.lower("label") == "name"), F.struct("tbl_no", "row_no", F.coalesce(F.when(more, F.col("ahead.label")), F.lit("")).alias("name")))).over(box)["name"]
+    # the label is the first row, so the second row of the body is the third
+    usual = F.nth_value("label", 3).over(box)
+    told = {
+        "real": F.coalesce(first_client, F.max(F.when(body, F.col("filled"))).over(box), F.lit(False)), "name": F.coalesce(below, usual, F.lit("")),
+        "adopts": F.max("tbl_no").over(box) > F.col("tbl_no"), "of_matter": F.max(F.col("starts") & F.col("matter")).over(box),
+    }
+    out = mine.withColumns(told).withColumn("followed", F.col("of_matter") & F.col("real") & ~F.col("any_label"))
+    return out.withColumn("split", F.col("adopts") & F.when(F.col("matter"), F.col("real")).otherwise(F.col("name") != ""))
 
 
 def client_answers(rows: DataFrame) -> DataFrame:
@@ -106,12 +98,11 @@ def trace(rows: DataFrame) -> DataFrame:
     what its label was taken for (matter, clients, a nomination's category, or null), and for
     rows of client tables whether they count and how their answer was read."""
     mine = labelled(rows).filter("filled")
-    tables = mine.filter("row_no = 0 AND client").select("doc_id", "tbl_no", F.lit(True).alias("in_clients"))
     what = F.when(F.col("matter"), "matter").when(F.col("client"), "clients").otherwise(F.col("category"))
     inside = F.coalesce("in_clients", F.lit(False)) & (F.col("row_no") > 0)
     row_class = F.when(inside, labels.client_row(F.col("label")))
     answer = F.when(row_class == "client", labels.answer(F.coalesce(F.get("cells", F.lit(1)), F.lit(""))))
-    return mine.join(tables, ["doc_id", "tbl_no"], "left").select("doc_id", "tbl_no", "row_no", "label", what.alias("what"), row_class.alias("row_class"), answer.alias("answer"))
+    return mine.select("doc_id", "tbl_no", "row_no", "label", what.alias("what"), row_class.alias("row_class"), answer.alias("answer"))
 
 
 def looks_like_submission(rows: DataFrame) -> DataFrame:
@@ -131,42 +122,40 @@ def _fact(source: str, **columns: Column | str) -> Column:
     return F.struct(*(given.get(k, F.lit(None)).cast(t).alias(k) for k, t in types.items()))
 
 
-def facts(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, fact: all that the figures of a document are made of. Labels are told once and
-    kept, so documents are decoded once for their rows and once for their paragraphs."""
-    mine = settled(labelled(rows))
-    boxes = settled(matters(mine))
-    followed = boxes.filter("split").select("doc_id", (F.col("tbl_no") + 1).alias("tbl_no"))
-    coloured = coloured_matters(mine).join(followed, ["doc_id", "tbl_no"], "left_anti")
-    first = F.col("row_no") == 0
-    strict = labels.begins(F.col("label"), labels.STRICT_NAMES, labels.END)
-    said_by_rows = F.array(
+def facts(rows: DataFrame) -> DataFrame:
+    """doc_id, fact: all that rows say of the figures of a document. Each row says its own facts,
+    a box's label those of the box, so no fact is joined to another."""
+    mine = boxed(rows)
+    label, first = F.col("label"), F.col("row_no") == 0
+    strict = labels.begins(label, labels.STRICT_NAMES, labels.END)
+    row_class = F.when(F.col("in_clients") & ~first, labels.client_row(label))
+    mine = mine.withColumns({"row_class": row_class, "said": F.when(row_class.isNotNull(), text.unwrap(text.clean(F.get("cells", F.lit(1)))))})
+    mine = mine.withColumn("answered", F.when(F.col("row_class") == "client", labels.answer(F.col("said"))).otherwise(F.col("row_class")))
+    mine = mine.withColumns({"colour": F.when(F.col("first") & F.col("laid_out") & ~F.col("followed"), text.colour_kind(F.col("fill"))), "lawyer": alternate.lawyer(), "listed": alternate.listed_client()})
+    more = F.col("answered").isin("new", "not") & ~labels.answer_is_bare(F.col("said"))
+    matter, nominee = F.col("starts") & F.col("matter"), F.col("starts") & ~F.col("matter")
+    said = F.array(
         F.when(first & F.col("client"), _fact("client_table", tbl_no="tbl_no", a="label")),
         F.when(first & (F.col("client") | F.col("matter") | strict), _fact("submission")),
-        F.when(first & alternate.is_coded(F.col("label")), _fact("alternate")),
+        F.when(first & (F.col("lawyers_section").isNotNull() | F.col("clients_section").isNotNull()), _fact("alternate")),
         F.when(F.col("category").isNotNull() & (F.col("any_matter") | F.col("team")), _fact("team", tbl_no="tbl_no", row_no="row_no", a="label")),
+        F.when(matter, _fact("matter", tbl_no="tbl_no", row_no="seg", a="label", kind=labels.matter_kind(label), n=labels.matter_number(label), mark="split", b=F.when(F.col("real"), "real"))),
+        F.when(F.col("colour").isNotNull(), _fact("coloured", tbl_no="tbl_no", a="label", kind="colour", n=F.nullif(F.regexp_extract(label, r"(\d+)\s*$", 1), F.lit("")).try_cast("int"))),
+        F.when(F.col("row_class").isNotNull(), _fact("client", tbl_no="tbl_no", row_no="row_no", a="label", b="said", kind="answered", mark=more, n=F.when(labels.answer_is_substituted(F.col("said")), 1))),
+        F.when(nominee, _fact("nominee", tbl_no="tbl_no", row_no="seg", a="label", b="name", kind="category", mark="split")),
+        F.when(F.col("lawyer").isNotNull(), _fact("lawyer", tbl_no="tbl_no", row_no="row_no", a="lawyer.name", b="lawyer.answer", kind="lawyer.kind", mark="lawyer.is_head")),
+        F.when(F.col("listed").isNotNull(), _fact("listed_client", tbl_no="tbl_no", row_no="row_no", a=F.when(F.col("listed.is_head"), F.col("clients_section")).otherwise(F.col("listed.name")), b="listed.answer", kind="listed.kind", mark="listed.is_head")),
     )
+    # an array that is a column is compiled, and its type is told once, not once a row
+    return mine.select("doc_id", said.alias("said")).select("doc_id", F.explode(F.array_compact("said")).alias("fact"))
+
+
+def paragraph_facts(blocks: DataFrame) -> DataFrame:
+    """doc_id, fact: what paragraphs say: headings of nominations, the alternate form's address."""
     of = F.coalesce(*(F.when(section_heading(F.col("text"), p), k) for k, p in HEADINGS.items()))
     paragraphs = blocks.filter("kind = 'p'").select("doc_id", of.alias("of"), alternate.is_sited(F.col("text")).alias("sited"))
-    said_by_paragraphs = F.array(F.when(F.col("of").isNotNull(), _fact("heading", kind="of")), F.when(F.col("sited"), _fact("alternate")))
-    tables = mine.filter(first & F.col("client")).select("doc_id", "tbl_no")
-    asked = mine.filter("row_no > 0").join(tables, ["doc_id", "tbl_no"], "left_semi").select("doc_id", "tbl_no", "row_no", "label", labels.client_row(F.col("label")).alias("row_class"), text.unwrap(text.clean(F.get("cells", F.lit(1)))).alias("said"))
-    asked = asked.withColumn("kind", F.when(F.col("row_class") == "client", labels.answer(F.col("said"))).otherwise(F.col("row_class")))
-    more = F.col("kind").isin("new", "not") & ~labels.answer_is_bare(F.col("said"))
-    parts = [
-        mine.select("doc_id", F.explode(F.array_compact(said_by_rows)).alias("fact")),
-        paragraphs.select("doc_id", F.explode(F.array_compact(said_by_paragraphs)).alias("fact")),
-        boxes.select("doc_id", _fact("matter", tbl_no="tbl_no", row_no="seg", a="head", kind="kind", n="number", mark="split", b=F.when(F.col("real"), "real")).alias("fact")),
-        coloured.select("doc_id", _fact("coloured", tbl_no="tbl_no", a="head", kind="kind", n="number").alias("fact")),
-        asked.select("doc_id", _fact("client", tbl_no="tbl_no", row_no="row_no", a="label", b="said", kind="kind", mark=more, n=F.when(labels.answer_is_substituted(F.col("said")), 1)).alias("fact")),
-        nominees(mine).select("doc_id", _fact("nominee", tbl_no="tbl_no", row_no="seg", a="head", b="name", kind="kind", mark="split").alias("fact")),
-        alternate.lawyers(mine).select("doc_id", _fact("lawyer", tbl_no="tbl_no", row_no="row_no", a="name", b="answer", kind="kind", mark="is_head").alias("fact")),
-        alternate.listed_clients(mine).select("doc_id", _fact("listed_client", tbl_no="tbl_no", row_no="row_no", a=F.when(F.col("is_head"), F.col("section")).otherwise(F.col("name")), b="answer", kind="kind", mark="is_head").alias("fact")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    said = F.array(F.when(F.col("of").isNotNull(), _fact("heading", kind="of")), F.when(F.col("sited"), _fact("alternate")))
+    return paragraphs.filter("of IS NOT NULL OR sited").select("doc_id", F.explode(F.array_compact(said)).alias("fact"))
 
 
 def _notes(*cases: tuple[Column, Column]) -> Column:
@@ -363,14 +352,16 @@ def routed(documents: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFram
     document each is. unreadable: it could not be opened; alternate: it carries the alternate
     form's codes or address; no submission: none of the form's tables is there; else
     ordinary. The first that applies."""
-    each = (F.array_sort(F.collect_list(F.when(F.col("fact.source") == s, F.col("fact")))).alias(s) for s in SOURCES)
-    grouped = facts(rows, blocks).groupBy("doc_id").agg(*each)
-    whole = documents.select("doc_id", "error").join(grouped, "doc_id", "left")
+    gathered = lambda found, name: found.groupBy("doc_id").agg(F.collect_list("fact").alias(name))
+    whole = documents.select("doc_id", "error").join(gathered(facts(rows), "by_rows"), "doc_id", "left").join(gathered(paragraph_facts(blocks), "by_text"), "doc_id", "left")
     none = F.array().cast(f"array<struct<{FACT.replace(' ', ':').replace(',:', ',')}>>")
-    has = lambda source: F.coalesce(F.size(source), F.lit(0)) > 0
+    every = F.array_sort(F.concat(F.coalesce("by_rows", none), F.coalesce("by_text", none)))
+    whole = whole.select("doc_id", "error", every.alias("every"))
+    of = lambda source: F.filter("every", lambda f: f["source"] == source)
+    has = lambda source: F.exists("every", lambda f: f["source"] == source)
     route = F.when(F.col("error").isNotNull(), "unreadable").when(has("alternate"), "alternate").when(~has("submission"), "no submission").otherwise("ordinary")
     lost = F.lit("this does not look like a submission: none of its tables (clients, matters, nominations) was found")
-    kept = F.struct(*(F.coalesce(s, none).alias(s) for s in SOURCES))
+    kept = F.struct(*(of(s).alias(s) for s in SOURCES))
     return whole.select("doc_id", route.alias("route"), F.when(route == "no submission", lost).otherwise(F.col("error")).alias("error"), kept.alias("facts"))
 
 

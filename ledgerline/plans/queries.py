@@ -676,8 +676,9 @@ SELECT k AS doc_id, route, metric, CAST(CASE WHEN plain THEN CASE metric WHEN 'm
 def q53_routing(spark: SparkSession, d: str) -> DataFrame:
     """Orders as documents of four kinds, their lines as clients, matters and nominations: a
     letter and an unreadable file have no figures, the alternate form has its own."""
-    turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"))
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), turn.alias("n"), F.col("l_returnflag").alias("r"), "l_linestatus", "l_quantity", F.concat(F.lit("P"), "l_partkey").alias("p"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    li = lines.select("doc_id", turn.alias("n"), F.col("l_returnflag").alias("r"), "l_linestatus", "l_quantity", F.concat(F.lit("P"), "l_partkey").alias("p"))
     n, kind, empty = F.col("n"), F.col("doc_id") % 5, F.lit("")
     row = lambda tbl, at, *cells: F.struct(tbl.cast("int").alias("tbl_no"), at.cast("int").alias("row_no"), F.array(*(c if not isinstance(c, str) else F.lit(c) for c in cells)).alias("cells"))
     answer = lambda yes, no: F.when(F.col("r") == "A", yes).when(F.col("r") == "N", no).when(n % 3 == 0, "maybe").otherwise("")
@@ -692,10 +693,11 @@ def q53_routing(spark: SparkSession, d: str) -> DataFrame:
         1: F.array(row(zero, zero, "B9: ranked and unranked lawyers"), row(zero, one, "Name", "Partner Y/N"), row(one, zero, "D0 Clients"), row(one, one, "No", "Name of client", "New client")),
         2: F.array(row(zero, zero, "Dear", "Sir")), 3: F.array(row(zero, zero, "Active key clients", "New")), 4: F.array(row(zero, zero, "Active key clients", "New")),
     }
-    docs = li.select("doc_id").distinct()
-    heads = docs.select("doc_id", F.inline(F.coalesce(*(F.when(kind == k, v) for k, v in once.items()))))
-    body = li.select("doc_id", F.inline(F.when(kind == 1, other).when(kind > 2, ordinary)))
-    rows = heads.unionByName(body).withColumn("fill", empty)
+    docs = lines.select("doc_id").distinct()
+    # the first line of an order says its heads too, so rows stay with their order
+    heads = F.when(n == 1, F.coalesce(*(F.when(kind == k, v) for k, v in once.items())))
+    body = F.when(kind == 1, other).when(kind > 2, ordinary)
+    rows = li.select("doc_id", F.inline(F.concat(*(F.coalesce(x, F.slice(other, 1, 0)) for x in (heads, body))))).withColumn("fill", empty)
     documents = docs.select("doc_id", F.when(kind == 0, "broken").alias("error"))
     blocks = docs.select("doc_id", zero.alias("block_no"), F.lit("p").alias("kind"), F.lit("a paragraph").alias("text"))
     found = metrics.figures(documents, rows, blocks)
