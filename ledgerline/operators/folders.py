@@ -97,6 +97,31 @@ def pick_exports(rows: DataFrame, folders: DataFrame, general: list[str]) -> Dat
     return near.groupBy("asked", "folder").agg(F.min_by("export", F.struct("turn", "export")).alias("export"))
 
 
+def _newest(rows: DataFrame, whose: list[str]) -> DataFrame:
+    """rows with older: of due rows, the first of each name, and whether a newer one of its slot
+    replaces it. whose: the columns within which names and slots are compared."""
+    said = ["region", "area", "created_at"]
+    named = Window.partitionBy(*whose, "filename").orderBy("row_no", "slot", *said)
+    first = rows.withColumn("before", F.lag(F.lit(True)).over(named)).filter("before IS NULL")
+    slot = Window.partitionBy(*whose, "slot")
+    topped = first.withColumn("top", F.max("created_at").over(slot)).withColumn("n", F.count_if(F.col("created_at") == F.col("top")).over(slot))
+    return topped.withColumn("older", F.coalesce((F.col("created_at") < F.col("top")) & (F.col("n") == 1), F.lit(False)))
+
+
+def _entangled(due: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """text: firms of the listing that share a file name within an export, or a slot (spelled alike
+    but for blanks around), with another one, and perhaps a few more; None if there are none.
+    What replaces what among their rows depends on which of the firms are asked for."""
+    name = F.xxhash64("export", "filename")
+    shared = settled(due.groupBy(name.alias("h")).agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("h"))
+    blanks = texts.filter("text <> trim(text)").select(F.trim("text").alias("bare"))
+    found = texts.join(blanks, F.trim("text") == F.col("bare"), "left_semi").select("text")
+    if not shared.isEmpty():
+        found = found.unionByName(due.join(shared, name == F.col("h"), "left_semi").select("text"))
+    found = settled(found.distinct())
+    return None if found.isEmpty() else found
+
+
 def check_folders(listing: DataFrame, documents: DataFrame, firms: DataFrame, general: list[str]) -> DataFrame:
     """firm, folder, export, name, side, region, area, created_at: what each firm's folder holds against
     what its export lists.
@@ -108,37 +133,43 @@ def check_folders(listing: DataFrame, documents: DataFrame, firms: DataFrame, ge
     for documents that no row waits for, elite if firm reference and table code in the name
     are those of an elite row. Elite rows are not expected. Names are compared without case;
     of rows with one name the first counts. A firm without a folder, or that no export near
-    it mentions, has no rows here: folder_counts names it. Which firms of the listing hold
-    which and the folders chosen are written once, as several steps use them."""
-    keyed = listing.withColumn("text", F.lower("firm"))
+    it mentions, has no rows here: folder_counts names it.
+
+    A name that many firms hold is asked for with the rows of each, so rows are judged before
+    they meet those who ask: which are first of their name and which are older is told once
+    a firm of the listing and export. Only firms that share names or slots are judged once
+    for each that asks. Of what is asked only documents to fetch travel again, to meet those
+    held. Which firms hold which, the folders chosen and who asks for what are written once,
+    as several steps use them."""
+    keyed = listing.withColumn("text", F.lower("firm")).withColumn("elite", F.coalesce(F.col("grp").rlike(r"(?i)\belite\b"), F.lit(False)))
     pairs = settled(firm_names(listing, firms))
     mentioned = pairs.join(keyed.select("text", "export").distinct(), "text").select("asked", "export")
     chosen = settled(pick_exports(mentioned, pick_folders(documents, firms), general))
     # rows meet a firm only in the export that was chosen for it
-    own = pairs.join(chosen, "asked").join(keyed, ["text", "export"]).drop("text").withColumn("elite", F.coalesce(F.col("grp").rlike(r"(?i)\belite\b"), F.lit(False)))
-    head = ["asked", "folder", "export"]
-    said = ["region", "area", "created_at"]
+    asking = settled(pairs.join(chosen, "asked").select("text", "export", "asked", "folder"))
+    whose, head, said = ["text", "export"], ["asked", "folder", "export"], ["region", "area", "created_at"]
+
+    slot = F.transform(F.array("firm", "region", "area"), lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
+    due = keyed.filter("NOT elite AND has_document AND text IS NOT NULL").select(*whose, "row_no", "filename", slot.alias("slot"), *said)
+    entangled = _entangled(due, pairs.select("text"))
+    apart = due if entangled is None else due.join(entangled, "text", "left_anti")
+    # what is told of a firm and export, and who asks for it, lies by both: one shuffle
+    marked = _newest(apart.repartition(*whose), whose).join(asking, whose).select(*head, "filename", *said, "older")
+    if entangled is not None:
+        marked = marked.unionByName(_newest(due.join(entangled, "text", "left_semi").join(asking, whose), ["asked"]).select(*head, "filename", *said, "older"))
 
-    due = own.filter("NOT elite AND has_document").withColumn("slot", F.transform(F.array("firm", "region", "area"), lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))))
-    named = Window.partitionBy("asked", "filename").orderBy("row_no", "slot", *said)
-    first = due.withColumn("before", F.lag(F.lit(True)).over(named)).filter("before IS NULL").select(*head, F.col("filename").alias("name"), "slot", *said)
-    slot = Window.partitionBy("asked", "slot")
-    topped = first.withColumn("top", F.max("created_at").over(slot)).withColumn("n", F.count_if(F.col("created_at") == F.col("top")).over(slot))
-    older = F.coalesce((F.col("created_at") < F.col("top")) & (F.col("n") == 1), F.lit(False))
-    # a row that a newer one replaces has no key, so it meets no document and stays as it is
-    marked = topped.withColumn("older", older).withColumn("key", F.when(~F.col("older"), F.lower("name"))).drop("top", "n", "slot")
-
-    kept = documents.groupBy("folder", F.lower("name").alias("key")).agg(F.min("name").alias("held"))
-    held = chosen.join(kept, "folder")
-    both = marked.join(held, [*head, "key"], "full")
-    name = F.coalesce("held", "name")
     code = lambda c: F.struct(*(x.alias(k) for k, x in zip(("ref", "code"), table_code(c), strict=True)))
-    elite = own.filter("elite").select("asked", code(F.col("filename")).alias("code")).filter("code.ref IS NOT NULL").distinct().withColumn("known", F.lit(True))
-    side = F.when(F.col("older"), "older version").when(F.col("held").isNull(), "missing").when(F.col("name").isNotNull(), "present").when(F.col("known"), "elite").otherwise("extra")
-    coded = both.withColumn("code", F.when(F.col("name").isNull(), code(F.col("held")))).join(elite, ["asked", "code"], "left")
-    columns = lambda df, what, n: df.select(F.col("asked").alias("firm"), "folder", "export", n.alias("name"), what.alias("side"), *said)
-    without = columns(own.filter("NOT elite AND NOT has_document"), F.lit("no document"), F.lit(None).cast("string"))
-    return columns(coded, side, name).unionByName(without)
+    elite = keyed.filter("elite").select(*whose, code(F.col("filename")).alias("code")).filter("code.ref IS NOT NULL").join(asking, whose).select(F.col("asked").alias("holder"), "code").distinct()
+    kept = documents.repartition("folder").groupBy("folder", F.lower("name").alias("key")).agg(F.min("name").alias("held"))
+    held = chosen.join(kept, "folder").select(F.col("asked").alias("holder"), F.col("folder").alias("place"), F.col("export").alias("near"), "key", "held", code(F.col("held")).alias("code"))
+    held = held.join(elite.withColumn("known", F.lit(True)), ["holder", "code"], "left").drop("code")
+    both = marked.filter("NOT older").drop("older").join(held, (F.col("asked") == F.col("holder")) & (F.lower("filename") == F.col("key")), "full")
+    side = F.when(F.col("held").isNull(), "missing").when(F.col("filename").isNotNull(), "present").when(F.col("known"), "elite").otherwise("extra")
+    met = both.select(*(F.coalesce(a, b).alias(c) for a, b, c in (("asked", "holder", "firm"), ("folder", "place", "folder"), ("export", "near", "export"), ("held", "filename", "name"))), side.alias("side"), *said)
+
+    columns = lambda df, what, n: df.select(F.col("asked").alias("firm"), "folder", "export", n.alias("name"), F.lit(what).alias("side"), *said)
+    without = keyed.filter("NOT elite AND NOT has_document").join(asking, whose)
+    return met.unionByName(columns(marked.filter("older"), "older version", F.col("filename"))).unionByName(columns(without, "no document", F.lit(None).cast("string")))
 
 
 #: The sides of check_folders and the columns that count them.
