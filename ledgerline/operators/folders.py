@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,8 @@ from ledgerline.operators.tables import settled
 
 #: Characters of the pieces by which names are looked up in texts.
 PIECES = (1, 2, 4, 8, 16, 32)
+#: Names of one size of pieces that are sent to every task.
+FEW = 20000
 #: Levels below the root in which folders are looked for.
 DEPTH = 3
 #: Fixed value: the folder of exports beside or inside a firm's folder.
@@ -30,18 +34,26 @@ def names_to_search(texts: DataFrame, names: DataFrame) -> DataFrame:
     room for, that fewest texts have; a text's pieces of the sizes in use fetch names. Pieces
     are more than half as long as names below 64 characters, so numbered names do not meet
     all texts that share a few digits. A name with a piece that no text has is dropped at
-    once."""
+    once. Pieces are counted where they are read; those of a size that files at most FEW names
+    meet them there, so that a few short names do not make all texts travel by short pieces."""
     size = F.array_max(F.filter(F.array(*map(F.lit, PIECES)), lambda k: k <= F.length("name")))
     wanted = names.select("name").filter("name <> ''").distinct().withColumn("size", size)
     filed = wanted.select("name", F.explode(F.array_distinct(_pieces(F.col("name"), F.col("size")))).alias("piece"))
-    whole = texts.select("text").filter("text <> ''").distinct()
-    used = wanted.agg(F.collect_set("size").alias("sizes"))  # one row
-    met = whole.crossJoin(F.broadcast(used)).select("text", F.explode(F.array_distinct(F.flatten(F.transform("sizes", lambda k: _pieces(F.col("text"), k))))).alias("piece"))
-    met = met.join(filed.select("piece").distinct(), "piece", "left_semi")
-    often = met.groupBy("piece").agg(F.count("*").alias("n"))
+    whole = settled(texts.select("text").filter("text <> ''").distinct())
+    cut = lambda sizes: whole.select("text", F.explode(F.array_distinct(F.flatten(F.array(*(_pieces(F.col("text"), k) for k in sizes))))).alias("piece"))
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # as many as PIECES at most
+    nothing = whole.select("text", F.lit(None).cast("string").alias("name")).limit(0)
+    if not sizes:
+        return nothing
+    often = cut(sizes).groupBy("piece").agg(F.count("*").alias("n"))
     counted = filed.join(often, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.groupBy("name").agg(F.min(F.struct("n", "piece")).alias("r")).filter("r.n > 0").select("name", "r.piece")
-    return met.join(rarest, "piece").select("text", "name")
+    rarest = settled(counted.groupBy("name").agg(F.min(F.struct("n", "piece")).alias("r")).filter("r.n > 0").select("name", "r.piece", F.length("r.piece").alias("size")))
+    filing = {r["size"]: r["n"] for r in rarest.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    few = [k for k, n in filing.items() if n <= FEW]
+    many = [k for k in filing if k not in few]
+    fetch = lambda some, near: cut(some).join(near(rarest.filter(F.col("size").isin(*some)).drop("size")), "piece").select("text", "name")
+    found = [fetch(some, near) for some, near in ((few, F.broadcast), (many, lambda df: df)) if some]
+    return reduce(DataFrame.unionByName, found) if found else nothing
 
 
 def names_within(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -161,9 +173,9 @@ def check_folders(listing: DataFrame, documents: DataFrame, firms: DataFrame, ge
     code = lambda c: F.struct(*(x.alias(k) for k, x in zip(("ref", "code"), table_code(c), strict=True)))
     elite = keyed.filter("elite").select(*whose, code(F.col("filename")).alias("code")).filter("code.ref IS NOT NULL").join(asking, whose).select(F.col("asked").alias("holder"), "code").distinct()
     kept = documents.repartition("folder").groupBy("folder", F.lower("name").alias("key")).agg(F.min("name").alias("held"))
-    held = chosen.join(kept, "folder").select(F.col("asked").alias("holder"), F.col("folder").alias("place"), F.col("export").alias("near"), "key", "held", code(F.col("held")).alias("code"))
+    held = chosen.join(kept, "folder").select(F.col("asked").alias("holder"), F.col("folder").alias("place"), F.col("export").alias("near"), "held", code(F.col("held")).alias("code"))
     held = held.join(elite.withColumn("known", F.lit(True)), ["holder", "code"], "left").drop("code")
-    both = marked.filter("NOT older").drop("older").join(held, (F.col("asked") == F.col("holder")) & (F.lower("filename") == F.col("key")), "full")
+    both = marked.filter("NOT older").drop("older").join(held, (F.col("asked") == F.col("holder")) & (F.lower("filename") == F.lower("held")), "full")
     side = F.when(F.col("held").isNull(), "missing").when(F.col("filename").isNotNull(), "present").when(F.col("known"), "elite").otherwise("extra")
     met = both.select(*(F.coalesce(a, b).alias(c) for a, b, c in (("asked", "holder", "firm"), ("folder", "place", "folder"), ("export", "near", "export"), ("held", "filename", "name"))), side.alias("side"), *said)
 

@@ -66,3 +66,13 @@ def test_firms_that_share_names_or_slots_are_judged_for_each_that_asks(spark):
         ("Acme", "missing", "a.docx"), ("Acme", "missing", "b.docx"), ("Acme", "missing", "d.docx"), ("Acme", "older version", "c.docx"),
         ("Acme One", "missing", "a.docx"), ("Acme One", "older version", "b.docx"), ("Beta", "missing", "f.docx"), ("Beta", "older version", "e.docx"),
     ]
+
+
+def test_few_and_many_names_fetch_the_same(spark, monkeypatch):
+    """Whether names are sent to every task or travel by their pieces: the same pairs, each once."""
+    texts, names = [f"firm {n} llp" for n in range(300)] + ["", None], ["firm 1", "firm 12", "firm 299 llp", "29", "p", "nobody", "", None]
+    given = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for few in (0, 2, 100):
+        monkeypatch.setattr(folders, "FEW", few)
+        got = [tuple(r) for r in folders.names_within(*given).collect()]
+        assert sorted(got) == sorted((t, n) for t in texts for n in names if t and n and n in t)
